@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import url_filter
+from siltstone.llm import avi, simple8b, url_filter
 
 
 def queries() -> dict:
-    return {"op10_url_filters": url_filter.op10_url_filters}
+    return {
+        "op3_media_columns": avi.op3_media_columns,
+        "op9_token_id_files": simple8b.op9_token_id_files,
+        "op10_url_filters": url_filter.op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ ESCAPE = 1
 BLOCK = 1024
 HEADER = struct.Struct("<4sIIIIIQ")
 IMAGE_VALUES = 1 << 20
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 END_ID = 2
 
 
@@ -166,8 +169,9 @@ class Encoder:
     encoded once each. Texts with other white space next to a space or line feed are encoded whole.
     """
 
-    LIMIT = 400_000
-    WHOLE = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z")
+    LIMIT = 300_000
+    EDGES = ("  ", " \n", "\n ", "\n\n")
+    OTHER_SPACE = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,23 +179,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> bool:
+        return not (any(e in text for e in self.EDGES) or text[:1].isspace() or text[-1:].isspace() or self.OTHER_SPACE.search(text))
+
+    @staticmethod
+    def _spelt(piece: str) -> str:
+        """What stands in the text for a piece: the first piece has no space, those behind a line feed have the feed."""
+        return piece[2:] if piece.startswith("\n\n") else piece if piece.startswith("\n") else " " + piece
+
+    def _learn(self, missing: set[str]) -> None:
+        cache, older = self.cache, self.older
+        for x in missing & older.keys():
+            cache[x] = older[x]
+        missing -= cache.keys()
+        # A comma or full stop behind a letter, at a piece's end, is a token of its own.
+        ended = [x for x in missing if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha()]
+        stems = list((missing.difference(ended) | {x[:-1] for x in ended}) - cache.keys())
+        cache.update(zip(stems, self._encode([self._spelt(x) for x in stems]), strict=True))
+        for x in ended:
+            cache[x] = cache[x[:-1]] + self.marks[x[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
         if len(self.cache) > self.LIMIT:
-            self.cache.clear()
-        plain = [not self.WHOLE.search(t) for t in texts]
-        # The first piece has no space before it; pieces after a line feed keep the feed instead.
+            self.older, self.cache = self.cache, {}
+        plain = [self._plain(t) for t in texts]
         pieces = [("\n\n" + t.replace("\n", " \n")).split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        cache = self.cache
-        missing = list({x for ps in pieces if ps for x in ps}.difference(cache))
-        if missing:
-            cache.update(zip(missing, self._encode([x[2:] if x.startswith("\n\n") else x if x.startswith("\n") else " " + x for x in missing]), strict=True))
+        if missing := set().union(*filter(None, pieces)) - self.cache.keys():
+            self._learn(missing)
+        find = self.cache.__getitem__
         whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [next(whole) if ps is None else b"".join(map(cache.__getitem__, ps)) for ps in pieces]
+        return [next(whole) if ps is None else b"".join(map(find, ps)) for ps in pieces]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import avi, simple8b, url_filter
+from siltstone.llm import avi, html_text, langid, simple8b, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_text.op1_html_extraction,
         "op3_media_columns": avi.op3_media_columns,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_language_id": langid.op6_language_id,
         "op9_token_id_files": simple8b.op9_token_id_files,
         "op10_url_filters": url_filter.op10_url_filters,
     }

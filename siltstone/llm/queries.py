@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import avi, decontaminate, html_text, langid, simple8b, toxicity, url_filter
+from siltstone.llm import avi, decontaminate, html_text, langid, pieces, simple8b, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_media_columns": avi.op3_media_columns,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language_id": langid.op6_language_id,
+        "op7_sentence_pieces": pieces.op7_sentence_pieces,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_token_id_files": simple8b.op9_token_id_files,
         "op10_url_filters": url_filter.op10_url_filters,

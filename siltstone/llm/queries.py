@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.llm import avi, decontaminate, html_text, langid, pieces, simple8b, toxicity, url_filter
+from siltstone.llm import avi, decontaminate, html_text, langid, pieces, simple8b, substrings, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_text.op1_html_extraction,
+        "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_media_columns": avi.op3_media_columns,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language_id": langid.op6_language_id,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_filter.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op10_url_filters": url_filter.SQL}

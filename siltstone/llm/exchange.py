@@ -21,8 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltstone.llm.textbytes import slices
@@ -138,12 +137,15 @@ def blobs(group: int, distinct: Distinct, counts: np.ndarray, buckets: int, widt
     )
 
 
-REPLY = "grp int, bucket int, flags binary"
-REPLY_SCHEMA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary())])
+REPLY = "grp int, bucket int, flags binary, ranks binary"
+REPLY_SCHEMA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary()), ("ranks", pa.binary())])
+#: Ranks of one bucket are below this; ids of shared hashes are bucket * RANKS + rank and rise with the hash.
+RANKS = 1 << 24
 
 
 def _meet(rule: str, width: int):
-    """``later``: 1 where a group before this one has the hash. ``count``: the sum of all groups' counts, capped at 255, where it is over 1."""
+    """``later``: 1 where a group before this one has the hash. ``shared``: where all groups' counts add
+    up to 2 or more, the sum (capped at 255) and the rank of the hash among such hashes of the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("grp")
@@ -159,42 +161,50 @@ def _meet(rule: str, width: int):
         if second is not None:
             same &= second[order][1:] == second[order][:-1]
         flags = np.zeros(len(a), np.uint8)
+        ranks = None
         if rule == "later":
             flags[order[1:][same]] = 1
         else:
             counts = np.frombuffer(b"".join(zstandard.decompress(c.as_py()) for c in table.column("counts")), np.uint8).astype(np.int64)
             run_of = np.concatenate([[0], np.cumsum(~same)])
-            total = np.bincount(run_of, counts[order])[run_of]
-            flags[order] = np.where(total > 1, np.minimum(total, 255), 0)
-        rows = [], [], []
+            total = np.bincount(run_of, counts[order]).astype(np.int64)
+            rank = np.cumsum(total > 1) - 1
+            flags[order] = np.where(total > 1, np.minimum(total, 255), 0)[run_of]
+            ranks = np.empty(len(a), np.uint64)
+            ranks[order] = rank[run_of].astype(np.uint64)
+        rows = [], [], [], []
         at = 0
         for group, bucket, n in zip(table.column("grp").to_pylist(), table.column("bucket").to_pylist(), sizes.tolist(), strict=True):
             own = flags[at : at + n]
-            at += n
             if own.any():
                 data = np.packbits(own).tobytes() if rule == "later" else own.tobytes()
-                for column, value in zip(rows, (group, bucket, zstandard.compress(data, 1)), strict=True):
+                places = squeeze(ranks[at : at + n][own > 0]) if ranks is not None else b""
+                for column, value in zip(rows, (group, bucket, zstandard.compress(data, 1), places), strict=True):
                     column.append(value)
+            at += n
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, REPLY_SCHEMA, strict=True)], schema=REPLY_SCHEMA)
 
     return run
 
 
-def flags_of(distinct: Distinct, replies: pa.Table, buckets: int, rule: str) -> np.ndarray:
-    """The replies to one group as an array over its distinct hashes."""
+def flags_of(distinct: Distinct, replies: pa.Table, buckets: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """The replies to one group as arrays over its distinct hashes: flags, and ids (0 where there is no flag)."""
     bucket = bucket_of(distinct.hashes, buckets)
-    out = np.zeros(len(bucket), np.uint8)
-    for b, flags in zip(replies.column("bucket").to_pylist(), replies.column("flags"), strict=True):
+    out, ids = np.zeros(len(bucket), np.uint8), np.zeros(len(bucket) if rule == "shared" else 0, np.uint64)
+    for b, flags, ranks in zip(replies.column("bucket").to_pylist(), replies.column("flags"), replies.column("ranks"), strict=True):
         low, high = np.searchsorted(bucket, [b, b + 1])
         data = np.frombuffer(zstandard.decompress(flags.as_py()), np.uint8)
         out[low:high] = np.unpackbits(data, count=high - low) if rule == "later" else data
-    return out
+        if rule == "shared":
+            at = low + np.flatnonzero(data)
+            ids[at] = unsqueeze(ranks.as_py(), len(at)) + np.uint64(b * RANKS)
+    return out, ids
 
 
 Windows = Callable[[pa.Table, bool], tuple[np.ndarray, np.ndarray | None, np.ndarray]]
 
 
-def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, np.ndarray], np.ndarray], finish: Callable[[int, pa.Table, Distinct, np.ndarray, np.ndarray], pa.Table], schema: T.StructType | str, rule: str, n_windows: int) -> DataFrame:
+def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, np.ndarray], np.ndarray], finish: Callable[[pa.Table, Distinct, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: T.StructType | str, rule: str, n_windows: int) -> DataFrame:
     """Run one round: ``windows`` gives a group's hashes, second hashes (if asked) and a value (the row) each;
     ``per_hash`` the count to send for each distinct hash; ``finish`` the group's result from what came back.
     """
@@ -209,12 +219,8 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
         rows = group_table(table)
         first, second, value = windows(rows, width > 0)
         distinct = Distinct(first, second)
-        return finish(key[0].as_py(), rows, distinct, value, flags_of(distinct, replies, buckets, rule))
+        return finish(rows, distinct, value, *flags_of(distinct, replies, buckets, rule))
 
     sent = packs.groupBy("grp").applyInArrow(send, BLOB)
     replies = sent.groupBy("bucket").applyInArrow(_meet(rule, width), REPLY)
     return packs.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(close, schema)
-
-
-def hashed_groups(key: str, groups: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")

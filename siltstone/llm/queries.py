@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import avi, decontaminate, html_text, langid, pieces, simple8b, substrings, toxicity, url_filter
+from siltstone.llm import avi, decontaminate, html_text, jaccard, langid, pieces, simple8b, substrings, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extraction": html_text.op1_html_extraction,
         "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_media_columns": avi.op3_media_columns,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_language_id": langid.op6_language_id,
         "op7_sentence_pieces": pieces.op7_sentence_pieces,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substrings.SQL, "op10_url_filters": url_filter.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op4_ngram_jaccard": jaccard.SQL, "op10_url_filters": url_filter.SQL}

@@ -115,7 +115,7 @@ def _texts(part: pa.RecordBatch, covered: tuple) -> pa.RecordBatch:
 
 
 def _finish(width: int, make):
-    def run(group: int, table: pa.Table, distinct, owner: np.ndarray, later: np.ndarray) -> pa.Table:
+    def run(table: pa.Table, distinct, owner: np.ndarray, later: np.ndarray, _) -> pa.Table:
         removed, at, out = _removed(table, distinct, owner, later), 0, []
         for batch in table.to_batches():
             for part in slices(batch, "text"):

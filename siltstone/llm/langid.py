@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.sampling import held_out, per_class
 from siltstone.llm.textbytes import flatten, lower_ascii, slices
@@ -148,7 +149,9 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predictor(shared):
+def _predictor(shared, keep: list[int]):
+    """Appends the predictions to the columns at ``keep``."""
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for batch in batches:
@@ -162,15 +165,22 @@ def _predictor(shared):
                     language[lettered] = np.array(model.languages, object)[best[lettered]]
                     top = values[np.arange(len(best)), best].astype(np.float64)
                     score[lettered] = np.clip((top[lettered] + 1) / 2, 0, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(language, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                names = [part.schema.names[k] for k in keep]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(language, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return predict
 
 
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All rows of ``docs`` with lang_pred and score, which replace columns of these names."""
+    keep = [k for k, c in enumerate(docs.columns) if c not in ("lang_pred", "score")]
+    schema = T.StructType([*[docs.schema.fields[k] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), keep), schema)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predictor(shared), "doc_id long, lang_pred string, score double")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,13 +1,71 @@
-"""Corpus pipeline: stages applied in order, each written as Parquet and read back as the next one's documents."""
+"""Corpus pipeline: stages applied in order, each written as Parquet and read back as the next one's documents.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import decontaminate, jaccard, langid, pieces, substrings
+from siltstone.runtime import stage_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language (null texts and texts without a letter); fill in missing languages.
+
+    A known ``lang`` stays as it is; a null one gets the predicted language. Where no language can
+    be learnt, as no row is labelled, nothing is rejected.
+    """
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs)
+    if model is None:
+        return docs
+    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(
+        "doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
-def run(spark, sf_dir):
-    from siltstone.runtime import stage_table
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 13 words and more that a document with a smaller id holds too."""
+    cut = substrings.dedup_texts(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of ``benchmark``."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the text that they decode to."""
+    done = pieces.decode(pieces.encode(docs))
+    return done.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "text")
+
+
+STAGES = [
+    ("language id", language),
+    ("n-gram jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", leaks),
+    ("sentence pieces", tokens),
+]
+
+#: Language models, edit distances and segmentations are not SQL: tests compare with brute force.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

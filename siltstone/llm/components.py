@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import stage_table
+from siltstone.runtime import sound_unions, stage_table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,6 +19,7 @@ def connected(links: DataFrame) -> DataFrame:
     with the logarithm of the longest path; each is written to the shared folder, and no step
     brings more of the table to the driver than its size and checksum.
     """
+    sound_unions(links.sparkSession)
     edges = stage_table(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent")).distinct(), "links")
     before = _state(edges)
     while before[0]:

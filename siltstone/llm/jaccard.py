@@ -36,7 +36,7 @@ from siltstone.llm.components import connected
 from siltstone.llm.exchange import GROUP_BYTES, Distinct, deal, exchange, squeeze, unsqueeze
 from siltstone.llm.substrings import id_ranges
 from siltstone.llm.textbytes import flatten, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
-from siltstone.runtime import stage_table
+from siltstone.runtime import sound_unions, stage_table
 
 SHINGLE = 5
 SALT = 0x2B
@@ -226,6 +226,7 @@ def pair_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    sound_unions(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)

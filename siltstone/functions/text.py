@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the retrieval text rules.
 WORD = r"[\p{L}\p{N}_]+"
@@ -25,7 +26,7 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(words(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
 

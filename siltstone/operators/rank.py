@@ -51,8 +51,9 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, weights: dict[
 
 
 def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether Catalyst's estimate of the rows lies under the broadcast bound."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+    """Whether the rows come from files under the broadcast bound, with room for what an explode adds."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= most
 
 
 def _block_scores(block_ids: np.ndarray, block: np.ndarray, metric: str, k: int):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -22,15 +23,21 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: file sizes for scans, no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate, without a job; None where it is a guess (anything but filtered file scans)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"Join|Aggregate|Generate|Window|Union|LogicalRDD|LocalRelation|MapIn|Range", plan.treeString()):
+        return None
+    return int(str(plan.stats().sizeInBytes()))
+
+
+def session_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def partitions_for(df: DataFrame, target: int = 16 << 20) -> int:
-    """Shuffle partitions so that each gets about ``target`` estimated bytes, never fewer than the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(min(estimated_bytes(df), 1 << 60) / target))
+    """Shuffle partitions so that each gets about ``target`` bytes of files, never fewer than the session's."""
+    return max(session_partitions(df.sparkSession), math.ceil((estimated_bytes(df) or 0) / target))
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:

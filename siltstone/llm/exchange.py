@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltstone.llm.textbytes import slices
-from siltstone.runtime import partitions_for
+from siltstone.runtime import session_partitions
 
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 BUCKET_ENTRIES = 1 << 20
 PACK = "grp int, pack binary"
 
@@ -63,9 +63,9 @@ def _packer(assign: Callable[[pa.RecordBatch], np.ndarray], text: str):
     return run
 
 
-def deal(rows: DataFrame, assign: Callable[[pa.RecordBatch], np.ndarray], text: str = "text") -> DataFrame:
+def deal(rows: DataFrame, assign: Callable[[pa.RecordBatch], np.ndarray], groups: int, text: str = "text") -> DataFrame:
     """(grp, pack): rows by the group that ``assign`` gives them, shuffled to it."""
-    return rows.mapInArrow(_packer(assign, text), PACK).repartition(partitions_for(rows, GROUP_BYTES), "grp")
+    return rows.mapInArrow(_packer(assign, text), PACK).repartition(max(groups, session_partitions(rows.sparkSession)), "grp")
 
 
 def group_table(packs: pa.Table) -> pa.Table:
@@ -219,6 +219,7 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
         rows = group_table(table)
         first, second, value = windows(rows, width > 0)
         distinct = Distinct(first, second)
+        del first, second
         return finish(rows, distinct, value, *flags_of(distinct, replies, buckets, rule))
 
     sent = packs.groupBy("grp").applyInArrow(send, BLOB)

@@ -48,37 +48,39 @@ SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("signature"
 
 def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """The distinct shingles of every row: hash, second hash, row, ordered by row and hash."""
-    first, second, owner, row = [], [], [], 0
+    none = np.empty(0, np.uint64)
+    first, second, owner, row = [none], [none], [none.astype(np.int64)], 0
     for batch in table.to_batches():
         for part in slices(batch, "text"):
             raw, offsets = flatten(part.column("text"))
             raw = lower_ascii(raw)
             starts, ends, text = word_spans(raw, offsets)
             words = span_hashes(raw, starts, ends)
+            n = max(0, len(words) - SHINGLE + 1)
+            whole = np.flatnonzero(text[:n] == text[SHINGLE - 1 :]) if n else np.empty(0, np.int64)
             begin = np.searchsorted(text, np.arange(part.num_rows + 1))
             sizes = np.diff(begin)
-            places = [(SHINGLE, begin[:-1])] + [(k, begin[:-1][sizes == k]) for k in range(1, SHINGLE)]
-            for width, at in places:
-                if width == SHINGLE:
-                    n = max(0, len(words) - width + 1)
-                    at = np.flatnonzero(text[:n] == text[width - 1 :]) if n else np.empty(0, np.int64)
-                for salt, out in ((0, first), (SALT, second)) if twice else ((0, first),):
-                    if width == SHINGLE:
-                        out.append(window_hashes(words, width, salt)[at])
-                    else:
-                        out.append(np.concatenate([np.empty(0, np.uint64), *[window_hashes(words[i : i + width], width, salt) for i in at.tolist()]]))
-                owner.append(text[at] + row if len(at) else np.empty(0, np.int64))
+            short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+            spans = [words[begin[k] : begin[k + 1]] for k in short.tolist()]
+
+            def hashed(salt: int) -> np.ndarray:
+                return np.concatenate([window_hashes(words, SHINGLE, salt)[whole], *[window_hashes(w, len(w), salt) for w in spans]])
+
+            a, own = hashed(0), np.concatenate([text[whole], short])
+            b = hashed(SALT) if twice else None
+            order = np.argsort(a) if b is None else np.lexsort((b, a))
+            # Rows of a slice are few, so their sort is a radix sort.
+            order = order[np.argsort(own[order].astype(np.uint16 if part.num_rows < 1 << 16 else np.int64), kind="stable")]
+            a, own, b = a[order], own[order], None if b is None else b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1])
+            if b is not None:
+                new[1:] |= b[1:] != b[:-1]
+                second.append(b[new])
+            first.append(a[new])
+            owner.append(own[new] + row)
             row += part.num_rows
-    none = np.empty(0, np.uint64)
-    a, own = np.concatenate([none, *first]), np.concatenate([none.astype(np.int64), *owner])
-    b = np.concatenate([none, *second]) if twice else None
-    order = np.lexsort((a, own) if b is None else (b, a, own))
-    a, own, b = a[order], own[order], None if b is None else b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (own[1:] != own[:-1])
-    if b is not None:
-        new[1:] |= b[1:] != b[:-1]
-    return a[new], None if b is None else b[new], own[new]
+    return np.concatenate(first), np.concatenate(second) if twice else None, np.concatenate(owner)
 
 
 def _sets(table: pa.Table, distinct: Distinct, owner: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> pa.Table:
@@ -230,7 +232,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    bounds = id_ranges(known, max(1, -(-size // GROUP_BYTES)))
+    groups = max(1, -(-size // GROUP_BYTES))
+    bounds = id_ranges(known, groups)
 
     def assign(part: pa.RecordBatch) -> np.ndarray:
         return np.searchsorted(bounds, part.column("doc_id").to_numpy(), side="right")
@@ -238,7 +241,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     def per_hash(distinct: Distinct, owner: np.ndarray) -> np.ndarray:
         return distinct.totals(np.ones(len(owner), np.int64))
 
-    sets = stage_table(exchange(deal(known, assign), shingles, per_hash, _sets, SETS, "shared", size // 6), "sets")
+    sets = stage_table(exchange(deal(known, assign, groups), shingles, per_hash, _sets, SETS, "shared", size // 6), "sets")
     open_sets = sets.where("ids IS NOT NULL")
     classes = stage_table(open_sets.groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = stage_table(open_sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "ids", "shared", "prefix"), "reps")

@@ -224,7 +224,7 @@ def viterbi_many(model: Pieces, words: list[bytes]) -> list[bytes]:
 class Codec:
     """Encodes and decodes texts; remembers the words it has seen, twice LIMIT at most."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
     EDGES = ("  ", " \n", "\n ", "\n\n")
     CHUNK = re.compile(" +[^ ]*")
 
@@ -336,6 +336,23 @@ def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     return encoded.select("doc_id", "pieces").mapInArrow(_decoder(shared), "doc_id long, pieces array<int>, text string")
 
 
+def _both(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in _encoder(shared)(batches):
+            step = codec.model.kind
+            texts = [codec.decode(np.asarray(x.values.to_numpy(zero_copy_only=False)).astype(step).tobytes()) for x in batch.column("pieces")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "pieces", "text"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """(doc_id, pieces, text): every text encoded and decoded again, in one pass and one Python worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model_path(model)))
+    return docs.select("doc_id", "text").mapInArrow(_both(shared), "doc_id long, pieces array<int>, text string")
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

@@ -139,13 +139,14 @@ def _alone(width: int, make):
 def _dedup(docs: DataFrame, width: int, make, schema) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    bounds = id_ranges(known, max(1, -(-size // GROUP_BYTES)))
+    groups = max(1, -(-size // GROUP_BYTES))
+    bounds = id_ranges(known, groups)
 
     def assign(part: pa.RecordBatch) -> np.ndarray:
         return np.searchsorted(bounds, part.column("doc_id").to_numpy(), side="right")
 
     # A word and the space behind it have about six bytes; it only sets the number of buckets.
-    done = exchange(deal(known, assign), _windows(width), lambda d, owner: np.zeros(len(d.hashes), np.uint8), _finish(width, make), schema, "later", size // 6)
+    done = exchange(deal(known, assign, groups), _windows(width), lambda d, owner: np.zeros(len(d.hashes), np.uint8), _finish(width, make), schema, "later", size // 6)
     return done.unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(_alone(width, make), schema))
 
 

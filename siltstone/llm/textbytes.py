@@ -51,10 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base ** 2, ...; kept for slices of the usual size."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if n <= 4 << 20:
+            _POWERS[int(base)] = held
+    return held[:n]
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:

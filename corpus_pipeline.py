@@ -47,7 +47,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with the text that they decode to."""
-    done = pieces.decode(pieces.encode(docs))
+    done = pieces.round_trip(docs)
     return done.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "text")
 
 

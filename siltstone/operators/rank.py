@@ -42,7 +42,11 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, weights: dict[
     weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in chunks.columns}
     keys = [c for c in ("chunk_id", "source_file", "start_line") if c in chunks.columns]
     asked = questions.select("question_id", F.explode(tx.word_set(F.col("text"))).alias("term"))
-    weighted = F.flatten(F.array(*[F.transform(tx.word_set(F.col(f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for f, w in weights.items()]))
+
+    def field_terms(field: str, weight: int) -> Column:
+        return F.transform(tx.word_set(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    weighted = F.flatten(F.array(*[field_terms(f, w) for f, w in weights.items()]))
     terms = chunks.select(*keys, F.explode(weighted).alias("t")).select(*keys, "t.term", "t.weight")
     if small(asked):
         asked = F.broadcast(asked)

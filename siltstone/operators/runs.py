@@ -9,14 +9,14 @@ from siltstone.operators.stats import percentile_nearest
 
 
 def latency_summary(value: str = "value") -> list[Column]:
-    """n, min, mean, median, nearest-rank p95 and max, 3 digits."""
+    """n, min, mean, median, nearest-rank p95 and max; 3 digits, the mean 6."""
     v = F.col(value)
-    return [F.count("*").alias("n"), F.round(F.min(v), 3).alias("min_ms"), F.round(F.avg(v), 3).alias("mean_ms"), F.round(F.median(v), 3).alias("median_ms"), F.round(percentile_nearest(value, 0.95), 3).alias("p95_ms"), F.round(F.max(v), 3).alias("max_ms")]
+    return [F.count("*").alias("n"), F.round(F.min(v), 3).alias("min_ms"), F.round(F.avg(v), 6).alias("mean_ms"), F.round(F.median(v), 3).alias("median_ms"), F.round(percentile_nearest(value, 0.95), 3).alias("p95_ms"), F.round(F.max(v), 3).alias("max_ms")]
 
 
 def throughput(value: str = "value") -> list[Column]:
     """Population deviation and sequential queries a second."""
-    return [F.round(F.stddev_pop(value), 3).alias("sd_ms"), F.round(1000.0 / F.avg(value), 3).alias("per_second")]
+    return [F.round(F.stddev_pop(value), 6).alias("sd_ms"), F.round(1000.0 / F.avg(value), 6).alias("per_second")]
 
 
 def poisoned_sum(value: Column, valid: Column) -> Column:

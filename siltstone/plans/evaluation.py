@@ -100,7 +100,7 @@ def round_robin_pieces(spark, sf):
     return rank.round_robin(r, "question_id", [F.asc("method"), F.asc("chunk_id")]).select("question_id", "rank", "chunk_id", "turn", "place")
 
 
-@query(f"""WITH {OUTCOMES}, k AS (SELECT question_id, chunk_id, CAST(rank AS INT) AS rank, round(0.01 * CASE WHEN hit THEN 2 ELSE 0 END - 0.001 * rank, 6) AS rescored FROM j WHERE method = 'cosine' AND rank <= 10)
+@query(f"""WITH {OUTCOMES}, k AS (SELECT question_id, chunk_id, CAST(rank AS INT) AS rank, round(CAST(0.01 AS DOUBLE) * CASE WHEN hit THEN 2 ELSE 0 END - CAST(0.001 AS DOUBLE) * rank, 6) AS rescored FROM j WHERE method = 'cosine' AND rank <= 10)
 SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rescored DESC, rank) AS INT) AS new_rank FROM k""")
 def symbol_rerank(spark, sf):
     """Overlap against rank over the first ten."""

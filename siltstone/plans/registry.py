@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.runtime import sound_unions
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("evaluation", "statistics", "runs", "contexts")
+MODULES = ("texts", "evaluation", "statistics", "runs", "contexts", "stores")
 
 
 def _plans():

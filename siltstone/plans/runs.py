@@ -21,7 +21,7 @@ def query(sql: str | None):
     return add
 
 
-LATENCY = "count(*) AS n, round(min(value), 3) AS min_ms, round(avg(value), 3) AS mean_ms, round(median(value), 3) AS median_ms, round(quantile_disc(value, 0.95), 3) AS p95_ms, round(max(value), 3) AS max_ms"
+LATENCY = "count(*) AS n, round(min(value), 3) AS min_ms, round(avg(value), 6) AS mean_ms, round(median(value), 3) AS median_ms, round(quantile_disc(value, 0.95), 3) AS p95_ms, round(max(value), 3) AS max_ms"
 
 
 @query(f"SELECT event_type, {LATENCY} FROM events GROUP BY event_type")
@@ -30,7 +30,7 @@ def latency_summary(spark, sf):
 
 
 @query(f"""WITH e AS (SELECT *, 'r' || (user_id % 3) AS repository, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'fa' END AS language FROM events)
-SELECT event_type, repository, language, {LATENCY}, round(stddev_pop(value), 3) AS sd_ms, round(1000.0 / avg(value), 3) AS per_second, count(DISTINCT user_id) AS questions, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0 END), 6) AS error_rate
+SELECT event_type, repository, language, {LATENCY}, round(stddev_pop(value), 6) AS sd_ms, round(1000.0 / avg(value), 6) AS per_second, count(DISTINCT user_id) AS questions, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0 END), 6) AS error_rate
 FROM e GROUP BY GROUPING SETS ((), (event_type), (event_type, repository), (event_type, language), (event_type, repository, language))""")
 def performance_slices(spark, sf):
     """Grouping sets with deviation, throughput, distinct questions and error rate."""

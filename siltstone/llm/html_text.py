@@ -35,6 +35,7 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"']+)")
 WORDS = re.compile(r"[a-z0-9]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 # Fixed sets of HTML elements, roles, and words of class and id names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,11 +51,13 @@ CUT = frozenset(
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar tablist form note status".split())
 CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "ad ads adv alert alerts advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "copyright discussion disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination "
     "paywall popup promo promoted promotion recommended recommendations related remark replies reply respond share sharing shareaholic sidebar signup skip "
     "social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
+#: Inside an article these words stand for its title or closing line, not the page's.
+TITLE_WORDS = frozenset(["header", "masthead"])
 SAFE = frozenset("html body article main".split())
 #: An open element that a start tag ends, and the elements beyond which it is not looked for.
 IMPLIED = {
@@ -81,8 +84,11 @@ def _cut(tag: str, attrs: str, inside_article: bool) -> bool:
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "role" and tag not in SAFE and value.strip() in CUT_ROLES:
             return True
-        if name in ("class", "id") and tag not in SAFE and not CUT_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in SAFE:
+            raw = html.unescape(m[2] or m[3] or m[4] or "")
+            words = {w.rstrip("0123456789") for w in WORDS.findall(value) + WORDS.findall(CAMEL.sub(" ", raw).lower())}
+            if words & (CUT_WORDS - TITLE_WORDS if inside_article else CUT_WORDS):
+                return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False

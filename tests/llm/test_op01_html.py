@@ -18,6 +18,11 @@ def test_container_without_article():
     assert extract(page) == "Long text, with commas, here.\nMore text, and more, to read."
 
 
+def test_words_of_class_and_id():
+    page = '<article><div class="entry-header"><h1>Title</h1></div><p>Body, text.</p><div class="adBox2">x</div><div id="ad3">y</div><div class="shadow">kept</div><div class="alert">z</div></article><div class="siteHeader">w</div>'
+    assert extract(page) == "Title\nBody, text.\nkept"
+
+
 def test_odd_pages():
     assert extract(None) == extract("") == extract("<nav>only menu</nav>") == extract("<!-- never closed <p>x</p>") == ""
     assert extract("plain text") == "plain text"

@@ -148,11 +148,8 @@ class Engine:
             raise IntegrityError("the index was made with another embedding model")
         rows = questions.select("question_id", "text").collect()
         vectors = embed.embed_batch(self.provider, [r["text"] for r in rows]) if rows else []
-        asked = self.spark.createDataFrame([(str(r["question_id"]), v) for r, v in zip(rows, vectors, strict=True)], "question_id string, q array<double>")
-        from siltstone.functions.vectors import cosine
-
-        scored = self.store.read("vectors").crossJoin(F.broadcast(asked)).select("question_id", "chunk_id", F.round(F.coalesce(cosine(F.col("vector"), F.col("q")), F.lit(0.0)), 9).alias("score"))
-        return rank.top_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], limit)
+        asked = self.spark.createDataFrame([(str(r["question_id"]), v) for r, v in zip(rows, vectors, strict=True)], "chunk_id string, vector array<double>")
+        return rank.semantic(asked, self.store.read("vectors"), limit, exclude_self=False).select("question_id", "rank", "chunk_id", "score")
 
     def search(self, text: str, method: str = "hybrid", limit: int = 10) -> DataFrame:
         check_request(text, limit, method)

@@ -83,3 +83,25 @@ def best_window(lines: DataFrame, group: str, budget: int) -> DataFrame:
     spans = starts.join(ends, group).where((F.col("end_line") >= F.col("start_line")) & (F.col("c1") - F.col("c0") <= budget))
     spans = spans.select(group, "start_line", "end_line", (F.col("s1") - F.col("s0")).alias("score"), (F.col("c1") - F.col("c0")).alias("chars"))
     return dedupe_first(spans, [group], [F.desc("score"), F.asc("chars"), F.asc("start_line")])
+
+
+def pack_uncovered(blocks: DataFrame, group: str, budget: int = BUDGET) -> DataFrame:
+    """As ``pack``, but a block whose lines a chosen block of its file already holds is left out and not counted.
+
+    ``blocks``: (group, rank, chunk_id, chars, source_file, start_line, end_line).
+    """
+    gathered = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "chars", "source_file", "start_line", "end_line"))).alias("blocks"))
+    kind = "array<struct<chunk_id:bigint,f:string,s:bigint,e:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("omitted"), F.array().cast(kind).alias("taken"))
+
+    def step(s: Column, b: Column) -> Column:
+        covered = F.exists(s["taken"], lambda t: (t["f"] == b["source_file"]) & (t["s"] <= b["start_line"]) & (t["e"] >= b["end_line"]))
+        fits = ~covered & (s["used"] + b["chars"] <= budget)
+        one = F.array(F.struct(b["chunk_id"].cast("long").alias("chunk_id"), b["source_file"].alias("f"), b["start_line"].cast("long").alias("s"), b["end_line"].cast("long").alias("e")))
+        return F.struct(
+            F.when(fits, s["used"] + b["chars"]).otherwise(s["used"]).alias("used"), F.when(fits | covered, s["omitted"]).otherwise(s["omitted"] + 1).alias("omitted"),
+            F.when(fits, F.concat(s["taken"], one)).otherwise(s["taken"]).alias("taken"),
+        )
+
+    packed = gathered.select(group, F.aggregate("blocks", start, step).alias("p"))
+    return packed.select(group, F.col("p.used").alias("total_chars"), F.transform("p.taken", lambda t: t["chunk_id"]).alias("chunk_ids"), F.col("p.omitted").alias("omitted"))

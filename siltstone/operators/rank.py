@@ -60,16 +60,24 @@ def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     return size <= most
 
 
-def _block_scores(block_ids: np.ndarray, block: np.ndarray, metric: str, k: int):
+def _order_codes(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    if ids.dtype != object:
+        return ids
+    codes = np.empty(len(ids), np.int64)
+    codes[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
+    return codes
+
+
+def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, kinds: tuple[pa.DataType, pa.DataType]):
     lengths = np.sqrt((block * block).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
-                ids = batch.column("chunk_id").to_numpy()
-                column = batch.column("vector")
-                rows = np.asarray(column.flatten(), np.float64).reshape(len(ids), -1)
+                ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(len(ids), -1)
                 products = block @ rows.T
                 own = np.sqrt((rows * rows).sum(axis=1))
                 if metric == "cosine":
@@ -80,10 +88,10 @@ def _block_scores(block_ids: np.ndarray, block: np.ndarray, metric: str, k: int)
                 else:
                     values = -np.sqrt(np.maximum(0, lengths[:, None] ** 2 - 2 * products + own[None, :] ** 2))
                 values = np.round(values, 9) + 0.0
-                # The best k of this batch for each query; ties by id, as in the final order.
-                place = np.lexsort((np.broadcast_to(ids, values.shape), -values), axis=1)[:, : k + 1]
-                q = np.repeat(block_ids, place.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[place.ravel()]), pa.array(np.take_along_axis(values, place, 1).ravel())], ["question_id", "chunk_id", "score"])
+                # The best k + 1 of this batch for each query (itself may be among them); ties by id, as in the final order.
+                place = np.lexsort((np.broadcast_to(_order_codes(ids), values.shape), -values), axis=1)[:, : k + 1]
+                asked = [q for q in block_ids for _ in range(place.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(asked, kinds[0]), pa.array(ids[place.ravel()], kinds[1]), pa.array(np.take_along_axis(values, place, 1).ravel())], ["question_id", "chunk_id", "score"])
 
     return run
 
@@ -96,17 +104,20 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     each query. Memory and broadcast are bounded by the block whatever the number of queries.
     """
     spark = vectors.sparkSession
+    types = [r.schema["chunk_id"].dataType for r in (queries, vectors)]
+    kinds = tuple(pa.string() if t.typeName() == "string" else pa.int64() for t in types)
+    schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, score double"
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)) == b).orderBy("chunk_id").collect()
-        ids, block = np.array([r["chunk_id"] for r in rows], np.int64), np.array([list(r["vector"]) for r in rows], np.float64)
-        if not len(ids):
+        rows = queries.where(F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)) == b).select("chunk_id", "vector").orderBy("chunk_id").collect()
+        if not rows:
             continue
-        part = vectors.select("chunk_id", "vector").mapInArrow(_block_scores(ids, block, metric, k), "question_id long, chunk_id long, score double")
+        block = np.array([list(r["vector"]) for r in rows], np.float64)
+        part = vectors.select("chunk_id", "vector").mapInArrow(_block_scores([r["chunk_id"] for r in rows], block, metric, k, kinds), schema)
         found = part if found is None else found.unionAll(part)
     if found is None:
-        return spark.createDataFrame([], "question_id long, chunk_id long, score double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     if exclude_self:
         found = found.where("question_id <> chunk_id")
     return top_k(found, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)

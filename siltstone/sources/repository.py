@@ -92,3 +92,16 @@ def scan(spark: SparkSession, root: str, group: int = 200) -> DataFrame:
 def snapshot(files: DataFrame) -> DataFrame:
     """(relative_path, sha256), what a second scan is compared with before an index goes live."""
     return files.where("error_type IS NULL").select("relative_path", "sha256")
+
+
+def check_pin(root: str, commit: str) -> None:
+    """The working tree must be clean and at exactly this commit."""
+    import subprocess
+
+    def git(*words: str) -> str:
+        return subprocess.run(["git", "-C", root, *words], check=True, capture_output=True, text=True).stdout.strip()
+
+    if git("rev-parse", "HEAD") != commit:
+        raise ValueError("the repository is at another commit")
+    if git("status", "--porcelain"):
+        raise ValueError("the working tree has changes")

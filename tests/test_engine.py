@@ -121,3 +121,22 @@ def test_embedding_cache(spark):
     assert rows.count() == 3 and fresh.count() == 2 and not sent
     cache = spark.createDataFrame(fresh.collect(), "key string, vector array<double>")
     assert embed.embed_with_cache(texts, cache, embed.HashEmbedder(4), "n")[1].count() == 0
+
+
+def test_shell_and_pin(spark, repo, tmp_path, capsys):
+    import subprocess
+
+    from siltstone.__main__ import main
+
+    assert main(["index", str(tmp_path / "i"), str(repo)]) == 0 and '"full"' in capsys.readouterr().out
+    assert main(["search", str(tmp_path / "i"), "create_access_token", "--method", "lexical"]) == 0 and "app/auth.py" in capsys.readouterr().out
+    git = ["git", "-C", str(repo), "-c", "user.name=x", "-c", "user.email=x@example.com"]
+    for words in (["init", "-q"], ["add", "."], ["commit", "-qm", "x"]):
+        subprocess.run([*git, *words], check=True)
+    head = subprocess.run([*git, "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+    repository.check_pin(str(repo), head)
+    with pytest.raises(ValueError):
+        repository.check_pin(str(repo), "0" * 40)
+    (repo / "app/more.py").write_text("")
+    with pytest.raises(ValueError):
+        repository.check_pin(str(repo), head)

@@ -117,3 +117,10 @@ def test_rankings_do_not_depend_on_partitions(spark, partitions):
 
 
 got_once: dict = {}
+
+
+def test_covered_blocks_are_left_out(spark):
+    rows = [("q", 1, 1, 50, "a", 1, 20), ("q", 2, 2, 10, "a", 5, 9), ("q", 3, 3, 10, "b", 5, 9), ("q", 4, 4, 90, "b", 1, 50)]
+    blocks = spark.createDataFrame(rows, "g string, rank int, chunk_id long, chars long, source_file string, start_line int, end_line int")
+    r = context.pack_uncovered(blocks, "g", 100).first()
+    assert (r["total_chars"], r["chunk_ids"], r["omitted"]) == (60, [1, 3], 1)

@@ -50,10 +50,10 @@ def artifact_projection(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.sha2("props", 256).alias("digest"))
 
 
-@query("SELECT 'en' AS language, item_id AS case_id, length(text) AS chars FROM benchmark UNION ALL SELECT 'upper', item_id, length(upper(text)) FROM benchmark")
+@query("SELECT 'en' AS language, item_id AS case_id, length(text) AS chars FROM benchmark UNION ALL SELECT 'fa', item_id, length(text || '؟') FROM benchmark")
 def question_projection(spark, sf):
     """A row for each language of each case."""
-    both = F.create_map(F.lit("en"), F.col("text"), F.lit("upper"), F.upper("text"))
+    both = F.create_map(F.lit("en"), F.col("text"), F.lit("fa"), F.concat("text", F.lit("؟")))
     return table(spark, sf, "benchmark").select("item_id", F.explode(both)).select(F.col("key").alias("language"), F.col("item_id").alias("case_id"), F.length("value").cast("long").alias("chars"))
 
 
@@ -194,8 +194,8 @@ def cross_arm_invariant(spark, sf):
     return lists.groupBy("question_id").agg(F.countDistinct("ids").alias("lists")).withColumn("invariant", F.col("lists") == 1)
 
 
-@query(f"""WITH {ANSWERS}, {CITES}, c AS (SELECT a.conv_id, a.turn, count(p.path) AS cited, count(*) FILTER (WHERE p.e > 40) AS wrong FROM a LEFT JOIN p USING (conv_id, turn) GROUP BY ALL)
-SELECT count(*) AS answers, CAST(sum(cited) AS BIGINT) AS citations, round(sum(wrong) / sum(cited), 6) AS error_rate, round(avg(CASE WHEN cited = 0 THEN 1.0 ELSE 0 END), 6) AS omission_rate, round(avg(cited), 6) AS mean_cited FROM c""")
+@query(f"""WITH {ANSWERS}, {CITES}, z AS (SELECT a.conv_id, a.turn, count(p.path) AS cited, count(*) FILTER (WHERE p.e > 40) AS wrong FROM a LEFT JOIN p USING (conv_id, turn) GROUP BY ALL)
+SELECT count(*) AS answers, CAST(sum(cited) AS BIGINT) AS citations, round(sum(wrong) / sum(cited), 6) AS error_rate, round(avg(CASE WHEN cited = 0 THEN 1.0 ELSE 0 END), 6) AS omission_rate, round(avg(cited), 6) AS mean_cited FROM z""")
 def citation_metrics(spark, sf):
     found = citations(spark, sf).groupBy("conv_id", "turn").agg(F.count("*").alias("cited"), F.count_if(F.col("e") > 40).alias("wrong"))
     c = answers(spark, sf).select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").fillna(0, ["cited", "wrong"])

@@ -32,6 +32,17 @@ BUCKET_ENTRIES = 1 << 20
 PACK = "grp int, pack binary"
 
 
+def group_count(size: int) -> int:
+    """Groups for ``size`` bytes of text: of 8 MB up to 160 GB in all, then larger ones, 256 MB at most, so
+    that the pieces that groups and buckets exchange do not shrink to single hashes."""
+    return max(1, -(-size // min(max(GROUP_BYTES, size // 20_000), 256 << 20)))
+
+
+def bucket_count(windows: int) -> int:
+    """Buckets of a million hashes, of up to eight million once there are more than 100,000 buckets."""
+    return max(1, -(-windows // min(max(BUCKET_ENTRIES, windows // 100_000), 8 << 20)))
+
+
 def hash_width(windows: int) -> int:
     """Bytes of the second hash."""
     bits = 2 * math.log2(max(2, windows)) + 10 - 64
@@ -208,7 +219,7 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
     """Run one round: ``windows`` gives a group's hashes, second hashes (if asked) and a value (the row) each;
     ``per_hash`` the count to send for each distinct hash; ``finish`` the group's result from what came back.
     """
-    buckets, width = max(1, -(-n_windows // BUCKET_ENTRIES)), hash_width(n_windows)
+    buckets, width = bucket_count(n_windows), hash_width(n_windows)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         first, second, value = windows(group_table(table), width > 0)

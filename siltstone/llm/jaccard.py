@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected
-from siltstone.llm.exchange import GROUP_BYTES, Distinct, deal, exchange, squeeze, unsqueeze
+from siltstone.llm.exchange import Distinct, deal, exchange, group_count, squeeze, unsqueeze
 from siltstone.llm.substrings import id_ranges
 from siltstone.llm.textbytes import flatten, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
 from siltstone.runtime import sound_unions, stage_table
@@ -232,7 +232,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = group_count(size)
     bounds = id_ranges(known, groups)
 
     def assign(part: pa.RecordBatch) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.exchange import GROUP_BYTES, deal, exchange
+from siltstone.llm.exchange import deal, exchange, group_count
 from siltstone.llm.textbytes import flatten, slices, span_hashes, window_hashes, word_spans
 
 WIDTH = 13
@@ -139,7 +139,7 @@ def _alone(width: int, make):
 def _dedup(docs: DataFrame, width: int, make, schema) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    groups = max(1, -(-size // GROUP_BYTES))
+    groups = group_count(size)
     bounds = id_ranges(known, groups)
 
     def assign(part: pa.RecordBatch) -> np.ndarray:

@@ -208,7 +208,7 @@ SELECT CAST(n AS INT) AS n, round(max(seen) / max(n), 6) AS observed, round(avg(
 
 @query(FLIP)
 def sign_flip_test(spark, sf):
-    """Exact paired sign-flip test over ten clusters of users."""
+    """Exact paired sign-flip test over clusters of 15 users."""
     c = pairs(spark, sf).groupBy(F.floor(F.col("user_id") / 15).alias("cluster")).agg(F.round(F.avg(F.col("a") - F.col("b")), 6).alias("d"))
     return stats.sign_flip(c, "d")
 

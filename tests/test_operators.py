@@ -124,3 +124,23 @@ def test_covered_blocks_are_left_out(spark):
     blocks = spark.createDataFrame(rows, "g string, rank int, chunk_id long, chars long, source_file string, start_line int, end_line int")
     r = context.pack_uncovered(blocks, "g", 100).first()
     assert (r["total_chars"], r["chunk_ids"], r["omitted"]) == (60, [1, 3], 1)
+
+
+def test_sign_flip_of_any_number(spark):
+    def brute(d):
+        sums = {0: 1}
+        for x in d:
+            after = {}
+            for s, c in sums.items():
+                after[s + x] = after.get(s + x, 0) + c
+                after[s - x] = after.get(s - x, 0) + c
+            sums = after
+        return round(sum(c for s, c in sums.items() if abs(s) >= abs(sum(d))) / 2 ** len(d), 6)
+
+    for n, modulus in ((21, 9973), (30, 101), (100, 211), (300, 17)):
+        d = [(i * i * 37 + 11 * i) % modulus - modulus // 3 for i in range(n)]
+        rows = spark.createDataFrame([(x / 1e6,) for x in d], "d double")
+        r = stats.sign_flip(rows, "d").collect()
+        assert [(x["n"], x["observed"]) for x in r] == [(n, round(abs(sum(d)) / n / 1e6, 6))] and r[0]["p"] == pytest.approx(brute(d), abs=1.1e-6)
+    even = spark.createDataFrame([(float(x),) for x in [1, -1] * 12], "d double")
+    assert [tuple(r) for r in stats.sign_flip(even, "d").collect()] == [(24, 0.0, 1.0)]

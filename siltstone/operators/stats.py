@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators.rank import small
+from siltstone.runtime import session_partitions
+
 
 def average_rank(value: Column, partition: list[str], by: Column | None = None) -> Column:
     """1-based rank, ties sharing their mean."""
@@ -49,17 +52,20 @@ def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str]
     w = Window.partitionBy(*keys)
     numbered = one.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
     rows = numbered.select(*keys, "_i", "_n", F.col(value).alias("_v"))
-    draws = rows.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    # A row becomes as many draws as there are resamples, so rows of one stratum are dealt out first.
+    dealt = rows.repartition(session_partitions(rows.sparkSession), *keys, "_i")
+    draws = dealt.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
     names = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys != ["_all"] else F.lit("")
     draws = draws.select(*keys, "resample", draw(F.lit(str(seed)), [names, F.col("resample"), F.col("_i")], F.col("_n")).alias("_i"))
-    picked = draws.join(rows.drop("_n"), [*keys, "_i"])
+    values = rows.drop("_n")
+    picked = draws.join(F.broadcast(values) if small(rows) else values, [*keys, "_i"])
     return picked.groupBy(*by, "resample").agg(F.avg("_v").alias("mean"))
 
 
-def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.95, last: bool = True) -> DataFrame:
-    """Bounds at the places floor(a n) and floor((1 - a) n) - 1 (or without the - 1) of the sorted means."""
+def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.95, last: bool = True, places: tuple[int, int] | None = None) -> DataFrame:
+    """Bounds at the places floor(a n) and floor((1 - a) n) - 1 (or without the - 1) of the sorted means, or at ``places``."""
     tail = (1 - level) / 2
-    low, high = math.floor(round(tail * resamples, 9)), math.floor(round((1 - tail) * resamples, 9)) - int(last)
+    low, high = places or (math.floor(round(tail * resamples, 9)), math.floor(round((1 - tail) * resamples, 9)) - int(last))
     ordered = means.withColumn("_p", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("mean", "resample")) - 1)
     return ordered.groupBy(*by).agg(F.round(F.max(F.when(F.col("_p") == low, F.col("mean"))), 6).alias("ci_low"), F.round(F.max(F.when(F.col("_p") == high, F.col("mean"))), 6).alias("ci_high"))
 
@@ -210,7 +216,7 @@ def sign_flip(differences: DataFrame, value: str) -> DataFrame:
     many = one.where(f"n > {LISTED}").select("n", F.transform("d", lambda x: F.round(x * 1e6).cast("long")).alias("d"))
     many = many.withColumn("seen", F.abs(F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + x))).withColumn("whole", F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + F.abs(x)))
     units = many.select("n", "d", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") + 2) / (2 * UNIT)))).alias("unit"))
-    units = units.repartition(int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    units = units.repartition(session_partitions(differences.sparkSession), "unit")
     tails = units.groupBy("n", "seen").agg(F.sum(tail_part("d", "unit")).alias("tail"))
     exact = F.when(F.col("seen") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.col("tail"))))
     exact = F.when(F.col("n") <= 36, F.round(exact * F.pow(F.lit(2.0), "n")) / F.pow(F.lit(2.0), "n")).otherwise(exact)

@@ -65,6 +65,38 @@ def bootstrap_dev(spark, sf):
     return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 200, 7), [], 200, last=False)
 
 
+def full_bootstrap(keys: str, part: str, value: str, source: str, seed: int, name: str, b: int, low: int, high: int) -> str:
+    return BOOT.format(keys=keys, part=part, value=value, source=source, seed=seed, name=name, b=b, out="") + f" SELECT round(max(CASE WHEN k = {low} THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = {high} THEN mean END), 6) AS ci_high FROM o"
+
+
+@query(f"WITH {PAIRS}, x AS (SELECT *, 0 AS one FROM p)" + full_bootstrap("one", "one", "a - b", "x", 20260930, "''", 20000, 500, 19499))
+def bootstrap_mean_ci_full(spark, sf):
+    """Plain bootstrap of the mean difference, 20,000 resamples."""
+    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
+    return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 20000, 20260930), [], 20000)
+
+
+@query(f"WITH {PAIRS}" + full_bootstrap("stratum", "stratum", "a - b", "p", 20260930, "stratum", 20000, 500, 19499))
+def bootstrap_stratified_full(spark, sf):
+    """Resampled within strata, pooled, 20,000 resamples."""
+    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
+    return stats.interval(stats.bootstrap(d, "d", ["user_id"], ["stratum"], 20000, 20260930), [], 20000)
+
+
+@query(f"WITH {PAIRS}, x AS (SELECT user_id // 5 AS user_id, 0 AS one, avg(a - b) AS v FROM p GROUP BY ALL)" + full_bootstrap("one", "one", "v", "x", 2601, "''", 10000, 249, 9749))
+def bootstrap_cluster_full(spark, sf):
+    """Means of clusters of five users, 10,000 resamples; the bounds are at the fixed places 249 and 9,749."""
+    c = pairs(spark, sf).groupBy(F.floor(F.col("user_id") / 5).alias("user_id")).agg(F.avg(F.col("a") - F.col("b")).alias("v"))
+    return stats.interval(stats.bootstrap(c, "v", ["user_id"], [], 10000, 2601), [], 10000, places=(249, 9749))
+
+
+@query(f"WITH {PAIRS}, x AS (SELECT *, 0 AS one FROM p)" + full_bootstrap("one", "one", "a - b", "x", 7, "''", 5000, 125, 4875))
+def bootstrap_dev_full(spark, sf):
+    """The variant whose upper bound lies one place further, 5,000 resamples."""
+    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
+    return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 5000, 7), [], 5000, last=False)
+
+
 WILCOXON = f"""WITH {PAIRS}, d AS (SELECT stratum, round(a - b, 9) AS d, round(abs(round(a - b, 9)), 9) AS m FROM p WHERE round(a - b, 9) <> 0),
 r AS (SELECT *, rank() OVER (PARTITION BY stratum ORDER BY m) + (count(*) OVER (PARTITION BY stratum, m) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY stratum, m) AS t FROM d),
 g AS (SELECT stratum, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum((t * t - 1) / 48.0) AS ties FROM r GROUP BY ALL),
@@ -195,6 +227,17 @@ def superiority_decision(spark, sf):
     return bounds.select("ci_low", (F.col("ci_low") > 0).alias("superior"), (F.col("ci_low") > -20).alias("non_inferior"))
 
 
+DECIDE_FULL = f"WITH {PAIRS}" + BOOT.format(keys="stratum", part="stratum", value="a - b", source="p", seed=11, name="stratum", b=20000, out="") + ", c AS (SELECT max(CASE WHEN k = 250 THEN mean END) AS low FROM o)"
+
+
+@query(DECIDE_FULL + " SELECT round(low, 6) AS ci_low, low > 0 AS superior, low > -20 AS non_inferior FROM c")
+def superiority_decision_full(spark, sf):
+    """The same decision by 20,000 resamples."""
+    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
+    bounds = stats.interval(stats.bootstrap(d, "d", ["user_id"], ["stratum"], 20000, 11), [], 20000, 0.975)
+    return bounds.select("ci_low", (F.col("ci_low") > 0).alias("superior"), (F.col("ci_low") > -20).alias("non_inferior"))
+
+
 @query(f"WITH {PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY a, user_id) - 1 AS k, count(*) OVER (PARTITION BY stratum) // 3 AS third FROM p), u AS (SELECT stratum, CAST(CASE WHEN k < third THEN 0 WHEN k < 2 * third THEN 1 ELSE 2 END AS INT) AS tercile, a - b AS d FROM t) SELECT stratum, tercile, count(*) AS n, round(avg(d), 6) AS mean_difference FROM u GROUP BY ALL")
 def terciles(spark, sf):
     t = stats.terciles(pairs(spark, sf), ["a", "user_id"], ["stratum"])

@@ -144,3 +144,22 @@ def test_sign_flip_of_any_number(spark):
         assert [(x["n"], x["observed"]) for x in r] == [(n, round(abs(sum(d)) / n / 1e6, 6))] and r[0]["p"] == pytest.approx(brute(d), abs=1.1e-6)
     even = spark.createDataFrame([(float(x),) for x in [1, -1] * 12], "d double")
     assert [tuple(r) for r in stats.sign_flip(even, "d").collect()] == [(24, 0.0, 1.0)]
+
+
+def test_bootstrap_at_full_counts(spark):
+    import hashlib
+
+    from siltstone.plans import statistics
+
+    values = [3.5, -1.25, 0.5, 8.0, -2.0]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+
+    def means(seed, b):
+        pick = [[values[int(hashlib.sha256(f"{seed}||{r}|{i}".encode()).hexdigest()[:8], 16) % 5] for i in range(5)] for r in range(1, b + 1)]
+        return sorted(sum(p) / 5 for p in pick)
+
+    for seed, b, last, places, (low, high) in ((20260930, 20000, True, None, (500, 19499)), (2601, 10000, True, (249, 9749), (249, 9749)), (7, 5000, False, None, (125, 4875))):
+        want = means(seed, b)
+        got = stats.interval(stats.bootstrap(rows, "v", ["k"], [], b, seed), [], b, last=last, places=places).first()
+        assert (got["ci_low"], got["ci_high"]) == (pytest.approx(want[low], abs=1e-6), pytest.approx(want[high], abs=1e-6))
+    assert {f"bootstrap_{x}_full" for x in ("mean_ci", "stratified", "cluster", "dev")} < set(statistics.QUERIES)

@@ -101,6 +101,12 @@ def markup_tokens(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.slice(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1)), 1, 3).alias("tags"))
 
 
+@query(r"SELECT page_id, regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1) AS tags FROM pages")
+def markup_tokens_full(spark, sf):
+    """All tags of each page."""
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1)).alias("tags"))
+
+
 ANSWERS = "a AS (SELECT conv_id, turn, 'see src/' || role || '.py:' || (turn + 1) || '-' || (turn + 5) || ' and lib/x' || (conv_id % 7) || '.py:' || (conv_id + 1) || ' `' || role || '_name` `abc`. ' || text AS answer FROM conversations)"
 
 
@@ -233,6 +239,12 @@ def short_and_root(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("short"), tx.class_root(F.col("text")).alias("root"))
 
 
+@query("SELECT doc_id, split_part(text, '.', -1) AS short, split_part(text, '.', 1) AS root FROM documents")
+def short_symbol_and_root(spark, sf):
+    """Last and first part of a dotted name."""
+    return table(spark, sf, "documents").select("doc_id", tx.short_symbol(F.col("text")).alias("short"), tx.class_root(F.col("text")).alias("root"))
+
+
 @query("SELECT role, CASE WHEN text = '' THEN 'none' WHEN contains(lower(text), 'timeout') OR contains(lower(text), 'timed out') THEN 'timeout' WHEN contains(lower(text), 'rate') THEN 'rate_limit' WHEN contains(lower(text), 'connect') THEN 'connection' WHEN contains(lower(text), 'json') OR contains(lower(text), 'parse') THEN 'invalid_response' ELSE 'other' END AS category, count(*) AS n FROM conversations GROUP BY ALL")
 def failure_taxonomy(spark, sf):
     return table(spark, sf, "conversations").groupBy("role", tx.error_category(F.col("text")).alias("category")).agg(F.count("*").alias("n"))

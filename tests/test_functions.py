@@ -44,3 +44,14 @@ def test_vectors(spark):
     assert one(spark, vx.cosine(a, b), t=1) == pytest.approx(0.96) and one(spark, vx.norm(a), t=1) == 5 and one(spark, vx.normalised(a), t=1) == [0.6, 0.8]
     assert one(spark, vx.is_valid(F.array(F.lit(float("nan")))), t=1) is False and one(spark, vx.is_valid(a, 2), t=1) is True
     assert one(spark, vx.cosine(a, F.array(F.lit(0.0), F.lit(0.0))), t=1) is None
+
+
+def test_whole_texts(spark, tmp_path):
+    from siltstone.plans import registry
+
+    name = "package.module_with_a_long_name.Class.method_behind_the_twelfth_character"
+    spark.createDataFrame([(1, name), (2, "plain"), (3, None), (4, "ends.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<html><body><p>a<b>b</b></p><div id=x></div>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["doc_id"]: (r["short"], r["root"]) for r in registry.queries()["short_symbol_and_root"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("method_behind_the_twelfth_character", "package"), 2: ("plain", "plain"), 3: (None, None), 4: ("", "ends")}
+    assert registry.queries()["markup_tokens_full"](spark, str(tmp_path)).first()["tags"] == ["html", "body", "p", "b", "div"]

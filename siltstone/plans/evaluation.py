@@ -117,6 +117,42 @@ def candidate_depth(spark, sf):
     return per.groupBy("method", "depth").agg(F.count("first_rank").alias("found"), m.mrr().alias("mrr"))
 
 
+DEPTHS = (10, 20, 50)
+AT_DEPTHS = (
+    RANKINGS[: RANKINGS.index("two AS (")]
+    + f"""
+two AS (SELECT one.*, depth FROM one CROSS JOIN (VALUES {", ".join(f"({d})" for d in DEPTHS)}) x(depth) WHERE rank <= depth),
+fus AS (
+  SELECT question_id, depth, chunk_id, round(coalesce(max(CASE WHEN method = 'cosine' THEN 1.0 / (60 + rank) END), 0) + coalesce(max(CASE WHEN method = 'l2' THEN 1.0 / (60 + rank) END), 0), 12) AS score
+  FROM two GROUP BY ALL),
+r AS (
+  SELECT question_id, method, depth, rank, chunk_id FROM two UNION ALL
+  SELECT question_id, 'fused', depth, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, depth ORDER BY score DESC, chunk_id) AS rank FROM fus) WHERE rank <= depth),
+d AS (
+  SELECT r.method, r.depth, question_id, min(CASE WHEN c.label = q.label THEN r.rank END) AS first_rank
+  FROM r JOIN embeddings c ON c.vec_id = r.chunk_id JOIN embeddings q ON q.vec_id = r.question_id GROUP BY ALL)"""
+)
+
+
+@query(f"WITH {AT_DEPTHS} SELECT method, depth, count(first_rank) AS found, round(avg(CASE WHEN first_rank IS NOT NULL THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr FROM d GROUP BY ALL")
+def candidate_depth_full(spark, sf):
+    """Retrieval at depths 10, 20 and 50; the fused list of a depth is made from lists of that depth."""
+    v = vectors(spark, sf)
+    q = v.where("chunk_id % 20 = 0")
+    asked = F.struct("question_id", "depth").alias("question_id")
+
+    def at_depths(r):
+        return r.withColumn("depth", F.explode(F.array(*map(F.lit, DEPTHS)))).where(F.col("rank") <= F.col("depth")).select(asked, "rank", "chunk_id")
+
+    cosine, l2 = (at_depths(rank.semantic(q, v, max(DEPTHS), metric)) for metric in ("cosine", "l2"))
+    fused = rank.fuse(cosine, l2, max(DEPTHS)).where(F.col("rank") <= F.col("question_id.depth"))
+    named = [r.select("question_id.question_id", "question_id.depth", "rank", "chunk_id", F.lit(name).alias("method")) for name, r in (("cosine", cosine), ("l2", l2), ("fused", fused))]
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("chunk_label"))
+    found = named[0].unionAll(named[1]).unionAll(named[2]).join(labels, "chunk_id").join(questions(spark, sf).select("question_id", "label"), "question_id")
+    per = found.groupBy("method", "depth", "question_id").agg(F.min(F.when(F.col("chunk_label") == F.col("label"), F.col("rank"))).alias("first_rank"))
+    return per.groupBy("method", "depth").agg(F.count("first_rank").alias("found"), m.mrr().alias("mrr"))
+
+
 @query(f"WITH {OUTCOMES} SELECT question_id, method, CAST(first_rank AS INT) AS first_rank FROM o")
 def first_relevant_rank(spark, sf):
     return outcomes(spark, sf).select("question_id", "method", "first_rank")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = 1 << 30
-MAX_CLASSES = 64
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -17,13 +16,10 @@ def held_out(key: str = "doc_id") -> Column:
 def per_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """About ``most`` rows of each class (all, where a class has fewer), chosen by a hash of the key.
 
-    Class sizes are counted over all rows; the cut is then a filter, so nothing is sorted or
-    shuffled but one count per class. Only the MAX_CLASSES largest classes are kept. Repeated
-    keys are chosen or left together.
+    Class sizes are counted over all rows and joined to them, however many classes there are; the
+    cut is then a filter, so nothing is sorted or shuffled but one count per class. Repeated keys
+    are chosen or left together.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_CLASSES).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        share = SPACE if r["n"] <= most else int(SPACE * most / r["n"])
-        chosen = chosen | ((F.col(label) == F.lit(r[label])) & (F.pmod(F.xxhash64(F.col(key)), F.lit(SPACE)) < F.lit(share)))
-    return rows.where(F.coalesce(chosen, F.lit(False)))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    share = F.when(F.col("_n") <= most, F.lit(SPACE)).otherwise(F.floor(F.lit(SPACE * most) / F.col("_n")))
+    return rows.join(F.broadcast(counts), label).where(F.pmod(F.xxhash64(F.col(key)), F.lit(SPACE)) < share).select(*rows.columns)

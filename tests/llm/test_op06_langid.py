@@ -45,3 +45,12 @@ def test_sample_is_bounded(spark):
     rows = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 'x', 'y') as c")
     counts = {r["c"]: r["count"] for r in per_class(rows, "c", "id", 500).groupBy("c").count().collect()}
     assert all(350 < n < 650 for n in counts.values())
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k, " ".join(f"{chr(0x400 + k % 70) * 3}{chr(97 + k % 26)}{j}" for j in range(12)), f"l{k % 70:02d}") for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r["lang"] for r in got if r["lang"] == r["lang_pred"]} == set(model.languages)

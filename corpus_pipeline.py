@@ -18,12 +18,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language (null texts and texts without a letter); fill in missing languages.
 
     A known ``lang`` stays as it is; a null one gets the predicted language. Where no language can
-    be learnt, as no row is labelled, nothing is rejected.
+    be learnt, as no row is labelled, null ones stay null.
     """
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
     if model is None:
-        return docs
+        return langid.lettered(docs)
     return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(
         "doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"
     )

@@ -149,6 +149,17 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", 256 << 10):
+            yield part.filter(pa.array(has_letter(*flatten(part.column("text")))))
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text holds a letter."""
+    return docs.mapInArrow(_lettered, docs.schema)
+
+
 def _predictor(shared, keep: list[int]):
     """Appends the predictions to the columns at ``keep``."""
 

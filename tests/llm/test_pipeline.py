@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from siltstone.runtime import stage_table
 from tests.llm.conftest import SCHEMA, prose
@@ -23,3 +25,9 @@ def test_stages(spark, tmp_path):
     last = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert last == {k: cut[k]["text"] for k in last}
     assert sorted(r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()) == ids[4]
+
+
+def test_language_stage_without_labels(spark, odd_docs):
+    got = cp.language(spark, odd_docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert len(got) == sum(r["text"] is not None and any(c.isalpha() for c in r["text"]) for r in odd_docs.collect())
+    assert all(r["lang"] is None for r in got)

@@ -54,8 +54,8 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Machine:
-    slots: np.ndarray  # high hash bits -> term or -1
-    hashes: np.ndarray
+    slots: np.ndarray  # high hash bits -> whether a term has them
+    hashes: np.ndarray  # sorted
     bias: float
     linear: np.ndarray
     factors: np.ndarray
@@ -63,10 +63,10 @@ class Machine:
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, width = len(offsets) - 1, len(self.hashes)
         text, hashed = terms(raw, offsets)
-        term = self.slots[hashed >> np.uint32(32 - SLOT_BITS)]
-        at = np.flatnonzero(term >= 0)
-        at = at[self.hashes[term[at]] == hashed[at]]
-        pairs = np.unique(text[at] * width + term[at])
+        at = np.flatnonzero(self.slots[hashed >> np.uint32(32 - SLOT_BITS)])
+        term = np.minimum(np.searchsorted(self.hashes, hashed[at]), width - 1)
+        right = self.hashes[term] == hashed[at]
+        pairs = np.unique(text[at[right]] * width + term[right])
         text, term = pairs // width, pairs % width
         value = self.bias + np.bincount(text, self.linear[term], n)
         for f in range(self.factors.shape[1]):
@@ -114,8 +114,8 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, most_terms: int = 1000,
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             state[k] = (state[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
-    slots = np.full(1 << SLOT_BITS, -1, np.int32)
-    slots[hashes[chosen] >> np.uint32(32 - SLOT_BITS)] = np.arange(len(chosen))
+    slots = np.zeros(1 << SLOT_BITS, bool)
+    slots[hashes[chosen] >> np.uint32(32 - SLOT_BITS)] = True
     return Machine(slots, hashes[chosen], float(state[0][0]), state[1].astype(np.float64), state[2].astype(np.float64))
 
 

@@ -61,3 +61,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     empty = toxicity.train(no_docs, labels.limit(0))
     assert empty is None and toxicity.score(no_docs, empty).count() == 0
     assert {r["score"] for r in toxicity.score(odd_docs, None).collect()} == {0.0}
+
+
+def test_terms_that_share_a_slot_are_both_scored():
+    seen, pair = {}, None
+    for k in range(20_000):
+        raw = np.frombuffer(f"{k:x}".encode(), np.uint8)
+        h = toxicity.terms(raw, np.array([0, len(raw)]))[1]
+        if len(h) == 1 and (slot := int(h[0]) >> (32 - toxicity.SLOT_BITS)) in seen:
+            pair = (*seen[slot], f"{k:x}", h[0])
+            break
+        seen[int(h[0]) >> (32 - toxicity.SLOT_BITS)] = (f"{k:x}", h[0])
+    word_a, a, word_b, b = pair
+    machine = toxicity.fit([np.array([a]), np.array([b])] * 20 + [np.array([7], np.uint32)] * 40, np.array([1] * 40 + [0] * 40))
+    assert {int(a), int(b)} <= set(map(int, machine.hashes))
+    for word in (word_a, word_b):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        assert machine.scores(raw, np.array([0, len(raw)]))[0] > 0.7

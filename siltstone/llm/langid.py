@@ -7,11 +7,13 @@ own kernel matrix; on those features one ridge regression per language (one vers
 targets) is solved in closed form. Texts are scored in batches: presence matrix times landmark
 matrix, times the weights. Only n-grams that at least two landmarks hold span the feature space.
 
-The model is fitted on the driver from a bounded sample (``per_language`` rows of each language);
-its size does not depend on the data. Defined cases: null texts and texts without a letter are
-``und`` with score 0, as is all where no labelled row exists; equal scores go to the
-alphabetically first language; a null id is not held out; repeated rows are predicted each; extra
-columns of the input are not looked at.
+The model is fitted on the driver from a bounded sample (``per_language`` rows of each language,
+as their distinct n-grams); its size depends on the number of languages alone. Presence matrices
+have ROWS rows at most, so memory follows neither the length of texts nor their number. Defined
+cases: null texts and texts without a letter are ``und`` with score 0, as is all where no labelled
+row exists; very long texts are used whole; equal scores go to the alphabetically first language;
+a null id is not held out; repeated rows are predicted each and learnt once; extra columns of the
+input are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
+#: Rows of a presence matrix.
+ROWS = 64
 
 
 def lower_latin(raw: np.ndarray) -> np.ndarray:
@@ -54,6 +58,14 @@ def gram_keys(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield key | np.uint64(n << 40), rest >= n
 
 
+def distinct_grams(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The sorted n-gram keys of each text."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out.append(np.unique(np.concatenate([k[i] for k, i in gram_keys(raw[a:b], np.array([0, b - a]))])))
+    return out
+
+
 def slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -79,27 +91,42 @@ class Model:
             out[base[at[right]] + column[right]] = 1
         return out.reshape(n, width)
 
+    def presence_of(self, grams: list[np.ndarray]) -> np.ndarray:
+        """The presence matrix of texts given by their n-grams."""
+        out = np.zeros((len(grams), len(self.keys)), np.float32)
+        for row, keys in zip(out, grams, strict=True):
+            column = self.columns[slots(keys)]
+            at = np.flatnonzero(column >= 0)
+            row[column[at][self.keys[column[at]] == keys[at]]] = 1
+        return out
+
+    def kernel(self, held: np.ndarray) -> np.ndarray:
+        """Kernel values of presence rows with the landmarks."""
+        return (held @ self.landmarks) / np.sqrt(np.maximum(1, held.sum(axis=1)))[:, None]
+
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Regression values (texts x languages)."""
-        held = self.presence(raw, offsets)
-        own = np.sqrt(np.maximum(1, held.sum(axis=1)))
-        kernel = (held @ self.landmarks) / own[:, None]
-        return kernel @ self.weights + self.bias
+        out = np.empty((len(offsets) - 1, len(self.languages)), np.float32)
+        for k in range(0, len(out), ROWS):
+            cut = offsets[k : k + ROWS + 1]
+            out[k : k + ROWS] = self.kernel(self.presence(raw[cut[0] : cut[-1]], cut - cut[0])) @ self.weights + self.bias
+        return out
 
 
 def fit(texts: list[bytes], labels: list[str], landmarks: int = 128, ridge: float = 1e-3, least: int = 2) -> Model | None:
+    """``fit_grams`` on whole texts."""
+    return fit_grams([distinct_grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts], labels, landmarks, ridge, least)
+
+
+def fit_grams(grams: list[np.ndarray], labels: list[str], landmarks: int = 128, ridge: float = 1e-3, least: int = 2) -> Model | None:
     """Landmarks are dealt over the languages in turn; None without labelled texts."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    by = {lang: [t for t, x in zip(texts, labels, strict=True) if x == lang] for lang in languages}
+    by = {lang: [g for g, x in zip(grams, labels, strict=True) if x == lang] for lang in languages}
     share = max(2, landmarks // len(languages))
-    chosen = [t for lang in languages for t in by[lang][:share]]
-    own = []
-    for t in chosen:
-        raw = np.frombuffer(t, np.uint8)
-        own.append(np.unique(np.concatenate([k[i] for k, i in gram_keys(raw, np.array([0, len(raw)]))] or [np.empty(0, np.uint64)])))
-    keys, held_by = np.unique(np.concatenate(own), return_counts=True)
+    chosen = [g for lang in languages for g in by[lang][:share]]
+    keys, held_by = np.unique(np.concatenate(chosen), return_counts=True)
     keys = keys[held_by >= (least if len(chosen) > 8 else 1)]
     place = slots(keys)
     _, first = np.unique(place, return_index=True)  # one n-gram per slot
@@ -107,36 +134,44 @@ def fit(texts: list[bytes], labels: list[str], landmarks: int = 128, ridge: floa
     columns = np.full(1 << SLOT_BITS, -1, np.int32)
     columns[slots(keys)] = np.arange(len(keys))
     model = Model(languages, columns, keys, np.zeros((len(keys), 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-
-    def presence(items: list[bytes]) -> np.ndarray:
-        return model.presence(np.frombuffer(b"".join(items), np.uint8), np.cumsum([0, *map(len, items)]))
-
-    marks = presence(chosen)
-    model.landmarks = np.ascontiguousarray((marks / np.sqrt(np.maximum(1, marks.sum(axis=1)))[:, None]).T, np.float32)
+    marks = np.zeros((len(keys), len(chosen)), np.float32)
+    for k in range(0, len(chosen), ROWS):
+        part = model.presence_of(chosen[k : k + ROWS])
+        marks[:, k : k + ROWS] = (part / np.sqrt(np.maximum(1, part.sum(axis=1)))[:, None]).T
+    model.landmarks = marks
     inner = (model.landmarks.T @ model.landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(inner)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nystrom map: kernel row @ root
-    kernel = np.concatenate([(p @ model.landmarks) / np.sqrt(np.maximum(1, p.sum(axis=1)))[:, None] for k in range(0, len(texts), 64) for p in [presence(texts[k : k + 64])]])
+    kernel = np.concatenate([model.kernel(model.presence_of(grams[k : k + ROWS])) for k in range(0, len(grams), ROWS)])
     features = kernel.astype(np.float64) @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # Languages count alike, whatever their share of the sample.
-    weight = np.array([len(texts) / (len(languages) * len(by[x])) for x in labels])[:, None]
+    weight = np.array([len(grams) / (len(languages) * len(by[x])) for x in labels])[:, None]
     mean = (features * weight).sum(0) / weight.sum()
     middle = (target * weight).sum(0) / weight.sum()
     centred = features - mean
-    solved = np.linalg.solve(centred.T @ (centred * weight) + ridge * len(texts) * np.eye(centred.shape[1]), centred.T @ ((target - middle) * weight))
+    solved = np.linalg.solve(centred.T @ (centred * weight) + ridge * len(grams) * np.eye(centred.shape[1]), centred.T @ ((target - middle) * weight))
     model.weights = (root @ solved).astype(np.float32)
     model.bias = (middle - mean @ solved).astype(np.float32)
     return model
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", 256 << 10):
+            held = [g.astype("<u8").tobytes() for g in distinct_grams(*flatten(part.column("text")))]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(held, pa.binary())], ["lang", "h", "grams"])
+
+
 def train(docs: DataFrame, per_language: int = 250, landmarks: int = 128) -> Model | None:
     """Fit on about ``per_language`` rows of each language with a non-null lang that are not held out."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    got = per_class(rows, "lang", "doc_id", per_language).select("lang", F.col("text").cast("binary").alias("t"), F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()
-    got = sorted(got, key=lambda r: (r["h"], bytes(r["t"]), r["lang"]))
-    return fit([bytes(r["t"]) for r in got], [r["lang"] for r in got], landmarks)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    rows = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("h"))
+    # Equal rows, however many, are one row of the sample.
+    chosen = per_class(rows, "lang", "h", per_language).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = sorted(chosen.mapInArrow(_grams, "lang string, h long, grams binary").collect(), key=lambda r: (r["h"], r["lang"]))
+    return fit_grams([np.frombuffer(bytes(r["grams"]), "<u8") for r in got], [r["lang"] for r in got], landmarks)
 
 
 def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -170,12 +205,11 @@ def _predictor(shared, keep: list[int]):
                 raw, offsets = flatten(part.column("text"))
                 language, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 lettered = has_letter(raw, offsets)
-                if model is not None:
-                    values = model.scores(raw, offsets)
+                if model is not None and lettered.any():
+                    values = model.scores(*flatten(part.column("text").filter(pa.array(lettered))))
                     best = values.argmax(axis=1)
-                    language[lettered] = np.array(model.languages, object)[best[lettered]]
-                    top = values[np.arange(len(best)), best].astype(np.float64)
-                    score[lettered] = np.clip((top[lettered] + 1) / 2, 0, 1)
+                    language[lettered] = np.array(model.languages, object)[best]
+                    score[lettered] = np.clip((values.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
                 names = [part.schema.names[k] for k in keep]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(language, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 

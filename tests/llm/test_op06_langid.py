@@ -54,3 +54,46 @@ def test_every_language_is_learnt(spark):
     assert model.languages == sorted({r[2] for r in rows})
     got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert {r["lang"] for r in got if r["lang"] == r["lang_pred"]} == set(model.languages)
+
+
+def test_many_short_rows_need_few_rows_of_memory(spark, monkeypatch):
+    model = langid.fit([text(lang, k, 40).encode() for k in range(30) for lang in PARTS], [lang for _ in range(30) for lang in PARTS])
+    sizes = []
+    presence = langid.Model.presence
+    monkeypatch.setattr(langid.Model, "presence", lambda self, raw, offsets: sizes.append(len(offsets) - 1) or presence(self, raw, offsets))
+    short = [text(sorted(PARTS)[k % 3], k, 6) for k in range(10_000)]
+    raw, offsets = np.frombuffer("".join(short).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in short]])
+    got = model.scores(raw, offsets).argmax(axis=1)
+    assert max(sizes) <= langid.ROWS and np.mean(got == [sorted(model.languages).index(sorted(PARTS)[k % 3]) for k in range(10_000)]) > 0.9
+    sizes.clear()
+    rows = spark.createDataFrame([(k, None if k % 2 else " 12", None) for k in range(10_000)], "doc_id long, text string, lang string")
+    assert langid.predict(rows, model).where("lang_pred = 'und' and score = 0").count() == 10_000
+
+
+def test_scores_equal_the_plain_kernel(spark):
+    """Brute force: the kernel by sets of n-grams, the Nystrom map by the landmarks' inverse root, ridge by least squares."""
+    texts = [text(lang, k, 8) for k in range(12) for lang in PARTS]
+    labels = [lang for _ in range(12) for lang in PARTS]
+    model = langid.fit([t.encode() for t in texts], labels, landmarks=9)
+    known = {(int(k) >> 40, int(k) & 0xFFFFFFFF) for k in model.keys}
+
+    def grams(t):
+        b = t.encode()
+        return {(n, int.from_bytes(b[i : i + n], "big")) for n in langid.ORDERS for i in range(len(b) - n + 1)} & known
+
+    marks = [grams(t) for lang in sorted(PARTS) for t in [x for x, y in zip(texts, labels, strict=True) if y == lang][:3]]
+
+    def kernel(sets):
+        return np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in sets])
+
+    values, vectors = np.linalg.eigh(kernel(marks))
+    features = kernel([grams(t) for t in texts]) @ vectors / np.sqrt(values)
+    target = np.where(np.array(labels)[:, None] == np.array(sorted(PARTS))[None, :], 1.0, -1.0)
+    centred = features - features.mean(axis=0)
+    # Ridge as a least-squares problem with extra rows.
+    extra = np.sqrt(1e-3 * len(texts)) * np.eye(len(marks))
+    solved = np.linalg.lstsq(np.vstack([centred, extra]), np.vstack([target - target.mean(axis=0), np.zeros((len(marks), len(PARTS)))]), rcond=None)[0]
+    fresh = [text(lang, 90 + k, 9) for k in range(4) for lang in PARTS]
+    want = (kernel([grams(t) for t in fresh]) @ vectors / np.sqrt(values) - features.mean(axis=0)) @ solved + target.mean(axis=0)
+    raw, offsets = np.frombuffer("".join(fresh).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in fresh]])
+    assert np.abs(model.scores(raw, offsets) - want).max() < 1e-3

@@ -1,6 +1,8 @@
 """Compact exchange of the hashes of all windows of a corpus.
 
-Rows are dealt into groups of bounded size and shuffled once, packed and compressed. Every group
+Rows are dealt into groups by ranges of their id and shuffled once, packed and compressed. Ranges
+hold about as many bytes each; an id with more than a range's share is a range by itself, whose rows
+are dealt over several groups, so no group grows with the rows of one id. Every group
 reduces its windows to one sorted list of distinct 64-bit hashes; the list is cut into buckets by
 the high bits, differences of neighbours are stored in as few byte planes as they need, and the
 pieces of one bucket from all groups meet in one task. What is said about a hash there (a flag or a
@@ -9,27 +11,33 @@ texts travel again. Group and bucket counts follow the size of the input; a hash
 costs one entry a group, whatever its number of occurrences.
 
 Where the input is so large that equal 64-bit hashes of different windows become likely, part of a
-second, independent hash is carried along: ``hash_width`` gives the bytes that keep the expected
-number of false equals below 2**-10.
+second hash is carried along, of other word hashes and another polynomial: ``hash_width`` gives the
+bytes that keep the expected number of false equals below 2**-10.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.textbytes import slices
+from siltstone.llm.textbytes import flatten, lean, slices
 from siltstone.runtime import session_partitions
 
 GROUP_BYTES = 8 << 20
 BUCKET_ENTRIES = 1 << 20
 PACK = "grp int, pack binary"
+#: A group's number is its range's number times this, plus the place among the range's groups.
+PER_RANGE = 1 << 10
+#: Bytes of text that count as one row when ranges are cut.
+UNIT_BYTES = 4096
 
 
 def group_count(size: int) -> int:
@@ -44,8 +52,8 @@ def bucket_count(windows: int) -> int:
 
 
 def hash_width(windows: int) -> int:
-    """Bytes of the second hash."""
-    bits = 2 * math.log2(max(2, windows)) + 10 - 64
+    """Bytes of the second hash. Polynomials of the same words in another order differ in 58 bits at least."""
+    bits = 2 * math.log2(max(2, windows)) + 10 - 58
     return min(8, max(0, math.ceil(bits / 8)))
 
 
@@ -60,8 +68,40 @@ def unpack_rows(pack) -> pa.Table:
     return pa.ipc.open_stream(pack.as_buffer() if isinstance(pack, pa.Scalar) else pack).read_all()
 
 
+def range_points(docs: DataFrame, groups: int, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Ids that cut the rows of ``docs`` into ``groups`` ranges of about as many bytes; an id of many bytes comes several times."""
+    if groups < 2:
+        return np.empty(0, np.int64)
+    points = [k / groups for k in range(1, groups)]
+    units = docs.select(key, F.explode(F.sequence(F.lit(1), 1 + (F.coalesce(F.octet_length(text), F.lit(0)) / UNIT_BYTES).cast("int"))).alias("unit"))
+    got = units.agg(F.percentile_approx(key, points, max(10_000, 20 * groups)).alias("p")).first()["p"]
+    return np.array(got or [], np.int64)
+
+
+def assignment(points: np.ndarray, key: str = "doc_id", text: str = "text") -> Callable[[pa.RecordBatch], np.ndarray]:
+    """A function that gives every row of a batch its group; ranges rise with the id."""
+    heavy, times = np.unique(points, return_counts=True)
+    heavy, times = heavy[times > 1], np.minimum(times[times > 1] + 1, PER_RANGE)
+    bounds = np.unique(np.concatenate([points, heavy[heavy < np.iinfo(np.int64).max] + 1]))
+
+    def assign(part: pa.RecordBatch) -> np.ndarray:
+        ids = part.column(key).to_numpy()
+        group = np.searchsorted(bounds, ids, side="right") * PER_RANGE
+        if len(heavy):
+            place = np.minimum(np.searchsorted(heavy, ids), len(heavy) - 1)
+            at = np.flatnonzero(heavy[place] == ids)
+            if len(at):
+                raw, offsets = flatten(part.column(text))
+                mark = np.array([zlib.crc32(raw[offsets[k] : offsets[k + 1]]) + k for k in at.tolist()], np.int64)
+                group[at] += mark % times[place[at]]
+        return group
+
+    return assign
+
+
 def _packer(assign: Callable[[pa.RecordBatch], np.ndarray], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, text):
                 group = assign(part)
@@ -112,16 +152,17 @@ class Distinct:
 
     def __init__(self, first: np.ndarray, second: np.ndarray | None):
         order = np.argsort(first) if second is None else np.lexsort((second, first))
+        order = order.astype(np.int32 if len(first) < 1 << 31 else np.int64)
         a = first[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
         if second is not None:
             new[1:] |= second[order][1:] != second[order][:-1]
-        self.order, self.starts = order, np.flatnonzero(new)
+        self.order, self.starts = order, np.flatnonzero(new).astype(order.dtype)
         self.hashes = a[self.starts]
         self.second = None if second is None else second[order][self.starts]
-        self.inverse = np.empty(len(a), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
+        self.inverse = np.empty_like(order)
+        self.inverse[order] = np.cumsum(new, dtype=order.dtype) - 1
 
     def least(self, values: np.ndarray) -> np.ndarray:
         """Smallest value of each distinct hash."""
@@ -155,10 +196,11 @@ RANKS = 1 << 24
 
 
 def _meet(rule: str, width: int):
-    """``later``: 1 where a group before this one has the hash. ``shared``: where all groups' counts add
+    """``later``: 1 where a group of an earlier range has the hash. ``shared``: where all groups' counts add
     up to 2 or more, the sum (capped at 255) and the rank of the hash among such hashes of the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         table = table.sort_by("grp")
         sizes = table.column("n").to_numpy()
         first = np.concatenate([unsqueeze(b.as_py(), n) for b, n in zip(table.column("blob"), sizes.tolist(), strict=True)])
@@ -167,21 +209,25 @@ def _meet(rule: str, width: int):
             raw = np.frombuffer(b"".join(e.as_py() for e in table.column("extra")), np.uint8).reshape(-1, width)
             second = np.pad(raw, ((0, 0), (0, 8 - width))).view("<u8").ravel()
         order = np.argsort(first, kind="stable") if second is None else np.lexsort((np.arange(len(first)), second, first))
+        order = order.astype(np.int32)  # RANKS bounds their number
         a = first[order]
         same = a[1:] == a[:-1]
         if second is not None:
             same &= second[order][1:] == second[order][:-1]
-        flags = np.zeros(len(a), np.uint8)
+        del a, first, second
+        flags = np.zeros(len(order), np.uint8)
         ranks = None
+        run_of = np.zeros(len(order), np.int32)
+        np.cumsum(~same, out=run_of[1:])
         if rule == "later":
-            flags[order[1:][same]] = 1
+            place = np.repeat(table.column("grp").to_numpy() // PER_RANGE, sizes)[order]
+            flags[order] = place > place[np.flatnonzero(np.append(True, ~same))][run_of]
         else:
-            counts = np.frombuffer(b"".join(zstandard.decompress(c.as_py()) for c in table.column("counts")), np.uint8).astype(np.int64)
-            run_of = np.concatenate([[0], np.cumsum(~same)])
+            counts = np.frombuffer(b"".join(zstandard.decompress(c.as_py()) for c in table.column("counts")), np.uint8)
             total = np.bincount(run_of, counts[order]).astype(np.int64)
             rank = np.cumsum(total > 1) - 1
             flags[order] = np.where(total > 1, np.minimum(total, 255), 0)[run_of]
-            ranks = np.empty(len(a), np.uint64)
+            ranks = np.empty(len(order), np.uint64)
             ranks[order] = rank[run_of].astype(np.uint64)
         rows = [], [], [], []
         at = 0
@@ -222,11 +268,14 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
     buckets, width = bucket_count(n_windows), hash_width(n_windows)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        lean()
         first, second, value = windows(group_table(table), width > 0)
         distinct = Distinct(first, second)
+        del first, second
         return pa.Table.from_batches([blobs(key[0].as_py(), distinct, per_hash(distinct, value), buckets, width)])
 
     def close(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        lean()
         rows = group_table(table)
         first, second, value = windows(rows, width > 0)
         distinct = Distinct(first, second)

@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected
-from siltstone.llm.exchange import Distinct, deal, exchange, group_count, squeeze, unsqueeze
-from siltstone.llm.substrings import id_ranges
+from siltstone.llm.exchange import Distinct, assignment, deal, exchange, group_count, range_points, squeeze, unsqueeze
 from siltstone.llm.textbytes import flatten, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
 from siltstone.runtime import sound_unions, stage_table
 
@@ -49,7 +48,7 @@ SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("signature"
 def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """The distinct shingles of every row: hash, second hash, row, ordered by row and hash."""
     none = np.empty(0, np.uint64)
-    first, second, owner, row = [none], [none], [none.astype(np.int64)], 0
+    first, second, owner, row = [none], [none], [none.astype(np.int32)], 0
     for batch in table.to_batches():
         for part in slices(batch, "text"):
             raw, offsets = flatten(part.column("text"))
@@ -61,10 +60,11 @@ def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | Non
             begin = np.searchsorted(text, np.arange(part.num_rows + 1))
             sizes = np.diff(begin)
             short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
-            spans = [words[begin[k] : begin[k + 1]] for k in short.tolist()]
 
             def hashed(salt: int) -> np.ndarray:
-                return np.concatenate([window_hashes(words, SHINGLE, salt)[whole], *[window_hashes(w, len(w), salt) for w in spans]])
+                own = words if not salt else span_hashes(raw, starts, ends, salt)
+                spans = [own[begin[k] : begin[k + 1]] for k in short.tolist()]
+                return np.concatenate([window_hashes(own, SHINGLE, salt)[whole], *[window_hashes(w, len(w), salt) for w in spans]])
 
             a, own = hashed(0), np.concatenate([text[whole], short])
             b = hashed(SALT) if twice else None
@@ -78,7 +78,7 @@ def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | Non
                 new[1:] |= b[1:] != b[:-1]
                 second.append(b[new])
             first.append(a[new])
-            owner.append(own[new] + row)
+            owner.append((own[new] + row).astype(np.int32))
             row += part.num_rows
     return np.concatenate(first), np.concatenate(second) if twice else None, np.concatenate(owner)
 
@@ -233,10 +233,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     groups = group_count(size)
-    bounds = id_ranges(known, groups)
-
-    def assign(part: pa.RecordBatch) -> np.ndarray:
-        return np.searchsorted(bounds, part.column("doc_id").to_numpy(), side="right")
+    assign = assignment(range_points(known, groups))
 
     def per_hash(distinct: Distinct, owner: np.ndarray) -> np.ndarray:
         return distinct.totals(np.ones(len(owner), np.int64))

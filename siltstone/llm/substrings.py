@@ -2,7 +2,7 @@
 
 Every window of ``width`` consecutive words gets a Rabin-Karp hash (a polynomial of word hashes);
 the hashes of all windows are counted in Spark through ``exchange``. Documents are grouped by
-ranges of their id, so a window that an earlier group has, or an earlier document of its own group,
+ranges of their id, so a window that an earlier range has, or an earlier document of its own group,
 also starts in a document with a smaller id. The words of such windows merge into maximal removal
 intervals. Windows are judged on the input, not on what is left of it.
 
@@ -22,23 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.exchange import deal, exchange, group_count
-from siltstone.llm.textbytes import flatten, slices, span_hashes, window_hashes, word_spans
+from siltstone.llm.exchange import assignment, deal, exchange, group_count, range_points
+from siltstone.llm.textbytes import flatten, lean, slices, span_hashes, window_hashes, word_spans
 
 WIDTH = 13
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 SALT = 0x51
 
 
-def id_ranges(docs: DataFrame, groups: int, key: str = "doc_id") -> np.ndarray:
-    """Rising lower bounds of groups - 1 id ranges with about as many rows each."""
-    if groups < 2:
-        return np.empty(0, np.int64)
-    points = [k / groups for k in range(1, groups)]
-    got = docs.agg(F.percentile_approx(key, points, max(10_000, 20 * groups)).alias("p")).first()["p"]
-    return np.unique(np.array(got or [], np.int64))
-
-
 def _windows(width: int):
     def run(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         first, second, owner, row = [], [], [], 0
@@ -51,11 +42,11 @@ def _windows(width: int):
                 whole = np.flatnonzero(text[:n] == text[width - 1 :]) if n else np.empty(0, np.int64)
                 first.append(window_hashes(words, width)[whole])
                 if twice:
-                    second.append(window_hashes(words, width, SALT)[whole])
-                owner.append(text[whole] + row)
+                    second.append(window_hashes(span_hashes(raw, starts, ends, SALT), width, SALT)[whole])
+                owner.append((text[whole] + row).astype(np.int32))
                 row += part.num_rows
         none = np.empty(0, np.uint64)
-        return np.concatenate([none, *first]), np.concatenate([none, *second]) if twice else None, np.concatenate([none.astype(np.int64), *owner])
+        return np.concatenate([none, *first]), np.concatenate([none, *second]) if twice else None, np.concatenate([none.astype(np.int32), *owner])
 
     return run
 
@@ -129,6 +120,7 @@ def _finish(width: int, make):
 
 def _alone(width: int, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "text"):
                 yield make(part, _covered(part, np.zeros(len(flatten(part.column("text"))[0]) + 1, bool), width))
@@ -140,11 +132,7 @@ def _dedup(docs: DataFrame, width: int, make, schema) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     groups = group_count(size)
-    bounds = id_ranges(known, groups)
-
-    def assign(part: pa.RecordBatch) -> np.ndarray:
-        return np.searchsorted(bounds, part.column("doc_id").to_numpy(), side="right")
-
+    assign = assignment(range_points(known, groups))
     # A word and the space behind it have about six bytes; it only sets the number of buckets.
     done = exchange(deal(known, assign, groups), _windows(width), lambda d, owner: np.zeros(len(d.hashes), np.uint8), _finish(width, make), schema, "later", size // 6)
     return done.unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(_alone(width, make), schema))

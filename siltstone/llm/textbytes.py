@@ -5,16 +5,34 @@ All functions work on a slice of a few MB at a time, so memory does not follow t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Fixed odd multipliers and seeds of the polynomial (Rabin-Karp) hashes, all arithmetic is modulo 2**64.
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-BYTE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Fixed odd multiplier of the polynomial (Rabin-Karp) window hash; arithmetic is modulo 2**64.
 WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
-BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+#: Of a u64 that holds eight bytes, the bits of the first 0 to 8 of them.
+HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+_lean = False
+
+
+def lean() -> None:
+    """Have this worker give freed arrays of a MB and more back to the system at once (glibc; else no change)."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+        if mallopt is not None:
+            mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
 
 
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,24 +64,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base ** 2, ...; kept for slices of the usual size."""
-    held = _POWERS.get(int(base))
-    if held is None or len(held) < n:
-        held = np.full(max(n, 1 << 16), base, np.uint64)
-        held[0] = 1
-        held = np.multiply.accumulate(held)
-        if n <= 4 << 20:
-            _POWERS[int(base)] = held
-    return held[:n]
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
@@ -87,13 +93,33 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span, from prefix sums."""
-    rise = powers(BYTE_BASE, len(raw) + 1)
-    fall = powers(BYTE_INVERSE, len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * rise[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * fall[starts] + (ends - starts).astype(np.uint64))
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (and from the end on), as one integer; zeros follow the last byte."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span; another salt gives an independent hash.
+
+    The length and then every eight bytes are mixed into the hash by a bijection, so spans of up to
+    eight bytes never collide; longer ones do like random numbers. Spans over LONG_SPAN bytes take XXH3.
+    """
+    size = (ends - starts).astype(np.uint64)
+    seed = mix(SEED[None] + np.uint64(salt))[0]
+    chunks = eights(raw)
+    out = mix(size + seed)
+    out = mix(out ^ (chunks[starts] & HEADS[np.minimum(size, np.uint64(8))]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(live):
+        left = np.minimum(size[live] - np.uint64(at), np.uint64(8))
+        out[live] = mix(out[live] ^ (chunks[starts[live] + at] & HEADS[left]))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]], int(seed))
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -104,5 +130,6 @@ def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     base = WINDOW_BASE ^ np.uint64(salt << 1)
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total = total * base + words[k : k + n]
+        total *= base
+        total += words[k : k + n]
     return mix(total + np.uint64(width))

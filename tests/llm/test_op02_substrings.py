@@ -50,3 +50,51 @@ def test_second_hash(spark, monkeypatch):
 
 def test_empty(no_docs):
     assert dedup_digests(no_docs).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64 for every base."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(k, " ".join([*prose(9, 12).split(), word if k % 2 else other])) for k in range(4)]
+    assert sorted((tuple(r) for r in dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)
+
+
+def test_span_hashes():
+    """Every span of 1 to 80 bytes of a noisy text: equal hashes only for equal bytes, other salts other hashes."""
+    import numpy as np
+
+    from siltstone.llm.textbytes import span_hashes
+
+    raw = np.random.default_rng(3).integers(0, 3, 3000).astype(np.uint8)
+    starts = np.repeat(np.arange(2900), 80)
+    ends = starts + np.tile(np.arange(1, 81), 2900)
+    for salt in (0, 7):
+        seen = {}
+        for a, b, h in zip(starts.tolist(), ends.tolist(), span_hashes(raw, starts, ends, salt).tolist(), strict=True):
+            assert seen.setdefault(h, raw[a:b].tobytes()) == raw[a:b].tobytes()
+    assert not (span_hashes(raw, starts, ends) == span_hashes(raw, starts, ends, 7)).any()
+
+
+def test_groups_of_bytes_and_a_frequent_id(spark, monkeypatch):
+    """Ranges are cut by bytes; an id with a third of the rows is dealt over several groups."""
+    from siltstone.llm import exchange
+
+    shared = prose(50, 60)
+    rows = [(k if k % 3 else 40, prose(k, 30) + " " + shared + " " + prose(k // 2, 30) * (40 if 60 < k < 70 else 1)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(exchange, "UNIT_BYTES", 256)
+    groups = exchange.group_count(sum(len(t) for _, t in rows))
+    points = exchange.range_points(docs, groups)
+    assert (points == 40).sum() > 3
+    got = dedup_digests(docs).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    import pyarrow as pa
+
+    held = exchange.assignment(points)(pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]}))
+    assert len(set(held[[k == 40 for k, _ in rows]])) > 3

@@ -10,14 +10,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that go to a Python worker at a time, and Spark's own limit.
+BATCH_BYTES = 4 << 20
+_KEY, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python workers in batches of BATCH_BYTES, unless the session has a limit of its own.
+
+    Spark's limit of 64 MB is taken up several times over by every task, in Java and in Python; with
+    long texts 10,000 rows reach it.
+    """
+    if spark.conf.get(_KEY, _DEFAULT) in (_DEFAULT, "64m", "64MB", "67108864"):
+        spark.conf.set(_KEY, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names no folder (local tests) a temporary one is set.
+    Where the session names no folder, a temporary one is set on a local master; on a cluster that
+    would be a folder of one machine, so it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

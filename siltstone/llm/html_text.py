@@ -10,8 +10,8 @@ scripts, styles and comments are cut before scoring, by element, role and the wo
 
 Character references are decoded, white space (and ``br``) in a block becomes one space, blocks are
 joined by one line feed in page order. Defined cases: null, empty and text-free pages have an empty
-text; unclosed elements end with their parents; a tag cut off by the page's end is dropped; deep
-nesting costs no recursion; repeated rows are extracted each; extra columns are not looked at.
+text; unclosed elements end with their parents; a tag cut off by the page's end is dropped; very long
+pages are read whole, and deep nesting costs neither recursion nor a walk through what is open; repeated rows are extracted each; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.textbytes import slices
+from siltstone.runtime import small_batches
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -58,6 +59,7 @@ CUT_WORDS = frozenset(
 )
 #: Inside an article these words stand for its title or closing line, not the page's.
 TITLE_WORDS = frozenset(["header", "masthead"])
+WORDS_IN_ARTICLE = CUT_WORDS - TITLE_WORDS
 SAFE = frozenset("html body article main".split())
 #: An open element that a start tag ends, and the elements beyond which it is not looked for.
 IMPLIED = {
@@ -87,7 +89,7 @@ def _cut(tag: str, attrs: str, inside_article: bool) -> bool:
         if name in ("class", "id") and tag not in SAFE:
             raw = html.unescape(m[2] or m[3] or m[4] or "")
             words = {w.rstrip("0123456789") for w in WORDS.findall(value) + WORDS.findall(CAMEL.sub(" ", raw).lower())}
-            if words & (CUT_WORDS - TITLE_WORDS if inside_article else CUT_WORDS):
+            if words & (WORDS_IN_ARTICLE if inside_article else CUT_WORDS):
                 return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -101,6 +103,9 @@ class _Page:
         self.tags, self.parents, self.cut = ["#"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack, self.pieces, self.links = [0], [], 0
+        # Places in the stack of the open elements of each tag, and of all open blocks.
+        self.places: dict[str, list[int]] = {}
+        self.open_blocks = [0]
         self.open_links = self.open_articles = 0
         self.read(source)
 
@@ -108,7 +113,7 @@ class _Page:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                owner = next(k for k in reversed(self.stack) if self.tags[k] in BLOCK or k == 0)
+                owner = self.stack[self.open_blocks[-1]]
                 if not self.cut[self.stack[-1]] or not self.cut[owner]:
                     self.blocks.append((owner, text, min(self.links, len(text))))
             self.pieces, self.links = [], 0
@@ -126,19 +131,20 @@ class _Page:
             k = self.stack[-1]
             if self.tags[k] in BLOCK:
                 self.flush()
+                self.open_blocks.pop()
+            self.places[self.tags[k]].pop()
             self.open_links -= self.tags[k] == "a"
             self.open_articles -= self.tags[k] in ("article", "main")
             self.stack.pop()
 
     def find(self, wanted: frozenset[str], limits: frozenset[str]) -> int:
-        """Place in the stack of the innermost wanted element, or 0."""
-        for at in range(len(self.stack) - 1, 0, -1):
-            tag = self.tags[self.stack[at]]
-            if tag in wanted:
-                return at
-            if tag in limits:
-                return 0
-        return 0
+        """Place in the stack of the innermost wanted element, or 0 where there is none or a limit is nearer."""
+        at = self.innermost(wanted)
+        beyond = self.open_blocks[-1] if limits is BLOCK else self.innermost(limits)
+        return at if at >= beyond else 0
+
+    def innermost(self, tags: frozenset[str]) -> int:
+        return max((held[-1] for tag in tags if (held := self.places.get(tag))), default=0)
 
     def start(self, tag: str, attrs: str) -> None:
         if tag == "br" or tag == "wbr":
@@ -159,6 +165,9 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.cut.append(self.cut[parent] or _cut(tag, attrs, self.open_articles > 0))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(len(self.tags) - 1)
         self.open_links += tag == "a"
         self.open_articles += tag in ("article", "main")
@@ -246,6 +255,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string")
 
 

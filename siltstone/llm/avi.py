@@ -9,9 +9,11 @@ frames (Huffman, dequantisation, exact integer inverse DCT) and detects shots: a
 histogram difference of two frames exceeds the running mean plus twice the deviation of the last
 differences. ``clips`` yields one timed row per shot.
 
-Defined cases: a null or empty text is one frame of padding; a null medium gives no clips; very
-long texts are worked on in slices of whole frames; repeated rows give repeated results; other
-columns of the input are not looked at.
+Defined cases: a null or empty text is one frame of padding; very long texts are worked on in slices
+of whole frames; repeated rows give repeated results; other columns of the input are not looked at.
+In reading, a null medium and bytes that are no AVI with readable motion JPEG frames give no clips
+and null features, and do not fail the job; a medium of no frames has no clips and the feature of no
+frames; media that ``to_media`` did not write have features but null payload columns.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.textbytes import flatten, slices
+from siltstone.llm.textbytes import flatten, lean, slices
+from siltstone.runtime import small_batches
 
 SIDE, BLOCKS = 24, 9
 FRAME = SIDE * SIDE
@@ -273,7 +276,8 @@ def shot_starts(counts: np.ndarray, window: int = 8, least: float = 0.1) -> tupl
     """Frames that begin a shot (0 is one) and the greatest difference between neighbours."""
     if len(counts) < 2:
         return [0] * len(counts), 0.0
-    share = np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2.0 * counts[0].sum())
+    total = counts.sum(axis=1)  # of samples; frames may differ in size
+    share = np.abs(np.diff(counts / np.maximum(1, total)[:, None], axis=0)).sum(axis=1) / 2 if (total != total[0]).any() else np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2.0 * total[0])
     starts = [0]
     for k, d in enumerate(share.tolist()):
         past = share[max(0, k - window) : k]
@@ -312,6 +316,7 @@ def pad(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             samples, frames, sizes = pad(part.column("text"))
@@ -323,24 +328,58 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): the text of each document as an AVI file."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
+#: What damaged or foreign bytes raise in the readers.
+UNREADABLE = (ValueError, IndexError, KeyError, ArithmeticError, RecursionError, struct.error)
+
+
+def _feature(counts: np.ndarray) -> str:
+    starts, peak = shot_starts(counts)
+    return f"frames={len(counts)};clips={len(starts)};cuts={','.join(map(str, starts[1:]))};peak={peak:.6f};hist={zlib.crc32(counts.astype('<i4').tobytes()):08x}"
+
+
+def _foreign(frames: list[bytes] | None) -> str | None:
+    """The feature of frames that are not our own, or None where they cannot be read."""
+    try:
+        return None if frames is None else _feature(frame_histograms(frames)[0])
+    except UNREADABLE:
+        return None
+
+
+def _frames(medium: bytes | None) -> list[bytes] | None:
+    try:
+        return None if medium is None else demux(medium)[0]
+    except UNREADABLE:
+        return None
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
         for part in slices(batch, "media", 2 << 20):
             files = [m.as_py() for m in part.column("media")]
-            frames = [demux(m)[0] for m in files]
-            counts, payload = frame_histograms([f for fs in frames for f in fs])
+            frames = [_frames(m) for m in files]
+            own = [bool(fs) and all(f.startswith(HEAD) for f in fs) for fs in frames]
+            try:
+                counts, payload = frame_histograms([f for fs, o in zip(frames, own, strict=True) if o for f in fs])
+            except UNREADABLE:  # a damaged one is among them
+                own = [o and _foreign(fs) is not None for fs, o in zip(frames, own, strict=True)]
+                counts, payload = frame_histograms([f for fs, o in zip(frames, own, strict=True) if o for f in fs])
             rows, at = [], 0
-            for m, fs in zip(files, frames, strict=True):
-                own, data = counts[at : at + len(fs)], payload[at : at + len(fs)].tobytes()
-                at += len(fs)
-                starts, peak = shot_starts(own)
-                digest = zlib.crc32(own.astype("<i4").tobytes())
-                feature = f"frames={len(fs)};clips={len(starts)};cuts={','.join(map(str, starts[1:]))};peak={peak:.6f};hist={digest:08x}"
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+            for m, fs, o in zip(files, frames, own, strict=True):
+                ours = [None, None, None]
+                if o:
+                    data = payload[at : at + len(fs)].tobytes()
+                    ours = [len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:])]
+                    feature = _feature(counts[at : at + len(fs)])
+                    at += len(fs)
+                else:
+                    feature = _foreign(fs)
+                rows.append((*ours, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), feature))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
@@ -348,6 +387,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_features(media: DataFrame) -> DataFrame:
     """Payload digests and frame features of media that ``to_media`` stored, from the stored bytes."""
+    small_batches(media.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, schema)
 
@@ -355,7 +395,10 @@ def read_features(media: DataFrame) -> DataFrame:
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, medium in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = clip_rows(medium.as_py()) if medium.is_valid else []
+            try:
+                rows = clip_rows(medium.as_py()) if medium.is_valid else []
+            except UNREADABLE:
+                rows = []
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4])], ["doc_id", "clip", "first_frame", "end_frame", "start_ms", "end_ms"])

@@ -12,7 +12,9 @@ No piece holds a space behind another character, so a text falls into independen
 distinct word of a batch is segmented once, thousands in step with array operations, and kept in a
 bounded cache. Defined cases: null and empty texts have no pieces; ties take the longer last
 piece; very long words are segmented alone; repeated rows are encoded each; extra columns are not
-looked at.
+looked at. In decoding, null pieces give a null text; null and unknown ids and control pieces spell
+nothing; a space is dropped in front only where there is one; bytes that are no UTF-8 become
+replacement characters.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.textbytes import slices
+from siltstone.llm.textbytes import lean, slices
+from siltstone.runtime import small_batches
 
 MARKER = "▁"
 PENALTY = 10.0
@@ -275,14 +278,20 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> str:
-        joined = b"".join(map(self.model.spelt.__getitem__, np.frombuffer(ids, self.model.kind).tolist()))
-        return joined.decode()[1:]
+        return self.spell(np.frombuffer(ids, self.model.kind))
+
+    def spell(self, ids: np.ndarray) -> str:
+        """The text of piece ids; unknown ones are left out."""
+        ids = ids[(ids >= 0) & (ids < len(self.model.spelt))]
+        joined = b"".join(map(self.model.spelt.__getitem__, ids.tolist()))
+        return joined.removeprefix(b" ").decode("utf-8", "replace")
 
 
 _CODECS: dict[int, Codec] = {}
 
 
 def _codec(shared) -> Codec:
+    lean()
     model = shared.value
     if id(model) not in _CODECS:
         _CODECS.clear()
@@ -290,6 +299,12 @@ def _codec(shared) -> Codec:
     return _CODECS[id(model)]
 
 
+def _send(spark, model: str):
+    """The model for the workers."""
+    small_batches(spark)
+    return spark.sparkContext.broadcast(load(model_path(model)))
+
+
 def model_path(name: str) -> str:
     import public_tokenizers
 
@@ -313,10 +328,15 @@ def _encoder(shared):
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, pieces) with the piece ids of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_path(model)))
+    shared = _send(docs.sparkSession, model)
     return docs.select("doc_id", "text").mapInArrow(_encoder(shared), "doc_id long, pieces array<int>")
 
 
+def _ids(pieces: pa.ListScalar) -> np.ndarray:
+    """The ids of one list; null ids as -1."""
+    return pieces.values.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
 def _decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -324,7 +344,7 @@ def _decoder(shared):
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 column = part.column("pieces")
-                texts = [codec.decode(np.asarray(x.values.to_numpy(zero_copy_only=False)).astype(codec.model.kind).tobytes()) if x.is_valid else None for x in column]
+                texts = [codec.spell(_ids(x)) if x.is_valid else None for x in column]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(texts, pa.string())], ["doc_id", "pieces", "text"])
 
     return run
@@ -332,7 +352,7 @@ def _decoder(shared):
 
 def decode(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, pieces, text) with the text that the piece ids spell."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(model_path(model)))
+    shared = _send(encoded.sparkSession, model)
     return encoded.select("doc_id", "pieces").mapInArrow(_decoder(shared), "doc_id long, pieces array<int>, text string")
 
 
@@ -340,8 +360,7 @@ def _both(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in _encoder(shared)(batches):
-            step = codec.model.kind
-            texts = [codec.decode(np.asarray(x.values.to_numpy(zero_copy_only=False)).astype(step).tobytes()) for x in batch.column("pieces")]
+            texts = [codec.spell(_ids(x)) for x in batch.column("pieces")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "pieces", "text"])
 
     return run
@@ -349,7 +368,7 @@ def _both(shared):
 
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, pieces, text): every text encoded and decoded again, in one pass and one Python worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model_path(model)))
+    shared = _send(docs.sparkSession, model)
     return docs.select("doc_id", "text").mapInArrow(_both(shared), "doc_id long, pieces array<int>, text string")
 
 

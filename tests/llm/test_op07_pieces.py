@@ -82,3 +82,22 @@ def test_table(spark, odd_docs, no_docs):
     for done in (pieces.decode(pieces.encode(odd_docs)), pieces.round_trip(odd_docs.withColumnRenamed("source", "pieces"))):
         assert sorted((str(r["doc_id"]), r["text"]) for r in done.collect()) == rows
     assert pieces.decode(pieces.encode(no_docs)).count() == 0
+
+
+def test_decoding_of_any_ids(spark, model):
+    """Null lists, unknown and null ids, and pieces that do not begin a text or cut a character."""
+    ids = {s: i for i, s in enumerate(model.spelt) if s and model.byte_ids[s[0]] != i}
+    rows = [(1, [ids[b"ing"]]), (2, [ids[b" the"], ids[b"re"]]), (3, [int(model.byte_ids[0xC3])]), (4, None), (5, []), (6, [-5, 1 << 30, None, ids[b"re"]]), (7, [0, 1, 2])]
+    got = {r["doc_id"]: r["text"] for r in pieces.decode(spark.createDataFrame(rows, "doc_id long, pieces array<int>")).collect()}
+    assert got == {1: "ing", 2: "there", 3: "�", 4: None, 5: "", 6: "re", 7: ""}
+
+
+def test_public_library_agrees_on_the_pieces(model):
+    """Every piece of a text is one that the public model file spells, and the library decodes them alike."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path("piece_bpe_32k.model"))
+    codec = pieces.Codec(model)
+    texts = ["the quick brown fox, jumps over", "ñandú 日本 🎉", "it is 12 34"]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert library.decode(np.frombuffer(ids, model.kind).tolist()) == text

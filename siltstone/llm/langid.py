@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.sampling import held_out, per_class
-from siltstone.llm.textbytes import flatten, lower_ascii, slices
+from siltstone.llm.sampling import first_of_each, held_out, once, per_class
+from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices
+from siltstone.runtime import small_batches
 
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 20
@@ -158,19 +159,22 @@ def fit_grams(grams: list[np.ndarray], labels: list[str], landmarks: int = 128,
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
+    seen: set[int] = set()
     for batch in batches:
-        for part in slices(batch, "text", 256 << 10):
+        for part in slices(first_of_each(batch, "h", seen), "text", 256 << 10):
             held = [g.astype("<u8").tobytes() for g in distinct_grams(*flatten(part.column("text")))]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(held, pa.binary())], ["lang", "h", "grams"])
 
 
 def train(docs: DataFrame, per_language: int = 250, landmarks: int = 128) -> Model | None:
     """Fit on about ``per_language`` rows of each language with a non-null lang that are not held out."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rows = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("h"))
+    rows = known.select("lang", "text", F.xxhash64("doc_id", "text", "lang", F.lit(7)).alias("h"))
     # Equal rows, however many, are one row of the sample.
-    chosen = per_class(rows, "lang", "h", per_language).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    got = sorted(chosen.mapInArrow(_grams, "lang string, h long, grams binary").collect(), key=lambda r: (r["h"], r["lang"]))
+    chosen = once(per_class(rows, "lang", "h", per_language).mapInArrow(_grams, "lang string, h long, grams binary"), "h")
+    got = sorted(chosen.collect(), key=lambda r: (r["h"], r["lang"]))
     return fit_grams([np.frombuffer(bytes(r["grams"]), "<u8") for r in got], [r["lang"] for r in got], landmarks)
 
 
@@ -192,6 +196,7 @@ def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lettered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds a letter."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_lettered, docs.schema)
 
 
@@ -199,6 +204,7 @@ def _predictor(shared, keep: list[int]):
     """Appends the predictions to the columns at ``keep``."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         model: Model | None = shared.value
         for batch in batches:
             for part in slices(batch, "text", 256 << 10):
@@ -218,6 +224,7 @@ def _predictor(shared, keep: list[int]):
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All rows of ``docs`` with lang_pred and score, which replace columns of these names."""
+    small_batches(docs.sparkSession)
     keep = [k for k, c in enumerate(docs.columns) if c not in ("lang_pred", "score")]
     schema = T.StructType([*[docs.schema.fields[k] for k in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), keep), schema)

@@ -8,9 +8,9 @@ machine covers are those that differ most between the classes (chi-square) in th
 
 It is fitted on the driver from a bounded sample of labelled rows (``positives`` and ``negatives``
 rows); the model's size does not depend on the data. Defined cases: a null or empty text has the
-score of the bias alone; without labelled rows of both classes all scores are 0; a document with
-several labels counts as toxic if one of them is; a null id is not held out; repeated rows are
-scored each; extra columns are not looked at.
+score of the bias alone; very long texts are scored whole; without labelled rows of both classes all
+scores are 0; a document with several labels counts as toxic if one of them is; a null id is not held
+out; repeated rows are scored each and learnt once; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.sampling import held_out, per_class
-from siltstone.llm.textbytes import flatten, lower_ascii, slices, span_hashes
+from siltstone.llm.sampling import first_of_each, held_out, once, per_class
+from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices, span_hashes
+from siltstone.runtime import small_batches
 
 PREFIXES = (4, 5, 6)
 SLOT_BITS = 20
@@ -120,8 +121,10 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, most_terms: int = 1000,
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
+    seen: set[int] = set()
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(first_of_each(batch, "h", seen), "text"):
             raw, offsets = flatten(part.column("text"))
             text, hashed = terms(raw, offsets)
             pairs = np.unique((text.astype(np.uint64) << np.uint64(32)) | hashed)
@@ -131,21 +134,23 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000) -> Machine | None:
-    """Fit on about ``positives`` + ``negatives`` labelled rows that are not held out.
+    """Fit on about ``positives`` + ``negatives`` labelled documents that are not held out.
 
-    The chosen labels are few whatever the tables' sizes, so they are broadcast to the documents.
+    Labels of one document are merged before any is chosen. The chosen ones are few whatever the
+    tables' sizes, so they are broadcast to the documents.
     """
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    known = known.select("doc_id", F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     chosen = per_class(known.where("toxic = 1"), "toxic", "doc_id", positives).unionByName(per_class(known.where("toxic = 0"), "toxic", "doc_id", negatives))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "toxic", "text")
-    got = sorted(rows.mapInArrow(_terms, "h long, toxic int, terms binary").collect(), key=lambda r: (r["h"], r["toxic"], bytes(r["terms"])))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text")
+    got = sorted(once(rows.mapInArrow(_terms, "h long, toxic int, terms binary"), "h").collect(), key=lambda r: (r["h"], r["toxic"], bytes(r["terms"])))
     return fit([np.frombuffer(bytes(r["terms"]), "<u4") for r in got], np.array([r["toxic"] for r in got])) if got else None
 
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         machine: Machine | None = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -158,6 +163,7 @@ def _scorer(shared):
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return docs.select("doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, score double")
 

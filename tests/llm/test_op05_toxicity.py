@@ -78,3 +78,39 @@ def test_terms_that_share_a_slot_are_both_scored():
     for word in (word_a, word_b):
         raw = np.frombuffer(word.encode(), np.uint8)
         assert machine.scores(raw, np.array([0, len(raw)]))[0] > 0.7
+
+
+def test_documents_labelled_both_ways_are_toxic(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "explode(array(0, 1)) as toxic")
+    labels = labels.unionAll(spark.range(3000, 3400).selectExpr("id as doc_id", "0 as toxic"))
+    docs = docs.unionAll(spark.range(3000, 3400).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda documents, y: seen.append(y))
+    toxicity.train(docs, labels, positives=300, negatives=300)
+    assert 200 < (seen[0] == 1).sum() < 420 and (seen[0] == 0).sum() <= 400
+
+
+def test_scores_against_plain_python():
+    """Brute force: words by a regular expression, and the pair sum of the machine written out."""
+    import math
+    import re
+
+    rows = corpus(300, seed=3)
+
+    def flat(texts):
+        raw = "".join(texts).encode()
+        return np.frombuffer(raw, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+
+    text, hashed = toxicity.terms(*flat([t for _, t, _ in rows]))
+    machine = toxicity.fit([np.unique(hashed[text == k]) for k in range(len(rows))], np.array([y for _, _, y in rows]))
+    place = {int(h): k for k, h in enumerate(machine.hashes)}
+    texts = [t for _, t, _ in corpus(40, seed=4)] + ["", "IDIOT idiot", "é!!"]
+    got = machine.scores(*flat(texts))
+    for text, score in zip(texts, got.tolist(), strict=True):
+        held = set()
+        for word in re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+            held |= {int(h) for h in toxicity.terms(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[1]}
+        at = [place[h] for h in held if h in place]
+        value = machine.bias + sum(machine.linear[k] for k in at) + sum(float(machine.factors[a] @ machine.factors[b]) for i, a in enumerate(at) for b in at[:i])
+        assert abs(score - 1 / (1 + math.exp(-max(-40, min(40, value))))) < 1e-9

@@ -13,17 +13,18 @@ u32 escapes, u64 values; then i64 document ids, u32 values per document, u32 wor
 The writer sorts documents by id over all partitions and streams each partition into images of
 about a million values; Spark's Parquet writer carries the images as binary rows, so that they
 land in any store that Spark can write and survive lost executors. Defined cases: null or empty
-texts have the end id alone; null ids come first; documents with one id are ordered by their text;
-extra columns are not looked at; an empty table gives an empty file set.
+texts have the end id alone; null ids come first; documents with one id are ordered by the first 64
+characters of their text, null first, and then by its hash; very long texts are encoded whole;
+repeated rows are written each; extra columns are not looked at; an empty table gives an empty file
+set.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.textbytes import slices
-from siltstone.runtime import partitions_for, shared_dir
+from siltstone.llm.textbytes import HEADS, eights, flatten, lean, mix, slices, word_spans
+from siltstone.runtime import partitions_for, shared_dir, small_batches
 
 #: Selector -> (values per word, bits per value), the published table but for selector 1, the escape.
 LAYOUTS = ((240, 0), (1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -42,7 +43,6 @@ ESCAPE = 1
 BLOCK = 1024
 HEADER = struct.Struct("<4sIIIIIQ")
 IMAGE_VALUES = 1 << 20
-assert array("I").itemsize == 4 and sys.byteorder == "little"
 END_ID = 2
 
 
@@ -161,83 +161,249 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizers library, with a cache of space-separated pieces.
+    """Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker.
 
-    A byte-level BPE of this kind never joins a non-space character with the single space behind
-    it, nor a single line feed with what follows, so a text may be cut there and the pieces are
-    encoded once each. Texts with other white space next to a space or line feed are encoded whole.
+    A byte-level BPE of this kind cuts a text before it merges: of a run of white space in front of
+    a word, all but the last character are one piece, the last is a piece of its own unless it is a
+    space, and a space opens the word's first piece. So a word has the same ids wherever it stands,
+    with a space before it or without. ``_cuts_words`` checks the file for this rule; with another
+    tokenizer, and for texts with other white space or an added token in them, whole texts go to
+    the library.
+
+    Words of up to 16 bytes are held in a table of SLOTS places that array operations search, by all
+    their bytes, so equal entries are equal words; longer ones in a dict. A full table starts anew.
     """
 
-    LIMIT = 600_000
-    EDGES = ("  ", " \n", "\n ", "\n\n")
-    OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+    SLOTS = 1 << 21
+    SHORT = 16
+    JOINED = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.by_words = self._cuts_words(json.loads(self.tokenizer.to_str()))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = {" ": np.zeros(max(vocabulary.values()) + 1, bool), "\n": np.zeros(max(vocabulary.values()) + 1, bool)}
+        self.opens = {" ": np.zeros(max(vocabulary.values(), default=0) + 1, bool), "\n": np.zeros(max(vocabulary.values(), default=0) + 1, bool)}
         for token, number in vocabulary.items():  # byte-level names of the space and the line feed
             self.opens[" "][number], self.opens["\n"][number] = token[:1] == "\u0120", token[:1] == "\u010a"
-        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str], opening: str, group: int = 200) -> list[bytes]:
-        """Ids of texts that begin with ``opening`` and hold no other white space, encoded in runs.
-
-        Only the first token of each begins with it, so that marks where the next text's ids start.
+        single = [(c, self._library([c])[0]) for c in (",", ".")]
+        self.marks = {c.encode(): int(ids[0]) for c, ids in single if len(ids) == 1}
+        self._clear()
+
+    @staticmethod
+    def _cuts_words(file: dict) -> bool:
+        cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+        plain = not (file.get("normalizer") or file.get("truncation") or file.get("padding"))
+        level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        return bool(plain and level and model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")))
+
+    def _clear(self) -> None:
+        self.first, self.last = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.kind = np.zeros(self.SLOTS, np.uint8)  # 0 is a free place
+        self.begin, self.count = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.long: dict[tuple[bool, bytes], tuple[int, int]] = {}
+        self.gaps: dict[tuple[bytes, bool], tuple[int, int]] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray) -> tuple[int, int]:
+        """Put ids into the pool: their place and number."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids), len(ids)
+
+    def _words(self, words: list[str], opening: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that follow a space or a line feed, and their numbers; many words are encoded at a time.
+
+        Only the first token of each begins with the opening character, which marks where a word starts.
         """
-        opens, out = self.opens[opening], []
-        runs = [pieces[k : k + group] for k in range(0, len(pieces), group)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(opens[ids]) * 4
-            if len(cuts) != len(run):
-                out += self._encode(run)
-                continue
-            data, ends = ids.tobytes(), cuts.tolist()
-            out += [data[i:j] for i, j in zip(ends, [*ends[1:], len(data)], strict=True)]
+        out, numbers, opens, skip = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], self.opens[opening], int(opening != " ")
+        runs = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        for run, ids in zip(runs, self._library([opening + opening.join(r) for r in runs]), strict=True):
+            first = opens[ids]
+            cuts = np.flatnonzero(first)
+            if len(cuts) == len(run):
+                out.append(ids[~first] if skip else ids)
+                numbers.append(np.diff(cuts, append=len(ids)) - skip)
+            else:
+                single = [x[skip:] for x in self._library([opening + w for w in run])]
+                out += single
+                numbers.append(np.array([len(x) for x in single], np.int64))
+        return np.concatenate(out), np.concatenate(numbers)
+
+    def _find(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Place of each word in the table, -1 where it is not in it."""
+        out = np.full(len(first), -1, np.int64)
+        live, place = np.arange(len(first)), self._place(first, last, kind)
+        while len(live):
+            there = self.kind[place]
+            hit = (there == kind[live]) & (self.first[place] == first[live]) & (self.last[place] == last[live])
+            out[live[hit]] = place[hit]
+            on = np.flatnonzero(~hit & (there > 0))
+            live, place = live[on], (place[on] + 1) % self.SLOTS
         return out
 
-    def _plain(self, text: str) -> bool:
-        return not (any(e in text for e in self.EDGES) or text[:1].isspace() or text[-1:].isspace() or any(c in text for c in self.OTHER_SPACE))
-
-    def _learn(self, missing: set[str]) -> None:
-        cache, older = self.cache, self.older
-        new = missing.difference(older)  # of a dict: looks up each of the missing, not all of the cache
-        for x in missing.difference(new):
-            cache[x] = older[x]
-        missing = new
-        # A comma or full stop behind a letter, at a piece's end, is a token of its own.
-        ended = [x for x in missing if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha()]
-        stems = list((missing.difference(ended) | {x[:-1] for x in ended}).difference(cache))
-        firsts = [x for x in stems if x.startswith("\n\n")]
-        fed = [x for x in stems if x.startswith("\n") and not x.startswith("\n\n")]
-        spaced = [x for x in stems if not x.startswith("\n")]
-        cache.update(zip(firsts, self._encode([x[2:] for x in firsts]), strict=True))
-        cache.update(zip(fed, self._encode_pieces(fed, "\n"), strict=True))
-        cache.update(zip(spaced, self._encode_pieces([" " + x for x in spaced], " "), strict=True))
-        for x in ended:
-            cache[x] = cache[x[:-1]] + self.marks[x[-1]]
+    def _place(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return (mix(first ^ mix(last + kind.astype(np.uint64))) >> np.uint64(64 - (self.SLOTS.bit_length() - 1))).astype(np.int64)
+
+    def _learn(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray, words: list[bytes]) -> None:
+        """Enter words that are not in the table, each given once."""
+        live, place = np.arange(len(words)), self._place(first, last, kind)
+        entry = np.empty(len(words), np.int64)
+        while len(live):
+            free, winner = np.unique(np.where(self.kind[place] == 0, place, -1), return_index=True)
+            winner = winner[free >= 0]
+            at = place[winner]
+            entry[live[winner]] = at
+            self.first[at], self.last[at], self.kind[at] = first[live[winner]], last[live[winner]], kind[live[winner]]
+            left = np.ones(len(live), bool)
+            left[winner] = False
+            live, place = live[left], (place[left] + 1) % self.SLOTS
+        self.held += len(words)
+        for spaced in (True, False):
+            rows = np.flatnonzero((kind > self.SHORT) == spaced).tolist()
+            # A comma or full stop behind a letter, at a word's end, is a token of its own.
+            mark = [self.marks.get(words[k][-1:], -1) if words[k][-2:-1].isalpha() else -1 for k in rows]
+            stems = [words[k] if m < 0 else words[k][:-1] for k, m in zip(rows, mark, strict=True)]
+            index = {w: k for k, w in enumerate(dict.fromkeys(stems))}
+            ids, number = self._words([w.decode() for w in index], " " if spaced else "\n")
+            of = np.array([index[w] for w in stems], np.int64)
+            mark = np.array(mark, np.int64)
+            begin, count = (np.cumsum(number) - number)[of], number[of]
+            pick = np.repeat(begin - np.cumsum(count) + count, count)
+            ends = np.cumsum(count)[mark >= 0]
+            flat = np.insert(ids[pick + np.arange(len(pick))], ends, mark[mark >= 0])
+            count = count + (mark >= 0)
+            at = entry[rows]
+            self.begin[at], self.count[at] = self._keep(flat)[0] + np.cumsum(count) - count, count
+
+    def _gap(self, gap: bytes, closing: bool) -> tuple[int, int]:
+        """Ids of a run of white space that are not the next word's; ``closing`` where no word follows."""
+        if (gap, closing) not in self.gaps:
+            text = gap.decode()
+            parts = [text] if closing else [text[:-1], text[-1:].rstrip(" ")]
+            self.gaps[gap, closing] = self._keep(np.concatenate([np.empty(0, np.uint32), *self._library([p for p in parts if p])]))
+        return self.gaps[gap, closing]
+
+    def _odd(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text has to go to the library whole."""
+        odd = np.full(len(offsets) - 1, not self.by_words)
+        if odd.all():
+            return odd
+        at = np.flatnonzero((raw >= 0x1C) & (raw <= 0x1F) | (raw == 0xC2) | (raw >= 0xE1) & (raw <= 0xE3))
+        if len(at):  # white space beyond ASCII
+            wide = np.pad(raw, (0, 2))
+            a, b, c = raw[at], wide[at + 1], wide[at + 2]
+            general = (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+            at = at[(a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | general | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+            odd[np.searchsorted(offsets, at, side="right") - 1] = True
+        data = raw.tobytes() if self.added else b""
+        for token in self.added:
+            place = data.find(token)
+            while place >= 0:  # across two texts it marks the first, which does no harm
+                odd[np.searchsorted(offsets, place, side="right") - 1] = True
+                place = data.find(token, place + 1)
+        return odd
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with ``end`` behind it, and their numbers."""
+        if len(self.long) > self.SLOTS // 16 or self.used > 1 << 23:
+            self._clear()
+        rows = len(offsets) - 1
+        odd = self._odd(raw, offsets)
+        starts, ends, text = word_spans(raw, offsets)
+        if odd.any():
+            keep = ~odd[text]
+            starts, ends, text = starts[keep], ends[keep], text[keep]
+        size = ends - starts
+        # The gap before each word reaches back to the word before it in the text, or to the text's start.
+        opening = offsets[:-1][text]
+        if len(text):
+            same = np.flatnonzero(text[1:] == text[:-1])
+            opening[same + 1] = ends[same]
+        spaced = np.zeros(len(starts), bool)
+        behind = np.flatnonzero(starts > opening)
+        spaced[behind] = raw[starts[behind] - 1] == 32
+        short = np.flatnonzero(size <= self.SHORT)
+        chunks, begin, n = eights(raw), starts[short], size[short].astype(np.uint64)
+        first = chunks[begin] & HEADS[np.minimum(n, np.uint64(8))]
+        last = np.zeros(len(short), np.uint64)
+        over = np.flatnonzero(n > 8)
+        last[over] = chunks[begin[over] + 8] & HEADS[n[over] - np.uint64(8)]
+        kind = (n + np.uint64(self.SHORT) * spaced[short]).astype(np.uint8)
+        place = self._find(first, last, kind)
+        if len(missing := np.flatnonzero(place < 0)):
+            keys = first[missing], last[missing], kind[missing]
+            order = np.lexsort(keys[::-1])
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+            once = order[new]
+            if self.held + len(once) > self.SLOTS * 5 // 8:
+                if not self.held:  # more new words than there is room for
+                    return self._halves(raw, offsets, end)
+                self._clear()
+                return self.encode(raw, offsets, end)
+            spans = zip(begin[missing[once]].tolist(), ends[short[missing[once]]].tolist(), strict=True)
+            data = raw.tobytes()
+            self._learn(*(k[once] for k in keys), [data[i:j] for i, j in spans])
+            place[missing] = self._find(*keys)
+        at, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[short], count[short] = self.begin[place], self.count[place]
+        for k in np.flatnonzero(size > self.SHORT).tolist():
+            key = (bool(spaced[k]), raw[starts[k] : ends[k]].tobytes())
+            if key not in self.long:
+                self.long[key] = self._keep(self._words([key[1].decode()], " " if key[0] else "\n")[0])
+            at[k], count[k] = self.long[key]
+        # What stands between the words, as (word that follows, text, place in the pool, number of ids).
+        rest = np.searchsorted(text, np.arange(rows), side="right")
+        between = [np.empty((0, 4), np.int64)]
+        one = np.flatnonzero((starts - opening == 1) & ~spaced)
+        for byte in np.unique(raw[starts[one] - 1]).tolist():
+            where = one[raw[starts[one] - 1] == byte]
+            between.append(np.stack([where, text[where], *(np.full(len(where), x) for x in self._gap(bytes([byte]), False))], axis=1))
+        wide = np.flatnonzero(starts - opening > 1).tolist()
+        more = [(k, text[k], *self._gap(raw[opening[k] : starts[k]].tobytes(), False)) for k in wide]
+        tail = offsets[:-1].copy()
+        full = np.unique(text)
+        tail[full] = ends[rest[full] - 1]
+        more += [(rest[k], k, *self._gap(raw[tail[k] : offsets[k + 1]].tobytes(), True)) for k in np.flatnonzero((tail < offsets[1:]) & ~odd).tolist()]
+        closing = self._keep(np.array(end, np.uint32))
+        whole, base = np.flatnonzero(odd).tolist(), self.used
+        extra = self._library([raw[offsets[k] : offsets[k + 1]].tobytes().decode() for k in whole])
+        for k, ids in zip(whole, extra, strict=True):
+            more.append((rest[k], k, base, len(ids)))
+            base += len(ids)
+        between += [np.array(more, np.int64).reshape(-1, 4), np.stack([rest, np.arange(rows), *(np.full(rows, x) for x in closing)], axis=1)]
+        between = np.concatenate(between)
+        between = between[np.lexsort((np.arange(len(between)), between[:, 1], between[:, 0]))]
+        at, count, text = (np.insert(x, between[:, 0], between[:, k]) for x, k in ((at, 2), (count, 3), (text, 1)))
+        pick = np.repeat(at - np.cumsum(count) + count, count)
+        pick += np.arange(len(pick))
+        pool = self.pool[: self.used]
+        return (np.concatenate([pool, *extra]) if extra else pool)[pick], np.bincount(text, count, rows).astype(np.int64)
+
+    def _halves(self, raw: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` by halves of the texts; one text alone goes to the library."""
+        rows = len(offsets) - 1
+        if rows == 1:
+            ids = np.append(self._library([raw.tobytes().decode()])[0], np.array(end, np.uint32)).astype(np.uint32)
+            return ids, np.array([len(ids)])
+        cut = offsets[rows // 2]
+        a, b = self.encode(raw[:cut], offsets[: rows // 2 + 1], end), self.encode(raw[cut:], offsets[rows // 2 :] - cut, end)
+        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        if len(self.cache) > self.LIMIT:
-            self.older, self.cache = self.cache, {}
-        plain = [self._plain(t) for t in texts]
-        # A piece has lost the space before it; one behind a line feed keeps the feed, a text's first piece has two.
-        pieces = [("\n\n" + t.replace("\n", " \n")).split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        if missing := set().union(*filter(None, pieces)).difference(self.cache):
-            self._learn(missing)
-        find = self.cache.__getitem__
-        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [next(whole) if ps is None else b"".join(map(find, ps)) for ps in pieces]
+        ids, sizes = self.encode(*flatten(pa.array(texts, pa.large_string())), [])
+        ends = np.cumsum(sizes).tolist()
+        return [ids[i:j].astype("<u4").tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -257,36 +423,34 @@ def tokenizer_path(name: str) -> str:
 
 def _writer(name: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, part, before, held = encoder(tokenizer_path(name)), TaskContext.get().partitionId(), 0, []
-        end = np.array([end_id], "<u4").tobytes()
-        number = 0
+        lean()
+        encode_texts, part, before, number = encoder(tokenizer_path(name)).encode, TaskContext.get().partitionId(), 0, 0
+        keys, known, lengths, ids, size = [], [], [], [], 0
 
         def image() -> pa.RecordBatch:
-            nonlocal before, number
-            data = b"".join(x for _, x in held)
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
-            known = np.array([k is not None for k, _ in held])
-            doc_ids = np.array([k or 0 for k, _ in held], np.int64)
-            file = write_image(doc_ids, lengths, np.frombuffer(data, "<u4"))
+            nonlocal before, number, size
+            file = write_image(np.concatenate(keys), np.concatenate(lengths), np.concatenate(ids))
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(data) // 4], pa.int64()), pa.array([np.packbits(known).tobytes()], pa.binary()), pa.array([file], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([np.packbits(np.concatenate(known)).tobytes()], pa.binary()), pa.array([file], pa.binary())],
                 ["part", "number", "ids_before", "n_ids", "known", "file"],
             )
-            before, number = before + len(data) // 4, number + 1
-            held.clear()
+            before, number, size = before + size, number + 1, 0
+            for held in (keys, known, lengths, ids):
+                held.clear()
             return row
 
-        size = 0
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                for key, ids in zip(piece.column("doc_id").to_pylist(), encode_texts(texts), strict=True):
-                    held.append((key, ids + end))
-                    size += len(ids) // 4 + 1
-                    if size >= IMAGE_VALUES:
-                        yield image()
-                        size = 0
-        if held:
+                got, sizes = encode_texts(*flatten(piece.column("text")), [end_id])
+                column = piece.column("doc_id")
+                keys.append(column.fill_null(0).to_numpy())
+                known.append(column.is_valid().to_numpy(zero_copy_only=False))
+                lengths.append(sizes)
+                ids.append(got)
+                size += len(got)
+                if size >= IMAGE_VALUES:
+                    yield image()
+        if keys:
             yield image()
 
     return write
@@ -298,8 +462,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
     Parts follow each other in id order, as do the numbers in a part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select("doc_id", "text")
-    ordered = narrow.repartitionByRange(partitions_for(narrow), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text")]  # whole texts would be sampled to the driver
+    ordered = narrow.repartitionByRange(partitions_for(narrow), *order).sortWithinPartitions(*order)
     schema = "part int, number int, ids_before long, n_ids long, known binary, file binary"
     ordered.mapInArrow(_writer(tokenizer, end_id), schema).write.option("compression", "uncompressed").parquet(path)  # the words hardly compress
     return spark.read.schema(schema).parquet(path)
@@ -307,6 +473,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json"
 
 def _reader(starts: dict[int, int]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part, before, known, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 doc_ids, lengths, ids = read_image(file.as_buffer())

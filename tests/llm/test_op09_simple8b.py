@@ -40,3 +40,36 @@ def test_files(spark, odd_docs, no_docs):
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
     assert s.read_files(s.write_files(no_docs, shared_dir(spark, "t9"))).count() == 0
+
+
+def test_any_text_against_the_library():
+    """Brute force: random mixtures of words, marks and white space, and a table so small that it starts anew."""
+    import random
+
+    encoder = s.Encoder(s.tokenizer_path("byte_bpe_50k.json"))
+    parts = ["a", "Zb", "'s", "ß", "日本", "1", "22", ",", ".", " ", " ", "  ", "\n", "\n\n", "\t", " \n", "\r\n", "\x0b", "\xa0", "<|endoftext|>", "<|end", "x" * 20, "ing", "　", "\x1d", "🎉"]
+    r = random.Random(11)
+    for round_ in range(300):
+        if round_ == 150:
+            encoder.SLOTS = 64
+            encoder._clear()
+        texts = ["".join(r.choice(parts[: 18 if round_ % 3 else None]) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 12))]
+        assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_another_tokenizer_takes_whole_texts():
+    encoder = s.Encoder(s.tokenizer_path("word_bpe_49k.json"))
+    texts = ["One, two  three\n\nfour's", "", " x "]
+    assert not encoder.by_words
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_order_of_one_id_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"{k % 7} word {k * k}" for k in range(400)]
+    docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = [r["n_tokens"] for r in s.read_files(s.write_files(docs, shared_dir(spark, "t9"))).orderBy("start").collect()]
+    order = [r["text"] for r in docs.orderBy(F.substring("text", 1, 64), F.xxhash64("text")).collect()]
+    encoder = s.encoder(s.tokenizer_path("byte_bpe_50k.json"))
+    assert got == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in order]

@@ -27,14 +27,23 @@ def word_set(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _nfc_casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+@F.pandas_udf(T.StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+def composed(text: Column) -> Column:
+    """NFC, Arabic yeh and kaf as Persian, zero-width non-joiner as a space."""
+    return F.translate(_nfc(text), "يىك\u200c", "ییک ")
 
 
 def normalise(text: Column) -> Column:
-    """NFC, Arabic yeh and kaf as Persian, zero-width non-joiner and white-space runs as one space, trimmed, case-folded."""
-    spaced = F.translate(text, "يىك‌", "ییک ")
-    return _nfc_casefold(F.trim(F.regexp_replace(spaced, r"(?U)\s+", " ")))
+    """``composed``, white-space runs as one space, trimmed, case-folded."""
+    return _casefold(F.trim(F.regexp_replace(composed(text), r"(?U)\s+", " ")))
 
 
 def camel_parts(token: Column) -> Column:
@@ -44,9 +53,16 @@ def camel_parts(token: Column) -> Column:
 
 
 def identifier_terms(text: Column) -> Column:
-    """Every word and its snake and camel case parts, lower-cased, distinct in order."""
-    tokens = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    return F.array_distinct(F.transform(F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), camel_parts(t)))), lambda t: F.lower(t)))
+    """Every word of the ``composed`` text and its parts at underscores and ASCII case changes, case-folded, distinct in order."""
+
+    def parts(token: Column) -> Column:
+        cut = F.regexp_replace(token, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
+        return F.filter(F.split(cut, "_+"), lambda p: p != "")
+
+    tokens = F.regexp_extract_all(composed(text), F.lit(f"({WORD})"), F.lit(1))
+    every = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), parts(t))))
+    # Terms hold no space, so one folding of all of them is a folding of each.
+    return F.array_distinct(F.filter(F.split(_casefold(F.array_join(every, " ")), " "), lambda t: t != ""))
 
 
 def identifier_parts(text: Column, least: int = 3) -> Column:
@@ -110,10 +126,10 @@ def in_arabic_script(texts: Column) -> Column:
 
 def mentions(question: Column, name: Column, case_sensitive: bool = False) -> Column:
     """Whether a dotted name is mentioned as a whole; the case-sensitive form also stops at a dot behind it."""
-    escaped = F.regexp_replace(name, r"([^A-Za-z0-9_])", r"\\$1")
+    escaped = F.regexp_replace(name, r"([^\p{L}\p{N}_])", r"\\$1")
     if case_sensitive:
-        return F.regexp_like(question, F.concat(F.lit(r"(?<![\w.])"), escaped, F.lit(r"(?![\w.])")))
-    return F.regexp_like(question, F.concat(F.lit(r"(?i)(?<![\w.])"), escaped, F.lit(r"(?!\w)")))
+        return F.regexp_like(question, F.concat(F.lit(r"(?<![\p{L}\p{N}_.])"), escaped, F.lit(r"(?![\p{L}\p{N}_.])")))
+    return F.regexp_like(question, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_.])"), escaped, F.lit(r"(?![\p{L}\p{N}_])")))
 
 
 def normal_path(path: Column) -> Column:
@@ -129,12 +145,15 @@ def newline_hash(text: Column) -> Column:
 
 
 def chunk_identity(path: Column, kind: Column, name: Column, start: Column, end: Column, content_hash: Column) -> Column:
-    """SHA-256 of the chunk's place and content, parts divided by NUL."""
-    return F.sha2(F.concat_ws("\0", path, kind, name, F.concat_ws(":", start.cast("string"), end.cast("string")), content_hash), 256)
+    """SHA-256 of the chunk's place and content, parts divided by NUL; a null part is empty."""
+    parts = [path, kind, name, F.concat(F.coalesce(start.cast("string"), F.lit("")), F.lit(":"), F.coalesce(end.cast("string"), F.lit(""))), content_hash]
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(x.cast("string"), F.lit("")) for x in parts]), 256)
 
 
 def embedding_text(**parts: Column) -> Column:
-    """The labelled lines that are embedded for a chunk, the source last."""
+    """The labelled lines that are embedded for a chunk, the source last; is_async is written True or False."""
+    if "is_async" in parts:
+        parts = parts | {"is_async": F.initcap(parts["is_async"].cast("string"))}
     labels = ("path", "chunk_type", "symbol_kind", "qualified_name", "parent", "is_async", "parameters", "returns", "decorators", "bases", "docstring")
     lines = [F.concat(F.lit(f"{k}: "), F.coalesce(parts[k].cast("string") if k in parts else F.lit(""), F.lit(""))) for k in labels]
     return F.concat_ws("\n", *lines, F.lit("source:"), parts["source"])
@@ -159,3 +178,21 @@ def error_category(message: Column) -> Column:
         F.when(message.isNull() | (message == ""), "none").when(low.contains("timeout") | low.contains("timed out"), "timeout").when(low.contains("rate"), "rate_limit")
         .when(low.contains("connect"), "connection").when(low.contains("json") | low.contains("parse"), "invalid_response").otherwise("other")
     )
+
+
+def judge_scores(reply: Column, criteria: tuple[str, ...], most: int = 20) -> Column:
+    """The scores of a judge's JSON reply, with or without a code fence, as a struct; null if one is missing or no whole number from 1 to ``most``."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(reply, r"^\s+|\s+$", "")), r"^```json", ""), r"```$", "")
+    raw = {c: F.get_json_object(bare, f"$.{c}") for c in criteria}
+    # Booleans and numbers with a point are no whole numbers; a null or broken reply has none.
+    good = {c: F.when(v.rlike(r"^-?\d{1,9}$") & ~bare.rlike(f'"{c}"\\s*:\\s*"'), v.cast("int")) for c, v in raw.items()}
+    whole = None
+    for v in good.values():
+        inside = F.coalesce(v.between(1, most), F.lit(False))
+        whole = inside if whole is None else whole & inside
+    return F.when(whole, F.struct(*[v.alias(c) for c, v in good.items()]))
+
+
+def case_concept(case_id: Column) -> Column:
+    """The concept of a case id: what stands before its last hyphen, or all of it."""
+    return F.regexp_replace(case_id, r"-[^-]*$", "")

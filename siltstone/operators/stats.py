@@ -70,15 +70,15 @@ def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.9
     return ordered.groupBy(*by).agg(F.round(F.max(F.when(F.col("_p") == low, F.col("mean"))), 6).alias("ci_low"), F.round(F.max(F.when(F.col("_p") == high, F.col("mean"))), 6).alias("ci_high"))
 
 
-def wilcoxon(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """W+, non-zero n, tie-corrected variance and continuity-corrected z of the signed-rank test."""
+def wilcoxon(differences: DataFrame, value: str, by: list[str], least: int = 0) -> DataFrame:
+    """W+, non-zero n, tie-corrected variance and continuity-corrected z of the signed-rank test; z is null below ``least`` pairs."""
     d = differences.where(F.col(value) != 0).withColumn("_a", F.round(F.abs(F.col(value)), 9))
     ranked = d.withColumn("_r", average_rank(F.col("_a"), by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")))
     g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum((F.col("_t") * F.col("_t") - 1) / 48.0).alias("ties"))
     n = F.col("n").cast("double")
     mean, variance = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties")
     gap = F.col("w_plus") - mean
-    z = F.when(variance > 0, (gap - F.signum(gap) * 0.5) / F.sqrt(variance))
+    z = F.when((variance > 0) & (F.col("n") >= least), (gap - F.signum(gap) * 0.5) / F.sqrt(variance))
     return g.select(*by, "n", F.round("w_plus", 6).alias("w_plus"), F.round(variance, 6).alias("variance"), F.round(z, 6).alias("z"))
 
 
@@ -89,13 +89,17 @@ def two_sided_normal(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def two_sided_binomial(wins: pd.Series, losses: pd.Series) -> pd.Series:
-    """Exact sign test of a fair coin; null without trials."""
+    """Exact sign test of a fair coin; null without trials or where a count is null."""
 
-    def tail(a: int, b: int) -> float | None:
-        n = int(a + b)
-        return None if n == 0 else min(1.0, 2 * sum(math.comb(n, k) for k in range(int(min(a, b)) + 1)) / 2**n)
+    def tail(a: float, b: float) -> float | None:
+        if pd.isna(a) or pd.isna(b) or a + b == 0:
+            return None
+        n, low = int(a + b), np.arange(int(min(a, b)) + 1)
+        steps = np.log((n - low[1:] + 1) / low[1:])  # of one binomial coefficient to the next
+        logs = np.concatenate([[0.0], np.cumsum(steps)]) - n * math.log(2)
+        return min(1.0, 2 * float(np.exp(logs).sum()))
 
-    return pd.Series([tail(a, b) for a, b in zip(wins, losses, strict=True)])
+    return pd.Series([tail(a, b) for a, b in zip(wins, losses, strict=True)], dtype=object)
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

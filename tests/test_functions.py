@@ -55,3 +55,40 @@ def test_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: (r["short"], r["root"]) for r in registry.queries()["short_symbol_and_root"](spark, str(tmp_path)).collect()}
     assert got == {1: ("method_behind_the_twelfth_character", "package"), 2: ("plain", "plain"), 3: (None, None), 4: ("", "ends")}
     assert registry.queries()["markup_tokens_full"](spark, str(tmp_path)).first()["tags"] == ["html", "body", "p", "b", "div"]
+
+
+def test_mentions_beside_other_scripts(spark):
+    rows = [("تابعfoo چیست", "foo", False), ("تابع foo چیست", "foo", True), ("foo؟", "foo", True), ("x.foo", "foo", False), ("FOO bar", "foo", True), ("کلاسÉa", "éa", False), ("Éa", "éa", True), ("a.b(c)", "a.b", True)]
+    got = spark.createDataFrame(rows, "q string, n string, want boolean").select("want", tx.mentions(F.col("q"), F.col("n")).alias("is")).collect()
+    assert all(r["is"] == r["want"] for r in got)
+    assert spark.createDataFrame([("see foo. now", "foo"), ("see foo now", "foo"), ("Foo", "foo")], "q string, n string").select(tx.mentions(F.col("q"), F.col("n"), True).alias("x")).collect() == [(False,), (True,), (False,)]
+
+
+def test_identifier_terms_split_only_ascii(spark):
+    rows = [("getHTTPResponse user_id", ["gethttpresponse", "get", "http", "response", "user_id", "user", "id"]), ("éÉtat straßeName", ["éétat", "strassename", "strasse", "name"]), ("كتاب‌ها éa", ["کتاب", "ها", "éa"]), ("", []), (None, None)]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(tx.identifier_terms(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [w for _, w in rows]
+
+
+def test_chunk_texts_agree_with_the_python_path(spark):
+    from siltstone.functions import code
+
+    source = "async def go(a, b=1):\n    return a\n"
+    chunk = code.chunks_of("p.py", source)[0][0]
+    row = spark.createDataFrame([(chunk["relative_path"], chunk["chunk_type"], chunk["qualified_name"], chunk["start_line"], chunk["end_line"], chunk["content_hash"], None)], "path string, kind string, name string, start int, stop int, hash string, none string")
+    parts = [F.col(c) for c in ("path", "kind", "name", "start", "stop", "hash")]
+    assert row.select(tx.chunk_identity(*parts).alias("x")).first()["x"] == chunk["chunk_id"]
+    import hashlib
+
+    want = hashlib.sha256("\0".join(("p.py", "", chunk["qualified_name"], "1:2", "h")).encode()).hexdigest()
+    assert row.select(tx.chunk_identity(F.col("path"), F.col("none"), F.col("name"), F.lit(1), F.lit(2), F.lit("h")).alias("x")).first()["x"] == want
+    assert "\nis_async: True\n" in row.select(tx.embedding_text(is_async=F.lit(True), source=F.lit("s")).alias("x")).first()["x"]
+
+
+def test_judge_scores_and_case_concepts(spark):
+    good = '{"a": 3, "b": 20}'
+    rows = [good, f"```json\n{good}\n```", f"  {good}\n", '{"a": 0, "b": 2}', '{"a": 21, "b": 2}', '{"a": "3", "b": 2}', '{"a": 3}', '{"a": 3.5, "b": 2}', '{"a": true, "b": 2}', "no json", None]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(tx.judge_scores(F.col("t"), ("a", "b")).alias("x")).collect()
+    assert [None if r["x"] is None else tuple(r["x"]) for r in got] == [(3, 20)] * 3 + [None] * 8
+    ids = spark.createDataFrame([("auth-flow-en",), ("single",)], "i string").select(tx.case_concept(F.col("i")).alias("x")).collect()
+    assert [r["x"] for r in ids] == ["auth-flow", "single"]

@@ -163,3 +163,20 @@ def test_bootstrap_at_full_counts(spark):
         got = stats.interval(stats.bootstrap(rows, "v", ["k"], [], b, seed), [], b, last=last, places=places).first()
         assert (got["ci_low"], got["ci_high"]) == (pytest.approx(want[low], abs=1e-6), pytest.approx(want[high], abs=1e-6))
     assert {f"bootstrap_{x}_full" for x in ("mean_ci", "stratified", "cluster", "dev")} < set(statistics.QUERIES)
+
+
+def test_exact_tails_of_any_counts(spark):
+    import math
+
+    rows = [(5, 1), (0, 0), (None, 3), (1200, 1300), (40, 2)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "w int, l int").select(stats.two_sided_binomial("w", "l").alias("p")).collect()]
+    assert got[1] is None and got[2] is None
+    for (a, b), p in ((rows[k], got[k]) for k in (0, 3, 4)):
+        exact = min(1.0, 2 * float(sum(math.comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b)))
+        assert abs(p - exact) < 1e-12 * max(1, 1 / exact) and abs(p - exact) / exact < 1e-9
+
+
+def test_wilcoxon_needs_the_least_number_of_pairs(spark):
+    d = spark.createDataFrame([(1, float(k - 2)) for k in range(9)], "g int, d double")
+    assert stats.wilcoxon(d, "d", ["g"]).first()["z"] is not None
+    assert stats.wilcoxon(d, "d", ["g"], least=10).first()["z"] is None

@@ -20,13 +20,22 @@ SCHEMA = "relative_path STRING, absolute_path STRING, size_bytes BIGINT, mtime_n
 HASH_BLOCK = 1 << 20
 
 
-def walk(root: Path) -> Iterator[str]:
-    """Relative paths of the files to read, folders in sorted order, links never followed."""
+def walk(root: Path, unreadable: list[tuple] | None = None) -> Iterator[str]:
+    """Relative paths of the files to read, folders in sorted order, links never followed.
+
+    A folder that cannot be read gives an error row in ``unreadable``; without such a list it raises.
+    """
     todo = [root]
     while todo:
         here = todo.pop()
-        with os.scandir(here) as entries:
-            listed = sorted(entries, key=lambda e: e.name)
+        try:
+            with os.scandir(here) as entries:
+                listed = sorted(entries, key=lambda e: e.name)
+        except OSError as bad:
+            if unreadable is None:
+                raise
+            unreadable.append((os.path.relpath(here, root), str(here), None, None, None, None, type(bad).__name__, str(bad)))
+            continue
         todo += [Path(e.path) for e in reversed(listed) if e.is_dir(follow_symlinks=False) and e.name not in IGNORED_DIRS]
         for e in listed:
             if e.is_file(follow_symlinks=False) and e.name.endswith(".py") and not any(fnmatch.fnmatch(e.name, p) for p in IGNORED_FILES):
@@ -48,9 +57,35 @@ def file_row(root: str, relative: str) -> tuple:
         return relative, str(path), None, None, None, None, type(bad).__name__, str(bad)
 
 
+class SourceUnavailable(OSError):
+    """An indexed file cannot be read or decoded any more."""
+
+
+class SourceChanged(ValueError):
+    """An indexed file is no longer what was indexed."""
+
+
+def read_checked(root: str, relative: str, sha256: str) -> str:
+    """The text of an indexed file, if it lies inside the root and still has the hash it was indexed with."""
+    from siltstone.functions.code import decode_source
+
+    top = Path(root).resolve()
+    path = (top / relative).resolve()
+    if not path.is_relative_to(top):
+        raise ValueError("the file lies outside the root")
+    try:
+        raw = path.read_bytes()
+        text = decode_source(raw)
+    except (OSError, UnicodeError, SyntaxError) as bad:
+        raise SourceUnavailable(f"{relative} cannot be read") from bad
+    if hashlib.sha256(raw).hexdigest() != sha256:
+        raise SourceChanged(f"{relative} has changed; index it again")
+    return text
+
+
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], errors: list[tuple] | None = None):
+        self.paths, self.errors = paths, errors or []
 
 
 class Reader(DataSourceReader):
@@ -58,12 +93,14 @@ class Reader(DataSourceReader):
         self.root, self.group = root, group
 
     def partitions(self) -> list[Files]:
-        paths = sorted(walk(Path(self.root)))
-        return [Files(paths[k : k + self.group]) for k in range(0, len(paths), self.group)] or [Files([])]
+        unreadable: list[tuple] = []
+        paths = sorted(walk(Path(self.root), unreadable))
+        return [Files(paths[k : k + self.group]) for k in range(0, len(paths), self.group)] + [Files([], unreadable)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for relative in partition.paths:
             yield file_row(self.root, relative)
+        yield from partition.errors
 
 
 class RepositorySource(DataSource):

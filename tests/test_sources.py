@@ -61,3 +61,58 @@ def test_stream(spark, tmp_path):
     assert [r["qualified_name"] for r in spark.read.parquet(out).collect()] == ["g"]
     incremental.start(spark, arrivals, out, str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_unreadable_folders_are_error_rows(spark, tmp_path, monkeypatch):
+    import os
+
+    from siltstone.sources import repository
+
+    (tmp_path / "shut").mkdir()
+    (tmp_path / "a.py").write_text("x = 1\n")
+    scandir = os.scandir
+
+    def refusing(path):
+        if str(path).endswith("shut"):
+            raise PermissionError(13, "no", str(path))
+        return scandir(path)
+
+    monkeypatch.setattr(repository.os, "scandir", refusing)
+    reader = repository.Reader(str(tmp_path), 10)
+    rows = [row for part in reader.partitions() for row in reader.read(part)]
+    assert [(r[0], r[6]) for r in rows] == [("a.py", None), ("shut", "PermissionError")]
+
+
+def test_stream_keeps_the_latest_version(spark, tmp_path):
+    import datetime as dt
+    import hashlib
+
+    arrivals, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*files):
+        rows = [(path, text.encode(), hashlib.sha256(text.encode()).hexdigest(), dt.datetime(2026, 1, 1, 0, minute)) for path, text, minute in files]
+        spark.createDataFrame(rows, incremental.ARRIVALS).write.mode("append").parquet(arrivals)
+        incremental.start(spark, arrivals, out, str(tmp_path / "cp")).awaitTermination(60)
+        return sorted((r["relative_path"], r["qualified_name"]) for r in incremental.current(spark, out).collect())
+
+    assert arrive(("a.py", "def one():\n    pass\n", 1), ("b.py", "def two():\n    pass\n", 1)) == [("a.py", "one"), ("b.py", "two")]
+    assert arrive(("a.py", "def new():\n    pass\n", 3), ("b.py", "def broken(:\n", 2)) == [("a.py", "new")]
+    assert [r["relative_path"] for r in incremental.current_errors(spark, out).collect()] == ["b.py"]
+    assert arrive(("a.py", "def late():\n    pass\n", 2), ("b.py", "def fixed():\n    pass\n", 4)) == [("a.py", "new"), ("b.py", "fixed")]
+    assert incremental.current_errors(spark, out).count() == 0
+
+
+def test_sliding_windows_and_sessions(spark, tmp_path):
+    import datetime as dt
+
+    at = dt.datetime(2026, 1, 1, 12)
+    rows = [(1, 7, "x", 1.0, at), (2, 7, "x", 3.0, at + dt.timedelta(minutes=6)), (3, 7, "x", 5.0, at + dt.timedelta(minutes=60))]
+    schema = "event_id long, user_id long, event_type string, value double, ts timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))
+    sliding = incremental.event_rates(stream, "10 minutes", "0 minutes", "5 minutes")
+    sessions = incremental.user_sessions(stream, "30 minutes", "0 minutes")
+    for name, frame in (("slide", sliding), ("sessions", sessions)):
+        frame.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r["calls"] for r in spark.table("slide").collect()) == [1, 1, 1, 1, 2]
+    assert sorted((r["calls"], r["total"]) for r in spark.table("sessions").collect()) == [(1, 5.0), (2, 4.0)]

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from siltstone.functions import code
 from siltstone.operators import context, embed, rank, store
-from siltstone.runtime import sound_unions
+from siltstone.runtime import sound_unions, stage_table
 from siltstone.schemas import IntegrityError, assert_empty
 from siltstone.sources import repository
 
@@ -37,11 +37,31 @@ class Job:
     counters: dict[str, int] = field(default_factory=dict)
     error: str | None = None
     previous_index_preserved: bool = True
+    entered: dict[str, float] = field(default_factory=dict)
+    clock: Callable[[], float] = time.time
+    progress: Callable[[str, dict], None] | None = None
 
     def enter(self, state: str) -> None:
         if state not in self.stages:
             self.stages.append(state)
+            self.entered[state] = self.clock()
         self.state = state
+        if self.progress:
+            self.progress(state, dict(self.counters))
+
+
+@dataclass
+class Hooks:
+    """What an engine reads and tells the world by; tests and hosts put their own in."""
+
+    scan: Callable[[SparkSession, str], DataFrame] = repository.scan
+    chunks: Callable[[DataFrame], DataFrame] = code.chunks
+    clock: Callable[[], float] = time.time
+    progress: Callable[[str, dict], None] | None = None
+    begin_activation: Callable[[], None] = lambda: None
+    end_activation: Callable[[], None] = lambda: None
+    system: str = "Answer from the numbered sources only."
+    prompt: Callable[[str, list], str] = lambda text, blocks: prompt(text, blocks)
 
 
 def check_request(text: str, limit: int, method: str = "lexical") -> None:
@@ -54,16 +74,20 @@ def check_request(text: str, limit: int, method: str = "lexical") -> None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, provider: embed.EmbeddingProvider, llm: Callable[[str, str], str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, provider: embed.EmbeddingProvider, llm: Callable[[str, str], str] | None = None, hooks: Hooks | None = None):
         sound_unions(spark)
-        self.spark, self.provider, self.llm = spark, provider, llm
-        self.store = store.Store(spark, root)
+        self.spark, self.provider, self.llm, self.hooks = spark, provider, llm, hooks or Hooks()
+        self.store, self.asked = store.Store(spark, root), embed.AskedCache(provider)
 
     # Indexing
 
     def index(self, path: str, allowed_errors: tuple[str, ...] = ()) -> Job:
-        """Full, incremental or no-op indexing; the live index changes only in the last step."""
-        job = Job()
+        """Full, incremental or no-op indexing; the live index changes only in the last step.
+
+        Files and folders that cannot be read, and files that cannot be parsed, fail the job; parse
+        and chunk errors of the paths in ``allowed_errors`` are left out instead.
+        """
+        job = Job(clock=self.hooks.clock, progress=self.hooks.progress)
         try:
             return self._index(path, allowed_errors, job)
         except Exception as bad:
@@ -71,21 +95,19 @@ class Engine:
             raise
 
     def _index(self, path: str, allowed_errors: tuple[str, ...], job: Job) -> Job:
-        active = self.store.active()
-        if active and (active["model"], active["dimensions"]) != (self.provider.model, self.provider.dimensions):
-            active_usable = False
-        else:
-            active_usable = active is not None
+        active, identity = self.store.active(), embed.identity(self.provider)
+        active_usable = active is not None and {k: active[k] for k in identity} == identity
         job.enter("scanning")
-        scanned = repository.scan(self.spark, path).cache()
+        scanned = stage_table(self.hooks.scan(self.spark, path), "scanned")
         good = scanned.where("error_type IS NULL")
         job.counters["files"] = good.count()
+        self._fail(job, scanned.where("error_type IS NOT NULL").select(F.lit("scan").alias("stage"), "relative_path", "error_type", "message"))
         job.enter("parsing")
         snapshot = repository.snapshot(scanned)
         changed = good
         kept_chunks = kept_vectors = None
         if active_usable:
-            delta = store.file_delta(self.store.read("files"), snapshot).cache()
+            delta = stage_table(store.file_delta(self.store.read("files"), snapshot), "delta")
             if not delta.where("change <> 'unchanged'").take(1):
                 job.strategy = "no-op"
                 job.enter("completed")
@@ -99,29 +121,42 @@ class Engine:
         else:
             job.strategy = "full"
         job.enter("chunking")
-        chunks, errors = code.split_errors(code.chunks(changed), "chunk")
-        errors = errors.unionByName(scanned.where("error_type IS NOT NULL").select(F.lit("scan").alias("stage"), "relative_path", "error_type", "message"))
-        job.counters["errors"] = errors.where(~F.col("relative_path").isin(*allowed_errors) if allowed_errors else F.lit(True)).count()
+        chunks, errors = code.split_errors(stage_table(self.hooks.chunks(changed), "parsed"), "chunk")
+        job.counters["errors"] = errors.count()
+        self._fail(job, errors.where(~F.col("relative_path").isin(*allowed_errors)) if allowed_errors else errors)
         job.enter("embedding")
         vectors = self._vectors(chunks)
         if kept_chunks is not None:
             chunks, vectors = kept_chunks.unionByName(chunks), kept_vectors.select(*vectors.columns).unionByName(vectors)
         job.enter("verifying")
-        staged = self.store.stage(snapshot, chunks, vectors, self.provider.model, self.provider.dimensions)
-        again = repository.snapshot(repository.scan(self.spark, path))
+        staged = self.store.stage(snapshot, chunks, vectors, identity)
+        again = repository.snapshot(self.hooks.scan(self.spark, path))
         if store.symmetric_difference(snapshot, again).take(1):
             self.store.discard(staged)
             raise IntegrityError("the sources changed while they were indexed")
         job.enter("activating")
-        self.store.activate(staged, active["generation"] if active else None)
+        self.hooks.begin_activation()
+        try:
+            self.store.activate(staged, active["generation"] if active else None)
+        finally:
+            self.hooks.end_activation()
         job.previous_index_preserved = False
         job.counters["chunks"] = self.store.read("chunks").count()
         job.enter("completed")
         return job
 
+    def _fail(self, job: Job, errors: DataFrame, shown: int = 20) -> None:
+        """Structural errors end the job before anything is staged."""
+        first = errors.orderBy("relative_path", "error_type").limit(shown).collect()
+        if first:
+            job.counters["fatal_errors"] = errors.count()
+            raise IntegrityError("indexing failed: " + "; ".join(f"{r['stage']} {r['relative_path']}: {r['error_type']}" for r in first))
+
     def _vectors(self, chunks: DataFrame) -> DataFrame:
-        keyed = chunks.select(F.col("chunk_id").alias("key"), F.col("embedding_text").alias("text"))
-        done = embed.embed(keyed, self.provider).select(F.col("key").alias("chunk_id"), "vector")
+        """Vectors of staged chunks; equal texts are embedded once."""
+        texts = chunks.select("chunk_id", F.col("embedding_text").alias("text"))
+        none = self.spark.createDataFrame([], "key string, vector array<double>")
+        done, _ = embed.embed_with_cache(texts, none, self.provider, self.provider.model)
         extra = chunks.select("chunk_id", "content_hash")
         return done.join(extra, "chunk_id").withColumns({"embedding_model": F.lit(self.provider.model), "dimensions": F.lit(self.provider.dimensions)}).select("chunk_id", "vector", "content_hash", "embedding_model", "dimensions")
 
@@ -134,27 +169,25 @@ class Engine:
         """Rankings of a table of (question_id, text), in one job."""
         if method not in METHODS:
             raise ValueError(f"the method must be one of {METHODS}")
+        keyed = questions.select(F.col("question_id").cast("string").alias("key"), "text")
+        return self._search(questions, lambda: embed.embed(keyed, self.provider).withColumnRenamed("key", "chunk_id"), method, limit)
+
+    def _search(self, questions: DataFrame, vectors: Callable[[], DataFrame], method: str, limit: int) -> DataFrame:
         found = []
         if method in ("semantic", "hybrid"):
-            found.append(self._semantic(questions, limit))
+            active = self.store.active()
+            if active is None or {k: active[k] for k in embed.identity(self.provider)} != embed.identity(self.provider):
+                raise IntegrityError("the index was made with another embedding model")
+            found.append(rank.semantic(vectors(), self.store.read("vectors"), limit, exclude_self=False).select("question_id", "rank", "chunk_id", "score"))
         if method in ("lexical", "hybrid"):
             found.append(rank.lexical(questions, self._chunks(), limit).select("question_id", "rank", "chunk_id", "score"))
         hits = found[0] if len(found) == 1 else rank.fuse(found[0], found[1], limit).select("question_id", "rank", "chunk_id", "score")
         return hits.join(self._chunks().drop("embedding_text"), "chunk_id")
 
-    def _semantic(self, questions: DataFrame, limit: int) -> DataFrame:
-        active = self.store.active()
-        if active is None or (active["model"], active["dimensions"]) != (self.provider.model, self.provider.dimensions):
-            raise IntegrityError("the index was made with another embedding model")
-        rows = questions.select("question_id", "text").collect()
-        vectors = embed.embed_batch(self.provider, [r["text"] for r in rows]) if rows else []
-        asked = self.spark.createDataFrame([(str(r["question_id"]), v) for r, v in zip(rows, vectors, strict=True)], "chunk_id string, vector array<double>")
-        return rank.semantic(asked, self.store.read("vectors"), limit, exclude_self=False).select("question_id", "rank", "chunk_id", "score")
-
     def search(self, text: str, method: str = "hybrid", limit: int = 10) -> DataFrame:
         check_request(text, limit, method)
         one = self.spark.createDataFrame([("q", text)], "question_id string, text string")
-        return self.search_many(one, method, limit).orderBy("rank")
+        return self._search(one, lambda: self.spark.createDataFrame([("q", self.asked.vector(text))], "chunk_id string, vector array<double>"), method, limit).orderBy("rank")
 
     # Answers
 
@@ -182,7 +215,7 @@ class Engine:
             return {"status": "no_evidence", "answer": NO_EVIDENCE, "citations": [], "omitted": omitted}
         if self.llm is None:
             raise ValueError("no language model is set")
-        return {"status": "answered", "answer": self.llm("Answer from the numbered sources only.", prompt(text, blocks)), "citations": citations, "omitted": omitted}
+        return {"status": "answered", "answer": self.llm(self.hooks.system, self.hooks.prompt(text, blocks)), "citations": citations, "omitted": omitted}
 
     def document(self, name: str) -> dict:
         """Facts of one function, by chunk id, qualified name or short name, and a summary if a model is set."""
@@ -201,6 +234,13 @@ class Engine:
 
     # Explorer
 
+    def source(self, root: str, relative: str) -> str:
+        """The text of an indexed file under ``root``, if it is still what was indexed."""
+        row = self.store.read("files").where(F.col("relative_path") == relative).select("sha256").first()
+        if row is None:
+            raise LookupError(f"{relative} is not indexed")
+        return repository.read_checked(root, relative, row["sha256"])
+
     def files(self) -> DataFrame:
         return self.store.read("files").orderBy("relative_path")
 

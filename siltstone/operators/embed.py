@@ -50,8 +50,25 @@ class HashEmbedder:
         return out
 
 
-def identity(provider: EmbeddingProvider, endpoint: str = "") -> dict:
-    """What an index remembers of its provider; queries must match it."""
+class AskedCache:
+    """Vectors of questions asked before, by provider and text, the ``most`` last used."""
+
+    def __init__(self, provider: EmbeddingProvider, most: int = 1000):
+        self.provider, self.most, self.held = provider, most, {}
+
+    def vector(self, text: str) -> list[float]:
+        key = hashlib.sha256("\0".join([*map(str, identity(self.provider).values()), text]).encode()).hexdigest()
+        if key not in self.held:
+            self.held[key] = embed_batch(self.provider, [text])[0]
+            if len(self.held) > self.most:
+                del self.held[next(iter(self.held))]
+        self.held[key] = self.held.pop(key)  # the last used stands last
+        return self.held[key]
+
+
+def identity(provider: EmbeddingProvider, endpoint: str | None = None) -> dict:
+    """What an index remembers of its provider; queries must match it. The endpoint is the provider's own, if not given."""
+    endpoint = getattr(provider, "endpoint", "") if endpoint is None else endpoint
     return {"model": provider.model, "dimensions": provider.dimensions, "endpoint_sha256": hashlib.sha256(canonical_endpoint(endpoint).encode()).hexdigest()}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.schemas import IntegrityError, assert_empty, assert_unique
 
-POINTER_KEYS = frozenset(["generation", "dimensions", "model", "schema_version"])
+POINTER_KEYS = frozenset(["generation", "dimensions", "model", "endpoint_sha256", "schema_version"])
 SCHEMA_VERSION = 3
 
 
@@ -90,18 +90,18 @@ class Store:
             raise IntegrityError("nothing is indexed yet")
         return self.spark.read.parquet(str(self.root / f"gen-{pointer['generation']}" / table))
 
-    def stage(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str, dimensions: int) -> dict:
-        """Write a new generation and verify it; nothing is live yet."""
+    def stage(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame, identity: dict) -> dict:
+        """Write a new generation and verify it; nothing is live yet. ``identity`` is that of the embedding provider."""
         generation = uuid.uuid4().hex
         folder = self.root / f"gen-{generation}"
         try:
             for name, rows in (("files", files), ("chunks", chunks), ("vectors", vectors)):
                 rows.write.mode("errorifexists").parquet(str(folder / name))
-            self.verify(folder, dimensions)
+            self.verify(folder, identity["dimensions"])
         except BaseException:
             shutil.rmtree(folder, ignore_errors=True)
             raise
-        return {"generation": generation, "dimensions": dimensions, "model": model, "schema_version": SCHEMA_VERSION}
+        return {"generation": generation, **identity, "schema_version": SCHEMA_VERSION}
 
     def verify(self, folder: Path, dimensions: int) -> None:
         """Unique keys, equal id sets of chunks and vectors, and one vector size."""

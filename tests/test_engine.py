@@ -140,3 +140,68 @@ def test_shell_and_pin(spark, repo, tmp_path, capsys):
     (repo / "app/more.py").write_text("")
     with pytest.raises(ValueError):
         repository.check_pin(str(repo), head)
+
+
+def test_structural_errors_are_fatal(spark, repo, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"), embed.HashEmbedder(8))
+    engine.index(str(repo))
+    before = engine.store.active()
+    (repo / "app/broken.py").write_text("def broken(:\n")
+    with pytest.raises(IntegrityError, match="app/broken.py"):
+        engine.index(str(repo))
+    assert engine.store.active() == before
+    job = engine.index(str(repo), allowed_errors=("app/broken.py",))
+    assert job.state == "completed" and job.counters["errors"] == 1
+
+
+def test_sources_are_read_only_as_indexed(spark, repo, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"), embed.HashEmbedder(8))
+    engine.index(str(repo))
+    assert engine.source(str(repo), "app/users.py") == USERS
+    with pytest.raises(LookupError):
+        engine.source(str(repo), "note.txt")
+    (repo / "app/users.py").write_text(USERS + "#")
+    with pytest.raises(repository.SourceChanged):
+        engine.source(str(repo), "app/users.py")
+    (repo / "app/users.py").unlink()
+    with pytest.raises(repository.SourceUnavailable):
+        engine.source(str(repo), "app/users.py")
+    with pytest.raises(ValueError):
+        repository.read_checked(str(repo), "../x.py", "")
+
+
+def test_hooks_and_identity(spark, repo, tmp_path):
+    from siltstone.engine import Hooks
+
+    ticks, seen = iter(range(100)), []
+    hooks = Hooks(clock=lambda: float(next(ticks)), progress=lambda state, counters: seen.append(state), begin_activation=lambda: seen.append("("), end_activation=lambda: seen.append(")"), prompt=lambda text, blocks: f"{len(blocks)} {text}")
+    asked = []
+    engine = Engine(spark, str(tmp_path / "index"), embed.HashEmbedder(8), lambda system, user: asked.append(user) or "yes", hooks)
+    job = engine.index(str(repo))
+    assert list(job.entered.values()) == sorted(job.entered.values()) and seen[-4:] == ["activating", "(", ")", "completed"]
+    assert engine.ask("find_user db_user")["answer"] == "yes" and asked[0].endswith("find_user db_user")
+
+    class Elsewhere(embed.HashEmbedder):
+        endpoint = "http://other/v1"
+
+    other = Engine(spark, str(tmp_path / "index"), Elsewhere(8))
+    with pytest.raises(IntegrityError):
+        other.search("x", "semantic")
+    assert other.index(str(repo)).strategy == "full"
+
+
+def test_equal_questions_are_embedded_once():
+    calls = []
+
+    class Counting(embed.HashEmbedder):
+        def embed_texts(self, texts):
+            calls.append(texts)
+            return super().embed_texts(texts)
+
+    cache = embed.AskedCache(Counting(4), most=2)
+    first = cache.vector("a")
+    assert cache.vector("a") == first and len(calls) == 1
+    cache.vector("b")
+    cache.vector("a")
+    cache.vector("c")
+    assert cache.vector("a") == first and len(calls) == 3 and len(cache.held) == 2

@@ -16,15 +16,21 @@ when 100 |x & y| >= 75 |x | y|. The steps:
 5. What may still link, documents of one list in different components, is then compared pair by
    pair: sizes and prefix places must allow the overlap, then partial overlaps are counted per
    fragment and summed per pair. Pairs within a component cannot change it and are left out, so a
-   large group of near copies costs its size, not its square.
+   large group of near copies costs its size, not its square. Lists are cut by length, and of a pair
+   at least one document, the shorter one, must be open: its place in the list leaves room for a link
+   with a document of its own size. So a list that many documents share behind shingles of their own
+   costs its open documents times its length.
 
-Nothing is capped: every pair that could join two components is counted exactly. Defined cases:
+Nothing is capped: every pair that could join two components is counted exactly. Joins on a shingle
+or a node have staged tables on both sides, so that a frequent one can be dealt out. Defined cases:
 null and empty texts have an empty set and link with nothing; fewer than five words are one shingle;
-rows with one id share its class; a null id has a null component; extra columns are not looked at.
+very long texts are used whole; rows with one id and different texts are judged each by its own text;
+a null id has a null component; extra columns are not looked at. Ids are below 2**62.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +41,16 @@ from pyspark.sql import functions as F
 from siltstone.llm.components import connected
 from siltstone.llm.exchange import Distinct, assignment, deal, exchange, group_count, range_points, squeeze, unsqueeze
 from siltstone.llm.textbytes import flatten, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
-from siltstone.runtime import sound_unions, stage_table
+from siltstone.runtime import small_batches, sound_unions, stage_table
 
 SHINGLE = 5
 SALT = 0x2B
 BLOCK = 64
 FRAGMENTS = 4
-SETS = "doc_id long, n int, signature binary, ids binary, shared int, prefix binary"
-SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("signature", pa.binary()), ("ids", pa.binary()), ("shared", pa.int32()), ("prefix", pa.binary())])
+#: Lengths of documents that link differ by less than this factor.
+LENGTHS = 1.34
+SETS = "doc_id long, mark long, n int, signature binary, ids binary, shared int, prefix binary"
+SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("signature", pa.binary()), ("ids", pa.binary()), ("shared", pa.int32()), ("prefix", pa.binary())])
 
 
 def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -107,7 +115,7 @@ def _sets(table: pa.Table, distinct: Distinct, owner: np.ndarray, counts: np.nda
         prefix[:, 0], prefix[:, 1] = held[first], count[first]
         for column, value in zip(out, (signature, squeeze(held), len(held), prefix.tobytes()), strict=True):
             column.append(value)
-    arrays = [table.column("doc_id").combine_chunks(), pa.array(n, pa.int32()), *[pa.array(c, f.type) for c, f in zip(out, list(SETS_SCHEMA)[2:], strict=True)]]
+    arrays = [table.column("doc_id").combine_chunks(), table.column("mark").combine_chunks(), pa.array(n, pa.int32()), *[pa.array(c, f.type) for c, f in zip(out, list(SETS_SCHEMA)[3:], strict=True)]]
     return pa.Table.from_arrays(arrays, schema=SETS_SCHEMA)
 
 
@@ -206,14 +214,18 @@ def open_pairs(lists: DataFrame, components: DataFrame) -> DataFrame:
     Of every list, the documents outside its most frequent component meet all of the list.
     """
     labelled = lists.join(components.select(F.col("node").alias("doc_id"), "parent"), "doc_id", "left").select("h", "doc_id", "n", "place", F.coalesce("parent", "doc_id").alias("comp"))
-    labelled = stage_table(labelled, "labelled")
+    # The size that a partner may have at most, so that the places leave room for the overlap.
+    cap = F.floor(7 * (F.col("n") - F.col("place")) / 3) - F.col("n")
+    labelled = stage_table(labelled.withColumns({"cap": cap, "length": F.floor(F.log("n") / math.log(LENGTHS))}), "labelled")
     share = labelled.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = share.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("h", F.col("m.comp").alias("major"))
-    minor = labelled.join(major, "h").where("comp <> major").select("h", "major", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "place", "comp")])
-    bound = 1 + F.least(F.col("o_n") - F.col("o_place"), F.col("n") - F.col("place")) - 1
-    fits = (F.col("comp") != F.col("o_comp")) & ((F.col("comp") == F.col("major")) | (F.col("o_doc_id") < F.col("doc_id"))) & (7 * bound >= 3 * (F.col("n") + F.col("o_n")))
-    met = minor.join(labelled, "h").where(fits)
-    return met.select(F.least("o_doc_id", "doc_id").alias("a"), F.greatest("o_doc_id", "doc_id").alias("b"), (F.col("n") + F.col("o_n")).cast("long").alias("total")).distinct()
+    minor = labelled.join(stage_table(major, "major"), "h").where("comp <> major")
+    near = F.explode(F.array(*[F.col("length") + k for k in (-1, 0, 1)]))
+    minor = stage_table(minor.select("h", near.alias("length"), "major", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "cap", "comp")]), "minor")
+    fits = (F.col("comp") != F.col("o_comp")) & ((F.col("comp") == F.col("major")) | (F.col("o_doc_id") < F.col("doc_id"))) & (F.col("n") <= F.col("o_cap")) & (F.col("o_n") <= F.col("cap"))
+    sides = ((minor.where("o_n <= o_cap"), labelled), (minor.where("o_n > o_cap"), labelled.where("n <= cap")))
+    met = [x.join(y, ["h", "length"]).where(fits).select(F.least("o_doc_id", "doc_id").alias("a"), F.greatest("o_doc_id", "doc_id").alias("b"), (F.col("n") + F.col("o_n")).cast("long").alias("total")) for x, y in sides]
+    return met[0].unionAll(met[1]).distinct()
 
 
 def pair_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -226,32 +238,47 @@ def pair_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "total").agg(F.sum("overlap").alias("overlap")).where("7 * overlap >= 3 * total").select("a", "b")
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, first) of every row of (doc_id, text) with an id.
+
+    ``mark`` is a hash of the text, ``first`` says whether its set stands for the whole component.
+    """
     sound_unions(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    known = docs.where(F.col("doc_id").isNotNull())
-    size = int(known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    groups = group_count(size)
+    small_batches(docs.sparkSession)
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    size, top = known.agg(F.sum(F.octet_length("text")).alias("n"), F.max("doc_id").alias("top")).first()
+    groups = group_count(int(size or 0))
     assign = assignment(range_points(known, groups))
 
     def per_hash(distinct: Distinct, owner: np.ndarray) -> np.ndarray:
         return distinct.totals(np.ones(len(owner), np.int64))
 
-    sets = stage_table(exchange(deal(known, assign, groups), shingles, per_hash, _sets, SETS, "shared", size // 6), "sets")
+    sets = stage_table(exchange(deal(known, assign, groups), shingles, per_hash, _sets, SETS, "shared", int(size or 0) // 6), "sets")
     open_sets = sets.where("ids IS NOT NULL")
-    classes = stage_table(open_sets.groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = stage_table(open_sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "ids", "shared", "prefix"), "reps")
+    # A class is named by its smallest id; further classes of the same smallest id get numbers beyond all ids.
+    least = stage_table(open_sets.groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
+    named_first = least.groupBy("class_id").agg(F.min("signature").alias("named"))
+    node = F.when(F.col("signature") == F.col("named"), F.col("class_id")).otherwise(F.lit((top or 0) + 1) + F.monotonically_increasing_id())
+    classes = stage_table(least.join(named_first, "class_id").select("signature", "class_id", node.alias("node")), "classes")
+    found = open_sets.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "signature"]).dropDuplicates(["node"])
+    reps = stage_table(found.select(F.col("node").alias("doc_id"), "n", "ids", "shared", "prefix"), "reps")
     lists = candidate_lists(reps)
     clusters = connected(cluster_links(lists, reps))
     found = stage_table(pair_links(open_pairs(lists, clusters), reps), "pairs")
     components = connected(clusters.select(F.col("node").alias("a"), F.col("parent").alias("b")).unionAll(found))
-    named = classes.join(components, classes.class_id == components.node, "left").select("signature", F.coalesce("parent", "class_id").alias("component"))
-    # Rows with a repeated id may have different sets; an id's component is the smallest of theirs.
-    linked = open_sets.select("doc_id", "n", "signature").join(named, "signature").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
-    single = sets.where("ids IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rooted = stage_table(classes.join(components, "node", "left").select("signature", "class_id", "node", F.coalesce("parent", "node").alias("root")), "rooted")
+    chosen = stage_table(rooted.groupBy("root").agg(F.min(F.struct("class_id", "node")).alias("c")).select("root", F.col("c.class_id").alias("component_id"), F.col("c.node").alias("chosen")), "chosen")
+    labels = stage_table(rooted.join(chosen, "root").select("signature", "component_id", (F.col("node") == F.col("chosen")).alias("stands")), "labels")
+    shown = ("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"))
+    linked = open_sets.select("doc_id", "mark", "n", "signature").join(labels, "signature").select(*shown, "component_id", (F.col("stands") & (F.col("doc_id") == F.col("component_id"))).alias("first"))
+    return linked.unionByName(sets.where("ids IS NULL").select(*shown, F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+def similarity_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     none = docs.where(F.col("doc_id").isNull()).mapInArrow(_sizes, "doc_id long, n_shingles long, component_id long")
-    return linked.unionByName(single).unionByName(none)
+    return _judged(docs).select("doc_id", "n_shingles", "component_id").unionByName(none)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +289,12 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; of rows with one id, one stays."""
-    kept = similarity_classes(docs).where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose text stands for its component; of rows with equal id and text, one stays."""
+    mark = "mark"
+    while mark in docs.columns:
+        mark += "_"
+    kept = _judged(docs.select("doc_id", "text")).where("first").select("doc_id", F.col("mark").alias(mark)).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(mark, F.xxhash64("text")).join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

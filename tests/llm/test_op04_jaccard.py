@@ -69,3 +69,35 @@ def test_one_of_each(spark, odd_docs, no_docs):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert kept.columns == odd_docs.columns and ids.count(7) <= 1 and 1 not in ids and ids.count(None) == 2 and 0 in ids
     assert jaccard.similarity_classes(no_docs).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    """Each row is judged by its own text, also where one id has texts of several classes."""
+    a, b, c = (prose(k, 40) for k in (801, 802, 803))
+    rows = [(5, a), (5, b), (5, b), (7, a + " more"), (9, b + " tail"), (9, c), (11, prose(804, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.similarity_classes(docs).collect())
+    assert got == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 5), (9, 9), (11, 11)]
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect())
+    assert kept == sorted([(5, a), (5, b), (9, c), (11, rows[-1][1])])
+
+
+def test_shared_passage_behind_own_words(spark):
+    """Documents that share most of a text but keep words of their own: at 0.75 some link and some do not."""
+    line = prose(77, 90)
+    rows = [(k, prose(900 + k, 4 + k % 22) + " " + line) for k in range(60)]
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_random_copies_against_brute_force(spark):
+    r = random.Random(12)
+    bases = [prose(2000 + k, r.randint(8, 90)).split() for k in range(12)]
+    rows = []
+    for k in range(400):
+        w = list(r.choice(bases))
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(["x", "y", f"n{r.randrange(40)}"])
+        rows.append((k, " ".join(w[: r.randint(max(1, len(w) - 9), len(w))])))
+    got = jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)

@@ -1,18 +1,21 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and benchmark items are compared in lower case with white-space runs as one space. An
-occurrence of an item of n bytes with at most e edits shares at least n + 1 - q (e + 1) q-grams
-with it, all on diagonals (place in the text minus place in the item) that differ by at most e.
-So the q-grams of a text are looked up in an index of the items, shared ones are counted per item
-in bands of diagonals that overlap by e, and only bands that reach the bound are verified, by an
-edit-distance alignment that stays inside the band. e is a tenth of the item's length, or less
-where the bound would not be positive.
-
-Items are collected to the driver in blocks of at most ``block_bytes`` and each block is sent to the
-executors by itself, so neither grows with the benchmark. Defined cases: null or empty texts and
-items match nothing, as do items of fewer than q bytes; texts are searched whole; repeated rows are
-searched each; an empty benchmark leaves all documents clean; extra columns are kept, but one
-named ``hits`` is replaced.
+Texts and benchmark items are compared in lower case (A-Z and U+00C0 to U+00DE) with white-space
+runs as one space. An occurrence of an item of n bytes with at most e edits, a tenth of n, shares at
+least n + 1 - q (e + 1) q-grams with it, all on diagonals (place in the text minus place in the item)
+that differ by at most e. So the q-grams of a text are looked up in an index of the items, shared
+ones are counted per item in bands of diagonals that overlap by e, and only bands that reach the
+bound are verified, by an edit-distance alignment that does not leave the band. q is 8, or for an
+item under 32 bytes the largest number for which the bound is positive, so short items are found too;
+one of under ten bytes has to occur unchanged.
+
+Items go out in blocks of at most about ``block_bytes``, whose index takes about 20 bytes a byte of
+text on the driver and in a worker, so neither grows with the benchmark. One block is searched in
+one pass; several in one pass each, whose finds are staged by the hashes of the text (two of 64 bits)
+and joined to the documents at the end. Defined cases: null or empty texts and items match nothing;
+texts are searched whole, however long; repeated rows are searched each, repeated items once; an
+empty benchmark leaves all documents clean; extra columns are kept, but one named ``hits`` is
+replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.langid import lower_latin
-from siltstone.llm.textbytes import flatten, slices
+from siltstone.llm.textbytes import HEADS, eights, flatten, lean, slices
+from siltstone.runtime import small_batches, sound_unions, stage_table
 
 Q = 8
 RATE = 0.1
@@ -55,13 +59,16 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return raw[keep], ends, keep
 
 
-def gram_keys(text: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on, as one integer."""
-    if len(text) < Q:
-        return np.empty(0, np.uint64)
-    two = text[:-1].astype(np.uint64) | text[1:].astype(np.uint64) << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    return four[:-4] | four[4:] << np.uint64(32)
+@dataclass
+class Grams:
+    """The q-grams of the items of one q: their places, ordered by the gram."""
+
+    q: int
+    present: np.ndarray
+    keys: np.ndarray  # distinct
+    firsts: np.ndarray  # of each key in items and places, and the end
+    items: np.ndarray
+    places: np.ndarray
 
 
 @dataclass
@@ -71,82 +78,107 @@ class Index:
     edits: np.ndarray
     bounds: np.ndarray
     widths: np.ndarray  # of a band, a power of two above the edits
-    present: np.ndarray
-    keys: np.ndarray
-    firsts: np.ndarray
-    items: np.ndarray
-    places: np.ndarray
+    grams: list[Grams]
+
+
+def gram_index(texts: list[bytes], chosen: np.ndarray, q: int) -> Grams:
+    sizes = np.array([len(texts[k]) for k in chosen], np.int64)
+    raw = np.frombuffer(b"".join(texts[k] for k in chosen), np.uint8)
+    counts = sizes + 1 - q
+    begin = np.repeat((np.cumsum(sizes) - sizes).astype(np.uint32), counts)
+    places = np.arange(len(begin), dtype=np.uint32) - np.repeat((np.cumsum(counts) - counts).astype(np.uint32), counts)
+    every = eights(raw)[begin + places] & HEADS[q]
+    del begin
+    order = np.argsort(every, kind="stable").astype(np.uint32)
+    every = every[order]
+    places = places[order]
+    items = np.repeat(chosen.astype(np.uint32), counts)[order]
+    del order
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    firsts = np.append(np.flatnonzero(new), len(every)).astype(np.uint32)
+    keys = every[new]
+    present = np.zeros(1 << SLOT_BITS, bool)
+    present[(keys * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)] = True
+    return Grams(q, present, keys, firsts, items, places)
 
 
 def build_index(rows: list[tuple[int, str]], rate: float = RATE) -> Index:
     ids, texts = [], []
-    for key, text in sorted((k, t) for k, t in rows if k is not None and t):
+    for key, text in sorted({(k, t) for k, t in rows if k is not None and t}):
         raw = np.frombuffer(text.encode(), np.uint8)
         clean = normalise(raw, np.array([0, len(raw)]))[0].tobytes()
-        if len(clean) >= Q:
+        if clean:
             ids.append(key)
             texts.append(clean)
     sizes = np.array([len(t) for t in texts], np.int64)
-    edits = np.minimum((rate * sizes).astype(np.int64), np.maximum(0, sizes // Q - 1))
-    keys = [gram_keys(np.frombuffer(t, np.uint8)) for t in texts]
-    every = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    items = np.repeat(np.arange(len(texts)), [len(k) for k in keys])
-    places = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.empty(0, np.int64)
-    order = np.argsort(every, kind="stable")
-    unique, firsts = np.unique(every[order], return_index=True)
-    present = np.zeros(1 << SLOT_BITS, bool)
-    present[(unique * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)] = True
+    edits = (rate * sizes).astype(np.int64)
+    q = np.minimum(Q, np.maximum(1, sizes // (edits + 1)))
     widths = 1 << np.maximum(4, np.ceil(np.log2(edits + 1)).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
-    return Index(ids, texts, edits, sizes + 1 - Q * (edits + 1), widths, present, unique, np.append(firsts, len(every)), items[order], places[order])
+    return Index(ids, texts, edits, np.maximum(1, sizes + 1 - q * (edits + 1)), widths, [gram_index(texts, np.flatnonzero(q == k), k) for k in np.unique(q).tolist()])
 
 
-def align(item: bytes, region: bytes, most: int) -> tuple[int, int, int] | None:
+_FAR = 1 << 62
+
+
+def align(item: bytes, region: bytes, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of ``item`` in ``region`` with at most ``most`` edits.
 
-    Row i of the table holds the cost of the item's first i bytes against a part of the region that
-    ends at each place; the region is the band, so nothing outside it is computed.
+    Row i holds, for each diagonal from ``low`` to ``high`` (all, if not given), the cost of the item's
+    first i bytes against a part of the region that ends i bytes behind the diagonal; nothing outside
+    the band is computed. Cost and start are packed, so that a minimum carries its start along.
     """
     at = region.find(item)
     if at >= 0:
         return 0, at, at + len(item)
-    text = np.frombuffer(region, np.uint8)
-    n = len(text)
-    rise = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), rise.copy()
+    if not most:
+        return None
+    n = len(region)
+    low, high = max(-len(item), -most if low is None else low), min(n, n - len(item) + most if high is None else high)
+    if high < low:
+        return None
+    # Place j of the region is padded[j + len(item)].
+    padded = np.full(n + 2 * len(item) + 1, 256, np.int16)
+    padded[len(item) : len(item) + n] = np.frombuffer(region, np.uint8)
+    diagonals = np.arange(low, high + 1)
+    rise = np.arange(len(diagonals)) << 32
+    cell = np.where((diagonals >= 0) & (diagonals <= n), diagonals, _FAR)
     for i, byte in enumerate(item, 1):
-        # (cost, start) are packed, so that a minimum carries its start along.
-        swap = np.empty(n + 1, np.int64)
-        swap[0] = (cost[0] + 1) << 32 | start[0]
-        swap[1:] = np.minimum((cost[:-1] + (text != byte)) << 32 | start[:-1], (cost[1:] + 1) << 32 | start[1:])
-        best = np.minimum.accumulate(swap - (rise << 32)) + (rise << 32)
-        cost, start = best >> 32, best & 0xFFFFFFFF
-        if cost.min() > most:
+        new = cell + ((padded[low + i - 1 + len(item) : high + i + len(item)] != byte).astype(np.int64) << 32)
+        new[:-1] = np.minimum(new[:-1], cell[1:] + (1 << 32))
+        cell = np.minimum.accumulate(new - rise) + rise
+        if low + i < 0:
+            cell[: -(low + i)] = _FAR
+        if high + i > n:
+            cell[n - high - i :] = _FAR
+        cell = np.minimum(cell, _FAR)
+        if not len(cell) or cell.min() >> 32 > most:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= most else None
+    k = int((cell >> 32).argmin())
+    cost, start = int(cell[k]) >> 32, int(cell[k]) & 0xFFFFFFFF
+    return (cost, start, low + k + len(item)) if cost <= most else None
 
 
-def candidates(index: Index, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def candidates(index: Index, grams: Grams, chunks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows (text number, item, first diagonal of the band) whose shared q-grams reach the bound."""
     none = np.empty((0, 3), np.int64)
-    keys = gram_keys(text)
-    if not len(keys) or not len(index.keys):
-        return none
-    at = np.flatnonzero(index.present[(keys * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)])
-    place = np.minimum(np.searchsorted(index.keys, keys[at]), len(index.keys) - 1)
-    good = index.keys[place] == keys[at]
+    keys = chunks & HEADS[grams.q]
+    at = np.flatnonzero(grams.present[(keys * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)])
+    place = np.minimum(np.searchsorted(grams.keys, keys[at]), len(grams.keys) - 1)
+    good = grams.keys[place] == keys[at]
     at, place = at[good], place[good]
     doc = np.searchsorted(offsets, at, side="right") - 1
-    inside = at + Q <= offsets[doc + 1]
+    inside = at + grams.q <= offsets[doc + 1]
     at, place, doc = at[inside], place[inside], doc[inside]
-    count = index.firsts[place + 1] - index.firsts[place]
+    first = grams.firsts[place].astype(np.int64)
+    count = grams.firsts[place + 1] - first
     total = int(count.sum())
     if not total:
         return none
     which = np.repeat(np.arange(len(at)), count)
-    entry = index.firsts[place][which] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    item = index.items[entry]
-    diagonal = at[which] - offsets[doc[which]] - index.places[entry]
+    entry = first[which] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    item = grams.items[entry].astype(np.int64)
+    diagonal = at[which] - offsets[doc[which]] - grams.places[entry]
     width = index.widths[item]
     band = diagonal // width
     twice = diagonal - band * width < index.edits[item]  # also in the band before, which reaches as far
@@ -164,47 +196,80 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict
     """For each text, the best verified occurrence of each item, in byte places of the given texts."""
     text, ends, source = normalise(raw, offsets)
     found: list[dict[int, tuple]] = [{} for _ in range(len(offsets) - 1)]
-    for doc, item, diagonal in candidates(index, text, ends).tolist():
-        most, size = int(index.edits[item]), len(index.texts[item])
-        begin = max(int(ends[doc]), int(ends[doc]) + diagonal - most)
-        stop = min(int(ends[doc + 1]), int(ends[doc]) + diagonal + int(index.widths[item]) + 2 * most + size)
-        got = align(index.texts[item], text[begin:stop].tobytes(), most)
-        if got is not None:
-            edits, a, b = got
-            hit = (edits, int(source[begin + a] - offsets[doc]), int(source[begin + b - 1] - offsets[doc]) + 1)
-            found[doc][item] = min(hit, found[doc].get(item, hit))
+    chunks = eights(text)[: len(text)] if index.grams and len(text) else None
+    for grams in index.grams if chunks is not None else ():
+        for doc, item, diagonal in candidates(index, grams, chunks, ends).tolist():
+            most, size = int(index.edits[item]), len(index.texts[item])
+            if found[doc].get(item, (1,))[0] == 0:
+                continue  # bands rise, so an unchanged occurrence before this one stands
+            low, high = diagonal - most, diagonal + int(index.widths[item]) + 2 * most
+            begin = max(0, low)
+            stop = min(int(ends[doc + 1] - ends[doc]), high + size)
+            begin, stop = begin + int(ends[doc]), stop + int(ends[doc])
+            got = align(index.texts[item], text[begin:stop].tobytes(), most, low - begin + int(ends[doc]), high - begin + int(ends[doc]))
+            if got is not None:
+                edits, a, b = got
+                hit = (edits, int(source[begin + a] - offsets[doc]), int(source[begin + b - 1] - offsets[doc]) + 1)
+                found[doc][item] = min(hit, found[doc].get(item, hit))
     return [[{"item_id": index.item_ids[i], "start": h[1], "end": h[2], "edits": h[0]} for i, h in sorted(f.items())] for f in found]
 
 
-def _annotator(shared, names: list[str]):
+def _annotator(shared, keep: list[int]):
+    """Appends the hits to the columns at ``keep``."""
+
     def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         index: Index = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                raw, offsets = flatten(part.column("text"))
-                hits = pa.array(search(index, raw, offsets), HIT_ARROW)
-                if "hits" in names:
-                    before = part.column("hits").to_pylist()
-                    hits = pa.array([(a or []) + (b or []) for a, b in zip(before, hits.to_pylist(), strict=True)], HIT_ARROW)
-                columns = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "hits"]
-                yield pa.RecordBatch.from_arrays([*columns, hits], [*[n for n in names if n != "hits"], "hits"])
+                hits = pa.array(search(index, *flatten(part.column("text"))), HIT_ARROW)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], hits], [*[part.schema.names[k] for k in keep], "hits"])
 
     return annotate
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = 32 << 20) -> DataFrame:
+def _with_hits(docs: DataFrame, shared) -> DataFrame:
+    keep = [k for k, c in enumerate(docs.columns) if c != "hits"]
+    return docs.mapInArrow(_annotator(shared, keep), T.StructType([*[docs.schema.fields[k] for k in keep], T.StructField("hits", HIT)]))
+
+
+def _spare(columns: list[str], name: str) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = 4 << 20) -> DataFrame:
     """Add ``hits`` to every row: the items that occur in its text, with byte places and edits."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    small_batches(spark)
+    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    out = docs.drop("hits")
-    for k in range(blocks):
+
+    def block(k: int):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in rows], rate))
-        schema = T.StructType([*[f for f in out.schema.fields if f.name != "hits"], T.StructField("hits", HIT)])
-        out = out.mapInArrow(_annotator(shared, out.columns), schema)
-    return out
+        return spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in rows], rate))
+
+    if blocks == 1:
+        return _with_hits(docs, block(0))
+    docs = docs.drop("hits")
+    a, b = _spare(docs.columns, "text_a"), _spare(docs.columns, "text_b")
+    marks = [F.xxhash64("text").alias(a), F.xxhash64("text", F.lit(1)).alias(b)]
+    found = []
+    for k in range(blocks):
+        shared = block(k)
+        texts = docs.select("text", *marks).where(F.col("text").isNotNull())
+        found.append(stage_table(_with_hits(texts, shared).where(F.size("hits") > 0).select(a, b, F.explode("hits").alias("hit")).distinct(), "hits"))
+        shared.destroy()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    sound_unions(spark)
+    # Staged, so that the join below has two plain sides, whose frequent texts can be dealt out.
+    lists = stage_table(every.groupBy(a, b).agg(F.sort_array(F.collect_list("hit")).alias("hits")), "hits")
+    joined = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64("text", F.lit(1))}).join(lists, [a, b], "left")
+    return joined.select(*docs.columns, F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

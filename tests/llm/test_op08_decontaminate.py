@@ -85,3 +85,48 @@ def test_blocks_give_the_same(spark, odd_docs):
         return sorted((str(r["doc_id"]), sorted(h["item_id"] for h in r["hits"])) for r in d.annotate(odd_docs, bench, block_bytes=block).collect())
 
     assert hits(1 << 20) == hits(300)
+
+
+def test_banded_alignment_against_the_whole_table():
+    r = random.Random(4)
+    for k in range(400):
+        item = "".join(r.choice("abc") for _ in range(r.randint(3, 40)))
+        region = edited("".join(r.choice("abc") for _ in range(r.randint(0, 30))) + item + "".join(r.choice("abc") for _ in range(r.randint(0, 30))), r.randint(0, 6), k) or "a"
+        least = distance_in(item, region)
+        got = d.align(item.encode(), region.encode(), 6)
+        assert (got is None) == (least > 6) and (got is None or got[0] == least)
+        if got is not None:
+            cost, a, b = got
+            assert distance_in(item, region[a:b]) == cost
+            band = d.align(item.encode(), region.encode(), 6, a - 6, a + 6)
+            assert band is not None and band[0] == cost
+    assert d.align(b"abcdefghij", b"zzzzzzzzzzabcdefghXj", 1, -3, 3) is None  # its diagonal is 10
+
+
+def test_short_items(spark):
+    """Items of 1 to 45 bytes have their whole edit budget, a tenth of their bytes."""
+    r = random.Random(8)
+    items = [(n, "".join(r.choice("abcdefgh") for _ in range(n))) for n in range(1, 46)]
+    index = d.build_index(items)
+    assert index.edits.tolist() == [n // 10 for n in range(1, 46)] and (index.bounds > 0).all()
+    texts = [edited(t, r.randint(0, n // 10), k) for k, (n, t) in enumerate(items)] + ["".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(60)]
+    texts = ["xyz" * (k % 4) + t + "yx" * (k % 3) for k, t in enumerate(texts)]
+    raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = {(k, h["item_id"]): h["edits"] for k, hits in enumerate(d.search(index, raw, offsets)) for h in hits}
+    want = {(k, i): n for k, t in enumerate(texts) for i, item in items if (n := distance_in(item, t)) <= i // 10}
+    assert got == want
+
+
+def test_blocks_keep_rows_columns_and_hits(spark, odd_docs):
+    bench = spark.createDataFrame([(k, prose(k, 25)) for k in range(20)] + [(None, prose(1, 25)), (1, prose(1, 25))], "item_id long, text string")
+    docs = odd_docs.withColumn("text_a", F.lit(1)).withColumn("hits", F.lit("clash"))
+    whole, parts = (sorted(str(r) for r in d.annotate(docs, bench, block_bytes=b).collect()) for b in (1 << 20, 300))
+    assert whole == parts and len(whole) == odd_docs.count()
+
+
+def test_index_is_small():
+    import pickle
+
+    text = prose(5, 40_000)
+    rows = [(k, text[k * 500 : k * 500 + 500]) for k in range(len(text) // 500)]
+    assert len(pickle.dumps(d.build_index(rows))) < 24 * len(text) + (2 << 20)

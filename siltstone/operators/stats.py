@@ -8,6 +8,7 @@ parallel, and any SQL engine with SHA-256 can replay them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ def draw(seed: Column, parts: list[Column], size: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size
 
 
-def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str], resamples: int, seed: int, by: list[str] | None = None) -> DataFrame:
-    """(by..., resample, mean): means of resamples drawn with replacement inside each stratum and pooled.
+def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str], resamples: int, seed: int, by: list[str] | None = None, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
+    """(by..., resample, mean): the mean, or another statistic, of resamples drawn with replacement inside each stratum and pooled.
 
     ``order`` numbers the rows of a stratum and must be unique in it; ``by`` are keys of separate bootstraps.
     """
@@ -59,7 +60,7 @@ def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str]
     draws = draws.select(*keys, "resample", draw(F.lit(str(seed)), [names, F.col("resample"), F.col("_i")], F.col("_n")).alias("_i"))
     values = rows.drop("_n")
     picked = draws.join(F.broadcast(values) if small(rows) else values, [*keys, "_i"])
-    return picked.groupBy(*by, "resample").agg(F.avg("_v").alias("mean"))
+    return picked.groupBy(*by, "resample").agg(statistic("_v").alias("mean"))
 
 
 def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.95, last: bool = True, places: tuple[int, int] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.runtime import sound_unions
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("texts", "evaluation", "statistics", "runs", "contexts", "stores", "studies", "assessment")
+MODULES = ("texts", "evaluation", "statistics", "runs", "contexts", "stores", "studies", "assessment", "reviews")
 
 
 def _plans():

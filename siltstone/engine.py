@@ -207,9 +207,9 @@ class Engine:
                 omitted += 1
         return blocks, omitted
 
-    def ask(self, text: str, limit: int = 5) -> dict:
+    def ask(self, text: str, limit: int = 5, budget: int | None = None) -> dict:
         """Answer with citations out of the metadata; without evidence the model is not asked."""
-        blocks, omitted = self.context(text, limit)
+        blocks, omitted = self.context(text, limit, budget or context.BUDGET)
         citations = [{"source_file": b["source_file"], "qualified_name": b["qualified_name"], "start_line": b["start_line"], "end_line": b["end_line"]} for b in blocks]
         if not blocks:
             return {"status": "no_evidence", "answer": NO_EVIDENCE, "citations": [], "omitted": omitted}

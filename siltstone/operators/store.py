@@ -7,15 +7,13 @@ failure before it leaves the active generation as it was.
 from __future__ import annotations
 
 import json
-import os
 import re
-import shutil
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.folder import Folder
 from siltstone.schemas import IntegrityError, assert_empty, assert_unique
 
 POINTER_KEYS = frozenset(["generation", "dimensions", "model", "endpoint_sha256", "schema_version"])
@@ -64,23 +62,25 @@ def reusable_vectors(chunks: DataFrame, vectors: DataFrame, model: str, dimensio
 
 
 class Store:
-    """Generations under ``root``; readers resolve the pointer before they plan."""
+    """Generations under ``root``, in any store that Spark reaches; readers resolve the pointer before they plan."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+    POINTER = "active.json"
 
-    @property
-    def pointer_path(self) -> Path:
-        return self.root / "active.json"
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.folder = spark, Folder(spark, str(root))
 
     def active(self) -> dict | None:
         """The pointer, validated; None before the first activation."""
-        if not self.pointer_path.exists():
+        text = self.folder.read(self.POINTER)
+        if text is None:
             return None
-        pointer = json.loads(self.pointer_path.read_text())
+        try:
+            pointer = json.loads(text)
+        except ValueError as bad:
+            raise IntegrityError("the pointer is damaged") from bad
         if not isinstance(pointer, dict) or set(pointer) != POINTER_KEYS or not re.fullmatch("[0-9a-f]{32}", str(pointer["generation"])):
             raise IntegrityError("the pointer is damaged")
-        if pointer["schema_version"] != SCHEMA_VERSION or not (self.root / f"gen-{pointer['generation']}").is_dir():
+        if pointer["schema_version"] != SCHEMA_VERSION or not self.folder.exists(f"gen-{pointer['generation']}"):
             raise IntegrityError("the pointer names no readable generation")
         return pointer
 
@@ -88,24 +88,24 @@ class Store:
         pointer = self.active()
         if pointer is None:
             raise IntegrityError("nothing is indexed yet")
-        return self.spark.read.parquet(str(self.root / f"gen-{pointer['generation']}" / table))
+        return self.spark.read.parquet(self.folder.join(f"gen-{pointer['generation']}/{table}"))
 
     def stage(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame, identity: dict) -> dict:
         """Write a new generation and verify it; nothing is live yet. ``identity`` is that of the embedding provider."""
         generation = uuid.uuid4().hex
-        folder = self.root / f"gen-{generation}"
+        name = f"gen-{generation}"
         try:
-            for name, rows in (("files", files), ("chunks", chunks), ("vectors", vectors)):
-                rows.write.mode("errorifexists").parquet(str(folder / name))
-            self.verify(folder, identity["dimensions"])
+            for table, rows in (("files", files), ("chunks", chunks), ("vectors", vectors)):
+                rows.write.mode("errorifexists").parquet(self.folder.join(f"{name}/{table}"))
+            self.verify(self.folder.join(name), identity["dimensions"])
         except BaseException:
-            shutil.rmtree(folder, ignore_errors=True)
+            self.folder.delete(name)
             raise
         return {"generation": generation, **identity, "schema_version": SCHEMA_VERSION}
 
-    def verify(self, folder: Path, dimensions: int) -> None:
+    def verify(self, folder: str, dimensions: int) -> None:
         """Unique keys, equal id sets of chunks and vectors, and one vector size."""
-        chunks, vectors = self.spark.read.parquet(str(folder / "chunks")), self.spark.read.parquet(str(folder / "vectors"))
+        chunks, vectors = self.spark.read.parquet(f"{folder}/chunks"), self.spark.read.parquet(f"{folder}/vectors")
         assert_unique(chunks, ["chunk_id"])
         assert_unique(vectors, ["chunk_id"])
         assert_empty(symmetric_difference(chunks.select("chunk_id"), vectors.select("chunk_id")), "chunks and vectors differ")
@@ -116,23 +116,18 @@ class Store:
         now = self.active()
         if (now["generation"] if now else None) != expected:
             raise IntegrityError("another generation went live meanwhile")
-        partial = self.pointer_path.with_suffix(".partial")
-        with partial.open("w") as f:
-            f.write(json.dumps(staged, sort_keys=True))
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(partial, self.pointer_path)
+        self.folder.replace(self.POINTER, json.dumps(staged, sort_keys=True))
 
     def discard(self, staged: dict) -> None:
         now = self.active()
         if now is None or now["generation"] != staged["generation"]:
-            shutil.rmtree(self.root / f"gen-{staged['generation']}", ignore_errors=True)
+            self.folder.delete(f"gen-{staged['generation']}")
 
     def clean(self) -> list[str]:
         """Remove generations that the pointer does not name."""
         now = self.active()
         keep = f"gen-{now['generation']}" if now else ""
-        gone = [p for p in sorted(self.root.glob("gen-*")) if p.name != keep]
-        for p in gone:
-            shutil.rmtree(p)
-        return [p.name for p in gone]
+        gone = [n for n in self.folder.children() if n.startswith("gen-") and n != keep]
+        for name in gone:
+            self.folder.delete(name)
+        return gone

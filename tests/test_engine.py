@@ -69,7 +69,7 @@ def test_failure_keeps_the_active_index(spark, repo, tmp_path, monkeypatch):
     with pytest.raises(IntegrityError):
         engine.index(str(repo))
     assert engine.store.active() == before and engine.store.read("chunks").count() == 3
-    engine.store.pointer_path.write_text(json.dumps({"generation": "x"}))
+    (tmp_path / "index/active.json").write_text(json.dumps({"generation": "x"}))
     with pytest.raises(IntegrityError):
         engine.store.active()
 

@@ -12,12 +12,13 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import code
-from siltstone.operators import context, embed, rank, store
+from siltstone.operators import assess, context, embed, rank, store
 from siltstone.runtime import sound_unions, stage_table
 from siltstone.schemas import IntegrityError, assert_empty
 from siltstone.sources import repository
@@ -189,6 +190,27 @@ class Engine:
         one = self.spark.createDataFrame([("q", text)], "question_id string, text string")
         return self._search(one, lambda: self.spark.createDataFrame([("q", self.asked.vector(text))], "chunk_id string, vector array<double>"), method, limit).orderBy("rank")
 
+    def evaluate(self, questions: DataFrame, expected: DataFrame, methods: tuple[str, ...] = METHODS, limit: int = 20) -> dict[str, DataFrame]:
+        """Search all questions with every method and assess the rankings.
+
+        ``questions``: (question_id, text, language, repository, category, pair_id, side); ``expected``:
+        (question_id, source_file, qualified_name, start_line, end_line), of which a hit has all, where
+        no name equals no name. The tables are those of ``assess.study``, and the predictions.
+        """
+        if set(methods) - set(METHODS):
+            raise ValueError(f"the methods must be some of {METHODS}")
+        hits = [self.search_many(questions, method, limit).select("question_id", F.lit(method).alias("method"), "rank", "chunk_id", "source_file", "qualified_name", "start_line", "end_line") for method in methods]
+        predictions = stage_table(reduce(DataFrame.unionByName, hits), "predictions")
+        chunks = self._chunks().select("chunk_id", "source_file", "qualified_name", "start_line", "end_line").alias("c")
+        key = ("source_file", "qualified_name", "start_line", "end_line")
+        same = reduce(lambda a, b: a & b, [F.col(f"e.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key])
+        # An expected citation that no chunk has can never be found, but counts among the expected.
+        gold = expected.select(F.col("question_id").cast("string").alias("question_id"), *key).distinct().alias("e").join(chunks, same, "left")
+        gold = gold.select("e.question_id", F.coalesce("c.chunk_id", F.concat(F.lit("none "), F.sha2(F.to_json(F.struct(*[f"e.{k}" for k in key])), 256))).alias("chunk_id")).distinct()
+        asked = questions.drop("text").withColumn("question_id", F.col("question_id").cast("string"))
+        r = stage_table(assess.records(asked, methods, predictions.withColumn("question_id", F.col("question_id").cast("string")), gold), "records")
+        return assess.study(r, methods[0], methods[-1]) | {"predictions": predictions}
+
     # Answers
 
     def context(self, text: str, limit: int = 5, budget: int = context.BUDGET) -> tuple[list, int]:

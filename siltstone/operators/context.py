@@ -73,15 +73,26 @@ def prompt_blocks(blocks: DataFrame, group: str, text: str) -> DataFrame:
 def best_window(lines: DataFrame, group: str, budget: int) -> DataFrame:
     """(group, start_line, end_line, score, chars): the contiguous lines of most score under the budget.
 
-    ``lines``: (group, line, chars, score). Ties go to fewer characters, then the earlier start. Prefix
-    sums are compared inside each group only.
+    ``lines``: (group, line, chars, score), scores not negative. Ties go to fewer characters, then the
+    earlier start. The furthest end under the budget of each start is found by one sort of a group's
+    starts and ends by their running lengths, so a group costs its length, not its square.
     """
     w = Window.partitionBy(group).orderBy("line")
     sums = lines.withColumn("c", F.sum("chars").over(w)).withColumn("s", F.sum("score").over(w))
-    ends = sums.select(group, F.col("line").alias("end_line"), F.col("c").alias("c1"), F.col("s").alias("s1"))
-    starts = sums.select(group, F.col("line").alias("start_line"), (F.col("c") - F.col("chars")).alias("c0"), (F.col("s") - F.col("score")).alias("s0"))
-    spans = starts.join(ends, group).where((F.col("end_line") >= F.col("start_line")) & (F.col("c1") - F.col("c0") <= budget))
-    spans = spans.select(group, "start_line", "end_line", (F.col("s1") - F.col("s0")).alias("score"), (F.col("c1") - F.col("c0")).alias("chars"))
+    # The first line that reaches a running score: the shortest window of that score ends there.
+    same = Window.partitionBy(group, "s")
+    sums = sums.withColumns({"first": F.min("line").over(same), "first_c": F.min("c").over(same)})
+    end = F.struct("line", "s", "first", "first_c")
+    ends = sums.select(group, F.col("c").alias("at"), F.lit(0).alias("kind"), end.alias("end"), F.lit(None).cast("struct<line:bigint,c:bigint,c0:bigint,s0:bigint>").alias("start"))
+    start = F.struct(F.col("line").cast("bigint").alias("line"), F.col("c").cast("bigint").alias("c"), (F.col("c") - F.col("chars")).cast("bigint").alias("c0"), (F.col("s") - F.col("score")).cast("bigint").alias("s0"))
+    starts = sums.select(group, (F.col("c") - F.col("chars") + budget).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends.schema["end"].dataType).alias("end"), start.alias("start"))
+    reach = F.max("end").over(Window.partitionBy(group).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    met = ends.unionAll(starts).withColumn("reach", reach).where("kind = 1 AND reach.line >= start.line")
+    alone = F.col("reach.first") < F.col("start.line")  # nothing is gained: the start line by itself
+    spans = met.select(
+        group, F.col("start.line").alias("start_line"), F.when(alone, F.col("start.line")).otherwise(F.col("reach.first")).alias("end_line"),
+        (F.col("reach.s") - F.col("start.s0")).alias("score"), (F.when(alone, F.col("start.c")).otherwise(F.col("reach.first_c")) - F.col("start.c0")).alias("chars"),
+    )
     return dedupe_first(spans, [group], [F.desc("score"), F.asc("chars"), F.asc("start_line")])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
+from siltstone.runtime import stage_table
 
 #: Fixed weights of the lexical fields, and the constant of reciprocal rank fusion.
 FIELD_WEIGHTS = {"qualified_name": 3, "source_file": 2, "code": 1, "embedding_text": 1}
@@ -101,7 +102,8 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
 
     ``queries`` and ``vectors``: (chunk_id, vector). The queries are taken in blocks of QUERY_BLOCK,
     each multiplied with the vectors batch by batch where these lie; a batch sends on its best k for
-    each query. Memory and broadcast are bounded by the block whatever the number of queries.
+    each query. Several blocks run one after another, each with its best rows staged before the next
+    is fetched, so memory and broadcast are bounded by the block whatever the number of queries.
     """
     spark = vectors.sparkSession
     types = [r.schema["chunk_id"].dataType for r in (queries, vectors)]
@@ -115,6 +117,8 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
             continue
         block = np.array([list(r["vector"]) for r in rows], np.float64)
         part = vectors.select("chunk_id", "vector").mapInArrow(_block_scores([r["chunk_id"] for r in rows], block, metric, k, kinds), schema)
+        if blocks > 1:
+            part = stage_table(top_k(part.where("question_id <> chunk_id") if exclude_self else part, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k).drop("rank"), "nearest")
         found = part if found is None else found.unionAll(part)
     if found is None:
         return spark.createDataFrame([], f"{schema}, rank int")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.stats import percentile_nearest
+from siltstone.runtime import numbered
 
 
 def latency_summary(value: str = "value") -> list[Column]:
@@ -39,7 +40,7 @@ def consistency(rankings: DataFrame, expected: int, keys: list[str]) -> DataFram
 def hash_schedule(runs: DataFrame, seed: str, parts: list[str], name: str = "place") -> DataFrame:
     """A reproducible order of all runs, by the SHA-256 of seed and key."""
     digest = F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") for p in parts]), 256)
-    return runs.withColumn("digest", digest).withColumn(name, F.row_number().over(Window.orderBy("digest", *parts)))
+    return numbered(runs.withColumn("digest", digest), ["digest", *parts], name)
 
 
 def list_cost(prompt: Column, cached: Column, completion: Column, available: Column, prices: tuple[float, float, float]) -> Column:

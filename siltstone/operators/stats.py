@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.rank import small
-from siltstone.runtime import session_partitions
+from siltstone.runtime import numbered, session_partitions
 
 
 def average_rank(value: Column, partition: list[str], by: Column | None = None) -> Column:
@@ -48,11 +48,13 @@ def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str]
     """
     by = by or []
     keys = [*by, *strata]
-    one = values if keys else values.withColumn("_all", F.lit(0))
-    keys = keys or ["_all"]
-    w = Window.partitionBy(*keys)
-    numbered = one.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    rows = numbered.select(*keys, "_i", "_n", F.col(value).alias("_v"))
+    if keys:
+        w = Window.partitionBy(*keys)
+        placed = values.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    else:
+        keys, placed = ["_all"], numbered(values, order, "_place").withColumns({"_all": F.lit(0), "_i": F.col("_place") - 1})
+        placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("_n"))))  # one row
+    rows = placed.select(*keys, "_i", "_n", F.col(value).alias("_v"))
     # A row becomes as many draws as there are resamples, so rows of one stratum are dealt out first.
     dealt = rows.repartition(session_partitions(rows.sparkSession), *keys, "_i")
     draws = dealt.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import assess
 from siltstone.operators import metrics as m
+from siltstone.operators.assess import DEPTHS, GATES, METRICS
 from siltstone.plans.standins import OUTCOMES, judged, questions, table
 
 QUERIES, SQL = {}, {}
 NEAR = 60
-DEPTHS = (1, 3, 5, 10, 20)
 
 
 def query(sql: str | None):
@@ -39,18 +40,11 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for every question and method: first_rank, found_k, n_expected, recall_k, failed, latency_ms and slices."""
-    gold = expected(spark, sf_dir)
-    ranked = judged(spark, sf_dir).select("question_id", "method", "rank", "chunk_id").join(gold.withColumn("is_gold", F.lit(True)), ["question_id", "chunk_id"], "left")
-    found = [F.count_if(F.col("is_gold") & (F.col("rank") <= k)).alias(f"found_{k}") for k in DEPTHS]
-    per = ranked.groupBy("question_id", "method").agg(F.min(F.when(F.col("is_gold"), F.col("rank"))).alias("first_rank"), *found)
-    methods = F.explode(F.array(*map(F.lit, ("cosine", "l2", "fused")))).alias("method")
-    runs = questions(spark, sf_dir).select("*", methods).join(gold.groupBy("question_id").agg(F.count("*").alias("n_expected")), "question_id", "left")
-    runs = runs.join(per, ["question_id", "method"], "left").withColumn("failed", (F.col("method") == "l2") & (F.col("question_id") % 140 == 20))
-    runs = runs.withColumn("n_expected", F.coalesce("n_expected", F.lit(0))).withColumn("first_rank", F.when(~F.col("failed"), F.col("first_rank")))
-    runs = runs.withColumns({f"found_{k}": F.when(F.col("failed"), 0).otherwise(F.coalesce(f"found_{k}", F.lit(0))) for k in DEPTHS})
-    share = {f"recall_{k}": F.when(F.col("n_expected") > 0, F.col(f"found_{k}") / F.col("n_expected")).otherwise(0.0) for k in DEPTHS}
-    return runs.withColumns(share).withColumn("latency_ms", 10.0 + (F.col("question_id") / 20 * 7).cast("long") % 23 + F.length("method"))
+    """Records of the three methods, with a made-up latency."""
+    asked = questions(spark, sf_dir).withColumn("side", F.when(F.col("question_id") % 40 == 0, "en").otherwise("fa"))
+    failed = (F.col("method") == "l2") & (F.col("question_id") % 140 == 20)
+    r = assess.records(asked, ("cosine", "l2", "fused"), judged(spark, sf_dir), expected(spark, sf_dir), failed)
+    return r.withColumn("latency_ms", 10.0 + (F.col("question_id") / 20 * 7).cast("long") % 23 + F.length("method"))
 
 
 RECORDS = f"""{OUTCOMES},
@@ -64,23 +58,13 @@ rec AS (SELECT * EXCLUDE (fr, {", ".join(f"f{k}" for k in DEPTHS)}), CASE WHEN N
 
 SHARE = "round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0 END), 6) AS top_{k}"
 FIVE = f"{SHARE.format(k=1)}, {SHARE.format(k=3)}, round(avg(CASE WHEN first_rank <= 10 THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr_at_10, round(avg(recall_3), 6) AS evidence_recall_at_3, round(avg(recall_10), 6) AS evidence_recall_at_10"
-METRICS = ("top_1", "top_3", "mrr_at_10", "evidence_recall_at_3", "evidence_recall_at_10")
-
-
-def five() -> list[Column]:
-    """The five metrics that gates and comparisons look at."""
-    r = F.col("first_rank")
-    return [m.rate(r <= 1).alias("top_1"), m.rate(r <= 3).alias("top_3"), m.mrr(10).alias("mrr_at_10"), m.rounded(F.avg("recall_3")).alias("evidence_recall_at_3"), m.rounded(F.avg("recall_10")).alias("evidence_recall_at_10")]
 
 
 @query(f"""WITH {RECORDS} SELECT method, count(*) AS questions, count(*) FILTER (WHERE failed) AS failures, {", ".join(SHARE.format(k=k) for k in (1, 3, 5, 20))}, {", ".join(f"round(avg(recall_{k}), 6) AS recall_{k}" for k in (1, 3, 5, 20))},
 round(avg(CASE WHEN first_rank IS NOT NULL THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr, count(*) FILTER (WHERE first_rank = 1) AS rank_1, count(*) FILTER (WHERE first_rank BETWEEN 2 AND 5) AS rank_2_5, count(*) FILTER (WHERE first_rank BETWEEN 6 AND 20) AS rank_6_20, count(*) FILTER (WHERE first_rank IS NULL OR first_rank > 20) AS not_found FROM rec GROUP BY method""")
 def retrieval_metrics_full(spark, sf):
     """Hit rates and recall at four cut-offs, MRR, rank distribution and failures of each method."""
-    r = F.col("first_rank")
-    spread = {"rank_1": r == 1, "rank_2_5": r.between(2, 5), "rank_6_20": r.between(6, 20), "not_found": r.isNull() | (r > 20)}
-    columns = [m.rate(r <= k).alias(f"top_{k}") for k in (1, 3, 5, 20)] + [m.rounded(F.avg(f"recall_{k}")).alias(f"recall_{k}") for k in (1, 3, 5, 20)]
-    return records(spark, sf).groupBy("method").agg(F.count("*").alias("questions"), F.count_if("failed").alias("failures"), *columns, m.mrr().alias("mrr"), *[F.count_if(c).alias(k) for k, c in spread.items()])
+    return assess.retrieval_metrics(records(spark, sf), ["method"])
 
 
 CONFIGURED = f"WITH {RECORDS}, cfg AS (SELECT 'depth_20' AS configuration, * FROM rec UNION ALL SELECT 'depth_5', * REPLACE (CASE WHEN first_rank <= 5 THEN first_rank END AS first_rank, recall_5 AS recall_10) FROM rec)"
@@ -93,71 +77,30 @@ def baseline_by_configuration(spark, sf):
     r = records(spark, sf)
     shallow = r.withColumn("first_rank", F.when(F.col("first_rank") <= 5, F.col("first_rank"))).withColumn("recall_10", F.col("recall_5"))
     both = r.withColumn("configuration", F.lit("depth_20")).unionByName(shallow.withColumn("configuration", F.lit("depth_5")))
-    sets = [[], ["language"], ["repository"], ["category"], ["repository", "language"]]
-    return both.groupingSets([["configuration", "method", *s] for s in sets], "configuration", "method", "language", "repository", "category").agg(F.count("*").alias("questions"), F.count_if("failed").alias("failures"), *five())
-
-
-def reached(rank: Column, at: Column | int) -> Column:
-    return F.coalesce(rank <= at, F.lit(False))
-
-
-def change(before: Column, after: Column, at: Column | int) -> Column:
-    """repair, regression, unchanged_success or unchanged_fail at a threshold."""
-    a, b = reached(before, at), reached(after, at)
-    return F.when(~a & b, "repair").when(a & ~b, "regression").when(a & b, "unchanged_success").otherwise("unchanged_fail")
+    return assess.baseline_slices(both, ["configuration", "method"])
 
 
 CHANGE = "CASE WHEN NOT coalesce({a} <= {t}, false) AND coalesce({b} <= {t}, false) THEN 'repair' WHEN coalesce({a} <= {t}, false) AND NOT coalesce({b} <= {t}, false) THEN 'regression' WHEN coalesce({a} <= {t}, false) THEN 'unchanged_success' ELSE 'unchanged_fail' END"
 SIDES = "CASE WHEN coalesce({a} <= {t}, false) AND coalesce({b} <= {t}, false) THEN 'both' WHEN coalesce({a} <= {t}, false) THEN 'english_only' WHEN coalesce({b} <= {t}, false) THEN 'persian_only' ELSE 'neither' END"
 
 
-def sides(en: Column, fa: Column, at: Column | int) -> Column:
-    a, b = reached(en, at), reached(fa, at)
-    return F.when(a & b, "both").when(a, "english_only").when(b, "persian_only").otherwise("neither")
-
-
-def by_threshold(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("threshold", F.explode(F.array(*map(F.lit, m.THRESHOLDS))))
-
-
 @query(f"""WITH {RECORDS}, p AS (SELECT b.method AS configuration, a.first_rank AS x, b.first_rank AS y FROM rec a JOIN rec b USING (question_id) WHERE a.method = 'cosine' AND b.method <> 'cosine')
 SELECT configuration, threshold, {CHANGE.format(a="x", b="y", t="threshold")} AS outcome, count(*) AS n FROM p CROSS JOIN (VALUES (1), (3), (10)) v(threshold) GROUP BY ALL""")
 def experiment_transitions_full(spark, sf):
     """Transitions of every configuration against the control at each threshold."""
-    r = records(spark, sf)
-    a = r.where("method = 'cosine'").select("question_id", F.col("first_rank").alias("x"))
-    p = by_threshold(r.where("method <> 'cosine'").select("question_id", F.col("method").alias("configuration"), F.col("first_rank").alias("y")).join(a, "question_id"))
-    return p.groupBy("configuration", "threshold", change(F.col("x"), F.col("y"), F.col("threshold")).alias("outcome")).agg(F.count("*").alias("n"))
+    return assess.transitions(records(spark, sf), "cosine")
 
 
 PAIRS = """pr AS (SELECT pair_id, method, max(CASE WHEN question_id % 40 = 0 THEN question_id END) AS en_id, max(CASE WHEN question_id % 40 <> 0 THEN question_id END) AS fa_id,
   max(CASE WHEN question_id % 40 = 0 THEN first_rank END) AS en, max(CASE WHEN question_id % 40 <> 0 THEN first_rank END) AS fa FROM rec GROUP BY ALL HAVING en_id IS NOT NULL AND fa_id IS NOT NULL)"""
 
 
-def pairs(r: DataFrame) -> DataFrame:
-    """Both questions of each pair side by side, for every method."""
-    english = F.col("question_id") % 40 == 0
-    side = [F.max(F.when(c, F.col(v))).alias(n) for c, v, n in ((english, "question_id", "en_id"), (~english, "question_id", "fa_id"), (english, "first_rank", "en"), (~english, "first_rank", "fa"))]
-    return r.groupBy("pair_id", "method").agg(*side).where("en_id IS NOT NULL AND fa_id IS NOT NULL")
-
-
 COVERAGE = "CASE WHEN recall_10 >= 1 THEN 'complete_evidence_coverage' WHEN recall_10 > 0 THEN 'partial_evidence_coverage' ELSE 'complete_evidence_miss' END"
 
 
-def covered() -> Column:
-    return F.when(F.col("recall_10") >= 1, "complete_evidence_coverage").when(F.col("recall_10") > 0, "partial_evidence_coverage").otherwise("complete_evidence_miss")
-
-
 BASES = "hy AS (SELECT h.question_id, threshold, bool_or(t = 'repair') AS repaired, bool_or(t = 'regression') AS regressed FROM (SELECT b.question_id, threshold, " + CHANGE.format(a="a.first_rank", b="b.first_rank", t="threshold") + " AS t FROM rec a JOIN rec b USING (question_id) CROSS JOIN (VALUES (1), (3), (10)) v(threshold) WHERE a.method <> 'fused' AND b.method = 'fused') h GROUP BY ALL)"
 
 
-def hybrid_changes(r: DataFrame) -> DataFrame:
-    """(question_id, threshold, repaired, regressed): whether the hybrid repairs or loses a hit of either base method."""
-    base = r.where("method <> 'fused'").select("question_id", F.col("first_rank").alias("x"))
-    p = by_threshold(r.where("method = 'fused'").select("question_id", F.col("first_rank").alias("y")).join(base, "question_id")).withColumn("t", change(F.col("x"), F.col("y"), F.col("threshold")))
-    return p.groupBy("question_id", "threshold").agg(F.bool_or(F.col("t") == "repair").alias("repaired"), F.bool_or(F.col("t") == "regression").alias("regressed"))
-
-
 @query(f"""WITH {RECORDS}, {PAIRS}, {BASES}, l AS (
 SELECT method, question_id, unnest(list_filter([CASE WHEN first_rank IS NULL OR first_rank > 1 THEN 'top1_miss' END, CASE WHEN first_rank IS NULL OR first_rank > 3 THEN 'top3_miss' END, CASE WHEN first_rank BETWEEN 4 AND 10 THEN 'late_relevant' END,
   CASE WHEN first_rank IS NULL OR first_rank > 10 THEN 'miss_at_10' END, CASE WHEN n_expected > 1 THEN {COVERAGE} END], lambda x: x IS NOT NULL)) AS label FROM rec
@@ -167,19 +110,7 @@ UNION SELECT 'fused', question_id, 'hybrid_regression_top_' || threshold FROM hy
 SELECT method, label, count(*) AS n FROM l GROUP BY ALL""")
 def diagnostic_labels_full(spark, sf):
     """Every diagnostic label of a record, counted by method."""
-    r, rank = records(spark, sf), F.col("first_rank")
-    own = F.array_compact(F.array(
-        F.when(~reached(rank, 1), "top1_miss"), F.when(~reached(rank, 3), "top3_miss"), F.when(rank.between(4, 10), "late_relevant"),
-        F.when(~reached(rank, 10), "miss_at_10"), F.when(F.col("n_expected") > 1, covered()),
-    ))
-    uneven = by_threshold(pairs(r)).where(sides(F.col("en"), F.col("fa"), F.col("threshold")).isin("english_only", "persian_only"))
-    hybrid = hybrid_changes(r)
-    parts = [
-        r.select("method", "question_id", F.explode(own).alias("label")),
-        uneven.select("method", F.explode(F.array("en_id", "fa_id")).alias("question_id"), F.lit("bilingual_disagreement").alias("label")),
-        *[hybrid.where(c).select(F.lit("fused").alias("method"), "question_id", F.concat(F.lit(f"hybrid_{n}_top_"), F.col("threshold").cast("string")).alias("label")) for c, n in (("repaired", "repair"), ("regressed", "regression"))],
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct().groupBy("method", "label").agg(F.count("*").alias("n"))
+    return assess.labels(records(spark, sf), "fused").groupBy("method", "label").agg(F.count("*").alias("n"))
 
 
 BILINGUAL_LABELS = f"""bp AS (SELECT a.pair_id, threshold, {CHANGE.format(a="a.en", b="b.en", t="threshold")} AS te, {CHANGE.format(a="a.fa", b="b.fa", t="threshold")} AS tf, {SIDES.format(a="a.en", b="a.fa", t="threshold")} AS before, {SIDES.format(a="b.en", b="b.fa", t="threshold")} AS after
@@ -190,28 +121,10 @@ bl AS (SELECT pair_id, threshold, unnest(list_filter([CASE WHEN te = 'repair' AN
   CASE WHEN before = after AND te LIKE 'unchanged%' AND tf LIKE 'unchanged%' THEN 'unchanged_agreement' END], lambda x: x IS NOT NULL)) AS label FROM bp)"""
 
 
-def bilingual_change(r: DataFrame, candidate: str) -> DataFrame:
-    """(pair_id, threshold, label) of a candidate against the control; labels may overlap."""
-    p = pairs(r)
-    a = p.where("method = 'cosine'").select("pair_id", F.col("en").alias("en_a"), F.col("fa").alias("fa_a"))
-    b = p.where(F.col("method") == candidate).select("pair_id", F.col("en").alias("en_b"), F.col("fa").alias("fa_b"))
-    t = F.col("threshold")
-    x = by_threshold(a.join(b, "pair_id")).withColumns({"te": change(F.col("en_a"), F.col("en_b"), t), "tf": change(F.col("fa_a"), F.col("fa_b"), t), "before": sides(F.col("en_a"), F.col("fa_a"), t), "after": sides(F.col("en_b"), F.col("fa_b"), t)})
-    te, tf, one, two = F.col("te"), F.col("tf"), F.col("before").endswith("_only"), F.col("after").endswith("_only")
-    still_e, still_f = te.startswith("unchanged"), tf.startswith("unchanged")
-    labels = F.array_compact(F.array(
-        F.when((te == "repair") & (tf == "repair"), "both_repaired"), F.when((tf == "repair") & still_e, "fa_repaired_en_unchanged"), F.when((te == "repair") & still_f, "en_repaired_fa_unchanged"),
-        F.when(one & ~two, "resolved_disagreement"), F.when(~one & two, "new_disagreement"),
-        F.when((te == "regression") & (tf == "regression"), "both_regression").when(te == "regression", "en_regression").when(tf == "regression", "fa_regression"),
-        F.when((F.col("before") == F.col("after")) & still_e & still_f, "unchanged_agreement"),
-    ))
-    return x.select("pair_id", "threshold", F.explode(labels).alias("label"))
-
-
 @query(f"WITH {RECORDS}, {PAIRS}, {BILINGUAL_LABELS.format(candidate='fused')} SELECT threshold, label, count(*) AS n FROM bl GROUP BY ALL")
 def bilingual_labels_full(spark, sf):
     """All labels of what a candidate changes for pairs of questions, by threshold."""
-    return bilingual_change(records(spark, sf), "fused").groupBy("threshold", "label").agg(F.count("*").alias("n"))
+    return assess.bilingual_change(records(spark, sf), "fused", "cosine").groupBy("threshold", "label").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {RECORDS}, {PAIRS}, {BASES}, c AS (
@@ -223,19 +136,7 @@ UNION ALL SELECT 'representative_late_relevant', CAST(question_id AS VARCHAR), m
 SELECT review_type || ':' || identity || ':' || scope AS review_case_id, review_type, scope FROM c""")
 def review_cases_full(spark, sf):
     """The five types of cases that a reviewer has to look at, with composite ids."""
-    r = records(spark, sf)
-
-    def case(rows: DataFrame, kind: str, identity: str, scope: Column) -> DataFrame:
-        return rows.select(F.lit(kind).alias("review_type"), F.col(identity).cast("string").alias("identity"), scope.alias("scope"))
-
-    method = F.col("method")
-    uneven = by_threshold(pairs(r)).where(sides(F.col("en"), F.col("fa"), F.col("threshold")).isin("english_only", "persian_only")).select("pair_id", "method").distinct()
-    late = r.where("first_rank BETWEEN 4 AND 10").groupBy("repository", "method").agg(F.max_by("question_id", F.struct("first_rank", -F.col("question_id"))).alias("question_id"))
-    parts = [
-        case(r.where(~reached(F.col("first_rank"), 10)), "miss_at_10", "question_id", method), case(hybrid_changes(r).where("regressed").select("question_id").distinct(), "hybrid_regression", "question_id", F.lit("hybrid")),
-        case(uneven, "bilingual_disagreement", "pair_id", method), case(r.where("n_expected > 1 AND recall_10 < 1"), "incomplete_multi_symbol", "question_id", method), case(late, "representative_late_relevant", "question_id", method),
-    ]
-    return reduce(DataFrame.unionByName, parts).select(F.concat_ws(":", "review_type", "identity", "scope").alias("review_case_id"), "review_type", "scope")
+    return assess.review_cases(records(spark, sf), "fused")
 
 
 MULTI = f"mu AS (SELECT method, count(*) AS n, count(*) FILTER (WHERE {COVERAGE} = 'complete_evidence_coverage') AS complete, count(*) FILTER (WHERE {COVERAGE} = 'complete_evidence_miss') AS missed, round(avg(recall_10), 6) AS mean_recall FROM rec WHERE n_expected > 1 GROUP BY method)"
@@ -253,39 +154,11 @@ SELECT '{candidate}' AS configuration, {" AND ".join(f"k.{x} >= c.{x}" for x in
 FROM g k JOIN g c ON k.method = '{candidate}' AND c.method = 'cosine' LEFT JOIN mu km ON km.method = '{candidate}' LEFT JOIN mu cm ON cm.method = 'cosine'"""
 
 
-GATES = ("quality", "threshold_transitions", "bilingual_stability", "multi_symbol", "performance_screen")
-
-
-def gates(r: DataFrame, candidate: str, control: str = "cosine") -> DataFrame:
-    """One row: the five gates of a candidate against the control. Each side is one aggregated row, so the joins are of single rows."""
-    chosen = F.col("method") == candidate
-
-    def at(name: str, side: str) -> Column:
-        return F.max(F.when(F.col("method") == side, F.col(name)))
-
-    g = r.groupBy("method").agg(*five(), F.round(F.avg("latency_ms"), 3).alias("mean_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_ms"))
-    keeps = reduce(lambda a, b: a & b, [at(x, candidate) >= at(x, control) for x in METRICS])
-    gains = reduce(lambda a, b: a | b, [at(x, candidate) > at(x, control) for x in METRICS])
-    one = g.agg((keeps & gains).alias("quality"), ((at("mean_ms", candidate) <= 1.25 * at("mean_ms", control)) & (at("p95_ms", candidate) <= 1.5 * at("p95_ms", control))).alias("performance_screen"))
-    before = r.where(F.col("method") == control).select("question_id", F.col("first_rank").alias("x"))
-    moved = by_threshold(r.where(chosen).select("question_id", F.col("first_rank").alias("y")).join(before, "question_id")).withColumn("t", change(F.col("x"), F.col("y"), F.col("threshold")))
-    two = moved.groupBy("threshold").agg((F.count_if(F.col("t") == "repair") >= F.count_if(F.col("t") == "regression")).alias("ok")).agg(F.bool_and("ok").alias("threshold_transitions"))
-    language = r.groupBy("language").agg(*[m.rounded(F.avg(F.when(F.col("method") == s, reached(F.col("first_rank"), 3).cast("double")))).alias(n) for n, s in (("k", candidate), ("c", control))])
-    three = language.agg(F.bool_and(F.col("k") >= F.col("c")).alias("stable"))
-    four = bilingual_change(r, candidate).agg((F.count_if(F.col("label") == "new_disagreement") <= F.count_if(F.col("label") == "resolved_disagreement")).alias("settled"))
-    several = r.where("n_expected > 1").withColumn("c", covered()).groupBy("method").agg(F.count_if(F.col("c") == "complete_evidence_coverage").alias("complete"), F.count_if(F.col("c") == "complete_evidence_miss").alias("missed"), m.rounded(F.avg("recall_10")).alias("mean_recall"))
-    holds = (at("complete", candidate) >= at("complete", control)) & (at("missed", candidate) <= at("missed", control)) & (at("mean_recall", candidate) >= at("mean_recall", control))
-    five_ = several.agg(F.coalesce(holds, F.lit(True)).alias("multi_symbol"))
-    rows = reduce(lambda a, b: a.crossJoin(b), [one, two, three, four, five_])
-    return rows.select(F.lit(candidate).alias("configuration"), "quality", "threshold_transitions", (F.col("stable") & F.col("settled")).alias("bilingual_stability"), "multi_symbol", "performance_screen")
-
-
 @query("SELECT *, " + " AND ".join(GATES) + " AS passes_all FROM (" + gate_sql("fused") + ") UNION ALL SELECT *, " + " AND ".join(GATES) + " FROM (" + gate_sql("l2") + ")")
 def selection_gates_full(spark, sf):
     """Five gates of each candidate: quality, transitions, bilingual stability, several symbols, latency."""
     r = records(spark, sf)
-    both = gates(r, "fused").unionByName(gates(r, "l2"))
-    return both.withColumn("passes_all", reduce(lambda a, b: a & b, [F.col(g) for g in GATES]))
+    return assess.gates(r, "fused", "cosine").unionByName(assess.gates(r, "l2", "cosine"))
 
 
 @query(f"""WITH {RECORDS}, g AS (SELECT method, language, repository, category, count(*) AS questions, {FIVE} FROM rec GROUP BY GROUPING SETS ((method), (method, language), (method, repository), (method, category)))
@@ -293,24 +166,14 @@ SELECT a.language, a.repository, a.category, a.questions, {", ".join(f"a.{x} AS
 FROM g a JOIN g b ON a.language IS NOT DISTINCT FROM b.language AND a.repository IS NOT DISTINCT FROM b.repository AND a.category IS NOT DISTINCT FROM b.category WHERE a.method = 'cosine' AND b.method = 'fused'""")
 def arm_slices(spark, sf):
     """Control, treatment and difference of the five metrics in every slice."""
-    keys = ("language", "repository", "category")
-    g = records(spark, sf).groupingSets([["method"], *[["method", k] for k in keys]], "method", *keys).agg(F.count("*").alias("questions"), *five())
-    a, b = g.where("method = 'cosine'").alias("a"), g.where("method = 'fused'").alias("b")
-    both = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]))
-    columns = [c for x in METRICS for c in (F.col(f"a.{x}").alias(f"local_{x}"), F.col(f"b.{x}").alias(f"treatment_{x}"), (m.rounded(F.col(f"b.{x}") - F.col(f"a.{x}")) + 0.0).alias(f"delta_{x}"))]
-    return both.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.questions").alias("questions"), *columns)
+    return assess.arm_slices(records(spark, sf), "cosine", "fused")
 
 
 @query(f"""WITH {RECORDS}, p AS (SELECT b.method, a.first_rank AS x, b.first_rank AS y FROM rec a JOIN rec b USING (question_id) WHERE a.method = 'cosine' AND b.method <> 'cosine')
 SELECT method, CASE WHEN x IS NULL THEN CASE WHEN y IS NOT NULL THEN 'recovered' ELSE 'stable' END WHEN y IS NULL THEN 'lost' WHEN y < x THEN 'improved' WHEN y > x THEN 'regressed' ELSE 'stable' END AS transition, count(*) AS n FROM p GROUP BY ALL""")
 def arm_transitions(spark, sf):
     """How many questions each arm recovers, improves, keeps, worsens or loses."""
-    r = records(spark, sf)
-    a = r.where("method = 'cosine'").select("question_id", F.col("first_rank").alias("x"))
-    p = r.where("method <> 'cosine'").select("question_id", "method", F.col("first_rank").alias("y")).join(a, "question_id")
-    x, y = F.col("x"), F.col("y")
-    moved = F.when(x.isNull() & y.isNotNull(), "recovered").when(x.isNull(), "stable").when(y.isNull(), "lost").when(y < x, "improved").when(y > x, "regressed").otherwise("stable")
-    return p.groupBy("method", moved.alias("transition")).agg(F.count("*").alias("n"))
+    return assess.arm_transitions(records(spark, sf), "cosine")
 
 
 @query(f"""WITH {RECORDS} SELECT method AS arm, count(*) AS runs, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE NOT failed) AS ok, CAST(sum(n_expected * 100) AS BIGINT) AS tokens, round(sum(n_expected) * CAST(0.25 AS DOUBLE), 6) AS cost,
@@ -330,6 +193,6 @@ SOURCES = (("top_1", "e1"), ("top_3", "e2"), ("top_10", "e3"))
 @query(f"WITH {RECORDS}, {PAIRS} " + " UNION ALL ".join(f"SELECT '{name}' AS source_experiment_id, pair_id, method, {SIDES.format(a='en', b='fa', t=threshold[4:])} AS outcome FROM pr" for threshold, name in SOURCES))
 def transform_union(spark, sf):
     """The pair records of three experiments in one table, with where they come from."""
-    p = pairs(records(spark, sf))
-    parts = [p.select(F.lit(name).alias("source_experiment_id"), "pair_id", "method", sides(F.col("en"), F.col("fa"), int(threshold[4:])).alias("outcome")) for threshold, name in SOURCES]
+    p = assess.pairs(records(spark, sf))
+    parts = [p.select(F.lit(name).alias("source_experiment_id"), "pair_id", "method", assess.sides(F.col("en"), F.col("fa"), int(threshold[4:])).alias("outcome")) for threshold, name in SOURCES]
     return reduce(DataFrame.unionByName, parts)

@@ -325,6 +325,22 @@ def order_digests(spark, sf):
     return table(spark, sf, "embeddings").where("vec_id % 20 = 0").groupBy("label").agg(F.sha2(ids, 256).alias("digest"), F.count("*").alias("n"))
 
 
+RANGE = 4096
+
+
+@query(f"""WITH r AS (SELECT source, doc_id // {RANGE} AS part, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT source, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY source""")
+def corpus_digest_tree(spark, sf):
+    """Digest of each source over the digests of fixed ranges of ids, so no task holds all hashes of a source."""
+
+    def digest(order: str, value: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("h")))), lambda x: x["h"]), "\n"), 256).alias("digest")
+
+    d = table(spark, sf, "documents").where("text IS NOT NULL").withColumn("part", F.floor(F.col("doc_id") / RANGE))
+    r = d.groupBy("source", "part").agg(digest("doc_id", F.sha2("text", 256)), F.count("*").alias("n"))
+    return r.groupBy("source").agg(digest("part", F.col("digest")), F.sum("n").alias("n"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, list_distinct({WORDS.format('text')}) AS a, list_distinct({WORDS.format("source || chr(32) || lang")}) AS b FROM documents), c AS (SELECT len(b) AS n, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM t WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT count(*) AS chunks, round(avg(CASE WHEN added > 0 THEN 1.0 ELSE 0 END), 6) AS gaining_share, round(avg(added), 6) AS mean_added, round(100.0 * (1 - sum(added) / sum(n)), 6) AS overlap_percent FROM c""")
 def identifier_information_gain_full(spark, sf):

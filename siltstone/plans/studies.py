@@ -10,6 +10,7 @@ from siltstone.operators import metrics as m
 from siltstone.operators import stats
 from siltstone.plans.standins import OUTCOMES, RANKINGS, judged, outcomes, rankings, table
 from siltstone.plans.texts import ANSWERS, CITES, answers, citations
+from siltstone.runtime import numbered
 
 QUERIES, SQL = {}, {}
 
@@ -62,7 +63,7 @@ def multi_file_arm(spark, sf):
     """An original and a supplement in one order."""
     d = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("number"))
     both = d.where("number % 2 = 0").unionByName(d.where("number % 2 = 1"))
-    return both.withColumn("place", F.row_number().over(Window.orderBy("repo", "number")))
+    return numbered(both, ["repo", "number"], "place")
 
 
 @query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS body FROM documents WHERE length(text) > 6000) SELECT doc_id, CAST(line AS INT) AS line, length(body) AS chars, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY contains(body, 'the') DESC, line) AS INT) AS place FROM l")

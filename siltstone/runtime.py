@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 #: Bytes of rows that go to a Python worker at a time, and Spark's own limit.
@@ -74,3 +75,23 @@ def sound_unions(spark: SparkSession) -> None:
     out in several pieces (75 groups as 100 rows in our tests). This internal setting turns that off.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their 1-based place in a total order of columns, without bringing them into one task.
+
+    The rows are dealt into ranges of the order, staged, numbered inside each range, and moved on by the
+    sizes of the ranges before, of which the driver sees one number each.
+    """
+    spark, part = rows.sparkSession, "_range"
+    while part in rows.columns:
+        part += "_"
+    ranged = stage_table(rows.repartitionByRange(session_partitions(spark), *order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = {r[part]: r["n"] for r in ranged.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in sorted(sizes):
+        before.append((k, total))
+        total += sizes[k]
+    starts = spark.createDataFrame(before, f"{part} int, _before long")
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.join(F.broadcast(starts), part).withColumn(name, inside + F.col("_before")).drop(part, "_before")

@@ -205,3 +205,22 @@ def test_equal_questions_are_embedded_once():
     cache.vector("a")
     cache.vector("c")
     assert cache.vector("a") == first and len(calls) == 3 and len(cache.held) == 2
+
+
+def test_evaluation_run(spark, repo, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"), embed.HashEmbedder(32))
+    engine.index(str(repo))
+    rows = [("1", "create_access_token jwt_token", "en", "r", "c", 1, "en"), ("2", "find_user db_user", "fa", "r", "c", 1, "fa"), ("3", "nothing here", "en", "r", "c", 2, "en")]
+    questions = spark.createDataFrame(rows, "question_id string, text string, language string, repository string, category string, pair_id int, side string")
+    found = [(r["relative_path"], r["qualified_name"], r["start_line"], r["end_line"]) for r in engine.store.read("chunks").collect()]
+    method, user = next(x for x in found if x[1] == "AuthService.create_access_token"), next(x for x in found if x[1] == "find_user")
+    gold = spark.createDataFrame([("1", *method), ("2", *user), ("2", "app/users.py", None, 1, 1), ("3", *user)], "question_id string, source_file string, qualified_name string, start_line int, end_line int")
+    study = engine.evaluate(questions, gold, ("lexical", "semantic", "hybrid"), 3)
+    r = {(x["question_id"], x["method"]): x for x in study["records"].collect()}
+    assert len(r) == 9 and r["1", "lexical"]["first_rank"] in (1, 2) and r["2", "lexical"]["first_rank"] == 1 and r["2", "lexical"]["recall_3"] == 0.5 and r["3", "lexical"]["first_rank"] is None
+    metrics = {x["method"]: x for x in study["metrics"].collect()}
+    assert metrics["lexical"]["questions"] == 3 and metrics["lexical"]["failures"] == 0 and metrics["lexical"]["not_found"] == 1
+    assert study["predictions"].count() > 0 and {x["review_type"] for x in study["review_cases"].collect()} >= {"incomplete_multi_symbol"}
+    for name, rows in study.items():
+        assert rows.columns, name
+        rows.count()

@@ -180,3 +180,40 @@ def test_wilcoxon_needs_the_least_number_of_pairs(spark):
     d = spark.createDataFrame([(1, float(k - 2)) for k in range(9)], "g int, d double")
     assert stats.wilcoxon(d, "d", ["g"]).first()["z"] is not None
     assert stats.wilcoxon(d, "d", ["g"], least=10).first()["z"] is None
+
+
+def test_numbers_go_through_all_ranges(spark):
+    from siltstone.runtime import numbered
+
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as k").repartition(5)
+    got = numbered(rows, ["k"], "place").collect()
+    assert sorted((r["k"], r["place"]) for r in got) == [(k, k + 1) for k in range(1000)]
+    assert numbered(rows.limit(0), ["k"], "place").count() == 0
+
+
+def test_best_window_against_all_spans(spark):
+    import random
+
+    from siltstone.operators import context as cx
+
+    r = random.Random(9)
+    rows = [(g, line, r.randint(0, 9), r.choice([0, 0, 1, 3])) for g in range(40) for line in range(1, r.randint(2, 30))]
+    got = {x["g"]: (x["start_line"], x["end_line"], x["score"], x["chars"]) for x in cx.best_window(spark.createDataFrame(rows, "g int, line int, chars long, score long"), "g", 20).collect()}
+    for g in range(40):
+        own = [x for x in rows if x[0] == g]
+        spans = [(sum(x[3] for x in own[i : j + 1]), -sum(x[2] for x in own[i : j + 1]), -own[i][1], own[j][1]) for i in range(len(own)) for j in range(i, len(own)) if sum(x[2] for x in own[i : j + 1]) <= 20]
+        best = max(s[:3] for s in spans)
+        assert (got[g][2], -got[g][3], -got[g][0]) == best and (*best, got[g][1]) in spans
+
+
+def test_nearest_vectors_by_blocks(spark, monkeypatch):
+    import random
+
+    from siltstone.operators import rank
+
+    r = random.Random(2)
+    rows = [(k, [r.random() for _ in range(4)]) for k in range(60)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    want = sorted(tuple(x) for x in rank.semantic(v.where("chunk_id < 20"), v, 3).collect())
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 6)
+    assert sorted(tuple(x) for x in rank.semantic(v.where("chunk_id < 20"), v, 3).collect()) == want and len(want) == 60

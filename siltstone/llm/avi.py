@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.textbytes import flatten, lean, slices
+from siltstone.llm.textbytes import flatten, lean, slices, trim
 from siltstone.runtime import small_batches
 
 SIDE, BLOCKS = 24, 9
@@ -324,6 +324,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(frames)
             media = [mux(jpegs[b - n : b]) for n, b in zip(frames.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+    trim()
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -383,6 +384,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+    trim()
 
 
 def read_features(media: DataFrame) -> DataFrame:
@@ -402,6 +404,7 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4])], ["doc_id", "clip", "first_frame", "end_frame", "start_ms", "end_ms"])
+    trim()
 
 
 def clips(media: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.langid import lower_latin
-from siltstone.llm.textbytes import HEADS, eights, flatten, lean, slices
+from siltstone.llm.textbytes import HEADS, eights, flatten, lean, slices, trim
 from siltstone.runtime import small_batches, sound_unions, stage_table
 
 Q = 8
@@ -224,6 +224,7 @@ def _annotator(shared, keep: list[int]):
             for part in slices(batch, "text", 1 << 20):
                 hits = pa.array(search(index, *flatten(part.column("text"))), HIT_ARROW)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], hits], [*[part.schema.names[k] for k in keep], "hits"])
+        trim()
 
     return annotate
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.textbytes import flatten, lean, slices
+from siltstone.llm.textbytes import flatten, lean, slices, trim
 from siltstone.runtime import session_partitions
 
 GROUP_BYTES = 8 << 20
@@ -110,6 +110,7 @@ def _packer(assign: Callable[[pa.RecordBatch], np.ndarray], text: str):
                 rows = [o for o in np.split(order, cuts) if len(o)]
                 packs = [pack_rows(part if len(o) == part.num_rows and (np.diff(o) == 1).all() else part.take(pa.array(o))) for o in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([int(group[o[0]]) for o in rows], pa.int32()), pa.array(packs, pa.binary())], ["grp", "pack"])
+        trim()
 
     return run
 
@@ -239,6 +240,8 @@ def _meet(rule: str, width: int):
                 for column, value in zip(rows, (group, bucket, zstandard.compress(data, 1), places), strict=True):
                     column.append(value)
             at += n
+        del order, flags, ranks, run_of
+        trim()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, REPLY_SCHEMA, strict=True)], schema=REPLY_SCHEMA)
 
     return run
@@ -272,7 +275,10 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
         first, second, value = windows(group_table(table), width > 0)
         distinct = Distinct(first, second)
         del first, second
-        return pa.Table.from_batches([blobs(key[0].as_py(), distinct, per_hash(distinct, value), buckets, width)])
+        out = pa.Table.from_batches([blobs(key[0].as_py(), distinct, per_hash(distinct, value), buckets, width)])
+        del distinct, value
+        trim()
+        return out
 
     def close(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         lean()
@@ -280,7 +286,10 @@ def exchange(packs: DataFrame, windows: Windows, per_hash: Callable[[Distinct, n
         first, second, value = windows(rows, width > 0)
         distinct = Distinct(first, second)
         del first, second
-        return finish(rows, distinct, value, *flags_of(distinct, replies, buckets, rule))
+        out = finish(rows, distinct, value, *flags_of(distinct, replies, buckets, rule))
+        del rows, distinct, value
+        trim()
+        return out
 
     sent = packs.groupBy("grp").applyInArrow(send, BLOB)
     replies = sent.groupBy("bucket").applyInArrow(_meet(rule, width), REPLY)

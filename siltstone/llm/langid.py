@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.sampling import first_of_each, held_out, once, per_class
-from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices
+from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices, trim
 from siltstone.runtime import small_batches
 
 ORDERS = (1, 2, 3, 4)
@@ -165,6 +165,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(first_of_each(batch, "h", seen), "text", 256 << 10):
             held = [g.astype("<u8").tobytes() for g in distinct_grams(*flatten(part.column("text")))]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(held, pa.binary())], ["lang", "h", "grams"])
+    trim()
 
 
 def train(docs: DataFrame, per_language: int = 250, landmarks: int = 128) -> Model | None:
@@ -192,6 +193,7 @@ def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 256 << 10):
             yield part.filter(pa.array(has_letter(*flatten(part.column("text")))))
+    trim()
 
 
 def lettered(docs: DataFrame) -> DataFrame:
@@ -218,6 +220,7 @@ def _predictor(shared, keep: list[int]):
                     score[lettered] = np.clip((values.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
                 names = [part.schema.names[k] for k in keep]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(language, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+        trim()
 
     return predict
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.textbytes import lean, slices
+from siltstone.llm.textbytes import lean, slices, trim
 from siltstone.runtime import small_batches
 
 MARKER = "▁"
@@ -322,6 +322,7 @@ def _encoder(shared):
                 flat = np.concatenate(numbers) if numbers else np.empty(0)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "pieces"])
+        trim()
 
     return run
 
@@ -346,6 +347,7 @@ def _decoder(shared):
                 column = part.column("pieces")
                 texts = [codec.spell(_ids(x)) if x.is_valid else None for x in column]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, pa.array(texts, pa.string())], ["doc_id", "pieces", "text"])
+        trim()
 
     return run
 
@@ -362,6 +364,7 @@ def _both(shared):
         for batch in _encoder(shared)(batches):
             texts = [codec.spell(_ids(x)) for x in batch.column("pieces")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "pieces", "text"])
+        trim()
 
     return run
 
@@ -380,6 +383,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.as_py().encode()).hexdigest()))
         n, crc, sha = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_pieces", "pieces_crc32", "decoded_sha256"])
+    trim()
 
 
 def op7_sentence_pieces(spark, sf_dir: str) -> DataFrame:

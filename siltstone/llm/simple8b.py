@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.textbytes import HEADS, eights, flatten, lean, mix, slices, word_spans
+from siltstone.llm.textbytes import HEADS, eights, flatten, lean, mix, slices, trim, word_spans
 from siltstone.runtime import partitions_for, shared_dir, small_batches
 
 #: Selector -> (values per word, bits per value), the published table but for selector 1, the escape.
@@ -450,6 +450,7 @@ def _writer(name: str, end_id: int):
                 size += len(got)
                 if size >= IMAGE_VALUES:
                     yield image()
+        trim()
         if keys:
             yield image()
 
@@ -482,6 +483,7 @@ def _reader(starts: dict[int, int]):
                 valid = np.unpackbits(np.frombuffer(known.as_buffer(), np.uint8), count=len(doc_ids)).astype(bool)
                 first = starts[part] + before
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~valid), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        trim()
 
     return read
 

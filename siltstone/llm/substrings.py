@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.exchange import assignment, deal, exchange, group_count, range_points
-from siltstone.llm.textbytes import flatten, lean, slices, span_hashes, window_hashes, word_spans
+from siltstone.llm.textbytes import flatten, lean, slices, span_hashes, trim, window_hashes, word_spans
 from siltstone.runtime import small_batches
 
 WIDTH = 13
@@ -125,6 +125,7 @@ def _alone(width: int, make):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield make(part, _covered(part, np.zeros(len(flatten(part.column("text"))[0]) + 1, bool), width))
+        trim()
 
     return run
 

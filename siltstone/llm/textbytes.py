@@ -20,19 +20,18 @@ LONG_SPAN = 64
 #: Of a u64 that holds eight bytes, the bits of the first 0 to 8 of them.
 HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-_lean = False
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def lean() -> None:
-    """Have this worker give freed arrays of a MB and more back to the system at once (glibc; else no change)."""
-    global _lean
-    if not _lean:
-        _lean = True
-        pa.set_memory_pool(pa.system_memory_pool())
-        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
-        if mallopt is not None:
-            mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-            mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    """Let Arrow use the allocator that ``trim`` can empty."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trim() -> None:
+    """Give freed memory back to the system (glibc; elsewhere no change), as idle workers stay."""
+    if _trim is not None:
+        _trim(0)
 
 
 def flatten(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

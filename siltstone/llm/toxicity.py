@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.sampling import first_of_each, held_out, once, per_class
-from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices, span_hashes
+from siltstone.llm.textbytes import flatten, lean, lower_ascii, slices, span_hashes, trim
 from siltstone.runtime import small_batches
 
 PREFIXES = (4, 5, 6)
@@ -131,6 +131,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(pairs >> np.uint64(32), np.arange(1, part.num_rows).astype(np.uint64))
             held = [p.tobytes() for p in np.split((pairs & np.uint64(0xFFFFFFFF)).astype("<u4"), cuts)]
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(held, pa.binary())], ["h", "toxic", "terms"])
+    trim()
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000) -> Machine | None:
@@ -157,6 +158,7 @@ def _scorer(shared):
                 raw, offsets = flatten(part.column("text"))
                 values = machine.scores(raw, offsets) if machine is not None else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
+        trim()
 
     return score
 

@@ -102,7 +102,7 @@ class Engine:
         scanned = stage_table(self.hooks.scan(self.spark, path), "scanned")
         good = scanned.where("error_type IS NULL")
         job.counters["files"] = good.count()
-        self._fail(job, scanned.where("error_type IS NOT NULL").select(F.lit("scan").alias("stage"), "relative_path", "error_type", "message"))
+        self._fail(job, scanned.where("error_type IS NOT NULL").select(F.lit("scan").alias("stage"), "relative_path", "error_type", "message", F.lit(None).cast("int").alias("error_line")))
         job.enter("parsing")
         snapshot = repository.snapshot(scanned)
         changed = good
@@ -151,7 +151,7 @@ class Engine:
         first = errors.orderBy("relative_path", "error_type").limit(shown).collect()
         if first:
             job.counters["fatal_errors"] = errors.count()
-            raise IntegrityError("indexing failed: " + "; ".join(f"{r['stage']} {r['relative_path']}: {r['error_type']}" for r in first))
+            raise IntegrityError("indexing failed: " + "; ".join(f"{r['stage']} {r['relative_path']}{':' + str(r['error_line']) if r['error_line'] else ''}: {r['error_type']}" for r in first))
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         """Vectors of staged chunks; equal texts are embedded once."""
@@ -183,7 +183,7 @@ class Engine:
         if method in ("lexical", "hybrid"):
             found.append(rank.lexical(questions, self._chunks(), limit).select("question_id", "rank", "chunk_id", "score"))
         hits = found[0] if len(found) == 1 else rank.fuse(found[0], found[1], limit).select("question_id", "rank", "chunk_id", "score")
-        return hits.join(self._chunks().drop("embedding_text"), "chunk_id")
+        return rank.hydrate(hits, self._chunks().drop("embedding_text"), strict=True)
 
     def search(self, text: str, method: str = "hybrid", limit: int = 10) -> DataFrame:
         check_request(text, limit, method)

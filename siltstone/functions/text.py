@@ -196,3 +196,8 @@ def judge_scores(reply: Column, criteria: tuple[str, ...], most: int = 20) -> Co
 def case_concept(case_id: Column) -> Column:
     """The concept of a case id: what stands before its last hyphen, or all of it."""
     return F.regexp_replace(case_id, r"-[^-]*$", "")
+
+
+def utc_text(moment: Column) -> Column:
+    """A timestamp as ISO 8601 with microseconds and the offset of UTC (the session's time zone has to be UTC)."""
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

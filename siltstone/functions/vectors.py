@@ -22,6 +22,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def stable_sum(values: Column) -> Column:
+    """Sum with the lost low parts carried along (Neumaier), which no order of the values changes noticeably."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def step(state: Column, x: Column) -> Column:
+        total = state["s"] + x
+        lost = F.when(F.abs(state["s"]) >= F.abs(x), state["s"] - total + x).otherwise(x - total + state["s"])
+        return F.struct(total.alias("s"), (state["c"] + lost).alias("c"))
+
+    return F.aggregate(values, start, step, lambda state: state["s"] + state["c"])
+
+
+def stable_cosine(a: Column, b: Column) -> Column:
+    """Cosine of compensated sums; null for a zero vector."""
+    products = [stable_sum(F.zip_with(x, y, lambda p, q: p * q)) for x, y in ((a, b), (a, a), (b, b))]
+    return products[0] / F.nullif(F.sqrt(products[1]) * F.sqrt(products[2]), F.lit(0.0))
+
+
 def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 

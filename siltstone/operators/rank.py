@@ -165,9 +165,16 @@ def overlap_rerank(ranking: DataFrame, overlap: Column, strength: float, depth:
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("rescored"), F.asc("rank"))))
 
 
-def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach chunk attributes; a hit without a chunk is an integrity error of ``missing_hits``."""
-    return hits.join(chunks, "chunk_id")
+def hydrate(hits: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
+    """Attach chunk attributes; a hit without a chunk is left out, or if strict fails the query.
+
+    ``missing_hits`` lists such hits.
+    """
+    if not strict:
+        return hits.join(chunks, "chunk_id")
+    joined = hits.join(chunks.withColumn("_known", F.lit(True)), "chunk_id", "left")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("a hit has no chunk: "), F.col("chunk_id").cast("string")))).otherwise(F.col("chunk_id"))
+    return joined.withColumn("chunk_id", checked).drop("_known")
 
 
 def missing_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -526,3 +526,57 @@ def case_concepts(spark, sf):
     """Cases grouped by the concept that their id begins with."""
     case = F.concat_ws("-", F.col("conv_id").cast("string"), "role", (F.col("turn") % 2).cast("string"))
     return table(spark, sf, "conversations").groupBy(tx.case_concept(case).alias("concept")).agg(F.count("*").alias("cases"), F.round(F.avg(F.length("text")), 6).alias("mean"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def stable_cosine(spark, sf):
+    """Cosine of neighbours by compensated sums."""
+    from siltstone.functions import vectors as vx
+
+    v = table(spark, sf, "embeddings").select("vec_id", vx.doubles(F.col("embedding")).alias("a"))
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", F.round(vx.stable_cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events")
+def utc_timestamps(spark, sf):
+    return table(spark, sf, "events").select("event_id", tx.utc_text(F.col("ts")).alias("at"))
+
+
+@query(f"""WITH p AS (SELECT source, {FOLD.format(budget=6000)} AS p FROM documents WHERE text IS NOT NULL GROUP BY source), t AS (SELECT source, unnest(p.ids) AS doc_id FROM p),
+g AS (SELECT source, count(*) AS gold, count(DISTINCT lang) AS langs FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL GROUP BY source),
+f AS (SELECT d.source, count(*) FILTER (WHERE t.doc_id IS NOT NULL) AS found FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id WHERE d.doc_id % 50 = 0 AND d.text IS NOT NULL GROUP BY d.source),
+l AS (SELECT x.source, count(DISTINCT x.lang) AS named FROM documents x WHERE x.doc_id % 50 = 0 AND x.text IS NOT NULL AND EXISTS (SELECT 1 FROM t JOIN documents y ON y.doc_id = t.doc_id WHERE t.source = x.source AND y.lang = x.lang) GROUP BY x.source)
+SELECT count(*) AS questions, count(gold) AS scored, round(avg(found / CAST(gold AS DOUBLE)), 6) AS gold_file_coverage, round(avg(CASE WHEN langs > 0 THEN coalesce(named, 0) / CAST(langs AS DOUBLE) END), 6) AS identifier_coverage,
+round(avg(len(p.ids)), 6) AS mean_blocks, round(avg(p.used), 6) AS mean_chars, round(avg(p.omitted), 6) AS mean_omitted FROM p LEFT JOIN g USING (source) LEFT JOIN f USING (source) LEFT JOIN l USING (source)""")
+def delivered_evidence_full(spark, sf):
+    """Gold files and identifiers that the packed blocks cover (null without gold), blocks, characters and omissions."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    p = cx.pack(blocks(spark, sf).where("chars IS NOT NULL"), "source")
+    taken = p.select(F.explode("chunk_ids").alias("doc_id")).join(d.select("doc_id", "source", "lang"), "doc_id")
+    gold = d.where("doc_id % 50 = 0").select("doc_id", "source", "lang")
+    held = gold.join(taken.select("doc_id", F.lit(True).alias("held")), "doc_id", "left").groupBy("source").agg(F.count("*").alias("gold"), F.count("held").alias("found"), F.countDistinct("lang").alias("langs"))
+    named = gold.select("source", "lang").distinct().join(taken.select("source", "lang").distinct(), ["source", "lang"], "left_semi").groupBy("source").agg(F.count("lang").alias("named"))
+    all_ = p.join(held, "source", "left").join(named, "source", "left")
+    return all_.agg(
+        F.count("*").alias("questions"), F.count("gold").alias("scored"), F.round(F.avg(F.col("found") / F.col("gold")), 6).alias("gold_file_coverage"),
+        F.round(F.avg(F.when(F.col("langs") > 0, F.coalesce("named", F.lit(0)) / F.col("langs"))), 6).alias("identifier_coverage"), F.round(F.avg(F.size("chunk_ids")), 6).alias("mean_blocks"),
+        F.round(F.avg("total_chars"), 6).alias("mean_chars"), F.round(F.avg("omitted"), 6).alias("mean_omitted"),
+    )
+
+
+BY_STRATUM = BOOT.replace("OVER (ORDER BY mean, resample)", "OVER (PARTITION BY stratum ORDER BY mean, resample)")
+
+
+@query(f"WITH {PAIRS}" + BY_STRATUM.format(keys="stratum", part="stratum", value="a - b", source="p", seed=11, name="stratum", b=20000, out="stratum,") + f""", i AS (SELECT stratum, round(max(CASE WHEN k = 500 THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = 250 THEN mean END), 6) AS ci_low_975 FROM o GROUP BY stratum),
+c AS (SELECT stratum, count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS losses FROM p GROUP BY stratum), t AS (SELECT stratum, round({tail_sql("wins", "losses")}, 9) AS p FROM c),
+s AS (SELECT stratum, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, stratum) + 1) * p) AS s FROM t WHERE p IS NOT NULL), a AS (SELECT stratum, max(s) OVER (ORDER BY p, stratum ROWS UNBOUNDED PRECEDING) AS adjusted FROM s)
+SELECT stratum, ci_low, ci_low_975, p, round(adjusted, 6) AS adjusted, coalesce(adjusted < 0.05 AND ci_low > 0, false) AS superior, ci_low_975 > -20 AS non_inferior FROM i JOIN t USING (stratum) LEFT JOIN a USING (stratum)""")
+def superiority_decision_adjusted(spark, sf):
+    """Superior if the Holm-adjusted p is under 0.05 and the interval above zero; not inferior by the lower bound at 97.5 %."""
+    p = paired(spark, sf).withColumn("d", F.col("a") - F.col("b"))
+    means = stats.bootstrap(p, "d", ["user_id"], [], 20000, 11, by=["stratum"])
+    low, deep = stats.interval(means, ["stratum"], 20000).select("stratum", "ci_low"), stats.interval(means, ["stratum"], 20000, 0.975).select("stratum", F.col("ci_low").alias("ci_low_975"))
+    tests = p.groupBy("stratum").agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses")).select("stratum", F.round(stats.two_sided_binomial("wins", "losses"), 9).alias("p"))
+    held = stats.holm(tests, "p", [], "stratum").select("stratum", "p", "adjusted")
+    superior = F.coalesce((F.col("adjusted") < 0.05) & (F.col("ci_low") > 0), F.lit(False))
+    return low.join(deep, "stratum").join(held, "stratum").select("stratum", "ci_low", "ci_low_975", "p", F.round("adjusted", 6).alias("adjusted"), superior.alias("superior"), (F.col("ci_low_975") > -20).alias("non_inferior"))

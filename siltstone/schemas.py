@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILES = "relative_path STRING, absolute_path STRING, size_bytes BIGINT, mtime_ns BIGINT, sha256 STRING"
-ERRORS = "stage STRING, relative_path STRING, error_type STRING, message STRING"
+ERRORS = "stage STRING, relative_path STRING, error_type STRING, message STRING, error_line INT, error_column INT"
 SYMBOLS = (
     "relative_path STRING, kind STRING, name STRING, qualified_name STRING, parent_qualified_name STRING, is_async BOOLEAN, start_line INT, end_line INT, "
     "parameters ARRAY<STRING>, returns STRING, decorators ARRAY<STRING>, bases ARRAY<STRING>, docstring STRING"

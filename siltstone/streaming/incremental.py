@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.functions import code
+from siltstone.schemas import ERRORS
 
 ARRIVALS = "relative_path STRING, content BINARY, sha256 STRING, seen_at TIMESTAMP"
 VERSION = "relative_path STRING, sha256 STRING, seen_at TIMESTAMP, batch INT"
-ERROR = "stage STRING, relative_path STRING, error_type STRING, message STRING, batch INT"
+ERROR = f"{ERRORS}, batch INT"
 
 
 def _order(*more: str) -> Column:

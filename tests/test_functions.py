@@ -92,3 +92,14 @@ def test_judge_scores_and_case_concepts(spark):
     assert [None if r["x"] is None else tuple(r["x"]) for r in got] == [(3, 20)] * 3 + [None] * 8
     ids = spark.createDataFrame([("auth-flow-en",), ("single",)], "i string").select(tx.case_concept(F.col("i")).alias("x")).collect()
     assert [r["x"] for r in ids] == ["auth-flow", "single"]
+
+
+def test_stable_sums(spark):
+    import math
+    import random
+
+    r = random.Random(4)
+    a, b = [r.uniform(-1, 1) * 10 ** r.randint(-8, 8) for _ in range(200)], [r.uniform(-1, 1) for _ in range(200)]
+    got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(vx.stable_sum(F.col("a")).alias("s"), vx.stable_cosine(F.col("a"), F.col("b")).alias("c")).first()
+    dot, x, y = (math.fsum(p * q for p, q in zip(u, v, strict=True)) for u, v in ((a, b), (a, a), (b, b)))
+    assert got["s"] == math.fsum(a) and abs(got["c"] - dot / math.sqrt(x) / math.sqrt(y)) < 1e-15

@@ -217,3 +217,15 @@ def test_nearest_vectors_by_blocks(spark, monkeypatch):
     want = sorted(tuple(x) for x in rank.semantic(v.where("chunk_id < 20"), v, 3).collect())
     monkeypatch.setattr(rank, "QUERY_BLOCK", 6)
     assert sorted(tuple(x) for x in rank.semantic(v.where("chunk_id < 20"), v, 3).collect()) == want and len(want) == 60
+
+
+def test_strict_hydration(spark):
+    import pytest
+
+    from siltstone.operators import rank
+
+    hits, chunks = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, rank int"), spark.createDataFrame([("a", "x")], "chunk_id string, file string")
+    assert rank.hydrate(hits, chunks).count() == 1 and rank.missing_hits(hits, chunks).count() == 1
+    assert [r["file"] for r in rank.hydrate(hits.where("rank = 1"), chunks, strict=True).collect()] == ["x"]
+    with pytest.raises(Exception, match="a hit has no chunk: b"):
+        rank.hydrate(hits, chunks, strict=True).collect()

@@ -43,7 +43,7 @@ def composed(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """``composed``, white-space runs as one space, trimmed, case-folded."""
-    return _casefold(F.trim(F.regexp_replace(composed(text), r"(?U)\s+", " ")))
+    return _casefold(F.trim(F.regexp_replace(composed(text), r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def camel_parts(token: Column) -> Column:

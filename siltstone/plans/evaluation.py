@@ -108,15 +108,6 @@ def symbol_rerank(spark, sf):
     return rank.overlap_rerank(r, F.when(F.col("hit"), 2).otherwise(0), 0.01).select("question_id", "chunk_id", "rank", "rescored", "new_rank")
 
 
-@query(f"""WITH {OUTCOMES}, d AS (SELECT method, depth, question_id, min(CASE WHEN hit AND rank <= depth THEN rank END) AS first_rank FROM j CROSS JOIN (VALUES (5), (10), (20)) x(depth) GROUP BY ALL)
-SELECT method, depth, count(first_rank) AS found, round(avg(CASE WHEN first_rank IS NOT NULL THEN 1.0 / first_rank ELSE 0 END), 6) AS mrr FROM d GROUP BY ALL""")
-def candidate_depth(spark, sf):
-    """The same ranking read at depths 5, 10 and 20."""
-    depths = judged(spark, sf).withColumn("depth", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))))
-    per = depths.groupBy("method", "depth", "question_id").agg(F.min(F.when(F.col("hit") & (F.col("rank") <= F.col("depth")), F.col("rank"))).alias("first_rank"))
-    return per.groupBy("method", "depth").agg(F.count("first_rank").alias("found"), m.mrr().alias("mrr"))
-
-
 DEPTHS = (10, 20, 50)
 AT_DEPTHS = (
     RANKINGS[: RANKINGS.index("two AS (")]

@@ -37,34 +37,6 @@ m AS (SELECT {out} resample, avg(rows_.v) AS mean FROM d JOIN rows_ USING ({keys
 o AS (SELECT *, row_number() OVER (ORDER BY mean, resample) - 1 AS k FROM m)"""
 
 
-@query(f"WITH {PAIRS}, x AS (SELECT *, 0 AS one FROM p)" + BOOT.format(keys="one", part="one", value="a - b", source="x", seed=20260930, name="''", b=500, out="") + " SELECT round(max(CASE WHEN k = 12 THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = 486 THEN mean END), 6) AS ci_high FROM o")
-def bootstrap_mean_ci(spark, sf):
-    """Plain bootstrap of the mean difference, 500 resamples."""
-    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 500, 20260930), [], 500)
-
-
-@query(f"WITH {PAIRS}" + BOOT.format(keys="stratum", part="stratum", value="a - b", source="p", seed=20260930, name="stratum", b=500, out="") + " SELECT round(max(CASE WHEN k = 12 THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = 486 THEN mean END), 6) AS ci_high FROM o")
-def bootstrap_stratified(spark, sf):
-    """Resampled within strata, pooled."""
-    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    return stats.interval(stats.bootstrap(d, "d", ["user_id"], ["stratum"], 500, 20260930), [], 500)
-
-
-@query(f"WITH {PAIRS}, x AS (SELECT user_id // 5 AS user_id, 0 AS one, avg(a - b) AS v FROM p GROUP BY ALL)" + BOOT.format(keys="one", part="one", value="v", source="x", seed=2601, name="''", b=400, out="") + " SELECT round(max(CASE WHEN k = 10 THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = 389 THEN mean END), 6) AS ci_high FROM o")
-def bootstrap_cluster(spark, sf):
-    """Means of clusters of five users are resampled."""
-    c = pairs(spark, sf).groupBy(F.floor(F.col("user_id") / 5).alias("user_id")).agg(F.avg(F.col("a") - F.col("b")).alias("v"))
-    return stats.interval(stats.bootstrap(c, "v", ["user_id"], [], 400, 2601), [], 400)
-
-
-@query(f"WITH {PAIRS}, x AS (SELECT *, 0 AS one FROM p)" + BOOT.format(keys="one", part="one", value="a - b", source="x", seed=7, name="''", b=200, out="") + " SELECT round(max(CASE WHEN k = 5 THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = 195 THEN mean END), 6) AS ci_high FROM o")
-def bootstrap_dev(spark, sf):
-    """The variant whose upper bound lies one place further."""
-    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 200, 7), [], 200, last=False)
-
-
 def full_bootstrap(keys: str, part: str, value: str, source: str, seed: int, name: str, b: int, low: int, high: int) -> str:
     return BOOT.format(keys=keys, part=part, value=value, source=source, seed=seed, name=name, b=b, out="") + f" SELECT round(max(CASE WHEN k = {low} THEN mean END), 6) AS ci_low, round(max(CASE WHEN k = {high} THEN mean END), 6) AS ci_high FROM o"
 
@@ -216,17 +188,6 @@ def paired_summary(spark, sf):
     return stats.paired_summary(pairs(spark, sf), ["stratum"])
 
 
-DECIDE = f"WITH {PAIRS}" + BOOT.format(keys="stratum", part="stratum", value="a - b", source="p", seed=11, name="stratum", b=200, out="") + ", c AS (SELECT max(CASE WHEN k = 2 THEN mean END) AS low FROM o)"
-
-
-@query(DECIDE + " SELECT round(low, 6) AS ci_low, low > 0 AS superior, low > -20 AS non_inferior FROM c")
-def superiority_decision(spark, sf):
-    """Superior above zero, not inferior above minus the margin, by the lower bound at 97.5 %."""
-    d = pairs(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    bounds = stats.interval(stats.bootstrap(d, "d", ["user_id"], ["stratum"], 200, 11), [], 200, 0.975)
-    return bounds.select("ci_low", (F.col("ci_low") > 0).alias("superior"), (F.col("ci_low") > -20).alias("non_inferior"))
-
-
 DECIDE_FULL = f"WITH {PAIRS}" + BOOT.format(keys="stratum", part="stratum", value="a - b", source="p", seed=11, name="stratum", b=20000, out="") + ", c AS (SELECT max(CASE WHEN k = 250 THEN mean END) AS low FROM o)"
 
 

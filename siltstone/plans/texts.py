@@ -95,12 +95,6 @@ def refusal_rates(spark, sf):
     return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(tx.is_refusal(F.col("text"))).alias("refused"), F.round(F.median(F.length("text")), 6).alias("median_chars"))
 
 
-@query(r"SELECT page_id, regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)[1:3] AS tags FROM pages")
-def markup_tokens(spark, sf):
-    """The first three tags of each page."""
-    return table(spark, sf, "pages").select("page_id", F.slice(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"), F.lit(1)), 1, 3).alias("tags"))
-
-
 @query(r"SELECT page_id, regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1) AS tags FROM pages")
 def markup_tokens_full(spark, sf):
     """All tags of each page."""
@@ -221,24 +215,26 @@ def sub_queries(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.explode(tx.sub_queries(F.col("text"))).alias("part"))
 
 
-@query(None)
+#: Case folding is lower case but for the sharp s, among the letters of the tables.
+COMPOSED = "translate(nfc_normalize({}), 'يىك\u200c', 'ییک ')"
+FOLDED = "replace(lower({}), 'ß', 'ss')"
+CAMEL = r"list_filter(string_split_regex(regexp_replace(regexp_replace(t, '({low})({up})', '\1_\2', 'g'), '({up})({up}{small})', '\1_\2', 'g'), '_+'), lambda p: p <> '')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all({COMPOSED.format('text')}, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS x FROM documents)
+SELECT doc_id, CAST(len(list_distinct(list_transform(flatten(list_transform(w, lambda t: list_concat([t], {CAMEL.format(low='[a-z0-9]', up='[A-Z]', small='[a-z]')}))), lambda p: {FOLDED.format('p')}))) AS INT) AS n_terms,
+CAST(len(list_distinct(list_filter(list_transform(flatten(list_transform(x, lambda t: {CAMEL.format(low='[' + chr(92) + 'p{Ll}' + chr(92) + 'p{N}]', up=chr(92) + 'p{Lu}', small=chr(92) + 'p{Ll}')})), lambda p: lower(p)), lambda p: length(p) >= 3))) AS INT) AS n_parts FROM a""")
 def identifier_terms(spark, sf):
     """Words with their snake and camel parts."""
     return table(spark, sf, "documents").select("doc_id", F.size(tx.identifier_terms(F.col("text"))).alias("n_terms"), F.size(tx.identifier_parts(F.col("text"))).alias("n_parts"))
 
 
-@query(None)
+@query(rf"""SELECT doc_id, sha256({FOLDED.format("trim(regexp_replace(" + COMPOSED.format('text') + r", '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ')")}) AS h FROM documents""")
 def normalised_text(spark, sf):
     """NFC, case-folded text with plain spaces."""
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalise(F.col("text")), 256).alias("h"))
 
 
-@query("SELECT doc_id, substr(text, 1, 12) AS short, split_part(text, '.', 1) AS root FROM documents")
-def short_and_root(spark, sf):
-    """First part of a dotted name."""
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("short"), tx.class_root(F.col("text")).alias("root"))
-
-
 @query("SELECT doc_id, split_part(text, '.', -1) AS short, split_part(text, '.', 1) AS root FROM documents")
 def short_symbol_and_root(spark, sf):
     """Last and first part of a dotted name."""

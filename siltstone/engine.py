@@ -211,6 +211,17 @@ class Engine:
         r = stage_table(assess.records(asked, methods, predictions.withColumn("question_id", F.col("question_id").cast("string")), gold), "records")
         return assess.study(r, methods[0], methods[-1]) | {"predictions": predictions}
 
+    def measure(self, questions: list[str], methods: tuple[str, ...] = METHODS, repeats: int = 3, limit: int = 10) -> DataFrame:
+        """(method, question, repetition, milliseconds, chunk_ids) of single searches, one after another; repetition 0 warms up."""
+        rows = []
+        for method in methods:
+            for repetition in range(repeats + 1):
+                for number, text in enumerate(questions[:1] if repetition == 0 else questions):
+                    began = self.hooks.clock()
+                    found = [r["chunk_id"] for r in self.search(text, method, limit).collect()]
+                    rows.append((method, number, repetition, 1000.0 * (self.hooks.clock() - began), found))
+        return self.spark.createDataFrame(rows, "method string, question int, repetition int, milliseconds double, chunk_ids array<string>")
+
     # Answers
 
     def context(self, text: str, limit: int = 5, budget: int = context.BUDGET) -> tuple[list, int]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.textbytes import flatten, lean, slices, trim
+from siltstone.llm.textbytes import flatten, hash_order, lean, slices, trim
 from siltstone.runtime import session_partitions
 
 GROUP_BYTES = 8 << 20
@@ -152,8 +152,7 @@ class Distinct:
     """The sorted distinct (hash, second hash) of a group's windows."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray | None):
-        order = np.argsort(first) if second is None else np.lexsort((second, first))
-        order = order.astype(np.int32 if len(first) < 1 << 31 else np.int64)
+        order = hash_order(first) if second is None else np.lexsort((second, first)).astype(np.int32 if len(first) < 1 << 31 else np.int64)
         a = first[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
@@ -209,8 +208,8 @@ def _meet(rule: str, width: int):
         if width:
             raw = np.frombuffer(b"".join(e.as_py() for e in table.column("extra")), np.uint8).reshape(-1, width)
             second = np.pad(raw, ((0, 0), (0, 8 - width))).view("<u8").ravel()
-        order = np.argsort(first, kind="stable") if second is None else np.lexsort((np.arange(len(first)), second, first))
-        order = order.astype(np.int32)  # RANKS bounds their number
+        # RANKS bounds their number.
+        order = hash_order(first) if second is None else np.lexsort((np.arange(len(first)), second, first)).astype(np.int32)
         a = first[order]
         same = a[1:] == a[:-1]
         if second is not None:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected
 from siltstone.llm.exchange import Distinct, assignment, deal, exchange, group_count, range_points, squeeze, unsqueeze
-from siltstone.llm.textbytes import flatten, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
+from siltstone.llm.textbytes import flatten, hash_order, lower_ascii, mix, slices, span_hashes, window_hashes, word_spans
 from siltstone.runtime import small_batches, sound_unions, stage_table
 
 SHINGLE = 5
@@ -76,7 +76,7 @@ def shingles(table: pa.Table, twice: bool) -> tuple[np.ndarray, np.ndarray | Non
 
             a, own = hashed(0), np.concatenate([text[whole], short])
             b = hashed(SALT) if twice else None
-            order = np.argsort(a) if b is None else np.lexsort((b, a))
+            order = hash_order(a) if b is None else np.lexsort((b, a))
             # Rows of a slice are few, so their sort is a radix sort.
             order = order[np.argsort(own[order].astype(np.uint16 if part.num_rows < 1 << 16 else np.int64), kind="stable")]
             a, own, b = a[order], own[order], None if b is None else b[order]

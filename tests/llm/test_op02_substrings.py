@@ -98,3 +98,15 @@ def test_groups_of_bytes_and_a_frequent_id(spark, monkeypatch):
 
     held = exchange.assignment(points)(pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]}))
     assert len(set(held[[k == 40 for k, _ in rows]])) > 3
+
+
+def test_hash_order():
+    import numpy as np
+
+    from siltstone.llm.textbytes import hash_order
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 1000, 70_000):
+        for most in (1 << 63, 50, 1 << 20):  # the small ones differ in low bits alone
+            h = rng.integers(0, most, n, dtype=np.uint64)
+            assert (hash_order(h) == np.argsort(h, kind="stable")).all()

@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.functions import text as tx
-from siltstone.runtime import stage_table
+from siltstone.runtime import spread, stage_table
 
 #: Fixed weights of the lexical fields, and the constant of reciprocal rank fusion.
 FIELD_WEIGHTS = {"qualified_name": 3, "source_file": 2, "code": 1, "embedding_text": 1}
@@ -35,24 +38,78 @@ def canonical(columns: list[str]) -> list[Column]:
 def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, weights: dict[str, int] | None = None) -> DataFrame:
     """Weight of every field times the number of distinct question terms in it; only positive scores.
 
-    ``questions``: (question_id, text); ``chunks``: chunk_id, the weighted fields, optionally
-    source_file, start_line. Terms are sets, so there is no term or document frequency. The terms of
-    the questions are broadcast when they are small, so a chunk's other terms are dropped in its own
-    task and only matches are shuffled; field texts do not travel with them.
+    ``questions``: (question_id, text); ``chunks``: chunk_id (unique), the weighted fields, optionally
+    source_file, start_line. Terms are sets, so there is no term or document frequency. Chunks are scored
+    where they lie: their terms are looked up in those of a block of QUERY_BLOCK questions, and a batch
+    sends on its best k for each question, so the shuffle holds neither terms nor all pairs that match.
+    Several blocks run one after another, each staged before the next is fetched.
     """
+    spark = chunks.sparkSession
     weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in chunks.columns}
     keys = [c for c in ("chunk_id", "source_file", "start_line") if c in chunks.columns]
-    asked = questions.select("question_id", F.explode(tx.word_set(F.col("text"))).alias("term"))
+    terms = spread(chunks.select(*dict.fromkeys([*keys, *weights]))).select(*keys, *[tx.word_set(F.col(f)).alias(f"_terms_{n}") for n, f in enumerate(weights)])
+    schema = T.StructType([questions.schema["question_id"], *[chunks.schema[c] for c in keys], T.StructField("score", T.DoubleType())])
+    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        asked = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).select("question_id", tx.word_set(F.col("text")).alias("terms")).collect()
+        part = terms.mapInArrow(_term_scores([(r["question_id"], r["terms"] or []) for r in asked], list(weights.values()), keys, k, schema), schema)
+        if blocks > 1:
+            part = stage_table(top_k(part, ["question_id"], canonical(keys), k).drop("rank"), "matched")
+        found = part if found is None else found.unionAll(part)
+    return top_k(found, ["question_id"], canonical(keys), k)
+
 
-    def field_terms(field: str, weight: int) -> Column:
-        return F.transform(tx.word_set(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+#: Cells of a table of scores (chunks x questions) at a time.
+CELLS = 2_000_000
 
-    weighted = F.flatten(F.array(*[field_terms(f, w) for f, w in weights.items()]))
-    terms = chunks.select(*keys, F.explode(weighted).alias("t")).select(*keys, "t.term", "t.weight")
-    if small(asked):
-        asked = F.broadcast(asked)
-    scored = terms.join(asked, "term").groupBy("question_id", *keys).agg(F.sum("weight").cast("double").alias("score"))
-    return top_k(scored, ["question_id"], canonical(keys), k)
+
+def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int, schema: T.StructType):
+    """Scores batches of (keys..., a list of terms for each weight) and keeps the best k of each question."""
+    ids = list(dict.fromkeys(q for q, _ in asked))
+    place = {q: n for n, q in enumerate(ids)}
+    by_term: dict[str, list[int]] = {}
+    for q, words in asked:
+        for word in words:
+            by_term.setdefault(word, []).append(place[q])
+    vocabulary = list(by_term)
+    counts = np.array([len(v) for v in by_term.values()], np.int64)
+    first, owners = np.cumsum(counts) - counts, np.array([n for v in by_term.values() for n in v], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, arrow = pa.array(vocabulary, pa.string()), to_arrow_schema(schema)
+        questions = pa.array(ids, arrow.field(0).type)
+        step = max(1, CELLS // max(1, len(ids)))
+        for batch in batches:
+            for start in range(0, batch.num_rows if ids else 0, step):
+                part = batch.slice(start, step)
+                rows = part.num_rows
+                score = np.zeros(rows * len(ids))
+                for n, weight in enumerate(weights):
+                    column = part.column(len(keys) + n)
+                    values = column.flatten()
+                    row = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+                    term = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+                    hit = np.flatnonzero(term >= 0)
+                    term, row = term[hit], row[hit]
+                    size = counts[term]
+                    at = np.repeat(first[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                    score += weight * np.bincount(np.repeat(row, size) * len(ids) + owners[at], minlength=len(score))
+                score = score.reshape(rows, len(ids))
+                table = pa.table({c: part.column(i) for i, c in enumerate(keys)})
+                order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("source_file", "start_line", "chunk_id") if c in keys], null_placement="at_start").to_numpy()
+                # Questions x chunks, in the total order of equal scores.
+                score = np.ascontiguousarray(score[order].T)
+                bar = np.partition(score, rows - k, axis=1)[:, rows - k, None] if rows > k else np.zeros((len(ids), 1))
+                question, chunk = np.nonzero((score >= bar) & (score > 0))
+                value = score[question, chunk]
+                best = np.lexsort((chunk, -value, question))
+                question, chunk, value = question[best], chunk[best], value[best]
+                good = np.arange(len(question)) - np.searchsorted(question, question) < k
+                picked = pa.array(order[chunk[good]])
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(question[good])), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value[good])], schema=arrow)
+
+    return run
 
 
 def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:

@@ -54,6 +54,12 @@ def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt over all cores where a small input has fewer partitions than that."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def partitions_for(df: DataFrame, target: int = 16 << 20) -> int:
     """Shuffle partitions so that each gets about ``target`` bytes of files, never fewer than the session's."""
     return max(session_partitions(df.sparkSession), math.ceil((estimated_bytes(df) or 0) / target))

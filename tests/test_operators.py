@@ -1,3 +1,4 @@
+import re
 import math
 
 import pytest
@@ -229,3 +230,33 @@ def test_strict_hydration(spark):
     assert [r["file"] for r in rank.hydrate(hits.where("rank = 1"), chunks, strict=True).collect()] == ["x"]
     with pytest.raises(Exception, match="a hit has no chunk: b"):
         rank.hydrate(hits, chunks, strict=True).collect()
+
+
+def test_lexical_scores_against_plain_sets(spark, monkeypatch):
+    import random
+
+    from siltstone.operators import rank
+
+    r = random.Random(6)
+    word = lambda: "w" + str(r.randrange(25))
+    docs = [(f"c{k}", r.choice(["b.py", "a.py", None]), r.choice([1, 2, None]), " ".join(word() for _ in range(r.randint(0, 12))), r.choice([None, word() + "." + word()])) for k in range(150)]
+    asked = [(q, " ".join(word() for _ in range(r.randint(0, 6))) if q else None) for q in range(9)]
+    chunks = spark.createDataFrame(docs, "chunk_id string, source_file string, start_line int, code string, qualified_name string").repartition(3)
+    questions = spark.createDataFrame(asked, "question_id long, text string")
+
+    def sets(text):
+        return set(re.findall(r"\w+", text or ""))
+
+    want = []
+    for q, text in asked:
+        scored = []
+        for c, f, line, body, name in docs:
+            score = 3 * len(sets(text) & sets(name)) + 2 * len(sets(text) & sets(f)) + len(sets(text) & sets(body))
+            if score:
+                scored.append((-score, f is not None, f or "", line is not None, line or 0, c))
+        want += [(q, n, x[5], float(-x[0])) for n, x in enumerate(sorted(scored)[:4], 1)]
+    for block, cells in ((4096, 2_000_000), (4, 30)):
+        monkeypatch.setattr(rank, "QUERY_BLOCK", block)
+        monkeypatch.setattr(rank, "CELLS", cells)
+        got = rank.lexical(questions, chunks, 4).select("question_id", "rank", "chunk_id", "score").collect()
+        assert sorted(tuple(x) for x in got) == want

@@ -257,7 +257,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     open_sets = sets.where("ids IS NOT NULL")
     # A class is named by its smallest id; further classes of the same smallest id get numbers beyond all ids.
     least = stage_table(open_sets.groupBy("signature").agg(F.min("doc_id").alias("class_id")), "classes")
-    named_first = least.groupBy("class_id").agg(F.min("signature").alias("named"))
+    named_first = stage_table(least.groupBy("class_id").agg(F.min("signature").alias("named")), "named")
     node = F.when(F.col("signature") == F.col("named"), F.col("class_id")).otherwise(F.lit((top or 0) + 1) + F.monotonically_increasing_id())
     classes = stage_table(least.join(named_first, "class_id").select("signature", "class_id", node.alias("node")), "classes")
     found = open_sets.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", "signature"]).dropDuplicates(["node"])

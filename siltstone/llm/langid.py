@@ -59,11 +59,15 @@ def gram_keys(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield key | np.uint64(n << 40), rest >= n
 
 
-def distinct_grams(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted n-gram keys of each text."""
+def distinct_grams(raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> list[np.ndarray]:
+    """The sorted n-gram keys of each text; long texts are taken in parts that overlap."""
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        out.append(np.unique(np.concatenate([k[i] for k, i in gram_keys(raw[a:b], np.array([0, b - a]))])))
+        found = np.empty(0, np.uint64)
+        for k in range(a, b, step):
+            part = raw[k : min(b, k + step + max(ORDERS) - 1)]
+            found = np.union1d(found, np.concatenate([keys[inside] for keys, inside in gram_keys(part, np.array([0, len(part)]))]))
+        out.append(found)
     return out
 
 

@@ -97,3 +97,10 @@ def test_scores_equal_the_plain_kernel(spark):
     want = (kernel([grams(t) for t in fresh]) @ vectors / np.sqrt(values) - features.mean(axis=0)) @ solved + target.mean(axis=0)
     raw, offsets = np.frombuffer("".join(fresh).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in fresh]])
     assert np.abs(model.scores(raw, offsets) - want).max() < 1e-3
+
+
+def test_long_texts_have_the_same_grams_in_parts():
+    raw = np.frombuffer(text("fr", 5, 300).encode(), np.uint8)
+    offsets = np.array([0, 0, 700, len(raw)])
+    whole, parts = langid.distinct_grams(raw, offsets), langid.distinct_grams(raw, offsets, step=50)
+    assert len(whole[0]) == 0 and all((a == b).all() for a, b in zip(whole, parts, strict=True))

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.BinaryType())
+def float32_bytes(vectors: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats of each vector, one after another."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def vector_digest(vector: Column) -> Column:
+    """SHA-256 of the vector as packed 32-bit floats."""
+    return F.sha2(float32_bytes(vector), 256)
 
 
 def doubles(v: Column) -> Column:

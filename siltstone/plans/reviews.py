@@ -580,3 +580,53 @@ def superiority_decision_adjusted(spark, sf):
     held = stats.holm(tests, "p", [], "stratum").select("stratum", "p", "adjusted")
     superior = F.coalesce((F.col("adjusted") < 0.05) & (F.col("ci_low") > 0), F.lit(False))
     return low.join(deep, "stratum").join(held, "stratum").select("stratum", "ci_low", "ci_low_975", "p", F.round("adjusted", 6).alias("adjusted"), superior.alias("superior"), (F.col("ci_low_975") > -20).alias("non_inferior"))
+
+
+@query(None)
+def vector_digests(spark, sf):
+    """SHA-256 of every vector as packed 32-bit floats, which SQL cannot pack."""
+    from siltstone.functions import vectors as vx
+
+    return table(spark, sf, "embeddings").select("vec_id", vx.vector_digest(F.col("embedding")).alias("digest"))
+
+
+FORBIDDEN = ("idiot", "moron")
+
+
+@query(f"""WITH q AS (SELECT conv_id, list_slice(list_sort(list_filter(list_distinct({WORDS.format('text')}), lambda w: length(w) >= 6)), 1, 4) AS facts FROM conversations WHERE turn = 0),
+f AS (SELECT c.conv_id, c.turn, CASE WHEN len(facts) > 0 THEN 10.0 * len(list_filter(facts, lambda w: contains(lower(c.text), w))) / len(facts) END AS recall, contains(lower(c.text), '{FORBIDDEN[0]}') OR contains(lower(c.text), '{FORBIDDEN[1]}') AS forbidden FROM conversations c JOIN q USING (conv_id) WHERE c.turn > 0),
+g AS (SELECT conv_id, avg(recall) AS recall, bool_or(forbidden) AS forbidden FROM f GROUP BY conv_id)
+SELECT count(*) AS questions, count(recall) AS scored, round(avg(recall), 6) AS mean_recall, round(avg(CASE WHEN forbidden THEN 1.0 ELSE 0 END), 6) AS forbidden_rate, count(*) FILTER (WHERE recall >= 10) AS complete FROM g""")
+def fact_recall_full(spark, sf):
+    """Ten times the share of each question's own facts that answers hold (null without facts), and how often any holds a forbidden one."""
+    c = table(spark, sf, "conversations")
+    words = F.filter(tx.word_set(F.col("text")), lambda w: F.length(w) >= 6)
+    q = c.where("turn = 0").select("conv_id", F.slice(F.sort_array(words), 1, 4).alias("facts"))
+    low = F.lower("text")
+    a = c.where("turn > 0").join(q, "conv_id")
+    recall = F.when(F.size("facts") > 0, 10.0 * F.size(F.filter("facts", lambda w: F.contains(low, w))) / F.size("facts"))
+    forbidden = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in FORBIDDEN])
+    g = a.groupBy("conv_id").agg(F.avg(recall).alias("recall"), F.bool_or(forbidden).alias("forbidden"))
+    return g.agg(F.count("*").alias("questions"), F.count("recall").alias("scored"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg(F.col("forbidden").cast("double")), 6).alias("forbidden_rate"), F.count_if(F.col("recall") >= 10).alias("complete"))
+
+
+@query("""WITH f AS (SELECT DISTINCT 'p' || CASE WHEN role = 'system' THEN 0 ELSE conv_id % 3 END || '/src/' || role || '.py' AS file FROM conversations UNION SELECT DISTINCT 'lib/x' || (conv_id % 5) || '.py' FROM conversations UNION SELECT DISTINCT 'src/' || role || conv_id % 2 || '.py' FROM conversations),
+d AS (SELECT DISTINCT 'src/' || role || '.py' AS path FROM conversations UNION SELECT DISTINCT 'lib/x' || (conv_id % 7) || '.py' FROM conversations UNION SELECT DISTINCT role || conv_id % 3 || '.py' FROM conversations),
+m AS (SELECT path, file, 1 AS tier FROM d JOIN f ON path = file UNION ALL SELECT path, file, 2 FROM d JOIN f ON 'src/' || path = file UNION ALL SELECT path, file, 3 FROM d JOIN f ON ends_with(file, '/' || path)),
+b AS (SELECT *, min(tier) OVER (PARTITION BY path) AS best FROM m) SELECT path, min(file) AS file, min(tier) AS tier FROM b WHERE tier = best GROUP BY path HAVING count(*) = 1""")
+def suffix_join_full(spark, sf):
+    """Cited paths against the files of a table: equal, else below src/, else by an ending that one file alone has; ends meet by file name."""
+    c = table(spark, sf, "conversations")
+    role, conv = F.col("role"), F.col("conv_id")
+
+    def named(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    f = c.select(F.explode(F.array(named("p", F.when(role == "system", 0).otherwise(conv % 3), "/src/", role, ".py"), named("lib/x", conv % 5, ".py"), named("src/", role, conv % 2, ".py"))).alias("file")).distinct()
+    d = c.select(F.explode(F.array(named("src/", role, ".py"), named("lib/x", conv % 7, ".py"), named(role, conv % 3, ".py"))).alias("path")).distinct()
+    base = F.substring_index(F.col("file"), "/", -1), F.substring_index(F.col("path"), "/", -1)
+    met = d.withColumn("base", base[1]).join(f.withColumn("base", base[0]), "base")
+    path, file = F.col("path"), F.col("file")
+    tier = F.when(path == file, 1).when(F.concat(F.lit("src/"), path) == file, 2).when(F.endswith(file, F.concat(F.lit("/"), path)), 3)
+    best = met.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("best", F.min("tier").over(Window.partitionBy("path"))).where("tier = best")
+    return best.groupBy("path").agg(F.min("file").alias("file"), F.min("tier").alias("tier"), F.count("*").alias("n")).where("n = 1").drop("n")

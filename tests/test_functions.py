@@ -103,3 +103,12 @@ def test_stable_sums(spark):
     got = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(vx.stable_sum(F.col("a")).alias("s"), vx.stable_cosine(F.col("a"), F.col("b")).alias("c")).first()
     dot, x, y = (math.fsum(p * q for p, q in zip(u, v, strict=True)) for u, v in ((a, b), (a, a), (b, b)))
     assert got["s"] == math.fsum(a) and abs(got["c"] - dot / math.sqrt(x) / math.sqrt(y)) < 1e-15
+
+
+def test_vector_digests(spark):
+    import hashlib
+    import struct
+
+    rows = [([1.5, -2.0, 0.1],), ([],), (None,)]
+    got = [r["d"] for r in spark.createDataFrame(rows, "v array<float>").select(vx.vector_digest(F.col("v")).alias("d")).collect()]
+    assert got == [hashlib.sha256(struct.pack("<3f", 1.5, -2.0, 0.1)).hexdigest(), hashlib.sha256(b"").hexdigest(), None]

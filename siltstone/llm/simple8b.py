@@ -105,28 +105,27 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The n values of all blocks, one array operation per selector."""
-    out = np.zeros(len(offsets[:-1]) * BLOCK + 240, np.uint64)
     if n == 0:
-        return out[:0]
+        return np.empty(0, np.uint64)
+    # A block's last word may hold padding behind the block's end, for which each has room.
+    room = BLOCK + 240
+    out = np.zeros((len(offsets) - 1) * room, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = COUNTS[selector]
     total = np.concatenate([[0], np.cumsum(counts)])
     firsts = offsets[:-1].astype(np.int64)
     block = np.repeat(np.arange(len(firsts)), np.diff(offsets.astype(np.int64)))
-    start = block * BLOCK + total[:-1] - total[firsts][block]
-    # Later words overwrite the padding that a block's last word left behind its end.
+    start = block * room + total[:-1] - total[firsts][block]
     for s, (count, bits) in enumerate(LAYOUTS):
         at = np.flatnonzero(selector == s)
         if not bits or not len(at):
             continue
         mask = (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
         cells = (words[at][:, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(bits))) & mask
-        where = start[at][:, None] + np.arange(count)
-        inside = where < ((block[at] + 1) * BLOCK)[:, None]
-        out[where[inside]] = cells[inside]
+        out[start[at][:, None] + np.arange(count)] = cells
     at = np.flatnonzero(selector == ESCAPE)
     out[start[at]] = escapes[(words[at] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out[:n]
+    return out.reshape(-1, room)[:, :BLOCK].ravel()[:n]
 
 
 def write_image(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -253,10 +252,10 @@ class Encoder:
     def _place(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> np.ndarray:
         return (mix(first ^ mix(last + kind.astype(np.uint64))) >> np.uint64(64 - (self.SLOTS.bit_length() - 1))).astype(np.int64)
 
-    def _learn(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray, words: list[bytes]) -> None:
-        """Enter words that are not in the table, each given once."""
-        live, place = np.arange(len(words)), self._place(first, last, kind)
-        entry = np.empty(len(words), np.int64)
+    def _enter(self, first: np.ndarray, last: np.ndarray, kind: np.ndarray, number: np.ndarray, ids: np.ndarray) -> None:
+        """Put words that are not in the table, each given once, into it with their ids."""
+        live, place = np.arange(len(first)), self._place(first, last, kind)
+        entry = np.empty(len(first), np.int64)
         while len(live):
             free, winner = np.unique(np.where(self.kind[place] == 0, place, -1), return_index=True)
             winner = winner[free >= 0]
@@ -266,23 +265,57 @@ class Encoder:
             left = np.ones(len(live), bool)
             left[winner] = False
             live, place = live[left], (place[left] + 1) % self.SLOTS
-        self.held += len(words)
-        for spaced in (True, False):
-            rows = np.flatnonzero((kind > self.SHORT) == spaced).tolist()
-            # A comma or full stop behind a letter, at a word's end, is a token of its own.
-            mark = [self.marks.get(words[k][-1:], -1) if words[k][-2:-1].isalpha() else -1 for k in rows]
-            stems = [words[k] if m < 0 else words[k][:-1] for k, m in zip(rows, mark, strict=True)]
-            index = {w: k for k, w in enumerate(dict.fromkeys(stems))}
-            ids, number = self._words([w.decode() for w in index], " " if spaced else "\n")
-            of = np.array([index[w] for w in stems], np.int64)
-            mark = np.array(mark, np.int64)
-            begin, count = (np.cumsum(number) - number)[of], number[of]
-            pick = np.repeat(begin - np.cumsum(count) + count, count)
-            ends = np.cumsum(count)[mark >= 0]
-            flat = np.insert(ids[pick + np.arange(len(pick))], ends, mark[mark >= 0])
-            count = count + (mark >= 0)
-            at = entry[rows]
-            self.begin[at], self.count[at] = self._keep(flat)[0] + np.cumsum(count) - count, count
+        self.held += len(first)
+        self.begin[entry], self.count[entry] = self._keep(ids)[0] + np.cumsum(number) - number, number
+
+    def _keys(self, chunks: np.ndarray, begin: np.ndarray, size: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of short words as two integers, and their length with the space in front."""
+        n = size.astype(np.uint64)
+        first = chunks[begin] & HEADS[np.minimum(n, np.uint64(8))]
+        last = np.zeros(len(begin), np.uint64)
+        over = np.flatnonzero(n > 8)
+        last[over] = chunks[begin[over] + 8] & HEADS[n[over] - np.uint64(8)]
+        return first, last, (n + np.uint64(self.SHORT) * spaced).astype(np.uint8)
+
+    @staticmethod
+    def _once(*keys: np.ndarray) -> np.ndarray:
+        """The place of one word of each key."""
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        return order[new]
+
+    def _learn(self, raw: np.ndarray, chunks: np.ndarray, begin: np.ndarray, size: np.ndarray, spaced: np.ndarray) -> None:
+        """Enter words at places of a text that are not in the table, each given once."""
+        end = raw[begin + size - 1]
+        letter = raw[begin + np.maximum(size, 2) - 2] | 32
+        # A comma or full stop behind a letter, at a word's end, is a token of its own.
+        mark = np.full(len(begin), -1, np.int64)
+        for sign, number in self.marks.items():
+            mark[(end == sign[0]) & (size > 1) & (letter >= 97) & (letter <= 122)] = number
+        ended = np.flatnonzero(mark >= 0)
+        if len(ended):  # their stems are words, known ones or not
+            rest = np.flatnonzero(mark < 0)
+            if len(rest):
+                self._learn(raw, chunks, begin[rest], size[rest], spaced[rest])
+            stem = self._keys(chunks, begin[ended], size[ended] - 1, spaced[ended])
+            place = self._find(*stem)
+            if len(missing := np.flatnonzero(place < 0)):
+                once = ended[missing[self._once(*(k[missing] for k in stem))]]
+                self._learn(raw, chunks, begin[once], size[once] - 1, spaced[once])
+                place[missing] = self._find(*(k[missing] for k in stem))
+            count = self.count[place].astype(np.int64) + 1
+            pick = np.repeat(self.begin[place] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            ids = self.pool[np.minimum(pick, self.used - 1)]
+            ids[np.cumsum(count) - 1] = mark[ended]
+            self._enter(*self._keys(chunks, begin[ended], size[ended], spaced[ended]), count, ids)
+            return
+        data = raw.tobytes()
+        for side in (True, False):
+            rows = np.flatnonzero(spaced == side)
+            words = [data[i:j].decode() for i, j in zip(begin[rows].tolist(), (begin[rows] + size[rows]).tolist(), strict=True)]
+            ids, number = self._words(words, " " if side else "\n")
+            self._enter(*self._keys(chunks, begin[rows], size[rows], spaced[rows]), number, ids)
 
     def _gap(self, gap: bytes, closing: bool) -> tuple[int, int]:
         """Ids of a run of white space that are not the next word's; ``closing`` where no word follows."""
@@ -332,27 +365,19 @@ class Encoder:
         behind = np.flatnonzero(starts > opening)
         spaced[behind] = raw[starts[behind] - 1] == 32
         short = np.flatnonzero(size <= self.SHORT)
-        chunks, begin, n = eights(raw), starts[short], size[short].astype(np.uint64)
-        first = chunks[begin] & HEADS[np.minimum(n, np.uint64(8))]
-        last = np.zeros(len(short), np.uint64)
-        over = np.flatnonzero(n > 8)
-        last[over] = chunks[begin[over] + 8] & HEADS[n[over] - np.uint64(8)]
-        kind = (n + np.uint64(self.SHORT) * spaced[short]).astype(np.uint8)
+        chunks, begin = eights(raw), starts[short]
+        first, last, kind = self._keys(chunks, begin, size[short], spaced[short])
         place = self._find(first, last, kind)
         if len(missing := np.flatnonzero(place < 0)):
             keys = first[missing], last[missing], kind[missing]
-            order = np.lexsort(keys[::-1])
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-            once = order[new]
+            once = self._once(*keys)
             if self.held + len(once) > self.SLOTS * 5 // 8:
                 if not self.held:  # more new words than there is room for
                     return self._halves(raw, offsets, end)
                 self._clear()
                 return self.encode(raw, offsets, end)
-            spans = zip(begin[missing[once]].tolist(), ends[short[missing[once]]].tolist(), strict=True)
-            data = raw.tobytes()
-            self._learn(*(k[once] for k in keys), [data[i:j] for i, j in spans])
+            chosen = short[missing[once]]
+            self._learn(raw, chunks, starts[chosen], size[chosen], spaced[chosen])
             place[missing] = self._find(*keys)
         at, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         at[short], count[short] = self.begin[place], self.count[place]

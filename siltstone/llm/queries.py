@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import avi, decontaminate, html_text, jaccard, langid, pieces, prefix_trie, repair, simple8b, substrings, toxicity, url_filter
+from siltstone.llm import avi, decontaminate, fingerprints, html_text, jaccard, langid, pieces, prefix_trie, repair, simple8b, substrings, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_url_filters": url_filter.op10_url_filters,
         "op11_conversation_repair": repair.op11_conversation_repair,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_document_fingerprints": fingerprints.op13_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substrings.SQL, "op4_ngram_jaccard": jaccard.SQL, "op10_url_filters": url_filter.SQL, "op11_conversation_repair": repair.SQL, "op12_prefix_trie": prefix_trie.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op4_ngram_jaccard": jaccard.SQL, "op10_url_filters": url_filter.SQL, "op11_conversation_repair": repair.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_document_fingerprints": fingerprints.SQL}

@@ -7,7 +7,13 @@ that differ by at most e. So the q-grams of a text are looked up in an index of
 ones are counted per item in bands of diagonals that overlap by e, and only bands that reach the
 bound are verified, by an edit-distance alignment that does not leave the band. q is 8, or for an
 item under 32 bytes the largest number for which the bound is positive, so short items are found too;
-one of under ten bytes has to occur unchanged.
+one of under ten bytes has to occur unchanged. What is counted is the places of a text that share a
+q-gram with a band. Places of an item with the same gram that are no further apart than a band is
+wide form one interval of the index, and equal grams in a row of a text one run of places, so rules of
+dashes, blank forms and other repeated characters cost an entry a band and not one a pair of places;
+entries are made and added up in parts of PART. Where many bands are left, the least distance of each is
+found first, for all of them at once by bit vectors, and only those that can still give the best
+occurrence are aligned.
 
 Items go out in blocks of at most about ``block_bytes``, whose index takes about 20 bytes a byte of
 text on the driver and in a worker, so neither grows with the benchmark. One block is searched in
@@ -37,6 +43,8 @@ Q = 8
 RATE = 0.1
 SLOT_BITS = 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Entries that are counted at a time, and regions from which on least distances are found together, and how many together.
+PART, MANY, TOGETHER = 1 << 18, 16, 1 << 12
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
 HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
@@ -61,27 +69,29 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Grams:
-    """The q-grams of the items of one q: their places, ordered by the gram."""
+    """The q-grams of the items of one q: the intervals of their places, ordered by the gram."""
 
     q: int
     present: np.ndarray
     keys: np.ndarray  # distinct
-    firsts: np.ndarray  # of each key in items and places, and the end
+    firsts: np.ndarray  # of each key in the intervals, and the end
     items: np.ndarray
-    places: np.ndarray
+    lows: np.ndarray
+    highs: np.ndarray
 
 
 @dataclass
 class Index:
     item_ids: list[int]
     texts: list[bytes]
+    sizes: np.ndarray
     edits: np.ndarray
     bounds: np.ndarray
     widths: np.ndarray  # of a band, a power of two above the edits
     grams: list[Grams]
 
 
-def gram_index(texts: list[bytes], chosen: np.ndarray, q: int) -> Grams:
+def gram_index(texts: list[bytes], chosen: np.ndarray, q: int, widths: np.ndarray) -> Grams:
     sizes = np.array([len(texts[k]) for k in chosen], np.int64)
     raw = np.frombuffer(b"".join(texts[k] for k in chosen), np.uint8)
     counts = sizes + 1 - q
@@ -94,13 +104,18 @@ def gram_index(texts: list[bytes], chosen: np.ndarray, q: int) -> Grams:
     places = places[order]
     items = np.repeat(chosen.astype(np.uint32), counts)[order]
     del order
+    apart = np.ones(len(every), bool)
+    apart[1:] = (every[1:] != every[:-1]) | (items[1:] != items[:-1]) | (places[1:].astype(np.int64) - places[:-1] > widths[items[1:]])
+    lows = np.flatnonzero(apart)
+    highs = np.append(lows[1:], len(every)) - 1
+    every, items, lows, highs = every[lows], items[lows], places[lows], places[highs]
     new = np.ones(len(every), bool)
     new[1:] = every[1:] != every[:-1]
     firsts = np.append(np.flatnonzero(new), len(every)).astype(np.uint32)
     keys = every[new]
     present = np.zeros(1 << SLOT_BITS, bool)
     present[(keys * MULTIPLIER) >> np.uint64(64 - SLOT_BITS)] = True
-    return Grams(q, present, keys, firsts, items, places)
+    return Grams(q, present, keys, firsts, items, lows, highs)
 
 
 def build_index(rows: list[tuple[int, str]], rate: float = RATE) -> Index:
@@ -115,7 +130,7 @@ def build_index(rows: list[tuple[int, str]], rate: float = RATE) -> Index:
     edits = (rate * sizes).astype(np.int64)
     q = np.minimum(Q, np.maximum(1, sizes // (edits + 1)))
     widths = 1 << np.maximum(4, np.ceil(np.log2(edits + 1)).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
-    return Index(ids, texts, edits, np.maximum(1, sizes + 1 - q * (edits + 1)), widths, [gram_index(texts, np.flatnonzero(q == k), k) for k in np.unique(q).tolist()])
+    return Index(ids, texts, sizes, edits, np.maximum(1, sizes + 1 - q * (edits + 1)), widths, [gram_index(texts, np.flatnonzero(q == k), k, widths) for k in np.unique(q).tolist()])
 
 
 _FAR = 1 << 62
@@ -170,26 +185,113 @@ def candidates(index: Index, grams: Grams, chunks: np.ndarray, offsets: np.ndarr
     doc = np.searchsorted(offsets, at, side="right") - 1
     inside = at + grams.q <= offsets[doc + 1]
     at, place, doc = at[inside], place[inside], doc[inside]
+    if not len(at):
+        return none
+    # Runs of places with the same gram.
+    starts = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
+    lasts = np.append(starts[1:], len(at)) - 1
+    begin, end, place, doc = at[starts] - offsets[doc[starts]], at[lasts] - offsets[doc[starts]], place[starts], doc[starts]
     first = grams.firsts[place].astype(np.int64)
     count = grams.firsts[place + 1] - first
-    total = int(count.sum())
-    if not total:
-        return none
-    which = np.repeat(np.arange(len(at)), count)
-    entry = first[which] + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    item = grams.items[entry].astype(np.int64)
-    diagonal = at[which] - offsets[doc[which]] - grams.places[entry]
-    width = index.widths[item]
-    band = diagonal // width
-    twice = diagonal - band * width < index.edits[item]  # also in the band before, which reaches as far
-    doc = doc[which]
-    doc, item, band = np.concatenate([doc, doc[twice]]), np.concatenate([item, item[twice]]), np.concatenate([band, band[twice] - 1])
-    low = int(band.min())
-    span = int(band.max()) - low + 1
-    packed, shared = np.unique((doc * len(index.texts) + item) * span + (band - low), return_counts=True)
-    item = packed // span % len(index.texts)
-    packed, item = packed[(keep := shared >= index.bounds[item])], item[keep]
-    return np.stack([packed // span // len(index.texts), item, (packed % span + low) * index.widths[item]], axis=1)
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    # Bands are 16 wide at least, and edits fewer than an item's bytes.
+    before = (int(index.sizes.max()) >> 3) + 8
+    span = before + (int((offsets[1:] - offsets[:-1]).max()) >> 4) + 8
+    for which, entry in _parts(first, count):
+        item = grams.items[entry].astype(np.int64)
+        width, most = index.widths[item], index.edits[item]
+        low, high = begin[which] - grams.highs[entry], end[which] - grams.lows[entry]
+        bands_first, bands = (low - most) // width, high // width - (low - most) // width + 1
+        # The bands of an entry: a band from diagonal d on reaches to d + width + edits.
+        for entries, band in _parts(bands_first, bands):
+            d = band * width[entries]
+            reach = np.minimum(end[which[entries]], d + (width + most)[entries] - 1 + grams.highs[entry[entries]])
+            places = reach - np.maximum(begin[which[entries]], d + grams.lows[entry[entries]]) + 1
+            packed = (doc[which[entries]] * len(index.texts) + item[entries]) * span + band + before
+            got, inverse = np.unique(packed, return_inverse=True)
+            keys, sums = _added(keys, sums, got, np.bincount(inverse, places).astype(np.int64))
+    item = keys // span % len(index.texts)
+    keep = sums >= index.bounds[item]
+    keys, item = keys[keep], item[keep]
+    return np.stack([keys // span // len(index.texts), item, (keys % span - before) * index.widths[item]], axis=1)
+
+
+def _parts(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers k and first[k] .. first[k] + count[k] - 1 for all k, at most PART at a time."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, PART):
+        every = np.arange(low, min(total, low + PART))
+        which = np.searchsorted(ends, every, side="right")
+        yield which, first[which] + every - (ends[which] - count[which])
+
+
+def _added(keys: np.ndarray, sums: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of sums by key as one."""
+    if not len(keys):
+        return more, counts
+    every, inverse = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    return every, np.bincount(inverse, np.concatenate([sums, counts])).astype(np.int64)
+
+
+def least_distances(items: list[bytes], which: np.ndarray, text: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Least edit distance of items[which[k]] to any part of text[begins[k] : stops[k]], for all k.
+
+    Columns of the alignment are bit vectors of differences, 64 rows a word; one step a byte of the
+    regions updates all of them.
+    """
+    out = np.empty(len(which), np.int64)
+    words = np.array([-(-len(items[k]) // 64) for k in which.tolist()])
+    sizes = stops - begins
+    for n in np.unique(words).tolist():
+        rows = np.flatnonzero(words == n)
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        step = max(1, TOGETHER // n)
+        for low in range(0, len(rows), step):
+            chosen = rows[low : low + step]
+            out[chosen] = _distances(items, which[chosen], text, begins[chosen], sizes[chosen], n)
+    return out
+
+
+def _distances(items: list[bytes], which: np.ndarray, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    some, lane = np.unique(which, return_inverse=True)
+    equal = np.zeros((n, len(some) * 257), np.uint64)
+    for k, item in enumerate(some.tolist()):
+        raw = np.frombuffer(items[item], np.uint8)
+        rows = np.arange(len(raw))
+        np.bitwise_or.at(equal, (rows >> 6, k * 257 + raw.astype(np.int64)), np.uint64(1) << (rows & 63).astype(np.uint64))
+    base = lane * 257
+    length = np.array([len(items[k]) for k in some.tolist()])[lane]
+    top = [np.full(len(which), 63, np.uint64)] * (n - 1) + [((length - 1) & 63).astype(np.uint64)]
+    up, down = [np.full(len(which), (1 << 64) - 1, np.uint64) for _ in range(n)], [np.zeros(len(which), np.uint64) for _ in range(n)]
+    score, least, one = length.copy(), length.copy(), np.uint64(1)
+    for t in range(int(sizes.max())):
+        inside = t < sizes
+        byte = np.where(inside, text[np.minimum(begins + t, len(text) - 1)], 256).astype(np.int64)
+        more = less = np.zeros(len(which), np.uint64)
+        for b in range(n):
+            same = equal[b][base + byte]
+            vertical = same | down[b]
+            same = same | less
+            level = (((same & up[b]) + up[b]) ^ up[b]) | same
+            right_more, right_less = down[b] | ~(level | up[b]), up[b] & level
+            out_more, out_less = (right_more >> top[b]) & one, (right_less >> top[b]) & one
+            right_more, right_less = right_more << one | more, right_less << one | less
+            up[b], down[b] = right_less | ~(vertical | right_more), right_more & vertical
+            more, less = out_more, out_less
+        score = score + more.astype(np.int64) - less.astype(np.int64)
+        least = np.where(inside, np.minimum(least, score), least)
+    return least
+
+
+def _regions(index: Index, rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and stop of the part of the texts that the bands of ``rows`` cover, and their lowest and highest diagonal there."""
+    doc, item, diagonal = rows.T
+    most, size = index.edits[item], index.sizes[item]
+    low, high = diagonal - most, diagonal + index.widths[item] + 2 * most
+    begin = np.maximum(0, low)
+    stop = np.maximum(begin, np.minimum(ends[doc + 1] - ends[doc], high + size))
+    return begin + ends[doc], stop + ends[doc], low - begin, high - begin
 
 
 def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
@@ -198,20 +300,41 @@ def search(index: Index, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict
     found: list[dict[int, tuple]] = [{} for _ in range(len(offsets) - 1)]
     chunks = eights(text)[: len(text)] if index.grams and len(text) else None
     for grams in index.grams if chunks is not None else ():
-        for doc, item, diagonal in candidates(index, grams, chunks, ends).tolist():
-            most, size = int(index.edits[item]), len(index.texts[item])
-            if found[doc].get(item, (1,))[0] == 0:
-                continue  # bands rise, so an unchanged occurrence before this one stands
-            low, high = diagonal - most, diagonal + int(index.widths[item]) + 2 * most
-            begin = max(0, low)
-            stop = min(int(ends[doc + 1] - ends[doc]), high + size)
-            begin, stop = begin + int(ends[doc]), stop + int(ends[doc])
-            got = align(index.texts[item], text[begin:stop].tobytes(), most, low - begin + int(ends[doc]), high - begin + int(ends[doc]))
+        rows = candidates(index, grams, chunks, ends)
+        if not len(rows):
+            continue
+        begins, stops, lows, highs = _regions(index, rows, ends)
+        # The first unchanged occurrence is the best one, whatever else there is.
+        pairs = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+        for a, b in zip(pairs.tolist(), np.append(pairs[1:], len(rows)).tolist(), strict=True):
+            doc, item = rows[a, :2].tolist()
+            base, first = int(ends[doc]), int(begins[a])
+            at = text[first : int(stops[b - 1])].tobytes().find(index.texts[item])
+            if at >= 0:
+                begins[a:b] = -1
+                at += first
+                found[doc][item] = (0, at - base, at - base + len(index.texts[item]))
+        left = np.flatnonzero((begins >= 0) & (index.edits[rows[:, 1]] > 0))
+        least = np.zeros(len(rows), np.int64)
+        if len(left) >= MANY:
+            least[left] = least_distances(index.texts, rows[left, 1], text, begins[left], stops[left])
+            left = left[least[left] <= index.edits[rows[left, 1]]]
+            left = left[np.argsort(least[left], kind="stable")]
+        for k in left.tolist():
+            doc, item = rows[k, :2].tolist()
+            base, begin = int(ends[doc]), int(begins[k])
+            best = found[doc].get(item)
+            if best is not None and (int(least[k]), begin - base) > best[:2]:
+                continue
+            got = align(index.texts[item], text[begin : int(stops[k])].tobytes(), int(index.edits[item]), int(lows[k]), int(highs[k]))
             if got is not None:
-                edits, a, b = got
-                hit = (edits, int(source[begin + a] - offsets[doc]), int(source[begin + b - 1] - offsets[doc]) + 1)
-                found[doc][item] = min(hit, found[doc].get(item, hit))
-    return [[{"item_id": index.item_ids[i], "start": h[1], "end": h[2], "edits": h[0]} for i, h in sorted(f.items())] for f in found]
+                hit = (got[0], begin - base + got[1], begin - base + got[2])
+                found[doc][item] = min(hit, best or hit)
+    out = []
+    for doc, items in enumerate(found):
+        base, zero = int(ends[doc]), int(offsets[doc])
+        out.append([{"item_id": index.item_ids[i], "start": int(source[base + a]) - zero, "end": int(source[base + b - 1]) - zero + 1, "edits": e} for i, (e, a, b) in sorted(items.items())])
+    return out
 
 
 def _annotator(shared, keep: list[int]):
@@ -256,7 +379,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_by
         return _with_hits(docs, block(0))
     docs = docs.drop("hits")
     a, b = _spare(docs.columns, "text_a"), _spare(docs.columns, "text_b")
-    marks = [F.xxhash64("text").alias(a), F.xxhash64("text", F.lit(1)).alias(b)]
+    # A hash seeds that of the next column, so the constant of the second one comes before the text.
+    first, second = F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))
+    marks = [first.alias(a), second.alias(b)]
     found = []
     for k in range(blocks):
         shared = block(k)
@@ -269,7 +394,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_by
     sound_unions(spark)
     # Staged, so that the join below has two plain sides, whose frequent texts can be dealt out.
     lists = stage_table(every.groupBy(a, b).agg(F.sort_array(F.collect_list("hit")).alias("hits")), "hits")
-    joined = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64("text", F.lit(1))}).join(lists, [a, b], "left")
+    joined = docs.withColumns({a: first, b: second}).join(lists, [a, b], "left")
     return joined.select(*docs.columns, F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
 
 
@@ -279,7 +404,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Every occurrence of a ``benchmark`` item in a text of ``documents``; clean documents have no row."""
+    """The best occurrence of every ``benchmark`` item in every text of ``documents``; clean documents have no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", F.explode("hits").alias("h"))
     return hits.select("doc_id", "h.item_id", F.col("h.start").alias("start_byte"), F.col("h.end").alias("end_byte"), "h.edits")

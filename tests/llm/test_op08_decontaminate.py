@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -130,3 +132,79 @@ def test_index_is_small():
     text = prose(5, 40_000)
     rows = [(k, text[k * 500 : k * 500 + 500]) for k in range(len(text) // 500)]
     assert len(pickle.dumps(d.build_index(rows))) < 24 * len(text) + (2 << 20)
+
+
+def best_in(item, text, most):
+    """(edits, start, end) with the least of each in turn, by the whole table with starts."""
+    row = [(0, j) for j in range(len(text) + 1)]
+    for i, a in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, b in enumerate(text, 1):
+            new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    edits = min(r[0] for r in row)
+    return (edits, min(s for e, s in row if e == edits)) if edits <= most else None
+
+
+def searched(items, texts):
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    index = d.build_index(items)
+    return index, d.search(index, raw, np.cumsum([0, *[len(t.encode()) for t in texts]]))
+
+
+def test_repetitive_texts_against_the_whole_table(monkeypatch):
+    monkeypatch.setattr(d, "PART", 7)
+    r = random.Random(12)
+    bits = ["-" * 20, "-=" * 15, "ab" * 9, "." * 33, "xyz", "-", "q-q-q-", "=" * 12, "the end"]
+    items = [(k, "".join(r.choice(bits) for _ in range(r.randint(1, 5)))) for k in range(30)]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(40)]
+    index, got = searched(items, texts)
+    hits = 0
+    for text, found in zip(texts, got, strict=True):
+        clean = " ".join(text.split())
+        for k, item in enumerate(index.texts):
+            want = best_in(item.decode(), clean, int(index.edits[k]))
+            have = [(h["edits"], h["start"]) for h in found if h["item_id"] == index.item_ids[k]]
+            assert [w[0] for w in ([want] if want else [])] == [h[0] for h in have], (item, clean)
+            hits += bool(want)
+    assert hits > 100
+
+
+def test_least_distances():
+    r = random.Random(3)
+    items = ["".join(r.choice("abc") for _ in range(n)).encode() for n in (1, 5, 63, 64, 65, 130, 200)]
+    text = "".join(r.choice("abc") for _ in range(3000)).encode()
+    rows = [(k, b, b + r.randint(1, 300)) for k in range(7) for b in (r.randint(0, 2500) for _ in range(12))]
+    which, begins, stops = np.array(rows).T
+    got = d.least_distances(items, which, np.frombuffer(text, np.uint8), begins, stops)
+    assert got.tolist() == [distance_in(items[k].decode(), text[a:b].decode()) for k, a, b in rows]
+
+
+def cost(items, texts):
+    tracemalloc.start()
+    began = time.time()
+    index, got = searched(items, texts)
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return got, took, peak
+
+
+def test_rules_and_repeated_characters_stay_cheap():
+    for size in (80_000, 1_000_000):
+        got, took, peak = cost([(1, "-" * 400)], ["-" * size])
+        assert [(h["start"], h["end"], h["edits"]) for h in got[0]] == [(0, 400, 0)] and took < 6 and peak < 200 << 20
+    rule = "-" * 79
+    items = [(k, f"{prose(k, 4)}\n{rule}\n{prose(k + 50, 4)}") for k in range(11)]
+    page = "".join(f"{prose(1000 + k, 1)[:7]}\n{rule}\n" for k in range(790))
+    got, took, peak = cost(items, [page])
+    assert not got[0] and took < 10 and peak < 200 << 20
+    planted = page[:30_000] + items[3][1] + page[30_000:]
+    assert [(h["item_id"], h["edits"]) for h in searched(items, [planted])[1][0]] == [(3, 0)]
+
+
+def test_hashes_of_a_text_are_apart(spark):
+    """The second hash of a text must not follow from the first one: seeds chain from column to column."""
+    rows = spark.range(50).select(F.concat(F.lit("text "), "id").alias("text")).select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), F.xxhash64("text", F.lit(1)).alias("chained")).collect()
+    again = spark.createDataFrame([(r["a"],) for r in rows], "a long")
+    assert len({r["b"] for r in rows}) == 50 and not {r["a"] for r in rows} & {r["b"] for r in rows}
+    assert all(r["b"] != r["chained"] for r in rows) and again.count() == 50

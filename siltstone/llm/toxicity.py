@@ -138,13 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
     """Fit on about ``positives`` + ``negatives`` labelled documents that are not held out.
 
     Labels of one document are merged before any is chosen. The chosen ones are few whatever the
-    tables' sizes, so they are broadcast to the documents.
+    tables' sizes, so they are broadcast to the documents. Where one id has several texts, the rows
+    found are thinned to the same numbers once more, by a hash of id and text.
     """
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
     chosen = per_class(known.where("toxic = 1"), "toxic", "doc_id", positives).unionByName(per_class(known.where("toxic = 0"), "toxic", "doc_id", negatives))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "toxic", "text")
+    rows = per_class(rows.where("toxic = 1"), "toxic", "h", positives).unionByName(per_class(rows.where("toxic = 0"), "toxic", "h", negatives))
     got = sorted(once(rows.mapInArrow(_terms, "h long, toxic int, terms binary"), "h").collect(), key=lambda r: (r["h"], r["toxic"], bytes(r["terms"])))
     return fit([np.frombuffer(bytes(r["terms"]), "<u4") for r in got], np.array([r["toxic"] for r in got])) if got else None
 

@@ -104,3 +104,24 @@ def test_long_texts_have_the_same_grams_in_parts():
     offsets = np.array([0, 0, 700, len(raw)])
     whole, parts = langid.distinct_grams(raw, offsets), langid.distinct_grams(raw, offsets, step=50)
     assert len(whole[0]) == 0 and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_model_is_bounded():
+    r = random.Random(1)
+    noise = ["".join(chr(r.randint(33, 126)) for _ in range(200_000)).encode() for _ in range(16)]
+    labels = ["ab"[k % 2] for k in range(16)]
+    model = langid.fit(noise, labels)
+    assert len(model.keys) == langid.COLUMNS and model.landmarks.nbytes <= 64 << 20
+    assert model.presence(np.frombuffer(b"abc" * 64, np.uint8), np.arange(0, 193, 3)).nbytes <= 64 << 20
+    many = [f"{chr(0x400 + k)}{chr(0x500 + k)}" * 3 for k in range(1000)]
+    model = langid.fit([t.encode() for t in many for _ in range(2)], [f"l{k:04d}" for k in range(1000) for _ in range(2)])
+    assert model.landmarks.size <= langid.CELLS and len(model.languages) == 1000
+
+
+def test_keys_of_one_slot_all_count(monkeypatch):
+    monkeypatch.setattr(langid, "SLOT_BITS", 4)
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 300).astype(np.uint64))
+    columns = langid.Columns(keys)
+    asked = np.concatenate([keys[::-1], keys + np.uint64(1)])
+    at, column = columns.find(asked)
+    assert sorted(column.tolist()) == sorted(np.searchsorted(keys, asked[np.isin(asked, keys)]).tolist()) and (keys[column] == asked[at]).all()

@@ -11,10 +11,10 @@ complete; two sketches are compared up to the smaller limit, below which both ar
 Likeness is the estimated containment of the smaller sketch in the other one: 1 for texts without
 words on both sides, 0 where one side has no hash up to the common limit.
 
-The query compares each document with an edit of it that ends in words of the next document. Digests and
-sketches are taken in one pass and staged; the order of documents is made of their ids alone, by ranges.
-Texts are shuffled once, by a digest of id and text, and the exchange is used twice: a document joins its
-own row and sends what its neighbour needs of it, half the neighbour's length at most.
+The query compares each document with an edit of it that ends in words of the next document. The order
+of documents is made of ids, lengths and digests alone, by ranges. Texts with their sketches are shuffled
+once, by a digest of id and text, and the exchange is used twice: a document joins its own row and
+sends its neighbour what that needs, its sketch and half the neighbour's length of its text at most.
 
 Defined cases: null texts are empty; null ids come last in the descending order; rows of one id
 are ordered by the digest of their text; repeated rows follow each other, so each but the last has
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import numbered, partitions_for, stage_table
+from siltstone.runtime import numbered, stage_table
 
 WORDS, LEAST, DIGITS = 5, 32, 16
 #: Hashes up to this one are below the fixed fraction of 1/16.
@@ -103,47 +103,62 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return with_sketch(own, "_text", "_sketch").select("row.*", fingerprint("_sketch").alias(name))
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """For every distinct (id, text), by its digest: rows, length, sketch, and the digest and likeness of the next one."""
-    rows = with_sketch(docs.select("key", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars")), "text", "sketch").drop("text")
-    each = rows.groupBy("key", "doc_id", "n_chars").agg(F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+def packed(sketch: Column) -> Column:
+    """A sketch as bytes, eight a hash, the limit first; that is how it is shuffled."""
+    return F.unhex(F.concat(sketch["limit"], F.array_join(sketch["hashes"], "")))
+
+
+def unpacked(data: Column) -> Column:
+    """A sketch from its bytes."""
+    def digits(k):
+        return F.lower(F.hex(F.substring(data, k * 8 + 1, F.lit(8))))
+
+    n = (F.octet_length(data) / 8).cast("int")
+    hashes = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), digits)).otherwise(F.array().cast("array<string>"))
+    return F.struct(digits(F.lit(0)).alias("limit"), hashes.alias("hashes"))
+
+
+def _neighbours(keyed: DataFrame) -> DataFrame:
+    """For every distinct (id, text), by its digest: id, length, rows, and the digest of the next one. No text takes part."""
+    each = keyed.groupBy("key", "doc_id", "n_chars").agg(F.count("*").alias("copies"))
     placed = stage_table(numbered(each, [F.desc_nulls_last("doc_id"), F.desc("key")], "place"), "places")
     last = placed.agg(F.max("place")).first()[0]
-    after = placed.select(F.col("key").alias("next_key"), F.col("sketch").alias("next_sketch"), F.when(F.col("place") == 1, F.lit(last)).otherwise(F.col("place") - 1).alias("place"))
-    joined = placed.join(after, "place")
-    return joined.withColumn("near_next", likeness(F.col("sketch"), F.col("next_sketch"))).drop("next_sketch", "place")
+    after = placed.select(F.col("key").alias("next_key"), F.when(F.col("place") == 1, F.lit(last)).otherwise(F.col("place") - 1).alias("place"))
+    return placed.join(after, "place").drop("place")
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, edited, sketch, near_next) of every row of (doc_id, text).
+    """(doc_id, text, n_chars, edited, sketch, next_sketch) of every row of (doc_id, text).
 
     ``edited`` is the text with its last floor(n_chars / 2) characters replaced by as many of the next document.
     """
     text = F.coalesce("text", F.lit(""))
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text), 256))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("key", key)
-    known = stage_table(_neighbours(keyed), "neighbours")
+    keyed = docs.select("doc_id", text.alias("text")).withColumns({"key": key, "n_chars": F.char_length(text).cast("long")})
+    known = stage_table(_neighbours(keyed.select("key", "doc_id", "n_chars")), "neighbours")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    texts = keyed.select("key", "text").repartition(partitions_for(docs), "key").groupBy("key").agg(F.first("text").alias("text"))
+    own_sketch = packed(F.col("_sketch"))
+    # Rows of one key are equal, and merged before they are shuffled.
+    texts = with_sketch(keyed.select("key", "text"), "text", "_sketch").select("key", "text", own_sketch.alias("sketch")).groupBy("key").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
     wanted = known.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), half.alias("wanted"))
-    sent = texts.join(wanted, "key").select(F.col("for_key").alias("key"), F.left("text", F.col("wanted")).alias("tail"))
+    sent = texts.join(wanted, "key").select(F.col("for_key").alias("key"), F.left("text", F.col("wanted")).alias("tail"), F.col("sketch").alias("next_sketch"))
     own = texts.join(known, "key").join(sent, "key")
     each = own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     again = F.col("copy") < F.col("copies")
     tail = F.when(again, F.left("text", half)).otherwise(F.col("tail"))
-    return each.select(
-        "doc_id", "text", "n_chars", F.concat(F.left("text", F.col("n_chars").cast("int") - half), tail).alias("edited"), "sketch", F.when(again, 1.0).otherwise(F.col("near_next")).alias("near_next")
-    )
+    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), tail)
+    rows = each.select("doc_id", "text", "n_chars", edited.alias("edited"), "sketch", F.when(again, F.col("sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"))
+    return rows.withColumns({c: unpacked(F.col(c)) for c in ("sketch", "next_sketch")})
 
 
 def op13_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every text of ``documents`` and of its edit, with their likeness."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = edits(docs).select("doc_id", "n_chars", "edited", "sketch", "near_next")
+    rows = edits(docs).drop("text")
     both = with_sketch(rows, "edited", "edited_sketch")
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), "near_next",
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
 
 

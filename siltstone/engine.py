@@ -97,7 +97,7 @@ class Engine:
 
     def _index(self, path: str, allowed_errors: tuple[str, ...], job: Job) -> Job:
         active, identity = self.store.active(), embed.identity(self.provider)
-        active_usable = active is not None and {k: active[k] for k in identity} == identity
+        active_usable = active is not None and {k: active.get(k) for k in identity} == identity
         job.enter("scanning")
         scanned = stage_table(self.hooks.scan(self.spark, path), "scanned")
         good = scanned.where("error_type IS NULL")
@@ -106,7 +106,7 @@ class Engine:
         job.enter("parsing")
         snapshot = repository.snapshot(scanned)
         changed = good
-        kept_chunks = kept_vectors = None
+        delta = None
         if active_usable:
             delta = stage_table(store.file_delta(self.store.read("files"), snapshot), "delta")
             if not delta.where("change <> 'unchanged'").take(1):
@@ -116,7 +116,7 @@ class Engine:
             job.strategy = "incremental"
             fresh_paths = delta.where("change IN ('added', 'modified')").select("relative_path")
             changed = good.join(fresh_paths, "relative_path", "left_semi")
-            kept_chunks = store.retained(self.store.read("chunks"), delta)
+            kept_chunks = store.retained(self.store.read("chunks").select("relative_path", "chunk_id", "content_hash"), delta)
             kept_vectors = store.reusable_vectors(kept_chunks, self.store.read("vectors"), self.provider.model, self.provider.dimensions)
             assert_empty(kept_chunks.select("chunk_id").join(kept_vectors.select("chunk_id"), "chunk_id", "left_anti"), "a retained chunk has no vector")
         else:
@@ -127,10 +127,12 @@ class Engine:
         self._fail(job, errors.where(~F.col("relative_path").isin(*allowed_errors)) if allowed_errors else errors)
         job.enter("embedding")
         vectors = self._vectors(chunks)
-        if kept_chunks is not None:
-            chunks, vectors = kept_chunks.unionByName(chunks), kept_vectors.select(*vectors.columns).unionByName(vectors)
         job.enter("verifying")
-        staged = self.store.stage(snapshot, chunks, vectors, identity)
+        if delta is None:
+            staged = self.store.stage(snapshot, chunks, vectors, identity)
+        else:
+            fresh = snapshot.join(delta.where("change IN ('added', 'modified')").select("relative_path"), "relative_path", "left_semi").select(*snapshot.columns)
+            staged = self.store.stage_change(delta, fresh, chunks, vectors, identity)
         again = repository.snapshot(self.hooks.scan(self.spark, path))
         if store.symmetric_difference(snapshot, again).take(1):
             self.store.discard(staged)
@@ -177,12 +179,13 @@ class Engine:
         found = []
         if method in ("semantic", "hybrid"):
             active = self.store.active()
-            if active is None or {k: active[k] for k in embed.identity(self.provider)} != embed.identity(self.provider):
+            if active is None or {k: active.get(k) for k in embed.identity(self.provider)} != embed.identity(self.provider):
                 raise IntegrityError("the index was made with another embedding model")
-            found.append(rank.semantic(vectors(), self.store.read("vectors"), limit, exclude_self=False).select("question_id", "rank", "chunk_id", "score"))
+            places = self._chunks().select("chunk_id", "source_file", "start_line")
+            found.append(rank.semantic(vectors(), self.store.read("vectors").select("chunk_id", "vector").join(places, "chunk_id", "left"), limit, exclude_self=False))
         if method in ("lexical", "hybrid"):
-            found.append(rank.lexical(questions, self._chunks(), limit).select("question_id", "rank", "chunk_id", "score"))
-        hits = found[0] if len(found) == 1 else rank.fuse(found[0], found[1], limit).select("question_id", "rank", "chunk_id", "score")
+            found.append(rank.lexical(questions, self._chunks(), limit))
+        hits = (found[0] if len(found) == 1 else rank.fuse(found[0], found[1], limit)).select("question_id", "rank", "chunk_id", "score")
         return rank.hydrate(hits, self._chunks().drop("embedding_text"), strict=True)
 
     def search(self, text: str, method: str = "hybrid", limit: int = 10) -> DataFrame:

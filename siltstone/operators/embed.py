@@ -69,7 +69,8 @@ class AskedCache:
 def identity(provider: EmbeddingProvider, endpoint: str | None = None) -> dict:
     """What an index remembers of its provider; queries must match it. The endpoint is the provider's own, if not given."""
     endpoint = getattr(provider, "endpoint", "") if endpoint is None else endpoint
-    return {"model": provider.model, "dimensions": provider.dimensions, "endpoint_sha256": hashlib.sha256(canonical_endpoint(endpoint).encode()).hexdigest()}
+    name = getattr(provider, "name", None) or type(provider).__name__
+    return {"provider": name, "model": provider.model, "dimensions": provider.dimensions, "endpoint_sha256": hashlib.sha256(canonical_endpoint(endpoint).encode()).hexdigest()}
 
 
 def canonical_endpoint(url: str) -> str:

@@ -51,9 +51,13 @@ class Folder:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.conf)
         context.rename(context.makeQualified(self._path(partial)), context.makeQualified(self._path(name)), options)
 
-    def children(self) -> list[str]:
+    def children(self, name: str = "") -> list[str]:
         """Names of files and folders, sorted."""
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path())) if self.exists() else []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.exists(name) else []
+
+    def size(self, name: str) -> int:
+        """Bytes of a file, or of all files below a folder."""
+        return self.fs.getContentSummary(self._path(name)).getLength()
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)

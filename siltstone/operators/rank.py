@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.functions import text as tx
-from siltstone.runtime import spread, stage_table
+from siltstone.runtime import estimated_bytes, spread, stage_table
 
 #: Fixed weights of the lexical fields, and the constant of reciprocal rank fusion.
 FIELD_WEIGHTS = {"qualified_name": 3, "source_file": 2, "code": 1, "embedding_text": 1}
@@ -96,60 +96,72 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
                     at = np.repeat(first[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                     score += weight * np.bincount(np.repeat(row, size) * len(ids) + owners[at], minlength=len(score))
                 score = score.reshape(rows, len(ids))
-                table = pa.table({c: part.column(i) for i, c in enumerate(keys)})
-                order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("source_file", "start_line", "chunk_id") if c in keys], null_placement="at_start").to_numpy()
+                order = _tie_order(part, keys)
                 # Questions x chunks, in the total order of equal scores.
-                score = np.ascontiguousarray(score[order].T)
-                bar = np.partition(score, rows - k, axis=1)[:, rows - k, None] if rows > k else np.zeros((len(ids), 1))
-                question, chunk = np.nonzero((score >= bar) & (score > 0))
-                value = score[question, chunk]
-                best = np.lexsort((chunk, -value, question))
-                question, chunk, value = question[best], chunk[best], value[best]
-                good = np.arange(len(question)) - np.searchsorted(question, question) < k
-                picked = pa.array(order[chunk[good]])
-                yield pa.RecordBatch.from_arrays([questions.take(pa.array(question[good])), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value[good])], schema=arrow)
+                question, chunk, value = _best(np.ascontiguousarray(score[order].T), k, 0)
+                picked = pa.array(order[chunk])
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(question)), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value)], schema=arrow)
 
     return run
 
 
 def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether the rows come from files under the broadcast bound, with room for what an explode adds."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= most
+    size = estimated_bytes(rows)
+    return size is not None and size <= most
 
 
-def _order_codes(ids: np.ndarray) -> np.ndarray:
-    """Numbers in the order of the ids."""
-    if ids.dtype != object:
-        return ids
-    codes = np.empty(len(ids), np.int64)
-    codes[np.argsort(ids.astype(str), kind="stable")] = np.arange(len(ids))
-    return codes
+#: What orders chunks of equal scores, in turn.
+PLACE = ("source_file", "start_line", "chunk_id")
 
 
-def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, kinds: tuple[pa.DataType, pa.DataType]):
+def _tie_order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Places of a batch's rows in the order of equal scores."""
+    table = pa.table({c: batch.column(c) for c in keys})
+    return pc.sort_indices(table, sort_keys=[(c, "ascending") for c in PLACE if c in keys], null_placement="at_start").to_numpy()
+
+
+def _best(score: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, place, score) of the best ``k`` columns of each row above ``least``, earlier columns first among equals."""
+    n = score.shape[1]
+    bar = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -np.inf)
+    question, place = np.nonzero((score >= bar) & (score > least))
+    value = score[question, place]
+    best = np.lexsort((place, -value, question))
+    question, place, value = question[best], place[best], value[best]
+    good = np.arange(len(question)) - np.searchsorted(question, question) < k
+    return question[good], place[good], value[good]
+
+
+def scores_of(block: np.ndarray, lengths: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Scores (queries x rows), rounded to 9 digits."""
+    products = block @ rows.T
+    own = np.sqrt((rows * rows).sum(axis=1))
+    if metric == "cosine":
+        bottom = lengths[:, None] * own[None, :]
+        values = np.divide(products, bottom, out=np.zeros_like(products), where=bottom > 0)
+    elif metric == "dot":
+        values = products
+    else:
+        values = -np.sqrt(np.maximum(0, lengths[:, None] ** 2 - 2 * products + own[None, :] ** 2))
+    return np.round(values, 9) + 0.0
+
+
+def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, keys: list[str], schema: T.StructType):
     lengths = np.sqrt((block * block).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        asked = pa.array(block_ids, arrow.field(0).type)
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
-                ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(len(ids), -1)
-                products = block @ rows.T
-                own = np.sqrt((rows * rows).sum(axis=1))
-                if metric == "cosine":
-                    bottom = lengths[:, None] * own[None, :]
-                    values = np.divide(products, bottom, out=np.zeros_like(products), where=bottom > 0)
-                elif metric == "dot":
-                    values = products
-                else:
-                    values = -np.sqrt(np.maximum(0, lengths[:, None] ** 2 - 2 * products + own[None, :] ** 2))
-                values = np.round(values, 9) + 0.0
-                # The best k + 1 of this batch for each query (itself may be among them); ties by id, as in the final order.
-                place = np.lexsort((np.broadcast_to(_order_codes(ids), values.shape), -values), axis=1)[:, : k + 1]
-                asked = [q for q in block_ids for _ in range(place.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array(asked, kinds[0]), pa.array(ids[place.ravel()], kinds[1]), pa.array(np.take_along_axis(values, place, 1).ravel())], ["question_id", "chunk_id", "score"])
+                order = _tie_order(batch, keys)
+                rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)[order]
+                # The best k + 1 of this batch for each query, as itself may be among them.
+                question, place, value = _best(scores_of(block, lengths, rows, metric), k + 1)
+                picked = pa.array(order[place])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(question)), *[batch.column(c).take(picked) for c in keys], pa.array(value)], schema=arrow)
 
     return run
 
@@ -157,15 +169,16 @@ def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, kinds
 def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """Exact nearest vectors by ``cosine``, ``dot`` or ``l2``, scores rounded to 9 digits.
 
-    ``queries`` and ``vectors``: (chunk_id, vector). The queries are taken in blocks of QUERY_BLOCK,
-    each multiplied with the vectors batch by batch where these lie; a batch sends on its best k for
-    each query. Several blocks run one after another, each with its best rows staged before the next
-    is fetched, so memory and broadcast are bounded by the block whatever the number of queries.
+    ``queries``: (chunk_id, vector); ``vectors``: (chunk_id, vector) and optionally source_file and
+    start_line, which order equal scores. The queries are taken in blocks of QUERY_BLOCK, each multiplied
+    with the vectors batch by batch where these lie; a batch sends on its best k for each query. Several
+    blocks run one after another, each with its best rows staged before the next is fetched, so memory and
+    broadcast are bounded by the block whatever the number of queries.
     """
     spark = vectors.sparkSession
-    types = [r.schema["chunk_id"].dataType for r in (queries, vectors)]
-    kinds = tuple(pa.string() if t.typeName() == "string" else pa.int64() for t in types)
-    schema = f"question_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, score double"
+    keys = [c for c in ("chunk_id", "source_file", "start_line") if c in vectors.columns]
+    asked_as = T.StructField("question_id", queries.schema["chunk_id"].dataType)
+    schema = T.StructType([asked_as, *[T.StructField(c, vectors.schema[c].dataType) for c in keys], T.StructField("score", T.DoubleType())])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):
@@ -173,23 +186,27 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
         if not rows:
             continue
         block = np.array([list(r["vector"]) for r in rows], np.float64)
-        part = vectors.select("chunk_id", "vector").mapInArrow(_block_scores([r["chunk_id"] for r in rows], block, metric, k, kinds), schema)
+        part = vectors.select(*keys, "vector").mapInArrow(_block_scores([r["chunk_id"] for r in rows], block, metric, k, keys, schema), schema)
         if blocks > 1:
-            part = stage_table(top_k(part.where("question_id <> chunk_id") if exclude_self else part, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k).drop("rank"), "nearest")
+            part = stage_table(top_k(part.where("question_id <> chunk_id") if exclude_self else part, ["question_id"], canonical(keys), k).drop("rank"), "nearest")
         found = part if found is None else found.unionAll(part)
     if found is None:
-        return spark.createDataFrame([], f"{schema}, rank int")
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     if exclude_self:
         found = found.where("question_id <> chunk_id")
-    return top_k(found, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return top_k(found, ["question_id"], canonical(keys), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = 10, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Reciprocal rank fusion, w / (60 + rank), the first list's part added first."""
-    parts = [r.select("question_id", "chunk_id", *[(F.lit(w) / (RRF_K + F.col("rank")) if side == mine else F.lit(None).cast("double")).alias(side) for side in ("a", "b")]) for r, mine, w in ((first, "a", weights[0]), (second, "b", weights[1]))]
-    both = parts[0].unionAll(parts[1]).groupBy("question_id", "chunk_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    scored = both.select("question_id", "chunk_id", F.round(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 12).alias("score"))
-    return top_k(scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    """Reciprocal rank fusion, w / (60 + rank), the first list's part added first.
+
+    Equal sums are common; they are ordered by source_file, start_line and chunk_id as far as both lists have them.
+    """
+    keys = [c for c in ("source_file", "start_line") if c in first.columns and c in second.columns]
+    parts = [r.select("question_id", "chunk_id", *keys, *[(F.lit(w) / (RRF_K + F.col("rank")) if side == mine else F.lit(None).cast("double")).alias(side) for side in ("a", "b")]) for r, mine, w in ((first, "a", weights[0]), (second, "b", weights[1]))]
+    both = parts[0].unionAll(parts[1]).groupBy("question_id", "chunk_id").agg(F.max("a").alias("a"), F.max("b").alias("b"), *[F.max(c).alias(c) for c in keys])
+    scored = both.select("question_id", "chunk_id", *keys, F.round(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)), 12).alias("score"))
+    return top_k(scored, ["question_id"], canonical(["chunk_id", *keys]), k)
 
 
 def merge_lists(tagged: DataFrame, order: list[Column], k: int) -> DataFrame:

@@ -1,7 +1,8 @@
-"""The index store: generations of Parquet tables behind one pointer, full and incremental maintenance.
+"""The index store: layered tables behind one pointer, full and incremental maintenance.
 
-Metadata and vectors of a generation lie in one folder, so one pointer switch makes both live and a
-failure before it leaves the active generation as it was.
+The pointer names the layers of files, chunks and vectors, so one switch makes all three live and a
+failure before it leaves the active generation as it was. An incremental change adds a layer to each,
+which costs the change and not the index; see ``layers``.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import layers
 from siltstone.operators.folder import Folder
 from siltstone.schemas import IntegrityError, assert_empty, assert_unique
 
-POINTER_KEYS = frozenset(["generation", "dimensions", "model", "endpoint_sha256", "schema_version"])
-SCHEMA_VERSION = 3
+POINTER_KEYS = frozenset(["generation", "provider", "dimensions", "model", "endpoint_sha256", "schema_version", "layers"])
+SCHEMA_VERSION = 4
+#: Tables of a generation and their keys.
+TABLES = {"files": "relative_path", "chunks": "chunk_id", "vectors": "chunk_id"}
 
 
 def file_delta(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -68,6 +72,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.folder = spark, Folder(spark, str(root))
+        self.tables = {name: layers.Layers(spark, self.folder, name, key) for name, key in TABLES.items()}
 
     def active(self) -> dict | None:
         """The pointer, validated; None before the first activation."""
@@ -80,32 +85,47 @@ class Store:
             raise IntegrityError("the pointer is damaged") from bad
         if not isinstance(pointer, dict) or set(pointer) != POINTER_KEYS or not re.fullmatch("[0-9a-f]{32}", str(pointer["generation"])):
             raise IntegrityError("the pointer is damaged")
-        if pointer["schema_version"] != SCHEMA_VERSION or not self.folder.exists(f"gen-{pointer['generation']}"):
+        if pointer["schema_version"] != SCHEMA_VERSION or any(not self.folder.exists(f"{t}/{x['name']}") for t in TABLES for x in pointer["layers"][t]):
             raise IntegrityError("the pointer names no readable generation")
         return pointer
 
+    def _layers(self, pointer: dict, table: str) -> list[layers.Layer]:
+        return layers.from_json(pointer["layers"][table])
+
     def read(self, table: str) -> DataFrame:
         pointer = self.active()
         if pointer is None:
             raise IntegrityError("nothing is indexed yet")
-        return self.spark.read.parquet(self.folder.join(f"gen-{pointer['generation']}/{table}"))
+        return self.tables[table].read(self._layers(pointer, table))
 
     def stage(self, files: DataFrame, chunks: DataFrame, vectors: DataFrame, identity: dict) -> dict:
-        """Write a new generation and verify it; nothing is live yet. ``identity`` is that of the embedding provider."""
-        generation = uuid.uuid4().hex
-        name = f"gen-{generation}"
+        """Write a whole new generation and verify it; nothing is live yet. ``identity`` is that of the embedding provider."""
+        return self._staged(identity, lambda: {t: self.tables[t].create(rows) for t, rows in (("files", files), ("chunks", chunks), ("vectors", vectors))})
+
+    def stage_change(self, delta: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, identity: dict) -> dict:
+        """Write what differs from the active generation as layers over it and verify the result; nothing is live yet.
+
+        ``delta`` is that of ``file_delta``; ``files``, ``chunks`` and ``vectors`` are those of its added and modified files.
+        """
+        pointer = self.active()
+        gone = delta.where("change IN ('modified', 'deleted')").select("relative_path")
+        lost = self.read("chunks").join(gone, "relative_path", "left_semi").select("chunk_id")
+        changes = {"files": (files, gone), "chunks": (chunks, gone), "vectors": (vectors, lost)}
+        return self._staged(identity, lambda: {t: self.tables[t].compact(self.tables[t].change(self._layers(pointer, t), *change)) for t, change in changes.items()})
+
+    def _staged(self, identity: dict, write) -> dict:
+        staged: dict = {"generation": uuid.uuid4().hex, **identity, "schema_version": SCHEMA_VERSION}
         try:
-            for table, rows in (("files", files), ("chunks", chunks), ("vectors", vectors)):
-                rows.write.mode("errorifexists").parquet(self.folder.join(f"{name}/{table}"))
-            self.verify(self.folder.join(name), identity["dimensions"])
+            staged["layers"] = {t: layers.to_json(found) for t, found in write().items()}
+            self.verify(staged, identity["dimensions"])
         except BaseException:
-            self.folder.delete(name)
+            self.clean()
             raise
-        return {"generation": generation, **identity, "schema_version": SCHEMA_VERSION}
+        return staged
 
-    def verify(self, folder: str, dimensions: int) -> None:
+    def verify(self, staged: dict, dimensions: int) -> None:
         """Unique keys, equal id sets of chunks and vectors, and one vector size."""
-        chunks, vectors = self.spark.read.parquet(f"{folder}/chunks"), self.spark.read.parquet(f"{folder}/vectors")
+        chunks, vectors = (self.tables[t].read(self._layers(staged, t)) for t in ("chunks", "vectors"))
         assert_unique(chunks, ["chunk_id"])
         assert_unique(vectors, ["chunk_id"])
         assert_empty(symmetric_difference(chunks.select("chunk_id"), vectors.select("chunk_id")), "chunks and vectors differ")
@@ -119,15 +139,12 @@ class Store:
         self.folder.replace(self.POINTER, json.dumps(staged, sort_keys=True))
 
     def discard(self, staged: dict) -> None:
+        """Remove a staged generation that is not live."""
         now = self.active()
         if now is None or now["generation"] != staged["generation"]:
-            self.folder.delete(f"gen-{staged['generation']}")
+            self.clean()
 
     def clean(self) -> list[str]:
-        """Remove generations that the pointer does not name."""
+        """Remove layers that the pointer does not name."""
         now = self.active()
-        keep = f"gen-{now['generation']}" if now else ""
-        gone = [n for n in self.folder.children() if n.startswith("gen-") and n != keep]
-        for name in gone:
-            self.folder.delete(name)
-        return gone
+        return [f"{t}/{name}" for t, table in self.tables.items() for name in table.clean(self._layers(now, t) if now else [])]

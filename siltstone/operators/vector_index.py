@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import uuid
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import rank
+from siltstone.operators import layers, rank
 from siltstone.operators.folder import Folder
 from siltstone.operators.store import symmetric_difference
 from siltstone.schemas import IntegrityError, assert_empty, assert_unique
@@ -32,13 +31,17 @@ class VectorIndex(Protocol):
     def replace_collection(self, records: DataFrame, metadata: dict, expected_ids: DataFrame) -> None: ...
 
 
+COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+
+
 class ParquetVectors:
-    """A collection as Parquet: every change writes a new version and switches the state file to it."""
+    """A collection as a layered table: a change writes a layer of its own size and switches the state file to it."""
 
     STATE = "collection.json"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.folder = spark, Folder(spark, root)
+        self.table = layers.Layers(spark, self.folder, "records", "chunk_id")
 
     def _state(self) -> dict:
         text = self.folder.read(self.STATE)
@@ -46,41 +49,38 @@ class ParquetVectors:
             raise IntegrityError("the collection is not initialised")
         return json.loads(text)
 
-    def _write(self, records: DataFrame, metadata: dict, expected_ids: DataFrame | None = None) -> None:
-        name, old = f"v-{uuid.uuid4().hex}", self.folder.read(self.STATE)
+    def _layers(self) -> list[layers.Layer]:
+        return layers.from_json(self._state()["layers"])
+
+    def _switch(self, made: list[layers.Layer], metadata: dict, expected_ids: DataFrame | None = None) -> None:
+        """Check a new list of layers and make it the collection."""
         try:
-            records.write.parquet(self.folder.join(name))
-            written = self.spark.read.schema(RECORD).parquet(self.folder.join(name))
+            written = self.table.read(made)
             assert_unique(written, ["chunk_id"])
             if written.select(F.size("vector")).distinct().count() > 1:
                 raise IntegrityError("vectors of several sizes")
             if expected_ids is not None:
                 assert_empty(symmetric_difference(written.select("chunk_id"), expected_ids.select("chunk_id")), "the collection does not hold the expected ids")
-            self.folder.replace(self.STATE, json.dumps({"version": name, "metadata": metadata}, sort_keys=True))
-        except BaseException:
-            self.folder.delete(name)
-            raise
-        if old is not None:
-            self.folder.delete(json.loads(old)["version"])
+            self.folder.replace(self.STATE, json.dumps({"layers": layers.to_json(made), "metadata": metadata}, sort_keys=True))
+        finally:
+            self.table.clean(self._layers() if self.folder.exists(self.STATE) else [])
 
     def _records(self) -> DataFrame:
-        return self.spark.read.schema(RECORD).parquet(self.folder.join(self._state()["version"]))
+        return self.table.read(self._layers()).select(*COLUMNS)
 
     def initialize(self) -> None:
         """Make an empty collection, if there is none."""
         if self.folder.read(self.STATE) is None:
-            self._write(self.spark.createDataFrame([], RECORD), {})
+            self._switch(self.table.create(self.spark.createDataFrame([], RECORD)), {})
 
     def upsert(self, records: DataFrame) -> None:
         """Replace records of the same id and add the others."""
-        new = records.select(*[c.split()[0] for c in RECORD.split(", ")])
+        new = records.select(*COLUMNS)
         assert_unique(new, ["chunk_id"])
-        kept = self._records().join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns)
-        self._write(kept.unionByName(new), self._state()["metadata"])
+        self._switch(self.table.compact(self.table.change(self._layers(), new)), self._state()["metadata"])
 
     def delete(self, chunk_ids: DataFrame) -> None:
-        rows = self._records()
-        self._write(rows.join(chunk_ids.select("chunk_id"), "chunk_id", "left_anti").select(*rows.columns), self._state()["metadata"])
+        self._switch(self.table.compact(self.table.change(self._layers(), gone=chunk_ids.select("chunk_id"))), self._state()["metadata"])
 
     def search(self, queries: DataFrame, limit: int) -> DataFrame:
         """(question_id, rank, chunk_id, score, distance) of the nearest records of each query (chunk_id, vector) by cosine."""
@@ -108,4 +108,4 @@ class ParquetVectors:
 
     def replace_collection(self, records: DataFrame, metadata: dict, expected_ids: DataFrame) -> None:
         """Build a new collection, check that it holds the expected ids, and put it in the old one's place."""
-        self._write(records.select(*[c.split()[0] for c in RECORD.split(", ")]), metadata, expected_ids)
+        self._switch(self.table.create(records.select(*COLUMNS)), metadata, expected_ids)

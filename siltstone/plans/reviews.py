@@ -246,19 +246,23 @@ def gold_validation_full(spark, sf):
 
 # Retrieval
 
-@query(f"""WITH d AS (SELECT doc_id, text, e.embedding AS e FROM documents JOIN embeddings e ON vec_id = doc_id), q AS (SELECT * FROM d WHERE doc_id % 20 = 0),
-qt AS (SELECT doc_id AS question_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM q), dt AS (SELECT doc_id AS chunk_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM d),
-lx AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, chunk_id) AS rank FROM qt JOIN dt USING (term) GROUP BY question_id, chunk_id),
-sm AS (SELECT q.doc_id AS question_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])), 9) DESC, d.doc_id) AS rank FROM q CROSS JOIN d),
-f AS (SELECT question_id, chunk_id, round(coalesce(max(a), 0) + coalesce(max(b), 0), 12) AS score FROM (SELECT question_id, chunk_id, 1.0 / (60 + rank) AS a, NULL AS b FROM lx WHERE rank <= 20 UNION ALL SELECT question_id, chunk_id, NULL, 1.0 / (60 + rank) FROM sm WHERE rank <= 20) GROUP BY ALL),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f) SELECT question_id, rank, chunk_id, score FROM k WHERE rank <= 10""")
+PLACED = "score DESC, source_file NULLS FIRST, start_line NULLS FIRST, chunk_id"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, source AS source_file, n_chars // 1000 AS start_line, e.embedding AS e FROM documents JOIN embeddings e ON vec_id = doc_id), q AS (SELECT * FROM d WHERE doc_id % 20 = 0),
+qt AS (SELECT doc_id AS question_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM q), dt AS (SELECT doc_id AS chunk_id, source_file, start_line, unnest(list_distinct({WORDS.format('text')})) AS term FROM d),
+lt AS (SELECT question_id, chunk_id, source_file, start_line, count(*) AS score FROM qt JOIN dt USING (term) GROUP BY ALL), lx AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {PLACED}) AS rank FROM lt),
+st AS (SELECT q.doc_id AS question_id, d.doc_id AS chunk_id, d.source_file, d.start_line, round(list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])), 9) AS score FROM q CROSS JOIN d), sm AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {PLACED}) AS rank FROM st),
+f AS (SELECT question_id, chunk_id, source_file, start_line, round(coalesce(max(a), 0) + coalesce(max(b), 0), 12) AS score FROM (SELECT question_id, chunk_id, source_file, start_line, 1.0 / (60 + rank) AS a, NULL AS b FROM sm WHERE rank <= 10 UNION ALL SELECT question_id, chunk_id, source_file, start_line, NULL, 1.0 / (60 + rank) FROM lx WHERE rank <= 10) GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY {PLACED}) AS INT) AS rank FROM f) SELECT question_id, rank, chunk_id, source_file, start_line, score FROM k WHERE rank <= 10""")
 def hybrid_lexical_semantic(spark, sf):
-    """Reciprocal rank fusion of a list by shared words and a list by vectors, of depth 20 each."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(vectors(spark, sf).select("chunk_id", "vector"), "chunk_id")
+    """Reciprocal rank fusion of the lists by vectors and by shared words, as deep as the result; equal sums by file, line and id."""
+    place = (F.col("source").alias("source_file"), F.floor(F.col("n_chars") / 1000).alias("start_line"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", *place).join(vectors(spark, sf).select("chunk_id", "vector"), "chunk_id")
     asked = d.where("chunk_id % 20 = 0")
-    lexical = rank.lexical(asked.select(F.col("chunk_id").alias("question_id"), "text"), d.select("chunk_id", F.col("text").alias("code")), 20).select("question_id", "rank", "chunk_id", "score")
-    semantic = rank.semantic(asked.select("chunk_id", "vector"), d.select("chunk_id", "vector"), 20, exclude_self=False).select("question_id", "rank", "chunk_id", "score")
-    return rank.fuse(lexical, semantic, 10).select("question_id", "rank", "chunk_id", "score")
+    semantic = rank.semantic(asked.select("chunk_id", "vector"), d.select("chunk_id", "source_file", "start_line", "vector"), 10, exclude_self=False)
+    lexical = rank.lexical(asked.select(F.col("chunk_id").alias("question_id"), "text"), d.select("chunk_id", "source_file", "start_line", F.col("text").alias("code")), 10, {"code": 1})
+    return rank.fuse(semantic, lexical, 10).select("question_id", "rank", "chunk_id", "source_file", "start_line", "score")
 
 
 ARMS, REPEATS, SEED, WARM = ("a0", "a1", "a2"), 3, 42, 2
@@ -311,11 +315,11 @@ def vector_index_stats(spark, sf):
     return one.crossJoin(two).withColumn("complete", complete).drop("stray")  # single rows
 
 
-@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":' || to_json(lang) || ',\"source\":' || to_json(source) || '}') AS digest FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, sha256('{\"doc_id\":' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ',\"lang\":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || ',\"source\":' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || '}') AS digest FROM documents")
 def artifact_digests(spark, sf):
-    """SHA-256 of each row as canonical JSON: sorted keys, compact separators."""
-    d = table(spark, sf, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
-    return d.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")), 256).alias("digest"))
+    """SHA-256 of each row as canonical JSON: sorted keys, compact separators, nulls written."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
 @query("WITH k AS (SELECT label, sha256(string_agg(vec_id, chr(10) ORDER BY vec_id)) AS digest, count(*) AS n FROM embeddings WHERE vec_id % 20 = 0 GROUP BY label) SELECT * FROM k")
@@ -341,13 +345,13 @@ def corpus_digest_tree(spark, sf):
     return r.groupBy("source").agg(digest("part", F.col("digest")), F.sum("n").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct({WORDS.format('text')}) AS a, list_distinct({WORDS.format("source || chr(32) || lang")}) AS b FROM documents), c AS (SELECT len(b) AS n, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM t WHERE a IS NOT NULL AND b IS NOT NULL)
+@query(f"""WITH t AS (SELECT doc_id, list_distinct({WORDS.format("coalesce(text, '')")}) AS a, list_distinct({WORDS.format("concat_ws(chr(32), source, lang)")}) AS b FROM documents), c AS (SELECT len(b) AS n, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added FROM t)
 SELECT count(*) AS chunks, round(avg(CASE WHEN added > 0 THEN 1.0 ELSE 0 END), 6) AS gaining_share, round(avg(added), 6) AS mean_added, round(100.0 * (1 - sum(added) / sum(n)), 6) AS overlap_percent FROM c""")
 def identifier_information_gain_full(spark, sf):
     """Share of chunks that gain terms, mean number gained, and how many of the terms the text has already."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+    d = table(spark, sf, "documents")
     terms = tx.word_set(F.concat_ws(" ", "source", "lang"))
-    c = d.select(F.size(terms).alias("n"), F.size(F.array_except(terms, tx.word_set(F.col("text")))).alias("added"))
+    c = d.select(F.size(terms).alias("n"), F.size(F.array_except(terms, tx.word_set(F.coalesce("text", F.lit(""))))).alias("added"))
     return c.agg(F.count("*").alias("chunks"), F.round(F.avg((F.col("added") > 0).cast("double")), 6).alias("gaining_share"), F.round(F.avg("added"), 6).alias("mean_added"), F.round(100.0 * (1 - F.sum("added") / F.sum("n")), 6).alias("overlap_percent"))
 
 

@@ -150,24 +150,6 @@ def citation_precision(spark, sf):
     return q.agg(F.round(F.sum("ss") / F.sum("n"), 6).alias("pooled_strict"), F.round(F.sum("ls") / F.sum("n"), 6).alias("pooled_lenient"), F.round(F.avg(F.col("ss") / F.col("n")), 6).alias("mean_strict"), F.round(F.avg(F.col("ls") / F.col("n")), 6).alias("mean_lenient"))
 
 
-@query(f"""WITH {ANSWERS}, {CITES}, f AS (SELECT DISTINCT 'user.py' AS file UNION SELECT 'src/assistant.py' UNION SELECT 'pkg/lib/x1.py' UNION SELECT 'a/x2.py' UNION SELECT 'b/x2.py'), d AS (SELECT DISTINCT path FROM p),
-m AS (SELECT path, file, 1 AS tier FROM d JOIN f ON path = file UNION ALL SELECT path, file, 2 FROM d JOIN f ON 'src/' || file = path UNION ALL SELECT path, file, 3 FROM d JOIN f ON ends_with(file, '/' || path)),
-b AS (SELECT *, min(tier) OVER (PARTITION BY path) AS best FROM m) SELECT path, min(file) AS file FROM b WHERE tier = best GROUP BY path HAVING count(*) = 1""")
-def suffix_join(spark, sf):
-    """Cited paths resolved exactly, then with src/, then by a unique ending; endings meet by file name, not by all pairs."""
-    from functools import reduce
-
-    files = spark.createDataFrame([("user.py",), ("src/assistant.py",), ("pkg/lib/x1.py",), ("a/x2.py",), ("b/x2.py",)], "file string")
-    d = citations(spark, sf).select("path").distinct()
-    exact = d.join(files, d.path == files.file).select("path", "file", F.lit(1).alias("tier"))
-    below = d.join(files, F.concat(F.lit("src/"), files.file) == d.path).select("path", "file", F.lit(2).alias("tier"))
-    tail = files.withColumn("base", F.substring_index("file", "/", -1)).join(d.withColumn("base", F.substring_index("path", "/", -1)), "base").where("endswith(file, concat('/', path))").select("path", "file", F.lit(3).alias("tier"))
-    met = reduce(lambda a, b: a.unionAll(b), [exact, below, tail])
-    best = met.groupBy("path").agg(F.min(F.struct("tier", "file")).alias("m"), F.min("tier").alias("t"))
-    counted = met.join(best, "path").where("tier = t").groupBy("path").agg(F.count("*").alias("n"), F.min("file").alias("file"))
-    return counted.where("n = 1").select("path", "file")
-
-
 @query(f"""WITH {ANSWERS}, i AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(answer, '`([^`' || chr(10) || ']+)`', 1), lambda q: regexp_extract_all(q, '[A-Za-z_][A-Za-z0-9_]*'))), lambda n: length(n) >= 4 AND n NOT IN ('None', 'True', 'False', 'self', 'return', 'class')))) AS name FROM a) SELECT conv_id, turn, name FROM i""")
 def backtick_identifiers(spark, sf):
     return answers(spark, sf).select("conv_id", "turn", F.explode(tx.backtick_identifiers(F.col("answer"))).alias("name"))

@@ -6,6 +6,7 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,27 +43,53 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Names of plan nodes that pass on the rows of files, at most fewer or other columns of them, and of what reads files.
+_NARROW, _FILES = {"Project", "Filter", "SubqueryAlias", "View", "ResolvedHint"}, {"LogicalRelation", "DataSourceV2ScanRelation"}
+
+
+def _nodes(plan) -> Iterator:
+    """A logical plan's nodes."""
+    yield plan
+    children = plan.children()
+    for k in range(children.length()):
+        yield from _nodes(children.apply(k))
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate, without a job; None where it is a guess (anything but filtered file scans)."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    if re.search(r"Join|Aggregate|Generate|Window|Union|LogicalRDD|LocalRelation|MapIn|Range", plan.treeString()):
+    if not {_kind(n) for n in _nodes(plan)} <= _NARROW | _FILES:
         return None
     return int(str(plan.stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads, however it goes on; no job."""
+    return sum(int(str(n.stats().sizeInBytes())) for n in _nodes(df._jdf.queryExecution().optimizedPlan()) if _kind(n) in _FILES)
+
+
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows``, dealt over all cores where a small input has fewer partitions than that."""
+    """``rows`` of files, dealt over all cores where a small input has fewer partitions than that.
+
+    Other plans stay as they are: their number of partitions is only known once their shuffles have run.
+    """
+    if estimated_bytes(rows) is None:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def partitions_for(df: DataFrame, target: int = 16 << 20) -> int:
-    """Shuffle partitions so that each gets about ``target`` bytes of files, never fewer than the session's."""
-    return max(session_partitions(df.sparkSession), math.ceil((estimated_bytes(df) or 0) / target))
+    """Shuffle partitions so that each gets about ``target`` bytes of the files read, never fewer than the session's."""
+    return max(session_partitions(df.sparkSession), math.ceil(input_bytes(df) / target))
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:

@@ -260,3 +260,25 @@ def test_lexical_scores_against_plain_sets(spark, monkeypatch):
         monkeypatch.setattr(rank, "CELLS", cells)
         got = rank.lexical(questions, chunks, 4).select("question_id", "rank", "chunk_id", "score").collect()
         assert sorted(tuple(x) for x in got) == want
+
+
+def test_equal_scores_are_ordered_by_file_line_and_id(spark):
+    vectors = spark.createDataFrame([("z", "a.py", 9, [1.0, 0.0]), ("b", "b.py", 1, [1.0, 0.0]), ("c", "a.py", 2, [2.0, 0.0]), ("d", None, None, [1.0, 0.0]), ("e", "a.py", 2, [1.0, 0.0])], "chunk_id string, source_file string, start_line int, vector array<double>")
+    asked = spark.createDataFrame([("q", [3.0, 0.0])], "chunk_id string, vector array<double>")
+    got = rank.semantic(asked, vectors, 3, exclude_self=False).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["d", "c", "e"]
+    first = vectors.select(F.lit("q").alias("question_id"), "chunk_id", "source_file", "start_line", F.when(F.col("chunk_id") == "z", 1).otherwise(9).alias("rank")).where("chunk_id in ('z', 'b')")
+    second = vectors.select(F.lit("q").alias("question_id"), "chunk_id", "source_file", "start_line", F.lit(1).alias("rank")).where("chunk_id in ('b', 'e')").withColumn("rank", F.when(F.col("chunk_id") == "e", 1).otherwise(9))
+    # z and e have the same sum; the line decides, not the id.
+    assert [r["chunk_id"] for r in rank.fuse(first, second).orderBy("rank").collect()] == ["b", "e", "z"]
+
+
+def test_plans_are_judged_by_their_nodes(spark, tmp_path):
+    from siltstone import runtime
+
+    spark.range(50).select("id", F.col("id").alias("Join Range")).write.parquet(f"{tmp_path}/Union Window")
+    files = spark.read.parquet(f"{tmp_path}/Union Window").where("`Join Range` > 3")
+    assert runtime.estimated_bytes(files) > 0 and runtime.estimated_bytes(files.groupBy("id").count()) is None
+    assert runtime.input_bytes(files.groupBy("id").count()) > 0 and runtime.input_bytes(spark.range(5)) == 0
+    joined = files.join(files.groupBy("id").count(), "id")
+    assert runtime.spread(joined) is joined and runtime.spread(files).count() == 46

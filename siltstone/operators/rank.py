@@ -96,9 +96,9 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
                     at = np.repeat(first[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                     score += weight * np.bincount(np.repeat(row, size) * len(ids) + owners[at], minlength=len(score))
                 score = score.reshape(rows, len(ids))
-                order = _tie_order(part, keys)
+                order = tie_order(part, keys)
                 # Questions x chunks, in the total order of equal scores.
-                question, chunk, value = _best(np.ascontiguousarray(score[order].T), k, 0)
+                question, chunk, value = best_of(np.ascontiguousarray(score[order].T), k, 0)
                 picked = pa.array(order[chunk])
                 yield pa.RecordBatch.from_arrays([questions.take(pa.array(question)), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value)], schema=arrow)
 
@@ -115,13 +115,13 @@ def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:
 PLACE = ("source_file", "start_line", "chunk_id")
 
 
-def _tie_order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+def tie_order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Places of a batch's rows in the order of equal scores."""
     table = pa.table({c: batch.column(c) for c in keys})
     return pc.sort_indices(table, sort_keys=[(c, "ascending") for c in PLACE if c in keys], null_placement="at_start").to_numpy()
 
 
-def _best(score: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(score: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(question, place, score) of the best ``k`` columns of each row above ``least``, earlier columns first among equals."""
     n = score.shape[1]
     bar = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -np.inf)
@@ -156,10 +156,10 @@ def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, keys:
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
-                order = _tie_order(batch, keys)
+                order = tie_order(batch, keys)
                 rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)[order]
                 # The best k + 1 of this batch for each query, as itself may be among them.
-                question, place, value = _best(scores_of(block, lengths, rows, metric), k + 1)
+                question, place, value = best_of(scores_of(block, lengths, rows, metric), k + 1)
                 picked = pa.array(order[place])
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(question)), *[batch.column(c).take(picked) for c in keys], pa.array(value)], schema=arrow)
 

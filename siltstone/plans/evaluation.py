@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from siltstone.operators import cells, rank
 from siltstone.operators import metrics as m
-from siltstone.operators import rank
+from siltstone.runtime import shared_dir
 from siltstone.plans.standins import OUTCOMES, RANKINGS, judged, outcomes, questions, rankings, table, vectors
 
 QUERIES, SQL = {}, {}
@@ -49,6 +50,15 @@ def dense_topk(spark, sf):
     return rank.semantic(unit.where("chunk_id % 20 = 0"), unit, 10, "dot").select("question_id", "rank", "chunk_id", "score")
 
 
+@query(f"WITH {RANKINGS} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, score, CAST(1 AS DOUBLE) AS recall FROM r WHERE method = 'cosine' AND rank <= 10")
+def approximate_topk(spark, sf):
+    """Nearest vectors by cells and codes with exact scores, and the share of each exact top 10 that was found; tables of up to 1,024 vectors are searched whole."""
+    v = vectors(spark, sf).select("chunk_id", "vector")
+    asked = v.where("chunk_id % 20 = 0")
+    found = cells.CellIndex.build(v, shared_dir(spark, "cells")).search(asked, 10)
+    return found.join(cells.recall(found, rank.semantic(asked, v, 10)), "question_id").select("question_id", "rank", "chunk_id", "score", "recall")
+
+
 @query(f"WITH {RANKINGS} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, score FROM r WHERE method = 'fused' AND rank <= 10")
 def hybrid_rrf(spark, sf):
     """Reciprocal rank fusion of two lists of depth 20."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
-from siltstone.operators import rank
+from siltstone.operators import postings, rank
 from siltstone.plans.standins import table
+from siltstone.runtime import shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -34,6 +35,18 @@ def lexical_topk(spark, sf):
     return rank.lexical(questions, chunks, 10).select("question_id", "rank", "chunk_id", "score")
 
 
+LEXICAL = SQL["lexical_topk"]
+
+
+@query(LEXICAL)
+def lexical_indexed(spark, sf):
+    """The same list from a stored term index, of which only the buckets of the questions' terms are read."""
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"))
+    index = postings.TermIndex.build(chunks, shared_dir(spark, "terms"), {"code": 1})
+    return index.search(questions, 10).select("question_id", "rank", "chunk_id", "score")
+
+
 @query(f"""WITH q AS (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark),
 f AS (SELECT doc_id, source, lang || ' ' || source AS qualified_name, text FROM documents),
 d AS (SELECT doc_id, source, unnest(list_distinct({WORDS.format('qualified_name')})) AS term, 3 AS w FROM f UNION ALL SELECT doc_id, source, unnest(list_distinct({WORDS.format('source')})), 2 FROM f UNION ALL SELECT doc_id, source, unnest(list_distinct({WORDS.format('text')})), 1 FROM f),

@@ -17,13 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.rank import small
-from siltstone.runtime import numbered, session_partitions
+from siltstone.runtime import numbered, running, session_partitions, stage_table
 
 
-def average_rank(value: Column, partition: list[str], by: Column | None = None) -> Column:
-    """1-based rank, ties sharing their mean."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value if by is None else by)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2.0
+def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, ties: str | None = None) -> DataFrame:
+    """``rows`` with the 1-based rank of ``value`` inside ``by``, ties sharing their mean, and the number of ties if it is named.
+
+    Equal values are counted first; the counts are summed over ranges of (by, value) and the ranks joined
+    to the rows, so no task sees a whole group, nor the rows of one value but as a count. Nulls rank first.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_ties"))
+    upto = stage_table(running(counts, [*by, value], {"_upto": "_ties"}), "ranks")
+    starts = upto.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_ties")).alias("_start"))
+    keys = {c: f"_key_{k}" for k, c in enumerate(by)}
+    starts = starts.select(*[F.col(c).alias(f"{k}s") for c, k in keys.items()], "_start")
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(f"{k}s"))
+    placed = upto.join(starts, same) if by else upto.crossJoin(starts)  # one row
+    rank = F.col("_upto") - F.col("_ties") - F.col("_start") + (F.col("_ties") + 1) / 2.0
+    ranks = placed.select(*[F.col(c).alias(k) for c, k in keys.items()], F.col(value).alias("_value"), rank.alias(name), *([F.col("_ties").alias(ties)] if ties else []))
+    met = F.col(value).eqNullSafe(F.col("_value"))
+    for c, k in keys.items():
+        met = met & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(ranks, met).drop("_value", *keys.values())
 
 
 def percentile_nearest(value: str, q: float) -> Column:
@@ -76,7 +93,7 @@ def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.9
 def wilcoxon(differences: DataFrame, value: str, by: list[str], least: int = 0) -> DataFrame:
     """W+, non-zero n, tie-corrected variance and continuity-corrected z of the signed-rank test; z is null below ``least`` pairs."""
     d = differences.where(F.col(value) != 0).withColumn("_a", F.round(F.abs(F.col(value)), 9))
-    ranked = d.withColumn("_r", average_rank(F.col("_a"), by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")))
+    ranked = average_ranks(d, "_a", by, "_r", "_t")
     g = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum((F.col("_t") * F.col("_t") - 1) / 48.0).alias("ties"))
     n = F.col("n").cast("double")
     mean, variance = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties")
@@ -123,7 +140,7 @@ def holm(tests: DataFrame, p: str, by: list[str], key: str) -> DataFrame:
 
 def spearman(pairs: DataFrame, a: str, b: str, by: list[str], least: int = 3) -> DataFrame:
     """Pearson correlation of average ranks; null under ``least`` rows or without variance."""
-    ranked = pairs.withColumn("_x", average_rank(F.col(a), by)).withColumn("_y", average_rank(F.col(b), by))
+    ranked = average_ranks(average_ranks(pairs, a, by, "_x"), b, by, "_y")
     return correlation(ranked, "_x", "_y", by, least, "spearman")
 
 

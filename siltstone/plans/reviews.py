@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.operators import context as cx
-from siltstone.operators import rank, stats
+from siltstone.operators import endings, rank, stats
 from siltstone.plans.contexts import FOLD, blocks
 from siltstone.plans.standins import table, vectors
 from siltstone.plans.statistics import BOOT, PAIRS
@@ -619,7 +619,7 @@ d AS (SELECT DISTINCT 'src/' || role || '.py' AS path FROM conversations UNION S
 m AS (SELECT path, file, 1 AS tier FROM d JOIN f ON path = file UNION ALL SELECT path, file, 2 FROM d JOIN f ON 'src/' || path = file UNION ALL SELECT path, file, 3 FROM d JOIN f ON ends_with(file, '/' || path)),
 b AS (SELECT *, min(tier) OVER (PARTITION BY path) AS best FROM m) SELECT path, min(file) AS file, min(tier) AS tier FROM b WHERE tier = best GROUP BY path HAVING count(*) = 1""")
 def suffix_join_full(spark, sf):
-    """Cited paths against the files of a table: equal, else below src/, else by an ending that one file alone has; ends meet by file name."""
+    """Cited paths against the files of a table: equal, else below src/, else by an ending that one file alone has; endings are ranges of reversed names."""
     c = table(spark, sf, "conversations")
     role, conv = F.col("role"), F.col("conv_id")
 
@@ -628,9 +628,4 @@ def suffix_join_full(spark, sf):
 
     f = c.select(F.explode(F.array(named("p", F.when(role == "system", 0).otherwise(conv % 3), "/src/", role, ".py"), named("lib/x", conv % 5, ".py"), named("src/", role, conv % 2, ".py"))).alias("file")).distinct()
     d = c.select(F.explode(F.array(named("src/", role, ".py"), named("lib/x", conv % 7, ".py"), named(role, conv % 3, ".py"))).alias("path")).distinct()
-    base = F.substring_index(F.col("file"), "/", -1), F.substring_index(F.col("path"), "/", -1)
-    met = d.withColumn("base", base[1]).join(f.withColumn("base", base[0]), "base")
-    path, file = F.col("path"), F.col("file")
-    tier = F.when(path == file, 1).when(F.concat(F.lit("src/"), path) == file, 2).when(F.endswith(file, F.concat(F.lit("/"), path)), 3)
-    best = met.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("best", F.min("tier").over(Window.partitionBy("path"))).where("tier = best")
-    return best.groupBy("path").agg(F.min("file").alias("file"), F.min("tier").alias("tier"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return endings.resolve(d, f)

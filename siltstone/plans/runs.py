@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from siltstone.operators import runs as r
+from siltstone.operators import spans
 from siltstone.plans.standins import RANKINGS, rankings, table
 
 QUERIES, SQL = {}, {}
@@ -186,14 +187,23 @@ def status_taxonomy(spark, sf):
 
 @query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts <= b.ts + INTERVAL 2 HOUR AND b.ts <= a.ts + INTERVAL 2 HOUR")
 def interval_overlap(spark, sf):
-    """Two-hour spans of one user that overlap: spans meet in time buckets, so the join is by equality."""
+    """Two-hour spans of one user that overlap; spans of any length meet by dyadic nodes."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("s")).withColumn("e", F.col("s") + F.lit(7_200_000_000))
-    width = 7_200_000_000
-    buckets = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width)))
-    a = e.where("event_type = 'error'").withColumn("bucket", buckets).select(F.col("event_id").alias("a"), "user_id", "bucket", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
-    b = e.where("event_type = 'purchase'").withColumn("bucket", buckets).select(F.col("event_id").alias("b"), "user_id", "bucket", F.col("s").alias("b_s"), F.col("e").alias("b_e"))
-    first = F.floor(F.greatest("a_s", "b_s") / width) == F.col("bucket")  # each pair in one bucket
-    return a.join(b, ["user_id", "bucket"]).where((F.col("a_s") <= F.col("b_e")) & (F.col("b_s") <= F.col("a_e")) & first).select("a", "b")
+    a = e.where("event_type = 'error'").select(F.col("event_id").alias("a"), "user_id", F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("b"), "user_id", F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    return spans.overlaps(a, b, ["user_id"], ("a_s", "a_e"), ("b_s", "b_e")).select("a", "b")
+
+
+@query("""WITH c AS (SELECT doc_id, source, n_chars, doc_id * 7 % 20000 AS first_line, doc_id * 7 % 20000 + CASE WHEN doc_id % 7000 = 0 THEN 20000 ELSE n_chars % (1 + doc_id % 300) END AS last_line FROM documents)
+SELECT a.doc_id AS cited, b.doc_id AS chunk_id, least(a.last_line, b.last_line) - greatest(a.first_line, b.first_line) + 1 AS lines FROM c a JOIN c b ON a.source = b.source AND a.doc_id % 20 = 0 AND a.first_line <= b.last_line AND b.first_line <= a.last_line""")
+def line_overlap(spark, sf):
+    """Cited line spans against chunks of the same file, from one line to the whole file."""
+    first = F.col("doc_id") * 7 % 20000
+    c = table(spark, sf, "documents").select("doc_id", "source", first.alias("s"), (first + F.when(F.col("doc_id") % 7000 == 0, 20000).otherwise(F.col("n_chars") % (1 + F.col("doc_id") % 300))).alias("e"))
+    a = c.where("doc_id % 20 = 0").select("source", F.col("doc_id").alias("cited"), F.col("s").alias("a_s"), F.col("e").alias("a_e"))
+    b = c.select("source", F.col("doc_id").alias("chunk_id"), F.col("s").alias("b_s"), F.col("e").alias("b_e"))
+    met = spans.overlaps(a, b, ["source"], ("a_s", "a_e"), ("b_s", "b_e"))
+    return met.select("cited", "chunk_id", (F.least("a_e", "b_e") - F.greatest("a_s", "b_s") + 1).alias("lines"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderdate <= l_shipdate AND l_shipdate <= o_orderdate + INTERVAL 60 DAY AS inside, l_shipdate = o_orderdate AS exact FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")

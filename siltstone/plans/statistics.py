@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import stats
+from siltstone.operators import resample, stats
 from siltstone.plans.standins import table
 
 QUERIES, SQL = {}, {}
@@ -69,6 +69,14 @@ def bootstrap_dev_full(spark, sf):
     return stats.interval(stats.bootstrap(d, "d", ["user_id"], [], 5000, 7), [], 5000, last=False)
 
 
+@query(None)
+def bootstrap_by_counts(spark, sf):
+    """Both arms and their difference, resampled within strata by shared counts, so that the difference is paired; 20,000 resamples."""
+    d = pairs(spark, sf).withColumn("difference", F.col("a") - F.col("b"))
+    values = ["a", "b", "difference"]
+    return resample.intervals(resample.means(d, values, ["user_id"], ["stratum"], 20000, 20260930), values, 20000)
+
+
 WILCOXON = f"""WITH {PAIRS}, d AS (SELECT stratum, round(a - b, 9) AS d, round(abs(round(a - b, 9)), 9) AS m FROM p WHERE round(a - b, 9) <> 0),
 r AS (SELECT *, rank() OVER (PARTITION BY stratum ORDER BY m) + (count(*) OVER (PARTITION BY stratum, m) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY stratum, m) AS t FROM d),
 g AS (SELECT stratum, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum((t * t - 1) / 48.0) AS ties FROM r GROUP BY ALL),
@@ -123,7 +131,8 @@ def pearson(spark, sf):
 
 @query(f"WITH {PAIRS}, {RANKS} SELECT user_id, stratum, ra AS rank_a, rb AS rank_b FROM x")
 def average_ranks(spark, sf):
-    return pairs(spark, sf).select("user_id", "stratum", stats.average_rank(F.col("a"), ["stratum"]).alias("rank_a"), stats.average_rank(F.col("b"), ["stratum"]).alias("rank_b"))
+    ranked = stats.average_ranks(stats.average_ranks(pairs(spark, sf), "a", ["stratum"], "rank_a"), "b", ["stratum"], "rank_b")
+    return ranked.select("user_id", "stratum", "rank_a", "rank_b")
 
 
 KAPPA = """, c AS (SELECT x, y, count(*) AS c FROM s GROUP BY ALL), n AS (SELECT CAST(sum(c) AS DOUBLE) AS n FROM c), mx AS (SELECT x, CAST(sum(c) AS DOUBLE) AS cx FROM c GROUP BY x), my AS (SELECT y, CAST(sum(c) AS DOUBLE) AS cy FROM c GROUP BY y)

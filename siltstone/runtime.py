@@ -110,21 +110,31 @@ def sound_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their 1-based place in a total order of columns, without bringing them into one task.
+def running(rows: DataFrame, order: list, sums: dict[str, str], place: str | None = None) -> DataFrame:
+    """``rows`` with running sums of columns (new name: column) in a total order of columns, and the 1-based place if it is named.
 
-    The rows are dealt into ranges of the order, staged, numbered inside each range, and moved on by the
-    sizes of the ranges before, of which the driver sees one number each.
+    The rows are dealt into ranges of the order, staged, summed inside each range, and moved on by the
+    sums of the ranges before, of which the driver sees one row each.
     """
     spark, part = rows.sparkSession, "_range"
     while part in rows.columns:
         part += "_"
-    ranged = stage_table(rows.repartitionByRange(session_partitions(spark), *order).withColumn(part, F.spark_partition_id()), "numbered")
-    sizes = {r[part]: r["n"] for r in ranged.groupBy(part).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for k in sorted(sizes):
-        before.append((k, total))
-        total += sizes[k]
-    starts = spark.createDataFrame(before, f"{part} int, _before long")
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return ranged.join(F.broadcast(starts), part).withColumn(name, inside + F.col("_before")).drop(part, "_before")
+    ranged = stage_table(rows.repartitionByRange(session_partitions(spark), *order).withColumn(part, F.spark_partition_id()), "running")
+    each = ranged.groupBy(part).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{new}") for new, c in sums.items()]).orderBy(part).collect()
+    table, before = [], [0] * (1 + len(sums))
+    for r in each:
+        table.append((r[0], *before))
+        before = [b + (v or 0) for b, v in zip(before, r[1:], strict=True)]
+    names = ["_before", *[f"_before_{new}" for new in sums]]
+    starts = spark.createDataFrame(table, f"{part} int, _before long" + "".join(f", {c} {rows.select(F.sum(x)).dtypes[0][1]}" for c, x in zip(names[1:], sums.values(), strict=True)))
+    inside = Window.partitionBy(part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {new: F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.col(f"_before_{new}") for new, c in sums.items()}
+    if place is not None:
+        added[place] = F.row_number().over(inside) + F.col("_before")
+    return ranged.join(F.broadcast(starts), part).withColumns(added).drop(part, *names)
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their 1-based place in a total order of columns, without bringing them into one task."""
+    return running(rows, order, {}, name)

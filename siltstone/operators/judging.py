@@ -3,17 +3,24 @@
 The log is a Parquet folder; every run of a pass appends its records, and the latest usable one of a
 blind id counts. A run takes up only what has no usable record yet, so a stopped pass goes on where it
 ended. Records say why they are unusable and are never scored.
+
+While a run is under way, a folder beside the log holds what its tasks tell each other: a stop mark, which
+every task looks for before each call, and the record of each call that was made, so that a task that is
+run again, or twice, does not ask twice. It is reached from the tasks by Arrow's file systems (local, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,27 +81,79 @@ def judge_one(provider: LLMProvider, prompt: str, criteria: tuple[str, ...], sle
     return {"status": "unavailable", "scores": None, "mean": math.nan, "attempts": attempt, "error_type": error}
 
 
+class Ledger:
+    """What the tasks of one run tell each other, as small files in a folder that all reach."""
+
+    STOP = "stop"
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _at(self, name: str) -> tuple[pyarrow.fs.FileSystem, str]:
+        system, path = pyarrow.fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), self.folder)
+        return system, f"{path}/{name}"
+
+    def _write(self, name: str, text: str) -> None:
+        system, path = self._at(name)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        # Written aside and moved, so a reader never sees a part.
+        aside = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as out:
+            out.write(text.encode())
+        system.move(aside, path)
+
+    def _read(self, name: str) -> str | None:
+        system, path = self._at(name)
+        if system.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return None
+        with system.open_input_stream(path) as held:
+            return held.read().decode()
+
+    @staticmethod
+    def _name(blind_id: str) -> str:
+        return f"calls/{hashlib.sha256(blind_id.encode()).hexdigest()}.json"
+
+    def stopped(self) -> bool:
+        return self._read(self.STOP) is not None
+
+    def stop(self, blind_id: str) -> None:
+        self._write(self.STOP, blind_id)
+
+    def kept(self, blind_id: str) -> dict | None:
+        """The record of a call that was made before."""
+        text = self._read(self._name(blind_id))
+        return None if text is None else json.loads(text)
+
+    def keep(self, blind_id: str, record: dict) -> None:
+        self._write(self._name(blind_id), json.dumps(record))
+
+
 def run_pass(spark: SparkSession, plan: DataFrame, prompt: str, provider: LLMProvider, log: str, number: int, criteria: tuple[str, ...] = CRITERIA, limit: int | None = None) -> DataFrame:
     """Judge what the pass still lacks and append it to the log; returns the records of this run.
 
-    ``plan``: blind_id and the column ``prompt``. ``limit`` is a number of calls that a run may make. A
-    task stops at exhausted credit: that record keeps the evidence, and its later rows are not asked.
+    ``plan``: blind_id and the column ``prompt``. ``limit`` is a number of calls that a run may make. The
+    run stops as a whole at exhausted credit: that record keeps the evidence, and no task asks for another
+    row once the stop mark is there. Calls that are under way then still end, one a task at most.
     """
     done = records(spark, log).where(F.col("pass") == number)
     run = (done.agg(F.max("run").alias("r")).first()["r"] or 0) + 1
     todo = plan.join(usable(done).select("blind_id"), "blind_id", "left_anti").select("blind_id", F.col(prompt).alias("prompt"))
     todo = todo if limit is None else todo.orderBy("blind_id").limit(limit)
+    ledger = Ledger(f"{log.rstrip('/')}.running/{number}-{run}-{uuid.uuid4().hex}")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        exhausted = False
         for frame in frames:
             rows = []
             for blind, text in zip(frame["blind_id"], frame["prompt"], strict=True):
-                if exhausted:
-                    break
-                record = judge_one(provider, text, criteria)
-                exhausted = record["error_type"] == CreditExhausted.__name__
-                rows.append({"blind_id": blind, "pass": number, "run": run, "at": time.time()} | record)
+                record = ledger.kept(blind)
+                if record is None:
+                    if ledger.stopped():
+                        break
+                    record = judge_one(provider, text, criteria) | {"at": time.time()}
+                    if record["error_type"] == CreditExhausted.__name__:
+                        ledger.stop(blind)
+                    ledger.keep(blind, record)
+                rows.append({"blind_id": blind, "pass": number, "run": run} | record)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
     judged = stage_table(todo.mapInPandas(work, RECORD), "judged")  # calls are made once, whatever reads the records

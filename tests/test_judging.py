@@ -97,3 +97,40 @@ def test_measured_searches(spark, tmp_path):
     engine.index(str(root))
     rows = engine.measure(["find_user", "name"], ("lexical",), 2).collect()
     assert [(r["question"], r["repetition"]) for r in rows] == [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2)] and {r["milliseconds"] for r in rows} == {1000.0} and rows[0]["chunk_ids"]
+
+
+class Counting(Judge):
+    """Writes a file for every call; the credit ends at the third."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, request):
+        import os
+        import time
+        import uuid
+
+        made = len(os.listdir(self.folder))
+        open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+        if made >= 2:
+            raise judging.CreditExhausted
+        time.sleep(0.3)
+        return Reply(json.dumps({"a": 1, "b": 2}), "m", "p")
+
+
+def test_all_tasks_stop_at_exhausted_credit(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    plan = spark.createDataFrame([(f"N{k:03d}", f"text {k}") for k in range(200)], "blind_id string, prompt string").repartition(4)
+    got = judging.run_pass(spark, plan, "prompt", Counting(str(tmp_path / "calls")), str(tmp_path / "log"), 1, CRITERIA).collect()
+    calls = len(list((tmp_path / "calls").iterdir()))
+    assert calls == len(got) <= 2 + 2 * 4 and any(r["error_type"] == "CreditExhausted" for r in got)
+
+
+def test_a_repeated_task_does_not_ask_twice(tmp_path):
+    ledger = judging.Ledger(str(tmp_path / "l"))
+    assert ledger.kept("a") is None and not ledger.stopped()
+    record = {"status": "usable", "scores": {"a": 1}, "mean": 1.0, "attempts": 1, "error_type": None, "at": 2.5}
+    ledger.keep("a", record)
+    ledger.stop("a")
+    again = judging.Ledger(f"file://{tmp_path}/l")
+    assert again.kept("a") == record and again.kept("b") is None and again.stopped()

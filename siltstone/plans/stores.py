@@ -7,8 +7,9 @@ from pyspark.sql import Window
 
 from siltstone import schemas
 from siltstone.functions import vectors as vx
-from siltstone.operators import store
+from siltstone.operators import merkle, store
 from siltstone.plans.standins import table
+from siltstone.runtime import stage_table
 
 QUERIES, SQL = {}, {}
 
@@ -222,3 +223,30 @@ def answer_text_arm(spark, sf):
     h = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     one = h.groupBy("h").agg(F.count("*").alias("n_matches")).where("n_matches = 1")
     return h.join(one, "h").select("doc_id", "n_matches")
+
+
+FILES = "f AS (SELECT coalesce(source, 'none') || '/' || doc_id AS path, sha256(coalesce(text, '')) AS sha256, doc_id FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def _files(spark, sf):
+    return table(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id")
+
+
+@query(f"""WITH {FILES}, b AS (SELECT left(sha256(path), 2) AS prefix, sha256(string_agg(path || ' ' || sha256, chr(10) ORDER BY path)) AS digest, count(*) AS n FROM f GROUP BY 1),
+a AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1), r AS (SELECT '' AS prefix, sha256(coalesce(string_agg(digest, '' ORDER BY prefix), '')) AS digest, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM a)
+SELECT 2 AS level, * FROM b UNION ALL SELECT 1, * FROM a UNION ALL SELECT 0, * FROM r""")
+def snapshot_tree(spark, sf):
+    """All nodes of the digest tree of the documents as files, two digits deep."""
+    return merkle.tree(_files(spark, sf).select("path", "sha256"), 2)
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN doc_id % 97 = 5 THEN 'deleted' ELSE 'modified' END AS change FROM f WHERE doc_id % 97 = 5 OR doc_id % 89 = 7 UNION ALL SELECT 'new/' || doc_id, 'added' FROM f WHERE doc_id % 101 = 3")
+def snapshot_changes(spark, sf):
+    """What differs between two snapshots, found from the roots of their trees down."""
+    f = _files(spark, sf)
+    before = stage_table(f.select("path", "sha256"), "before")
+    now = f.where("doc_id % 97 <> 5").select("path", F.when(F.col("doc_id") % 89 == 7, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    now = stage_table(now.unionByName(f.where("doc_id % 101 = 3").select(F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("path"), "sha256")), "now")
+    depth = merkle.depth_for(before.count())
+    trees = tuple(stage_table(merkle.tree(x, depth), "tree") for x in (before, now))
+    return merkle.changes(before, now, trees, depth)

@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import assess
+from siltstone.operators import assess, rank, variants
 from siltstone.operators import metrics as m
 from siltstone.operators.assess import DEPTHS, GATES, METRICS
-from siltstone.plans.standins import OUTCOMES, judged, questions, table
+from siltstone.plans.standins import OUTCOMES, RANKINGS, judged, questions, table, vectors
+from siltstone.runtime import stage_table
 
 QUERIES, SQL = {}, {}
 NEAR = 60
@@ -196,3 +197,39 @@ def transform_union(spark, sf):
     p = assess.pairs(records(spark, sf))
     parts = [p.select(F.lit(name).alias("source_experiment_id"), "pair_id", "method", assess.sides(F.col("en"), F.col("fa"), int(threshold[4:])).alias("outcome")) for threshold, name in SOURCES]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Context variants over the first 50 rows by cosine; blocks are the documents, gold files the sources of a question and of the next two documents
+
+STORED = f"""{RANKINGS.replace("WHERE rank <= 20)", "WHERE rank <= 50)", 1)},
+k AS (SELECT question_id, rank, chunk_id, d.source AS file, CAST(length(coalesce(d.text, '')) AS BIGINT) AS chars FROM two JOIN documents d ON d.doc_id = chunk_id WHERE method = 'cosine'),
+g AS (SELECT DISTINCT e.vec_id AS question_id, d.source AS file FROM embeddings e JOIN documents d ON d.doc_id BETWEEN e.vec_id AND e.vec_id + 2 WHERE e.vec_id % 20 = 0 AND d.source IS NOT NULL)"""
+
+
+def _stored(spark, sf):
+    """The ranking (question_id, rank, chunk_id, file, chars) of depth 50, staged once, and the gold files."""
+    v = vectors(spark, sf).select("chunk_id", "vector")
+    found = rank.semantic(v.where("chunk_id % 20 = 0"), v, 50).select("question_id", "rank", "chunk_id")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    near = F.explode(F.array(*[F.col("chunk_id") + k for k in range(3)])).alias("near")
+    gold = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("question_id"), near).join(d.select(F.col("chunk_id").alias("near"), "file"), "near").select("question_id", "file")
+    return stage_table(found.join(d, "chunk_id"), "ranking"), gold
+
+
+@query(f"""WITH {STORED}, vs(variant, depth, per_file, budget) AS (VALUES {", ".join(f"('{v.name}', {v.depth}, {v.per_file}, {v.budget})" for v in variants.GATE)}),
+m AS (SELECT vs.*, k.*, row_number() OVER (PARTITION BY question_id, variant, coalesce(file, chr(1) || chunk_id) ORDER BY rank) AS turn FROM k JOIN vs ON rank <= depth),
+f AS (SELECT question_id, variant, list_reduce(list_transform(list({{'r': rank, 'c': chars, 'f': file}} ORDER BY rank), lambda b: {{'used': b.c, 'n': CAST(1 AS BIGINT), 'files': [b.f], 'budget': CAST(0 AS BIGINT)}}),
+ lambda s, b: CASE WHEN s.used + b.used <= s.budget THEN {{'used': s.used + b.used, 'n': s.n + 1, 'files': list_concat(s.files, b.files), 'budget': s.budget}} ELSE s END,
+ {{'used': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'files': CAST([] AS VARCHAR[]), 'budget': CAST(any_value(budget) AS BIGINT)}}) AS p FROM m WHERE per_file = 0 OR turn <= per_file GROUP BY question_id, variant),
+w AS (SELECT question_id, list(file) AS files FROM g GROUP BY question_id),
+u AS (SELECT w.question_id, vs.variant, len(w.files) AS gold, len(list_intersect(w.files, coalesce(f.p.files, []))) AS found, coalesce(f.p.n, 0) AS blocks, coalesce(f.p.used, 0) AS total FROM w CROSS JOIN vs LEFT JOIN f ON f.question_id = w.question_id AND f.variant = vs.variant)
+SELECT variant, count(*) AS questions, round(avg(found / gold), 6) AS mean_coverage, count(*) FILTER (WHERE found = gold) AS complete, round(avg(blocks), 6) AS mean_blocks, round(avg(total), 6) AS mean_chars FROM u GROUP BY variant""")
+def context_variants(spark, sf):
+    """Coverage of eight packings of one stored ranking."""
+    return variants.summary(variants.coverage(*_stored(spark, sf)))
+
+
+@query(None)
+def context_variant_gate(spark, sf):
+    """Differences of seven variants from the control, with paired intervals of 20,000 resamples."""
+    return variants.differences(stage_table(variants.coverage(*_stored(spark, sf)), "units"), "control")

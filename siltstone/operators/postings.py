@@ -32,7 +32,7 @@ from siltstone.runtime import numbered, partitions_for, session_partitions, smal
 
 #: Numbers of a block (two to the power of), buckets of terms, questions and bytes of their texts at a time.
 BITS, BUCKETS, BLOCK, TEXT_BYTES = 16, 64, 1024, 16 << 20
-ROWS = "term string, block long, n int, top int, numbers binary, weights binary, bucket int"
+ROWS = "term string, block long, n int, top int, numbers binary, weights binary"
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -60,7 +60,10 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, number, weight, bucket) in order, a row a term and block; what a batch cuts off is carried on."""
+    """Rows (term, number, weight) in order, a row a term and block; what a batch cuts off is carried on.
+
+    The weights of a number that comes for several fields are summed.
+    """
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
@@ -78,13 +81,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _coded(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
-    number, weight, spans = rows.column("number").to_numpy(), rows.column("weight").to_numpy().astype(np.uint8), list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    first = pa.array(cuts[:-1])
+    number, weight = rows.column("number").to_numpy(), rows.column("weight").to_numpy()
+    first = np.append(True, number[1:] != number[:-1])
+    first[cuts[:-1]] = True
+    at = np.flatnonzero(first)
+    weight = np.add.reduceat(weight, at).astype(np.uint8)
+    taken, number, cuts = pa.array(at[np.searchsorted(at, cuts[:-1])]), number[at], np.searchsorted(at, cuts)
+    spans, inside = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), number & ((1 << BITS) - 1)
     columns = [
-        rows.column("term").take(first), pa.array(number[cuts[:-1]] >> BITS), pa.array(np.diff(cuts), pa.int32()), pa.array([int(weight[a:b].max()) for a, b in spans], pa.int32()),
-        pa.array([pack(number[a:b] & ((1 << BITS) - 1)) for a, b in spans], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in spans], pa.binary()), rows.column("bucket").take(first),
+        rows.column("term").take(taken), pa.array(number[cuts[:-1]] >> BITS), pa.array(np.diff(cuts), pa.int32()), pa.array(np.maximum.reduceat(weight, cuts[:-1]).astype(np.int32)),
+        pa.array([pack(inside[a:b]) for a, b in spans], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in spans], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "top", "numbers", "weights", "bucket"])
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "top", "numbers", "weights"])
 
 
 class TermIndex:
@@ -111,19 +119,18 @@ class TermIndex:
             """The terms of a field, each with the field's weight."""
             return F.transform(tx.word_set(F.coalesce(field, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
-        said = F.flatten(F.array(*[weighted(f, w) for f, w in weights.items()]))
-        terms = chunks.select("chunk_id", F.explode(said).alias("t")).groupBy("chunk_id", "t.term").agg(F.sum("t.w").alias("weight"))
-        rows = terms.join(known, "chunk_id").select("term", "number", F.col("weight").cast("int").alias("weight"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-        # By term and block, so that a frequent term is dealt over as many tasks as it has blocks.
-        dealt = rows.repartition(partitions_for(chunks), "bucket", "term", F.shiftright("number", BITS)).sortWithinPartitions("bucket", "term", "number")
-        coded = dealt.mapInArrow(_blocks, ROWS)
+        said = chunks.select("chunk_id", F.flatten(F.array(*[weighted(f, w) for f, w in weights.items()])).alias("said")).join(known, "chunk_id")
+        rows = said.select("number", F.explode("said").alias("t")).select("t.term", "number", F.col("t.w").cast("int").alias("weight")).withColumn("h", F.xxhash64("term"))
+        # By term and block, so that a frequent term is dealt over as many tasks as it has blocks; a hash sorts faster than words.
+        dealt = rows.repartition(partitions_for(chunks), "h", F.shiftright("number", BITS)).sortWithinPartitions("h", "term", "number")
+        coded = dealt.select("term", "number", "weight").mapInArrow(_blocks, ROWS).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         coded.repartitionByRange(session_partitions(spark), "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
         return TermIndex(spark, folder)
 
     def rows(self, terms: list[str], buckets: list[int]) -> DataFrame:
         """The postings of some terms, of their buckets only."""
         asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        found = self.spark.read.schema(ROWS).parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets))
+        found = self.spark.read.schema(f"{ROWS}, bucket int").parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets))
         return (found.where(F.col("term").isin(terms)) if len(terms) <= 256 else found).join(F.broadcast(asked), "term", "left_semi")
 
     def _best(self, rows: DataFrame, asked: dict[str, list[int]], floors: np.ndarray, k: int, only: dict[int, list[int]] | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, weights: dict[
 
     ``questions``: (question_id, text); ``chunks``: chunk_id (unique), the weighted fields, optionally
     source_file, start_line. Terms are sets, so there is no term or document frequency. Chunks are scored
-    where they lie: their terms are looked up in those of a block of QUERY_BLOCK questions, and a batch
+    where they lie: their terms are looked up in those of a block of QUERY_BLOCK questions, and a task
     sends on its best k for each question, so the shuffle holds neither terms nor all pairs that match.
     Several blocks run one after another, each staged before the next is fetched.
     """
@@ -76,7 +76,7 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
     counts = np.array([len(v) for v in by_term.values()], np.int64)
     first, owners = np.cumsum(counts) - counts, np.array([n for v in by_term.values() for n in v], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, arrow = pa.array(vocabulary, pa.string()), to_arrow_schema(schema)
         questions = pa.array(ids, arrow.field(0).type)
         step = max(1, CELLS // max(1, len(ids)))
@@ -102,6 +102,9 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
                 picked = pa.array(order[chunk])
                 yield pa.RecordBatch.from_arrays([questions.take(pa.array(question)), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value)], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(scored(batches), k)
+
     return run
 
 
@@ -133,6 +136,35 @@ def best_of(score: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarr
     return question[good], place[good], value[good]
 
 
+#: Rows that a task gathers before it leaves out those that cannot be among the best.
+GATHERED = 1 << 17
+
+
+def trimmed(rows: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` rows of each question, in the order of ranks."""
+    keys = [("question_id", "ascending"), ("score", "descending"), *[(c, "ascending") for c in PLACE if c in rows.column_names]]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start"))
+    code = rows.column("question_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return rows.filter(pa.array(place < k))
+
+
+def gathered(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` rows of each question over all batches of a task, so that what is sent on follows the tasks and not the batches."""
+    held, n, most = [], 0, GATHERED
+    for part in parts:
+        if part.num_rows:
+            held.append(part)
+            n += part.num_rows
+        if n > most:
+            best = trimmed(pa.Table.from_batches(held), k)
+            held, n = best.to_batches(), best.num_rows
+            most = max(GATHERED, 2 * n)
+    if held:
+        yield from trimmed(pa.Table.from_batches(held), k).to_batches(max_chunksize=1 << 16)
+
+
 def scores_of(block: np.ndarray, lengths: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """Scores (queries x rows), rounded to 9 digits."""
     products = block @ rows.T
@@ -150,7 +182,7 @@ def scores_of(block: np.ndarray, lengths: np.ndarray, rows: np.ndarray, metric:
 def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, keys: list[str], schema: T.StructType):
     lengths = np.sqrt((block * block).sum(axis=1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         asked = pa.array(block_ids, arrow.field(0).type)
         for whole in batches:
@@ -163,6 +195,9 @@ def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, keys:
                 picked = pa.array(order[place])
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(question)), *[batch.column(c).take(picked) for c in keys], pa.array(value)], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(scored(batches), k + 1)
+
     return run
 
 
@@ -171,7 +206,7 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
 
     ``queries``: (chunk_id, vector); ``vectors``: (chunk_id, vector) and optionally source_file and
     start_line, which order equal scores. The queries are taken in blocks of QUERY_BLOCK, each multiplied
-    with the vectors batch by batch where these lie; a batch sends on its best k for each query. Several
+    with the vectors batch by batch where these lie; a task sends on its best k for each query. Several
     blocks run one after another, each with its best rows staged before the next is fetched, so memory and
     broadcast are bounded by the block whatever the number of queries.
     """

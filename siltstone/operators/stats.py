@@ -25,7 +25,10 @@ def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, ties: s
 
     Equal values are counted first; the counts are summed over ranges of (by, value) and the ranks joined
     to the rows, so no task sees a whole group, nor the rows of one value but as a count. Nulls rank first.
+    The rows are staged, as they are read twice: a mean of doubles follows the order in which a shuffle
+    arrives, and a value that came out another way the second time would find no rank and lose its row.
     """
+    rows = stage_table(rows, "valued")
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_ties"))
     upto = stage_table(running(counts, [*by, value], {"_upto": "_ties"}), "ranks")
     starts = upto.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_ties")).alias("_start"))
@@ -99,7 +102,7 @@ def wilcoxon(differences: DataFrame, value: str, by: list[str], least: int = 0)
     mean, variance = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties")
     gap = F.col("w_plus") - mean
     z = F.when((variance > 0) & (F.col("n") >= least), (gap - F.signum(gap) * 0.5) / F.sqrt(variance))
-    return g.select(*by, "n", F.round("w_plus", 6).alias("w_plus"), F.round(variance, 6).alias("variance"), F.round(z, 6).alias("z"))
+    return g.select(*by, "n", (F.rint(F.col("w_plus") * 1e6) / 1e6).alias("w_plus"), (F.rint(variance * 1e6) / 1e6).alias("variance"), F.round(z, 6).alias("z"))
 
 
 @F.pandas_udf(T.DoubleType())

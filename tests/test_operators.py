@@ -1,6 +1,8 @@
+import os
 import re
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +284,19 @@ def test_plans_are_judged_by_their_nodes(spark, tmp_path):
     assert runtime.input_bytes(files.groupBy("id").count()) > 0 and runtime.input_bytes(spark.range(5)) == 0
     joined = files.join(files.groupBy("id").count(), "id")
     assert runtime.spread(joined) is joined and runtime.spread(files).count() == 46
+
+
+def test_ranks_keep_rows_whose_values_come_out_anew_at_each_reading(spark):
+    again = F.udf(lambda k: int.from_bytes(os.urandom(6)) + k, "long").asNondeterministic()
+    rows = spark.range(500).select("id", (F.col("id") % 2).alias("g"), again("id").alias("v"))
+    ranked = stats.average_ranks(rows, "v", ["g"], "r").groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("s")).collect()
+    assert sorted(map(tuple, ranked)) == [(0, 250, 31375.0), (1, 250, 31375.0)]
+
+
+def test_large_variances_are_rounded_as_in_sql(spark):
+    def variance(n):
+        return float(n) * (n + 1) * (2 * n + 1) / 24
+
+    n = next(n for n in range(15000, 30000) if round(variance(n) * 1e6) / 1e6 != variance(n))
+    got = stats.wilcoxon(spark.range(1, n + 1).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("d")), "d", ["g"]).first()
+    assert got["n"] == n and got["variance"] == duckdb.sql(f"SELECT round({variance(n)!r}::DOUBLE, 6)").fetchall()[0][0]

@@ -8,16 +8,18 @@ parallel, and any SQL engine with SHA-256 can replay them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.operators.rank import small
-from siltstone.runtime import numbered, running, session_partitions, stage_table
+from siltstone.operators import draws
+from siltstone.runtime import running, session_partitions, stage_table
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str, ties: str | None = None) -> DataFrame:
@@ -61,28 +63,69 @@ def draw(seed: Column, parts: list[Column], size: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size
 
 
+#: Rows up to which a task makes whole resamples of packed values, rows of one packed piece, and draws of a task.
+HELD, PIECE, TASK_DRAWS = 1 << 22, 1 << 16, 1 << 26
+
+
 def bootstrap(values: DataFrame, value: str, order: list[str], strata: list[str], resamples: int, seed: int, by: list[str] | None = None, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
     """(by..., resample, mean): the mean, or another statistic, of resamples drawn with replacement inside each stratum and pooled.
 
     ``order`` numbers the rows of a stratum and must be unique in it; ``by`` are keys of separate bootstraps.
+    Rows with a null key are left out; null values are drawn but not counted.
+    Means and medians of up to HELD rows are made where the packed values lie (``operators/draws.py``), so
+    no draw is a row; more rows, and other statistics, take a row a draw and a shuffle.
     """
     by = by or []
     keys = [*by, *strata]
-    if keys:
-        w = Window.partitionBy(*keys)
-        placed = values.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    else:
-        keys, placed = ["_all"], numbered(values, order, "_place").withColumns({"_all": F.lit(0), "_i": F.col("_place") - 1})
-        placed = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("_n"))))  # one row
-    rows = placed.select(*keys, "_i", "_n", F.col(value).alias("_v"))
+    known = values
+    for c in keys:
+        known = known.where(F.col(c).isNotNull())
+    slim = known.select(*dict.fromkeys([*keys, *order]), F.col(value).alias("_v"), F.lit(1).alias("_one"))
+    placed = stage_table(running(slim, [*keys, *order], {"_upto": "_one"}), "placed")
+    groups = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_upto").alias("_first"))
+    joined = placed.join(groups, keys) if keys else placed.crossJoin(groups)  # one row
+    names = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    rows = joined.select(*keys, names.alias("_name"), (F.col("_upto") - F.col("_first")).alias("_i"), "_n", "_v")
+    replay = {F.avg: draws.means, F.median: draws.medians}.get(statistic)
+    if replay and (held := placed.count()) <= HELD:
+        return _replayed(rows, keys, by, resamples, seed, replay, held)
     # A row becomes as many draws as there are resamples, so rows of one stratum are dealt out first.
-    dealt = rows.repartition(session_partitions(rows.sparkSession), *keys, "_i")
-    draws = dealt.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    names = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys != ["_all"] else F.lit("")
-    draws = draws.select(*keys, "resample", draw(F.lit(str(seed)), [names, F.col("resample"), F.col("_i")], F.col("_n")).alias("_i"))
-    values = rows.drop("_n")
-    picked = draws.join(F.broadcast(values) if small(rows) else values, [*keys, "_i"])
-    return picked.groupBy(*by, "resample").agg(statistic("_v").alias("mean"))
+    dealt = rows.select(*keys, "_name", "_i", "_n").repartition(session_partitions(rows.sparkSession), *keys, "_i")
+    drawn = dealt.select(*keys, "_name", "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    drawn = drawn.select(*keys, "resample", draw(F.lit(str(seed)), [F.col("_name"), F.col("resample"), F.col("_i")], F.col("_n")).alias("_i"))
+    return drawn.join(rows.select(*keys, "_i", "_v"), [*keys, "_i"]).groupBy(*by, "resample").agg(statistic("_v").alias("mean"))
+
+
+def _replayed(rows: DataFrame, keys: list[str], by: list[str], resamples: int, seed: int, replay: Callable, held: int) -> DataFrame:
+    """Resamples of (keys..., _name, _i, _n, _v) by ``replay``: a group's values in packed pieces, and a row for each unit of resamples."""
+    spark = rows.sparkSession
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in by)
+
+    def pack(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("_i")
+        column = piece.column("_v")
+        bits = [pa.array([x.tobytes()], pa.binary()) for x in (pc.fill_null(column, 0.0).to_numpy().astype("<f8"), pc.is_valid(column).to_numpy())]
+        return pa.Table.from_arrays([*[piece.column(k).slice(0, 1) for k in (*by, "_name", "_piece")], *bits], names=[*by, "_name", "_piece", "_values", "_known"])
+
+    pieces = rows.select(*keys, "_name", "_i", F.col("_v").cast("double").alias("_v"), F.floor(F.col("_i") / PIECE).alias("_piece"))
+    pieces = pieces.groupBy(*keys, "_piece").applyInArrow(pack, kinds + "_name string, _piece long, _values binary, _known binary")
+    packed = pieces.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_name", "_piece", "_values", "_known"))).alias("_pieces")).where(F.size("_pieces") > 0)
+    units = min(resamples, max(4 * spark.sparkContext.defaultParallelism, -(-held * resamples // TASK_DRAWS)))
+    dealt = packed.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1)))).repartition(units)
+    schema = kinds + "resample int, mean double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                unit, strata = batch.column("_unit")[at].as_py(), {}
+                for piece in batch.column("_pieces")[at].as_py():
+                    strata.setdefault(piece["_name"], []).append(piece)
+                packs = [(name, np.frombuffer(b"".join(p["_values"] for p in ps), "<f8"), np.frombuffer(b"".join(p["_known"] for p in ps), np.bool_)) for name, ps in strata.items()]
+                first, end = 1 + unit * resamples // units, 1 + (unit + 1) * resamples // units
+                found = replay(packs, str(seed), first, end)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(k)[at], end - first) for k in by], pa.array(range(first, end), pa.int32()), pa.array(found, pa.float64())], names=[*by, "resample", "mean"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def interval(means: DataFrame, by: list[str], resamples: int, level: float = 0.95, last: bool = True, places: tuple[int, int] | None = None) -> DataFrame:

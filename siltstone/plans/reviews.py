@@ -15,6 +15,7 @@ from siltstone.plans.standins import table, vectors
 from siltstone.plans.statistics import BOOT, PAIRS
 from siltstone.plans.statistics import pairs as paired
 from siltstone.plans.texts import WORDS
+from siltstone.runtime import stage_table
 
 QUERIES, SQL = {}, {}
 
@@ -578,7 +579,7 @@ SELECT stratum, ci_low, ci_low_975, p, round(adjusted, 6) AS adjusted, coalesce(
 def superiority_decision_adjusted(spark, sf):
     """Superior if the Holm-adjusted p is under 0.05 and the interval above zero; not inferior by the lower bound at 97.5 %."""
     p = paired(spark, sf).withColumn("d", F.col("a") - F.col("b"))
-    means = stats.bootstrap(p, "d", ["user_id"], [], 20000, 11, by=["stratum"])
+    means = stage_table(stats.bootstrap(p, "d", ["user_id"], [], 20000, 11, by=["stratum"]), "means")
     low, deep = stats.interval(means, ["stratum"], 20000).select("stratum", "ci_low"), stats.interval(means, ["stratum"], 20000, 0.975).select("stratum", F.col("ci_low").alias("ci_low_975"))
     tests = p.groupBy("stratum").agg(F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses")).select("stratum", F.round(stats.two_sided_binomial("wins", "losses"), 9).alias("p"))
     held = stats.holm(tests, "p", [], "stratum").select("stratum", "p", "adjusted")

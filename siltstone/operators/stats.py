@@ -231,6 +231,8 @@ def terciles(rows: DataFrame, order: list[str], by: list[str], name: str = "terc
 
 #: Numbers of differences up to which the sign patterns are listed; points of one task row and of one table in the sum over frequencies.
 LISTED, UNIT, POINTS = 20, 1 << 20, 8192
+#: From this number of differences on, frequencies are passed over in blocks of a BLOCK_PARTth of that number.
+BLOCKED, BLOCK_PART = 257, 6
 
 
 def _tail_part(d: list[int], unit: int) -> float:
@@ -262,9 +264,58 @@ def _tail_part(d: list[int], unit: int) -> float:
     return math.fsum(parts)
 
 
+def _blocked_tail_part(d: list[int], unit: int) -> float:
+    """``_tail_part`` of a unit of UNIT blocks of frequencies.
+
+    In a block the angle of a size x moves by up to pi x width / M, so its cosine stays under exp(-r^2 / 2)
+    where r is the least distance from a multiple of pi. Blocks whose product of these bounds is under 1e-16 are
+    passed over; the frequencies of the others are summed as in ``_tail_part``.
+    """
+    sizes, times = np.unique(np.abs(np.array([x for x in d if x], np.int64)), return_counts=True)
+    sizes //= max(1, np.gcd.reduce(sizes))
+    whole, seen = int((sizes * times).sum()), abs(sum(d)) // max(1, math.gcd(*d))
+    k, m = (whole - seen) // 2, whole + 1 + whole % 2
+    width, last = len(d) // BLOCK_PART, (m - 1) // 2
+    # Sizes about the mean first: they turn fast enough, and their angles move little in a block.
+    middle = np.argsort(np.abs(sizes - whole / len(d)) / times, kind="stable")
+    sizes, times = sizes[middle], times[middle]
+    parts, bar = [(k + 1) / m] if unit == 0 else [], -2 * math.log(1e-16)
+
+    def angles(factor: int, low: int, block: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Of the frequencies low + block * width + inside; block by block, so that no product overflows."""
+        return (factor * low % (2 * m) + factor * width % (2 * m) * block % (2 * m) + factor % (2 * m) * inside % (2 * m)) % (2 * m) * (np.pi / m)
+
+    for low in range(unit * UNIT * width, min((unit + 1) * UNIT * width, last + 1), POINTS * width):
+        block = np.arange(min(POINTS, -(-(last + 1 - low) // width)))
+        gap = np.zeros(len(block))
+        for i, (x, c) in enumerate(zip(sizes, times, strict=True)):
+            x = int(x)
+            turn = (2 * x * low + x * (width - 1)) % (2 * m) / (2 * m) + block * (x * width % m / m)
+            r = np.maximum(0, np.abs(turn - np.rint(turn)) * np.pi - (x * (width - 1) / (2 * m) * np.pi + 1e-9))
+            gap += int(c) * r * r
+            if i % 16 == 15:
+                alive = gap < bar
+                block, gap = block[alive], gap[alive]
+                if not len(block):
+                    break
+        f = (block[gap < bar, None] * width + np.arange(width)).ravel()
+        f = f[(f + low > 0) & (f + low <= last)]
+        for start in range(0, len(f), POINTS):
+            part = np.divmod(f[start : start + POINTS], width)
+            value = np.ones(len(part[0]))
+            for i, (x, c) in enumerate(zip(sizes, times, strict=True)):
+                value *= np.cos(angles(int(x), low, *part)) ** int(c)
+                if i % 16 == 15 and np.abs(value).max() < 1e-16:
+                    break
+            else:
+                top, over, under = (angles(factor, low, *part) for factor in (whole - k, k + 1, 1))
+                parts.append(float((value * np.cos(top) * np.sin(over) / np.sin(under)).sum()) * 2 / m)
+    return math.fsum(parts)
+
+
 @F.pandas_udf(T.DoubleType())
 def tail_part(d: pd.Series, unit: pd.Series) -> pd.Series:
-    return pd.Series([_tail_part([int(x) for x in one], int(u)) for one, u in zip(d, unit, strict=True)])
+    return pd.Series([(_tail_part if len(one) < BLOCKED else _blocked_tail_part)([int(x) for x in one], int(u)) for one, u in zip(d, unit, strict=True)])
 
 
 def sign_flip(differences: DataFrame, value: str) -> DataFrame:
@@ -274,7 +325,8 @@ def sign_flip(differences: DataFrame, value: str) -> DataFrame:
     digits) and T, the sum of the sizes whose sign is flipped, has the tail P(T <= K) = sum over
     the frequencies f < M, M > sum of the sizes, of prod cos(pi f d / M) times a Dirichlet kernel:
     an identity, with no error but that of the arithmetic (under 1e-12). The frequencies are dealt
-    out in units. At most 36 differences, the result is set to the multiple of 2^-n that it must be.
+    out in units. With BLOCKED differences and more they are passed over in blocks that widen with the number
+    of differences, so the work follows the size of the mean difference and not the sum. At most 36 differences, the result is set to the multiple of 2^-n that it must be.
     """
     ordered = F.sort_array(F.collect_list(F.round(F.col(value), 6)))
     one = differences.agg(ordered.alias("d")).withColumn("n", F.size("d"))
@@ -285,7 +337,8 @@ def sign_flip(differences: DataFrame, value: str) -> DataFrame:
 
     many = one.where(f"n > {LISTED}").select("n", F.transform("d", lambda x: F.round(x * 1e6).cast("long")).alias("d"))
     many = many.withColumn("seen", F.abs(F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + x))).withColumn("whole", F.aggregate("d", F.lit(0).cast("long"), lambda s, x: s + F.abs(x)))
-    units = many.select("n", "d", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") + 2) / (2 * UNIT)))).alias("unit"))
+    width = F.when(F.col("n") < BLOCKED, 1).otherwise(F.floor(F.col("n") / BLOCK_PART))
+    units = many.select("n", "d", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("whole") + 2) / (2 * UNIT * width)))).alias("unit"))
     units = units.repartition(session_partitions(differences.sparkSession), "unit")
     tails = units.groupBy("n", "seen").agg(F.sum(tail_part("d", "unit")).alias("tail"))
     exact = F.when(F.col("seen") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.col("tail"))))

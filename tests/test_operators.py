@@ -1,8 +1,10 @@
 import os
 import re
 import math
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +302,22 @@ def test_large_variances_are_rounded_as_in_sql(spark):
     n = next(n for n in range(15000, 30000) if round(variance(n) * 1e6) / 1e6 != variance(n))
     got = stats.wilcoxon(spark.range(1, n + 1).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("d")), "d", ["g"]).first()
     assert got["n"] == n and got["variance"] == duckdb.sql(f"SELECT round({variance(n)!r}::DOUBLE, 6)").fetchall()[0][0]
+
+
+@pytest.mark.parametrize(("n", "size", "shift"), [(300, 500, 40), (600, 3000, 100), (60, 3000, 20)])
+def test_blocks_of_frequencies_give_the_same_tail(n, size, shift):
+    d = np.random.default_rng(n).normal(size=n) * size + shift
+    d = [int(x) for x in (np.tile(d, 10) if n == 60 else d)]
+    whole, width = sum(map(abs, d)), len(d) // stats.BLOCK_PART
+    blocked = sum(stats._blocked_tail_part(d, u) for u in range((whole + 2) // (2 * stats.UNIT * width) + 1))
+    plain = sum(stats._tail_part(d, u) for u in range((whole + 2) // (2 * stats.UNIT) + 1))
+    assert abs(blocked - plain) < 1e-12 and 1e-4 < blocked < 0.6
+
+
+def test_sign_flip_of_thousands_is_made_in_few_blocks(spark):
+    d = np.random.default_rng(4).normal(size=6000) * 4 + 0.1
+    began = time.monotonic()
+    got = stats.sign_flip(spark.createDataFrame([(float(x),) for x in d], "d double"), "d").first()
+    # By the normal approximation; the sum over all frequencies would have some 10^10 terms.
+    z = abs(d.sum()) / math.sqrt((d * d).sum())
+    assert got["n"] == 6000 and abs(got["p"] - math.erfc(z / math.sqrt(2))) < 2e-3 and time.monotonic() - began < 200

@@ -60,8 +60,8 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 10, weights: dict[
     return top_k(found, ["question_id"], canonical(keys), k)
 
 
-#: Cells of a table of scores (chunks x questions) at a time.
-CELLS = 2_000_000
+#: Cells of a table of scores (chunks x questions) at a time, and matches of terms that are counted at a time.
+CELLS, MATCHES = 1 << 20, 1 << 20
 
 
 def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int, schema: T.StructType):
@@ -80,6 +80,7 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
         known, arrow = pa.array(vocabulary, pa.string()), to_arrow_schema(schema)
         questions = pa.array(ids, arrow.field(0).type)
         step = max(1, CELLS // max(1, len(ids)))
+        floor = np.full(len(ids), -np.inf)
         for batch in batches:
             for start in range(0, batch.num_rows if ids else 0, step):
                 part = batch.slice(start, step)
@@ -92,13 +93,19 @@ def _term_scores(asked: list[tuple], weights: list[int], keys: list[str], k: int
                     term = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
                     hit = np.flatnonzero(term >= 0)
                     term, row = term[hit], row[hit]
-                    size = counts[term]
-                    at = np.repeat(first[term] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    score += weight * np.bincount(np.repeat(row, size) * len(ids) + owners[at], minlength=len(score))
+                    upto = np.cumsum(counts[term])
+                    low = 0
+                    while low < len(term):
+                        # A frequent term has many owners, so their number is bounded and not that of the terms.
+                        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + MATCHES, side="right")))
+                        size, from_, to = counts[term[low:high]], row[low] * len(ids), (row[high - 1] + 1) * len(ids)
+                        at = np.repeat(first[term[low:high]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                        score[from_:to] += weight * np.bincount(np.repeat(row[low:high], size) * len(ids) - from_ + owners[at], minlength=to - from_)
+                        low = high
                 score = score.reshape(rows, len(ids))
                 order = tie_order(part, keys)
                 # Questions x chunks, in the total order of equal scores.
-                question, chunk, value = best_of(np.ascontiguousarray(score[order].T), k, 0)
+                question, chunk, value = best_of(np.ascontiguousarray(score[order].T), k, 0, floor)
                 picked = pa.array(order[chunk])
                 yield pa.RecordBatch.from_arrays([questions.take(pa.array(question)), *[part.column(i).take(picked) for i in range(len(keys))], pa.array(value)], schema=arrow)
 
@@ -124,10 +131,16 @@ def tie_order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return pc.sort_indices(table, sort_keys=[(c, "ascending") for c in PLACE if c in keys], null_placement="at_start").to_numpy()
 
 
-def best_of(score: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question, place, score) of the best ``k`` columns of each row above ``least``, earlier columns first among equals."""
+def best_of(score: np.ndarray, k: int, least: float = -np.inf, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, place, score) of the best ``k`` columns of each row above ``least``, earlier columns first among equals.
+
+    ``floor`` holds for each row the greatest k-th score met in the tables before; scores under it are left out and it is raised.
+    """
     n = score.shape[1]
     bar = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -np.inf)
+    if floor is not None:
+        np.fmax(floor, bar[:, 0], out=floor)
+        bar = floor[:, None]
     question, place = np.nonzero((score >= bar) & (score > least))
     value = score[question, place]
     best = np.lexsort((place, -value, question))
@@ -185,13 +198,14 @@ def _block_scores(block_ids: list, block: np.ndarray, metric: str, k: int, keys:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         asked = pa.array(block_ids, arrow.field(0).type)
+        step, floor = max(1, min(2048, CELLS // len(block))), np.full(len(block), -np.inf)
         for whole in batches:
-            for low in range(0, whole.num_rows, 2048):
-                batch = whole.slice(low, 2048)
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
                 order = tie_order(batch, keys)
                 rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)[order]
                 # The best k + 1 of this batch for each query, as itself may be among them.
-                question, place, value = best_of(scores_of(block, lengths, rows, metric), k + 1)
+                question, place, value = best_of(scores_of(block, lengths, rows, metric), k + 1, floor=floor)
                 picked = pa.array(order[place])
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(question)), *[batch.column(c).take(picked) for c in keys], pa.array(value)], schema=arrow)
 

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.runtime import sound_unions
+from siltstone.runtime import small_batches, sound_unions
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("texts", "evaluation", "statistics", "runs", "contexts", "stores", "studies", "assessment", "reviews")
@@ -22,6 +22,7 @@ def _sound(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sound_unions(spark)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run

@@ -57,7 +57,7 @@ def soft_focus_rescue(ranking: DataFrame, matched: Column, file: str, extras: in
     return marked.where("matched").unionByName(rest)
 
 
-def best_tier(rows: DataFrame, group: str, tier: Column) -> DataFrame:
+def best_tier(rows: DataFrame, group: str | list[str], tier: Column) -> DataFrame:
     """Rows of the greatest tier of their group."""
     marked = rows.withColumn("tier", tier)
     return marked.withColumn("_m", F.max("tier").over(Window.partitionBy(group))).where("tier = _m").drop("_m")

@@ -15,7 +15,7 @@ from siltstone.plans.standins import table, vectors
 from siltstone.plans.statistics import BOOT, PAIRS
 from siltstone.plans.statistics import pairs as paired
 from siltstone.plans.texts import WORDS
-from siltstone.runtime import stage_table
+from siltstone.runtime import session_partitions, stage_table
 
 QUERIES, SQL = {}, {}
 
@@ -508,10 +508,20 @@ def named_symbol_focus_full(spark, sf):
     kind = F.floor(F.col("doc_id") / 20) % 4
     text = F.when(kind == 0, F.concat(F.lit("how does "), F.upper("name"), F.lit(" work"))).when(kind == 1, F.concat(F.lit("what is "), "root", F.lit(" for"))).when(kind == 2, F.concat(F.lit("where is "), "short", F.lit(" called"))).otherwise("tell me more")
     q = s.where("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), text.alias("text"), (F.col("doc_id") % 200).alias("g"))
-    hits = q.join(s.withColumn("g", F.col("doc_id") % 200), "g")
-    asked = F.col("text")
+    return focus(q, s.withColumn("g", F.col("doc_id") % 200))
+
+
+def focus(q: DataFrame, s: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, tier): the chunks (g, doc_id, name, root, short) of the greatest tier for each question (g, question_id, text).
+
+    A tier depends on the texts alone, so each distinct question is matched with each distinct name of its g once, and
+    the chunks are joined to the names that are left.
+    """
+    asked, name = F.col("text"), ["g", "name", "root", "short"]
     tier = F.when(tx.mentions(asked, F.col("name")), 3).when(tx.mentions(asked, F.col("root"), True), 2).when(~F.col("short").startswith("__") & tx.mentions(asked, F.col("short"), True), 1).otherwise(0)
-    return cx.best_tier(hits, "question_id", tier).select("question_id", F.col("doc_id").alias("chunk_id"), "tier")
+    pairs = q.select("g", "text").distinct().join(s.select(*name).distinct(), "g").repartition(session_partitions(q.sparkSession), "text", "name")
+    best = stage_table(cx.best_tier(pairs, ["g", "text"], tier), "tiers")
+    return q.join(best, ["g", "text"]).join(s, name).select("question_id", F.col("doc_id").alias("chunk_id"), "tier")
 
 
 @query("""WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a": ' || (event_id % 25) || ', "b": 7}' WHEN 1 THEN '```json' || chr(10) || '{"a": 3, "b": ' || (1 + event_id % 20) || '}' || chr(10) || '```' WHEN 2 THEN '{"a": 4}' WHEN 3 THEN 'no json' ELSE '{"a": 2.5, "b": 1}' END AS reply FROM events)

@@ -6,6 +6,10 @@ byte of weight each. Rows lie in buckets of terms, which are Parquet partitions,
 these, so a search opens the buckets of its terms only and skips the row groups without them. A term that
 every chunk holds is as many rows as there are blocks; no task gathers it.
 
+The index is built without a row for each term of each chunk. The chunks are dealt into ranges of their
+order and staged once, so a task meets neighbouring numbers; it gathers PAIRS terms and codes them where
+they lie, and only coded pieces are shuffled, in which the pieces of a term and block are put together.
+
 A search first reads the greatest weights without the numbers. Their sum over a question's terms bounds
 what a block can give; the block with the largest bound is scored first and gives the score that a
 question's k-th best row has at least. Blocks whose bound is below that are not scored. Scores are sums of
@@ -22,77 +26,136 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text as tx
 from siltstone.operators.rank import FIELD_WEIGHTS, PLACE, canonical, top_k
-from siltstone.runtime import numbered, partitions_for, session_partitions, small_batches, stage_table
+from siltstone.runtime import partitions_for, session_partitions, small_batches, stage_table
 
 #: Numbers of a block (two to the power of), buckets of terms, questions and bytes of their texts at a time.
 BITS, BUCKETS, BLOCK, TEXT_BYTES = 16, 64, 1024, 16 << 20
+#: Terms of chunks that a task codes at a time, and blocks (two to the power of) of a bucket that are written together.
+PAIRS, TOGETHER = 1 << 22, 2
 ROWS = "term string, block long, n int, top int, numbers binary, weights binary"
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Rising numbers under 2**BITS as differences of seven bits a byte, the last byte of each with its high bit clear."""
-    step = np.diff(numbers, prepend=0).astype(np.uint32)
+def _bytes_of(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences of seven bits a byte, the last byte of each with its high bit clear, and where each ends."""
     size = 1 + (step >= 1 << 7) + (step >= 1 << 14)
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(3):
         has = size > k
         out[(ends - size)[has] + k] = ((step[has] >> (7 * k)) & 127) | np.where(size[has] > k + 1, 128, 0)
-    return out.tobytes()
+    return out, ends
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+def _steps_of(raw: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(raw < 128)
     first = np.append(0, last[:-1] + 1)[: len(last)]
     step = np.zeros(len(last), np.int64)
     for k in range(3):
         at = first + k
         has = at <= last
-        step[has] += (raw[at[has]] & 127) << (7 * k)
-    return np.cumsum(step)
+        step[has] += (raw[at[has]].astype(np.int64) & 127) << (7 * k)
+    return step
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, number, weight) in order, a row a term and block; what a batch cuts off is carried on.
+def pack(numbers: np.ndarray) -> bytes:
+    """Rising numbers under 2**BITS as coded differences."""
+    return _bytes_of(np.diff(numbers, prepend=0).astype(np.int64))[0].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_steps_of(np.frombuffer(data, np.uint8)))
+
+
+def _pieces(weights: list[int]):
+    """Codes rows (number, a list of terms for each weight), PAIRS terms at a time: a row a term and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs = [], 0
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for n, weight in enumerate(weights):
+                column = batch.column(1 + n)
+                terms = column.flatten()
+                if len(terms):
+                    held.append((terms.dictionary_encode(), np.repeat(number, pc.list_value_length(column).to_numpy(zero_copy_only=False)), np.full(len(terms), weight, np.uint8)))
+                    pairs += len(terms)
+            if pairs >= PAIRS:
+                yield from _coded_terms(held)
+                held, pairs = [], 0
+        if held:
+            yield from _coded_terms(held)
+
+    return run
+
+
+def _coded_terms(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    terms = pa.chunked_array([t for t, _, _ in held]).unify_dictionaries()
+    code = np.concatenate([c.indices.to_numpy() for c in terms.chunks])
+    rows = _coded(terms.chunks[-1].dictionary, code, np.concatenate([n for _, n, _ in held]), np.concatenate([w for _, _, w in held]))
+    for low in range(0, rows.num_rows, 1 << 14):
+        yield rows.slice(low, 1 << 14)
+
 
-    The weights of a number that comes for several fields are summed.
-    """
+def _coded(terms: pa.Array, code: np.ndarray, number: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Rows by term and block of (place of the term, number, weight) in any order; the weights of a number that comes for several fields are summed."""
+    order = np.lexsort((number, code)) if number.max() >> 40 or len(terms) >> 22 else np.argsort((code.astype(np.int64) << 40) | number)
+    code, number, weight = code[order], number[order], weight[order]
+    at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (number[1:] != number[:-1])))
+    weight, code, number = np.add.reduceat(weight, at, dtype=np.int64).astype(np.uint8), code[at], number[at]
+    block, inside = number >> BITS, number & ((1 << BITS) - 1)
+    cuts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+    step = np.diff(inside, prepend=0)
+    step[cuts] = inside[cuts]
+    data, ends = _bytes_of(step)
+    upto = np.append(cuts, len(number))
+    spans = [np.append(0, ends)[upto], upto]
+    columns = [
+        terms.take(pa.array(code[cuts])), pa.array(block[cuts]), pa.array(np.diff(upto).astype(np.int32)), pa.array(np.maximum.reduceat(weight, cuts).astype(np.int32)),
+        *[pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(values)]) for at, values in zip(spans, (data, weight), strict=True)],
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "top", "numbers", "weights"])
+
+
+def _raw(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column, one behind the other."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+
+
+def _joined(rows: pa.RecordBatch, group: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """The pieces of each term and block as one row; ``group`` numbers them and ``first`` is where each begins."""
+    n = rows.column("n").to_numpy().astype(np.int64)
+    step, begins = _steps_of(_raw(rows.column("numbers"))), np.cumsum(n) - n
+    inside = np.cumsum(step)
+    inside -= np.repeat(inside[begins] - step[begins], n)
+    return _coded(rows.column("term").take(pa.array(first)), np.repeat(group, n), (np.repeat(rows.column("block").to_numpy(), n) << BITS) + inside, _raw(rows.column("weights")))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces in the order of terms and blocks, put together; what a batch cuts off is carried on."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
         if not table:
             continue
         whole = table[0]
-        terms = whole.column("term").dictionary_encode()
-        code, number = terms.indices.to_numpy(), whole.column("number").to_numpy()
-        new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (number[1:] >> BITS != number[:-1] >> BITS)))
-        held = whole.slice(int(new[-1]))
-        if len(new) > 1:
-            yield _coded(whole.slice(0, int(new[-1])), new)
+        term, block = whole.column("term").dictionary_encode().indices.to_numpy(), whole.column("block").to_numpy()
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
+        first = np.flatnonzero(new)
+        end = int(first[-1])
+        held = whole.slice(end)
+        if end:
+            yield _joined(whole.slice(0, end), (np.cumsum(new) - 1)[:end], first[:-1])
     if held is not None and held.num_rows:
-        yield _coded(held, np.array([0, held.num_rows]))
-
-
-def _coded(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
-    number, weight = rows.column("number").to_numpy(), rows.column("weight").to_numpy()
-    first = np.append(True, number[1:] != number[:-1])
-    first[cuts[:-1]] = True
-    at = np.flatnonzero(first)
-    weight = np.add.reduceat(weight, at).astype(np.uint8)
-    taken, number, cuts = pa.array(at[np.searchsorted(at, cuts[:-1])]), number[at], np.searchsorted(at, cuts)
-    spans, inside = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), number & ((1 << BITS) - 1)
-    columns = [
-        rows.column("term").take(taken), pa.array(number[cuts[:-1]] >> BITS), pa.array(np.diff(cuts), pa.int32()), pa.array(np.maximum.reduceat(weight, cuts[:-1]).astype(np.int32)),
-        pa.array([pack(inside[a:b]) for a, b in spans], pa.binary()), pa.array([weight[a:b].tobytes() for a, b in spans], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "top", "numbers", "weights"])
+        yield _joined(held, np.zeros(held.num_rows, np.int64), np.zeros(1, np.int64))
 
 
 class TermIndex:
@@ -110,21 +173,22 @@ class TermIndex:
         weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in chunks.columns}
         keys = [c for c in PLACE if c in chunks.columns]
         chunks = chunks.where(F.col("chunk_id").isNotNull())
-        places = numbered(chunks.select(*keys), keys, "number").withColumn("number", F.col("number") - 1)
-        places.write.parquet(f"{folder}/chunks")
+        # Ranges of the order of ties; the number of a row is its place in its range and the rows of the ranges before.
+        ranged = chunks.select(*dict.fromkeys([*keys, *weights])).repartitionByRange(partitions_for(chunks), *keys).sortWithinPartitions(*keys)
+        staged = stage_table(ranged.withColumn("place", F.monotonically_increasing_id()), "ranged").withColumn("range", F.shiftright("place", 33))
+        starts, before = [], 0
+        for r in staged.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+            starts.append((r["range"], before - (r["range"] << 33)))
+            before += r["n"]
+        numbers = staged.join(F.broadcast(spark.createDataFrame(starts, "range long, start long")), "range").withColumn("number", F.col("place") + F.col("start"))
+        numbers.select(*keys, "number").write.parquet(f"{folder}/chunks")
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/meta")
-        known = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "number")
-
-        def weighted(field: str, weight: int) -> Column:
-            """The terms of a field, each with the field's weight."""
-            return F.transform(tx.word_set(F.coalesce(field, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-        said = chunks.select("chunk_id", F.flatten(F.array(*[weighted(f, w) for f, w in weights.items()])).alias("said")).join(known, "chunk_id")
-        rows = said.select("number", F.explode("said").alias("t")).select("t.term", "number", F.col("t.w").cast("int").alias("weight")).withColumn("h", F.xxhash64("term"))
-        # By term and block, so that a frequent term is dealt over as many tasks as it has blocks; a hash sorts faster than words.
-        dealt = rows.repartition(partitions_for(chunks), "h", F.shiftright("number", BITS)).sortWithinPartitions("h", "term", "number")
-        coded = dealt.select("term", "number", "weight").mapInArrow(_blocks, ROWS).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        coded.repartitionByRange(session_partitions(spark), "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        said = numbers.select("number", *[tx.word_set(F.coalesce(f, F.lit(""))).alias(f"_terms_{n}") for n, f in enumerate(weights)])
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        # A frequent term is dealt over tasks by its blocks.
+        dealt = said.mapInArrow(_pieces(list(weights.values())), ROWS).repartition(partitions_for(chunks), bucket, F.shiftright("block", TOGETHER))
+        coded = dealt.sortWithinPartitions(bucket, "term", "block").mapInArrow(_blocks, ROWS).withColumn("bucket", bucket)
+        coded.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings")
         return TermIndex(spark, folder)
 
     def rows(self, terms: list[str], buckets: list[int]) -> DataFrame:

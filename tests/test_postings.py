@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,50 @@ def test_odd_tables(spark, tmp_path):
     index = postings.TermIndex.build(odd, str(tmp_path / "b"))
     assert [(r["chunk_id"], r["score"]) for r in index.search(questions).collect()] == [("y", 4.0)]
     assert index.search(questions.limit(0)).count() == 0
+
+
+def test_pieces_are_put_together(monkeypatch):
+    monkeypatch.setattr(postings, "PAIRS", 200)
+    r = np.random.default_rng(1)
+    numbers = np.concatenate([r.permutation(np.arange(60)), r.permutation(np.arange(65_500, 65_580)), [200_000]])
+    names, codes = [[f"n{k}" for k in r.choice(9, r.integers(0, 4), replace=False)] for _ in numbers], [[f"n{k}" for k in r.choice(40, r.integers(0, 9), replace=False)] for _ in numbers]
+    want = {}
+    for number, *fields in zip(numbers.tolist(), names, codes, strict=True):
+        for weight, field in zip((3, 1), fields, strict=True):
+            for term in field:
+                said = want.setdefault((term, number >> 16), {})
+                said[number & 65_535] = said.get(number & 65_535, 0) + weight
+    batches = [pa.RecordBatch.from_arrays([pa.array(numbers[k : k + 7]), pa.array(names[k : k + 7], pa.list_(pa.string())), pa.array(codes[k : k + 7], pa.list_(pa.string()))], ["number", "a", "b"]) for k in range(0, len(numbers), 7)]
+    pieces = pa.Table.from_batches(postings._pieces([3, 1])(iter(batches))).sort_by([("term", "ascending"), ("block", "ascending")])
+    assert pieces.num_rows > len(want)
+    got = pa.Table.from_batches(postings._blocks(iter(pieces.to_batches(max_chunksize=11)))).to_pylist()
+    assert len(got) == len(want)
+    for row in got:
+        said = want[row["term"], row["block"]]
+        assert postings.unpack(row["numbers"]).tolist() == sorted(said) and list(row["weights"]) == [said[n] for n in sorted(said)]
+        assert row["n"] == len(said) and row["top"] == max(said.values())
+
+
+def test_numbers_follow_the_order_of_ties(spark, tmp_path):
+    rows, _ = corpus(300)
+    random.Random(2).shuffle(rows)
+    postings.TermIndex.build(spark.createDataFrame(rows, SCHEMA).repartition(7), str(tmp_path / "i"))
+    got = spark.read.parquet(str(tmp_path / "i/chunks")).orderBy("number").collect()
+    first = [(r["source_file"] is not None, r["source_file"] or "", r["start_line"] is not None, r["start_line"] or 0, r["chunk_id"]) for r in got]
+    assert [r["number"] for r in got] == list(range(300)) and first == sorted(first)
+
+
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.length()))
+
+
+def test_no_row_for_each_term_of_each_chunk_is_shuffled(spark, tmp_path):
+    said = F.array_join(F.filter(F.sequence(F.lit(0), F.lit(199)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(2)) == 0), " ")
+    spark.range(20_000).select(F.format_string("c%07d", "id").alias("chunk_id"), said.alias("code")).write.parquet(str(tmp_path / "t"))
+    chunks = spark.read.parquet(str(tmp_path / "t"))
+    text = chunks.agg(F.sum(F.length("code"))).first()[0]
+    before = shuffled(spark)
+    postings.TermIndex.build(chunks, str(tmp_path / "i"), {"code": 1})
+    pairs = spark.read.parquet(str(tmp_path / "i/postings")).agg(F.sum("n")).first()[0]
+    assert pairs > 1_900_000 and shuffled(spark) - before < text
